@@ -88,7 +88,7 @@ def report_modulation(spark, sf_dir):
 @query(
     "report_predictions",
     "R6 P9 P26",
-    f"""WITH {BASE_CTES}, p AS (SELECT year_bin, CASE WHEN year_bin <= 2025 THEN anomaly END AS anomaly, co2_ppm / 300 AS a, insolation / 3 AS b FROM base WHERE year_bin <= 200000)
+    f"""WITH {BASE_CTES}, p AS (SELECT year_bin, CASE WHEN year_bin <= 2025 THEN anomaly END AS anomaly, ln(co2_ppm) AS a, insolation / 3 AS b FROM base WHERE year_bin <= 200000)
     SELECT 'Linear Model' AS model, year_bin, {r('anomaly')} AS anomaly, {r('a')} AS pred_anomaly,
       CASE WHEN year_bin BETWEEN -500000 AND -300000 THEN 'Test' WHEN year_bin <= 2025 THEN 'Train' ELSE 'Forecast' END AS band FROM p
     UNION ALL SELECT 'Arima Model', year_bin, {r('anomaly')}, CASE WHEN year_bin > 2025 THEN {r('b')} END, CASE WHEN year_bin > 2025 THEN 'Forecast' ELSE 'Train' END FROM p""",
@@ -96,7 +96,7 @@ def report_modulation(spark, sf_dir):
 def report_predictions(spark, sf_dir):
     rows = base(spark, sf_dir)
     predictions = {
-        "linear_model": rows.select("year_bin", "anomaly", (F.col("co2_ppm") / 300).alias("pred_anomaly")),
+        "linear_model": rows.select("year_bin", "anomaly", F.ln("co2_ppm").alias("pred_anomaly")),
         "arima_model": rows.select("year_bin", "anomaly", (F.col("insolation") / 3).alias("pred_anomaly")),
     }
     return rounded(report.prediction_report(predictions, CONFIG), ["anomaly", "pred_anomaly"])

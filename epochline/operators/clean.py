@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from epochline.functions.columns import names
+from epochline.session import settle
 
-EXACT_LIMIT = 1_000_000
+EXACT_LIMIT = 50_000
 NARROW_LIMIT = 20_000
 ACCURACY = 10_000
 
@@ -38,7 +39,7 @@ def sample_rule(columns: Mapping[str, str] | None = None) -> Column:
 
     def known(array):
         head = F.get(F.col(array), F.lit(0)).cast("double")
-        return F.coalesce(~F.isnan(head), F.lit(False))
+        return head.isNotNull() & ~F.isnan(head)
 
     return (
         F.col(name["units"]).eqNullSafe("degC")
@@ -58,40 +59,46 @@ def _ranks(n: int, q: float, method: str) -> list[tuple[int, float]]:
     return [(low, 1.0 - share)] + ([(low + 1, share)] if share else [])
 
 
-def _value_at(df: DataFrame, col: str, rank: int, n: int) -> float:
-    """The value at a 0-based rank, found by narrowing the range it can lie in.
+def _values_at(df: DataFrame, col: str, ranks: Sequence[int], n: int) -> dict[int, float]:
+    """The values at some 0-based ranks of n rows, found by narrowing the range each can lie in.
 
-    Every pass counts the rows below and at a few pivots in one scan of one column and keeps the open
-    interval that holds the rank. Approximate quantiles only choose good pivots; the counts are exact,
-    and a value that many rows share is a pivot of its own soon and then either the answer or gone.
+    One pass picks pivots around all ranks by approximate quantiles, a second counts the rows below and
+    at every pivot. The counts are exact, so each rank either hits a pivot or falls into the open interval
+    between two of them. What is left of an interval is a tiny share of the rows; it is written out and
+    narrowed again until it can be listed. A value that many rows share becomes a pivot and is then done.
     """
-    c = F.col(col)
+    c, found = F.col(col), {}
+    if n <= NARROW_LIMIT:
+        seen, pending = 0, sorted(set(ranks))
+        for row in df.groupBy(col).count().orderBy(col).collect():
+            seen += row["count"]
+            while pending and pending[0] < seen:
+                found[pending.pop(0)] = row[col]
+        return found
     slack = 3.0 / ACCURACY
-    while n > NARROW_LIMIT:
-        at = rank / max(n - 1, 1)
-        wanted = [max(0.0, at - slack), at, min(1.0, at + slack)]
-        pivots = sorted(set(df.agg(F.percentile_approx(col, wanted, ACCURACY).alias("p")).first()["p"]))
-        counts = df.agg(*[F.count(F.when(test, 1)) for v in pivots for test in (c < v, c == v)]).first()
-        lower, upper, under, above = None, None, 0, n
-        for i, v in enumerate(pivots):
-            less, equal = counts[2 * i], counts[2 * i + 1]
-            if rank < less:
-                upper, above = v, less
-                break
-            if rank < less + equal:
-                return v
-            lower, under = v, less + equal
-        if lower is not None:
-            df = df.where(c > lower)
-        if upper is not None:
-            df = df.where(c < upper)
-        rank, n = rank - under, above - under
-    seen = 0
-    for row in df.groupBy(col).count().orderBy(col).collect():
-        seen += row["count"]
-        if rank < seen:
-            return row[col]
-    raise ValueError(f"rank {rank} lies outside the data")
+    centres = {rank / max(n - 1, 1) for rank in ranks}
+    wanted = sorted({min(1.0, max(0.0, at + shift)) for at in centres for shift in (-slack, 0.0, slack)})
+    pivots = sorted(set(df.agg(F.percentile_approx(col, wanted, ACCURACY).alias("p")).first()["p"]))
+    counts = df.agg(*[F.count(F.when(test, 1)) for v in pivots for test in (c < v, c == v)]).first()
+    less, equal = counts[0::2], counts[1::2]
+    left: dict[tuple, list[int]] = {}
+    for rank in ranks:
+        at = sum(1 for below in less if below <= rank) - 1
+        if at >= 0 and rank < less[at] + equal[at]:
+            found[rank] = pivots[at]
+        else:
+            left.setdefault(at, []).append(rank)
+    for at, inside in left.items():
+        part, under, above = df, 0, n
+        if at >= 0:
+            part, under = part.where(c > pivots[at]), less[at] + equal[at]
+        if at + 1 < len(pivots):
+            part, above = part.where(c < pivots[at + 1]), less[at + 1]
+        if above - under > NARROW_LIMIT:
+            part = settle(part, "narrowed")
+        deeper = _values_at(part, col, [rank - under for rank in inside], above - under)
+        found.update({rank + under: value for rank, value in deeper.items()})
+    return found
 
 
 def quantiles(df: DataFrame, col: str, qs: Sequence[float], method: str = "linear") -> list[float | None]:
@@ -107,16 +114,9 @@ def quantiles(df: DataFrame, col: str, qs: Sequence[float], method: str = "linea
         return [None] * len(qs)
     if n <= EXACT_LIMIT and method == "linear":
         return list(values.agg(F.percentile(col, F.array(*[F.lit(q) for q in qs])).alias("q")).first()["q"])
-    found: dict[int, float] = {}
-    result = []
-    for q in qs:
-        total = 0.0
-        for rank, share in _ranks(n, q, method):
-            if rank not in found:
-                found[rank] = _value_at(values, col, rank, n)
-            total += share * found[rank]
-        result.append(total)
-    return result
+    parts = [_ranks(n, q, method) for q in qs]
+    found = _values_at(values, col, sorted({rank for ranks in parts for rank, _ in ranks}), n)
+    return [sum(share * found[rank] for rank, share in ranks) for ranks in parts]
 
 
 def iqr_bounds(df: DataFrame, col: str, k: float = 1.5, method: str = "linear") -> tuple[float | None, float | None]:

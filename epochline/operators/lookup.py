@@ -117,34 +117,36 @@ def shift_future(age: Column, limit: float = -50) -> Column:
     return F.transform(age, lambda x: x + ahead)
 
 
+def rebased(
+    age: Column, value: Column, newest_age: Column, newest_value: Column, reference: Column, climate: Column, epoch: float = 1950
+) -> dict[str, Column]:
+    """`year`, `anomaly` and `degC` of an observation relative to the most recent one of its series.
+
+    The anomaly is the difference to the most recent value plus the reference anomaly there; the
+    temperature is the climate plus the anomaly.
+    """
+    anomaly = value - newest_value + reference
+    newest_year = F.lit(epoch) - newest_age.cast("bigint")
+    return {
+        "year": F.bround(newest_year - (age - newest_age)).cast("bigint"),
+        "anomaly": anomaly,
+        "degC": climate + anomaly,
+    }
+
+
 def rebase(
-    df: DataFrame,
-    series: Iterable[str],
-    key: str,
-    value: str,
-    reference: str,
-    climate: str,
-    epoch: float = 1950,
-    newest_first: bool = True,
+    df: DataFrame, series: Iterable[str], key: str, value: str, reference: str, climate: str, epoch: float = 1950
 ) -> DataFrame:
-    """Express a series relative to its most recent observation.
+    """Re-base series that come as one row per observation; `key` is an age, the least is the most recent.
 
-    `key` is an age (smaller is more recent). Adds `anomaly` (difference to the most recent value plus
-    the reference anomaly there), `degC` (climate plus anomaly) and `year`. The most recent row comes
-    from an aggregate per series that is joined back, so no series has to fit into a task.
+    The most recent row comes from an aggregate per series that is joined back, so no series has to fit
+    into a task. Adds `year`, `anomaly` and `degC`.
     """
     series = names(series)
-    pick = F.min_by if newest_first else F.max_by
     known = df.where(F.col(key).isNotNull() & F.col(value).isNotNull())
-    heads = known.groupBy(*series).agg(
-        pick(F.struct(F.col(key).alias("k"), F.col(value).alias("v")), F.col(key)).alias("__head")
-    )
-    joined = known.join(heads, series)
-    anomaly = F.col(value) - F.col("__head.v") + F.col(reference)
-    newest = F.lit(epoch) - F.col("__head.k").cast("bigint")
-    return joined.select(
-        *df.columns,
-        F.bround(newest - (F.col(key) - F.col("__head.k"))).cast("bigint").alias("year"),
-        anomaly.alias("anomaly"),
-        (F.col(climate) + anomaly).alias("degC"),
+    newest = F.min_by(F.struct(F.col(key).alias("k"), F.col(value).alias("v")), F.col(key)).alias("__newest")
+    joined = known.join(known.groupBy(*series).agg(newest), series)
+    columns = rebased(
+        F.col(key), F.col(value), F.col("__newest.k"), F.col("__newest.v"), F.col(reference), F.col(climate), epoch
     )
+    return joined.select(*df.columns, *[c.alias(n) for n, c in columns.items()])

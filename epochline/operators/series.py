@@ -93,6 +93,11 @@ def dense_id(df: DataFrame, order_by: Sequence[str], name: str, offset: int = 0,
     return with_ordered(df, first, {name: Position(offset=offset)}, tiebreak=rest, **limits)
 
 
+def hash_id(df: DataFrame, cols: Iterable[str], name: str) -> DataFrame:
+    """A 64-bit id from the row's values: not consecutive, but free of any ordering or shuffle."""
+    return df.withColumn(name, F.xxhash64(*names(cols)))
+
+
 def chunk_mean(
     df: DataFrame, key: str, n: int, cols: Iterable[str] | None = None, series: Iterable[str] | None = None, **limits
 ) -> DataFrame:

@@ -11,13 +11,12 @@ from pyspark.sql import functions as F
 from epochline.functions.bins import tiered_bin, year_before
 from epochline.functions.columns import lookup_first, missing_to_null
 from epochline.functions.derive import radiative_forcing, solar_modulation
-from epochline.operators.clean import iqr_filter, quarantine_extreme, sample_rule, split_valid
+from epochline.operators.clean import iqr_filter, sample_rule, split_valid
 from epochline.operators.grid import axis_mean, decimate, year_of_month
-from epochline.operators.lookup import forward_lookup, grid_lookup, rebase, shift_future
+from epochline.operators.lookup import forward_lookup, grid_lookup, rebased, shift_future
 from epochline.operators.series import bin_and_fill, dense_id, make_spine, stride_fill
 from epochline.operators.star import extend_dimension, merge_sources, star_join, star_split
 from epochline.session import settle
-from epochline.sources.samples import explode_pairs
 
 # The month (0 = January) that a season label stands for.
 SEASON_MONTHS = {
@@ -125,28 +124,58 @@ def reference_anomaly(heads: DataFrame, grid: DataFrame) -> DataFrame:
     return found.groupBy("sample_id").agg(F.avg("reference").alias("reference"))
 
 
+EXTREME_ANOMALY = 20
+
+
 def sample_temperatures(placed: DataFrame, grid: DataFrame, climatology: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One row per observation relative to the record's newest one, and the records with an extreme end."""
-    placed = settle(placed, "samples")
-    heads = placed.select(
+    """One row per observation relative to the record's newest one, and the rows of extreme records.
+
+    Everything a record needs from outside is joined to the record before its arrays are unfolded, so
+    the observations themselves are never shuffled. A record is extreme if its last anomaly is.
+    """
+    known = F.filter(
+        F.arrays_zip("age", "paleoData_values"),
+        lambda x: x["age"].isNotNull() & x["paleoData_values"].isNotNull() & ~F.isnan(x["age"]) & ~F.isnan(x["paleoData_values"]),
+    )
+    records = settle(placed.withColumn("pairs", known).drop("age", "paleoData_values"), "records")
+    newest = F.get(F.col("pairs"), F.lit(0))
+    heads = records.select(
         "sample_id",
         *CELL,
         "month_idx",
-        (F.lit(1950) - F.get(F.col("age"), F.lit(0)).cast("bigint")).alias("newest_year"),
+        (F.lit(1950) - newest["age"].cast("bigint")).alias("newest_year"),
         F.coalesce(F.col("paleoData_description").contains("T anomalies"), F.lit(False)).alias("is_anomaly"),
     )
     monthly = climatology.select(*CELL, F.col("month_idx").cast("int").alias("month_idx"), F.col("climate").alias("of_month"))
     yearly = axis_mean(climatology, CELL, "climate", "of_year")
     climate = grid_lookup(grid_lookup(heads, monthly, [*CELL, "month_idx"]), yearly, CELL)
-    climate = climate.withColumn("climate", F.when(F.col("month_idx").isNull(), F.col("of_year")).otherwise(F.col("of_month")))
-    based = climate.join(reference_anomaly(heads.where(~F.col("is_anomaly")), grid), "sample_id", "left").select(
-        "sample_id", "climate", F.when(F.col("is_anomaly"), F.lit(0.0)).otherwise(F.col("reference")).alias("reference")
+    modern = reference_anomaly(heads.where(~F.col("is_anomaly")), grid)
+    based = climate.join(modern, "sample_id", "left").select(
+        "sample_id",
+        F.when(F.col("month_idx").isNull(), F.col("of_year")).otherwise(F.col("of_month")).alias("climate"),
+        F.when(F.col("is_anomaly"), F.lit(0.0)).otherwise(F.col("reference")).alias("reference"),
+    )
+    last = F.element_at("pairs", -1)["paleoData_values"] - newest["paleoData_values"] + F.col("reference")
+    complete = records.join(based, "sample_id").where(F.col("climate").isNotNull() & F.col("reference").isNotNull())
+    unfolded = complete.select(
+        "sample_id",
+        *CELL,
+        "climate",
+        "reference",
+        newest.alias("newest"),
+        (F.abs(last) > EXTREME_ANOMALY).alias("is_extreme"),
+        F.explode("pairs").alias("pair"),
+    )
+    columns = rebased(
+        F.col("pair.age"),
+        F.col("pair.paleoData_values"),
+        F.col("newest.age"),
+        F.col("newest.paleoData_values"),
+        F.col("reference"),
+        F.col("climate"),
     )
-    pairs = explode_pairs(placed.select("sample_id", *CELL, "age", "paleoData_values"), "age", "paleoData_values", "age_bp", "value")
-    rows = rebase(pairs.join(based, "sample_id"), ["sample_id"], "age_bp", "value", "reference", "climate")
-    known = rows.where(F.col("anomaly").isNotNull())
-    _, extreme = quarantine_extreme(known, ["sample_id"], "pos", "anomaly")
-    return known.select(*TEMPERATURE_COLUMNS), extreme.select(*TEMPERATURE_COLUMNS)
+    rows = unfolded.withColumns(columns)
+    return rows.select(*TEMPERATURE_COLUMNS), rows.where("is_extreme").select(*TEMPERATURE_COLUMNS)
 
 
 def grid_temperatures(grid: DataFrame, climatology: DataFrame, id_offset: int = 0) -> DataFrame:
@@ -193,8 +222,8 @@ def cosmic_series(sediment: DataFrame, field: DataFrame, spine: DataFrame) -> Da
 def build_star(inputs: RawInputs, id_cols: Iterable[str] | None = None) -> dict[str, DataFrame]:
     """All six tables.
 
-    The facts are written out once before they fan out. The dimensions are built from the distinct bins,
-    which are few, and never from a wide join with the facts.
+    The temperatures are written out once before they fan out. The dimensions are built from the distinct
+    bins, which are few, and never from a wide join with the facts.
     """
     placed, _ = prepare_samples(inputs.samples, id_cols)
     proxies, _ = sample_temperatures(placed, inputs.grid, inputs.climatology)
@@ -202,12 +231,10 @@ def build_star(inputs: RawInputs, id_cols: Iterable[str] | None = None) -> dict[
     bounded = iqr_filter(proxies, "degC")
     offset = proxies.agg(F.max("sample_id").alias("n")).first()["n"] or 0
     cells = grid_temperatures(inputs.grid, inputs.climatology, offset)
-    rows = bounded.unionByName(cells)
-    facts = dense_id(settle(rows, "temperatures"), ["year", "sample_id", "degC", "anomaly"], "temperature_id")
-    facts = facts.withColumn("year_bin", tiered_bin(F.col("year"))).withColumn("time_id", F.col("year_bin"))
-    facts = settle(facts, "facts")
+    rows = settle(bounded.unionByName(cells), "temperatures")
+    rows = rows.withColumn("year_bin", tiered_bin(F.col("year"))).withColumn("time_id", F.col("year_bin"))
 
-    fact_bins = make_spine(facts, key="year_bin")
+    fact_bins = make_spine(rows, key="year_bin")
     orbital_cols = STAR_TABLES["dim_orbital"][1:]
     orbital = settle(
         bin_and_fill(inputs.orbital, "year", tiered_bin(F.col("year")), fact_bins, orbital_cols), "orbital"
@@ -221,7 +248,10 @@ def build_star(inputs: RawInputs, id_cols: Iterable[str] | None = None) -> dict[
     wide = star_join(fact_bins, {"co2": co2, "orbital": orbital, "cosmic": cosmic}, "year_bin")
     by_time = wide.withColumn("time_id", F.col("year_bin"))
 
-    tables = star_split(facts, {n: STAR_TABLES[n] for n in ("fact_temperature", "dim_location")})
+    # The facts have a unique id, so they need no de-duplication.
+    numbered = dense_id(rows, ["year", "sample_id", "degC", "anomaly"], "temperature_id")
+    tables = {"fact_temperature": numbered.select(*STAR_TABLES["fact_temperature"])}
+    tables.update(star_split(rows, {"dim_location": STAR_TABLES["dim_location"]}))
     tables.update(star_split(by_time, {n: STAR_TABLES[n] for n in ("dim_time", "dim_atmosphere", "dim_cosmic")}))
     tables["dim_orbital"] = orbital.select(F.col("year_bin").alias("time_id"), *orbital_cols)
     tables["dim_time"] = extend_dimension(tables["dim_time"], tables["dim_orbital"], "time_id")

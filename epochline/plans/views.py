@@ -54,12 +54,20 @@ def resampled_view(base: DataFrame, config: FlowConfig = FlowConfig()) -> DataFr
     lagged = add_lags(scaled, KEY, [c for c in config.lagged if c in measures], config.lags, pad="first", **bound)
     squares = [c for c in lagged.columns if c not in (KEY, TARGET) and "lagged" not in c]
     wide = add_squares(lagged, squares)
-    filled = interpolate_where(
-        wide, KEY, [c for c in wide.columns if c != KEY], F.col(KEY) < config.present, **bound
-    )
+    gappy = _with_gaps(rows, config)
+    incomplete = [c for c in wide.columns if c.removesuffix("_squared").split("_lagged_")[0] in gappy]
+    filled = interpolate_where(wide, KEY, incomplete, F.col(KEY) < config.present, **bound) if incomplete else wide
     return settle(round_all(filled, config.places, exclude=[KEY]), "view")
 
 
+def _with_gaps(rows: DataFrame, config: FlowConfig) -> set[str]:
+    """The columns with a missing value before the present; a column made from any other has none either."""
+    cols = [c for c in rows.columns if c != KEY]
+    past = rows.where(F.col(KEY) < config.present)
+    missing = past.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in cols]).first()
+    return {c for c in cols if missing[c]}
+
+
 def _padded(rows: DataFrame, measures: list[str], copies: int) -> DataFrame:
     """The rows plus copies of the first one, which is what the scaler has to see for equal results.
 
