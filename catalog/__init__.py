@@ -1,9 +1,9 @@
 """Queries over the test tables, one or more per operator, each with the SQL it must agree with."""
 
-from catalog import aggregates, columns, joins, modelling, ordered, reports, sets, sources, views
+from catalog import aggregates, columns, joins, modelling, ordered, reports, sets, sources, stars, views
 from catalog.common import Query
 
-MODULES = (sources, columns, joins, aggregates, ordered, sets, views, modelling, reports)
+MODULES = (sources, columns, joins, aggregates, ordered, sets, stars, views, modelling, reports)
 
 
 def all_queries() -> dict[str, Query]:

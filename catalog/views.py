@@ -154,70 +154,3 @@ def training_view(spark, sf_dir):
 @query("long_term_view", "C9 P4", f"WITH {RESAMPLED_CTES} SELECT {_shown(MEASURES)} FROM fi")
 def long_term_view(spark, sf_dir):
     return views.long_term_view(resampled_view(spark, sf_dir))
-
-
-def raw_inputs(spark, sf_dir):
-    """Source tables of the right shapes: records from embeddings, a monthly grid from events and shipments."""
-    from epochline.plans.star_build import RawInputs
-
-    lineitem, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
-    label = F.col("label").cast("double")
-    records = table(spark, sf_dir, "embeddings").select(
-        F.transform("embedding", lambda _, i: (i * 150 - 80).cast("double") + label * 40).alias("age"),
-        F.transform("embedding", lambda x: (x * 20).cast("double")).alias("paleoData_values"),
-        (label * 2 - 6).alias("geo_meanLat"),
-        (label * 4 - 10.2).alias("geo_meanLon"),
-        F.when(label == 3, "kelvin").otherwise("degC").alias("paleoData_units"),
-        F.lit(None).cast("string").alias("paleoData_useInGlobalTemperatureAnalysis"),
-        F.lit(None).cast("string").alias("paleoData_QCnotes"),
-        F.when(label == 5, "T anomalies").alias("paleoData_description"),
-        F.when(label == 2, "summer").alias("paleoData_habitatSeason"),
-        F.array(F.struct(F.when(label == 1, "Winter").alias("seasonality"))).alias("paleoData_interpretation"),
-        "vec_id",
-    )
-    lat = (F.pmod("l_suppkey", F.lit(10)) * 2 - 6).cast("bigint").alias("geo_meanLat")
-    lon = (F.pmod("l_suppkey", F.lit(10)) * 4 - 10).cast("bigint").alias("geo_meanLon")
-    shipped = lineitem.select("*", lat, lon, days("l_shipdate", "1995-01-01").alias("month"))
-    grid = shipped.groupBy("month", "geo_meanLat", "geo_meanLon").agg((F.avg("l_quantity") / 50).alias("anomaly"))
-    climatology = shipped.groupBy(
-        (F.month("l_shipdate") - 1).alias("month_idx"), "geo_meanLat", "geo_meanLon"
-    ).agg(F.sqrt(F.avg("l_quantity")).alias("climate"))
-    year = (days("o_orderdate", "2001-01-01") * 400).cast("double").alias("year")
-    price = F.col("o_totalprice")
-    return RawInputs(
-        samples=records,
-        grid=grid,
-        climatology=climatology,
-        orbital=orders.select(
-            year,
-            F.ln(price).alias("eccentricity"),
-            F.sqrt("o_custkey").alias("obliquity"),
-            F.sqrt("o_orderkey").alias("perihelion"),
-            F.sqrt(price).alias("insolation"),
-            (price / 1000).alias("global_insolation"),
-        ),
-        ice_co2=orders.select(year, (180 + F.sqrt(price) / 10).alias("co2_ppm")),
-        modern_co2=table(spark, sf_dir, "part").select(
-            (1979 + F.col("p_size")).alias("year_bin"), F.col("p_retailprice").alias("co2_ppm")
-        ).groupBy("year_bin").agg(F.avg("co2_ppm").alias("co2_ppm")),
-        sediment=lineitem.select(
-            (days("l_shipdate", "2001-01-01") * 400).cast("double").alias("year"), F.ln("l_extendedprice").alias("be_ppm")
-        ),
-        field=lineitem.select(
-            (days("l_shipdate", "2001-01-01") * 400).cast("double").alias("year"), (F.col("l_quantity") - 25).alias("VADM")
-        ),
-    )
-
-
-@query("star_build", "S9 P21 P22 W9 W10 J7 J8 A6 S10 C1 C3 C4 C5 C6 C7")
-def star_build(spark, sf_dir):
-    """All six tables from raw measurements; the result is the rows per table and time."""
-    from epochline.plans.star_build import build_star
-
-    tables = build_star(raw_inputs(spark, sf_dir), ["vec_id"])
-    counted = None
-    for name, df in tables.items():
-        by = F.col("time_id") if "time_id" in df.columns else F.lit(None).cast("bigint")
-        rows = df.groupBy(F.lit(name).alias("name"), by.alias("time_id")).agg(F.count(F.lit(1)).alias("n"))
-        counted = rows if counted is None else counted.unionByName(rows)
-    return counted
