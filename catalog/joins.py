@@ -63,7 +63,7 @@ def chained_left_joins(spark, sf_dir):
     fact = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_quantity", tiered_bin(pseudo_year("l_shipdate")).alias("year_bin")
     )
-    return star.star_join(fact, _bin_measures(spark, sf_dir), "year_bin")
+    return star.star_join(fact, _bin_measures(spark, sf_dir), "year_bin", measure=True)
 
 
 DAY_SQL = sql_days("o_orderdate")

@@ -243,7 +243,7 @@ def bin_and_fill(spark, sf_dir):
         orders,
         "year",
         tiered_bin(F.col("year")),
-        series.make_spine(shipped, key="year_bin"),
+        shipped,
         ["price", "open_price"],
         horizon=2025,
         horizon_cols=["open_price"],

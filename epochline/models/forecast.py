@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from epochline.functions.columns import names
 from epochline.models.linear import gram, solve, squared_error, unpack
 from epochline.operators.series import add_lags
+from epochline.session import settle
 
 FIT_TYPE = "struct<p int, intercept double, phi array<double>, beta array<double>, sigma double, aicc double, n bigint>"
 
@@ -51,7 +52,8 @@ def _order_search(p_grid: Sequence[int], p_max: int, n_exog: int):
             rows.append(best or {"p": None, "intercept": None, "phi": [], "beta": [], "sigma": None, "aicc": None, "n": int(n)})
         return pd.DataFrame(rows, columns=["p", "intercept", "phi", "beta", "sigma", "aicc", "n"]).astype({"p": "Int32"})
 
-    return F.pandas_udf(fit, FIT_TYPE)
+    # Kept out of filters and never repeated, as a deterministic function might be.
+    return F.pandas_udf(fit, FIT_TYPE).asNondeterministic()
 
 
 def fit_ar(
@@ -61,17 +63,17 @@ def fit_ar(
     series, p_max, exog = names(series), max([*p_grid, 1]), list(exog)
     lag_names = [f"{y}_lagged_{k}" for k in range(1, p_max + 1)]
     rows = df.select(*series, key, F.col(y).cast("double").alias(y), *exog).where(F.col(y).isNotNull())
-    lagged = add_lags(rows, key, [y], range(1, p_max + 1), series, **limits)
+    lagged = settle(add_lags(settle(rows, "series"), key, [y], range(1, p_max + 1), series, **limits), "lagged")
     grams = gram(lagged, [*lag_names, *exog], y, series)
     fits = grams.select(*series, _order_search(list(p_grid), p_max, len(exog))("g").alias("fit"))
     # The newest row carries its own lags, so one row per series is all the recursion needs.
-    newest = F.max_by(F.struct(F.col(key).alias("k"), F.array(y, *lag_names[:-1]).alias("recent")), F.col(key))
-    ends = lagged.groupBy(*series).agg(newest.alias("last"))
+    recent = [F.max_by(c, key) for c in (y, *lag_names[:-1])]
+    ends = lagged.groupBy(*series).agg(F.max(key).alias("last_key"), F.array(*recent).alias("recent"))
     if not series:
         joined = fits.withColumn("__one", F.lit(1)).join(ends.withColumn("__one", F.lit(1)), "__one").drop("__one")
     else:
         joined = fits.join(ends, series)
-    return joined.select(*series, "fit.*", F.col("last.k").alias("last_key"), F.col("last.recent").alias("recent"))
+    return joined.select(*series, "fit.*", "last_key", "recent")
 
 
 def ar_forecast(

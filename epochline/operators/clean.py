@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from epochline.functions.columns import names
-from epochline.session import settle
+from epochline.session import settle, sized
 
 EXACT_LIMIT = 50_000
 NARROW_LIMIT = 20_000
@@ -168,5 +168,5 @@ def quarantine_extreme(
     """
     series = names(series)
     last = df.groupBy(*series).agg(F.max_by(value, order).alias("__last"))
-    flagged = last.where(F.abs("__last") > limit).select(*series)
+    flagged = sized(last.where(F.abs("__last") > limit).select(*series))
     return df, df.join(flagged, series, "left_semi")

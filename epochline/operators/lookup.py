@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from epochline.functions.columns import names
 from epochline.operators.ordered import Fill, NearestKnown, with_ordered
+from epochline.session import sized
 
 
 def grid_lookup(df: DataFrame, grid: DataFrame, on: Iterable[str]) -> DataFrame:
@@ -79,6 +80,7 @@ def label_intervals(
     Both sides meet on a bucket number, so this is an equi-join of any size and not a nested loop. With
     the bucket as wide as the average span, the spans grow to about three times their number.
     """
+    spans = sized(spans.select(lo, hi, label))
     if bucket is None:
         size = spans.agg(F.avg(F.col(hi) - F.col(lo)).alias("len")).first()["len"]
         bucket = float(size) if size else 1.0
@@ -144,9 +146,9 @@ def rebase(
     """
     series = names(series)
     known = df.where(F.col(key).isNotNull() & F.col(value).isNotNull())
-    newest = F.min_by(F.struct(F.col(key).alias("k"), F.col(value).alias("v")), F.col(key)).alias("__newest")
-    joined = known.join(known.groupBy(*series).agg(newest), series)
+    newest = known.groupBy(*series).agg(F.min(key).alias("__age"), F.min_by(value, key).alias("__value"))
+    joined = known.join(sized(newest), series)
     columns = rebased(
-        F.col(key), F.col(value), F.col("__newest.k"), F.col("__newest.v"), F.col(reference), F.col(climate), epoch
+        F.col(key), F.col(value), F.col("__age"), F.col("__value"), F.col(reference), F.col(climate), epoch
     )
     return joined.select(*df.columns, *[c.alias(n) for n, c in columns.items()])

@@ -40,6 +40,7 @@ class Scope:
     backward: WindowSpec
     slots: Mapping[str, str]
     blocked: bool
+    numbered: bool = True
 
     @property
     def index(self) -> Column:
@@ -74,12 +75,16 @@ class Scope:
         """The nearest row with a known value, itself included, as a struct `p, k, v`."""
         return F.col(f"{side}{self.slots[col]}")
 
-    def find_known(self, col: str, side: str) -> Column:
-        row = F.struct(self.position.alias("p"), F.col(self.key).alias("k"), F.col(col).alias("v"))
+    def find_known(self, col: str, side: str, after: Column | None = None) -> Column:
+        fields = [F.col(self.key).alias("k"), F.col(col).alias("v")]
+        if self.numbered:
+            fields.insert(0, self.position.alias("p"))
         # A frame reaching to the end would be re-read for every row; the reversed order is linear.
         window = self.forward if side == PREVIOUS else self.backward
-        known = F.when(F.col(col).isNotNull(), row)
-        here = F.last(known, True).over(window.rowsBetween(Window.unboundedPreceding, 0))
+        is_known = F.col(col).isNotNull()
+        if after is not None:
+            is_known = is_known & after.isNotNull()
+        here = F.last(F.when(is_known, F.struct(*fields)), True).over(window.rowsBetween(Window.unboundedPreceding, 0))
         return F.coalesce(here, F.col(f"{CARRIED}{side}{self.slots[col]}")) if self.blocked else here
 
     def frame_sum(self, col: str, before: int, after: int) -> tuple[Column, Column]:
@@ -113,6 +118,7 @@ class Ordered:
     ahead: int = 0
     sides: tuple[str, ...] = ()
     first: bool = False
+    numbered: bool = False
 
     def build(self, scope: Scope) -> Column:
         raise NotImplementedError
@@ -128,6 +134,7 @@ class Lag(Ordered):
     def __post_init__(self):
         object.__setattr__(self, "back", self.k)
         object.__setattr__(self, "first", self.pad == "first")
+        object.__setattr__(self, "numbered", self.pad == "first")
 
     def build(self, scope: Scope) -> Column:
         value = scope.earlier(self.col, self.k)
@@ -181,6 +188,7 @@ class NearestKnown(Ordered):
     """Position, key and value of the nearest known row on one side, as a struct `p, k, v`."""
 
     direction: str = "forward"
+    numbered: bool = True
 
     def __post_init__(self):
         object.__setattr__(self, "sides", (PREVIOUS if self.direction == "forward" else NEXT,))
@@ -199,6 +207,7 @@ class Interpolate(Ordered):
     axis: str = "row"
     edges: str = "null"
     sides: tuple[str, ...] = (PREVIOUS, NEXT)
+    numbered: bool = True
 
     def build(self, scope: Scope) -> Column:
         left, right = scope.known(self.col, PREVIOUS), scope.known(self.col, NEXT)
@@ -216,6 +225,7 @@ class Position(Ordered):
     """Row number within the series, starting at `offset + 1`."""
 
     offset: int = 0
+    numbered: bool = True
 
     def build(self, scope: Scope) -> Column:
         return (scope.position + F.lit(self.offset)).cast("bigint")
@@ -261,11 +271,12 @@ def with_ordered(
             return _blocked(df, key, exprs, series, order, rows)
 
     wanted = list(exprs.values())
-    scope = Scope(key, *_windows(series, order), _slots(wanted), blocked=False)
-    helpers = {INDEX: F.row_number().over(scope.forward)}
+    numbered = any(e.numbered for e in wanted)
+    scope = Scope(key, *_windows(series, order), _slots(wanted), blocked=False, numbered=numbered)
+    helpers = {INDEX: F.row_number().over(scope.forward)} if numbered else {}
     if any(isinstance(e, Size) for e in wanted):
         helpers[TOTAL] = F.count(F.lit(1)).over(Window.partitionBy(*series))
-    return _finish(df.withColumns(helpers), df.columns, exprs, scope)
+    return _finish(df.withColumns(helpers) if helpers else df, df.columns, exprs, scope)
 
 
 def _slots(wanted: list[Ordered]) -> dict[str, str]:
@@ -274,11 +285,26 @@ def _slots(wanted: list[Ordered]) -> dict[str, str]:
 
 
 def _finish(df: DataFrame, columns: list[str], exprs: Mapping[str, Ordered], scope: Scope) -> DataFrame:
-    """Nearest known rows first, as columns that several expressions share; then the expressions."""
-    pairs = sorted({(e.col, side) for e in exprs.values() for side in e.sides})
-    known = {f"{side}{scope.slots[c]}": scope.find_known(c, side) for c, side in pairs}
-    result = (df.withColumns(known) if known else df).withColumns({n: e.build(scope) for n, e in exprs.items()})
-    return result.select(*columns, *[n for n in exprs if n not in columns])
+    """Everything that walks forward first, then the backward walk, so that rows are sorted only twice."""
+
+    def looked_up(side):
+        return sorted({e.col for e in exprs.values() if side in e.sides})
+
+    slots = scope.slots
+    walked = {name: f"__walked{i}" for i, (name, e) in enumerate(exprs.items()) if not e.sides}
+    forward = {f"{PREVIOUS}{slots[c]}": scope.find_known(c, PREVIOUS) for c in looked_up(PREVIOUS)}
+    forward |= {new: exprs[name].build(scope) for name, new in walked.items()}
+    result = df.withColumns(forward) if forward else df
+    # A known row is its own previous known row, so asking for that as well changes nothing in the result;
+    # it makes the backward walk depend on the forward one, which keeps the planner from swapping them.
+    backward = {
+        f"{NEXT}{slots[c]}": scope.find_known(c, NEXT, scope.known(c, PREVIOUS) if c in looked_up(PREVIOUS) else None)
+        for c in looked_up(NEXT)
+    }
+    result = result.withColumns(backward) if backward else result
+    final = {n: F.col(walked[n]) if n in walked else e.build(scope) for n, e in exprs.items()}
+    order = [*columns, *[n for n in exprs if n not in columns]]
+    return result.select(*[final[c].alias(c) if c in final else F.col(c) for c in order])
 
 
 def _windows(partition: list[str], order: list[str]) -> tuple[WindowSpec, WindowSpec]:

@@ -119,12 +119,16 @@ def chrono_split(
     return numbered.withColumn("split", F.when(in_train, "train").otherwise("test")).drop("__pos", "__rows")
 
 
-def latest_value(df: DataFrame, key: str, cols: Iterable[str], series: Iterable[str] | None = None, first: bool = False):
-    """The row with the greatest (or least) key per series, as one aggregate."""
+def latest_value(
+    df: DataFrame, key: str, cols: Iterable[str], series: Iterable[str] | None = None, first: bool = False
+) -> DataFrame:
+    """Values of the row with the greatest (or least) key per series.
+
+    One aggregate per column, all led by the same key: unlike a struct of the whole row, numbers can be
+    aggregated in place by hash.
+    """
     pick = F.min_by if first else F.max_by
-    cols = names(cols)
-    row = pick(F.struct(*cols), F.col(key)).alias("__row")
-    return df.groupBy(*names(series)).agg(row).select(*names(series), *[F.col("__row")[c].alias(c) for c in cols])
+    return df.groupBy(*names(series)).agg(*[pick(c, key).alias(c) for c in names(cols)])
 
 
 def make_spine(*dfs: DataFrame, key: str) -> DataFrame:
@@ -160,8 +164,8 @@ def bin_and_fill(
     """Mean per bin, every spine bin present, gaps interpolated, edges filled, nothing past the horizon.
 
     Spine rows join the raw rows before the aggregation as rows without values, which averages ignore;
-    one shuffle does both the mean and the outer join. The bins are written out before the ordered
-    step, so that the raw rows are read once.
+    one shuffle does both the mean and the outer join, and the spine may repeat its bins. The bins are
+    written out before the ordered step, so that the raw rows are read once.
     """
     series, cols = names(series), names(cols)
     clean = missing_to_null(df, cols)

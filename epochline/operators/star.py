@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from epochline.functions.columns import names
 from epochline.operators.stats import latest_by_priority
+from epochline.session import sized
 
 
 def star_split(df: DataFrame, tables: Mapping[str, Sequence[str]]) -> dict[str, DataFrame]:
@@ -16,15 +17,18 @@ def star_split(df: DataFrame, tables: Mapping[str, Sequence[str]]) -> dict[str,
     return {name: df.select(*cols).distinct() for name, cols in tables.items()}
 
 
-def star_join(fact: DataFrame, dims: Mapping[str, DataFrame], key: str, how: str = "left", drop_key: bool = False):
+def star_join(
+    fact: DataFrame, dims: Mapping[str, DataFrame], key: str, how: str = "left", drop_key: bool = False, measure: bool = False
+) -> DataFrame:
     """Join every dimension on the same key.
 
-    Dimensions are not forced into a broadcast: Spark broadcasts those whose measured size allows it and
-    sorts the others; the fact side is partitioned by the key once for all of them.
+    Nothing is forced into a broadcast: Spark broadcasts the dimensions whose known size allows it and
+    sorts the others; the fact side is then partitioned by the key once for all of them. Set `measure`
+    for a large fact with computed dimensions, so that their sizes are known before the fact moves.
     """
     joined = fact
     for dim in dims.values():
-        joined = joined.join(dim, key, how)
+        joined = joined.join(sized(dim) if measure else dim, key, how)
     return joined.drop(key) if drop_key else joined
 
 

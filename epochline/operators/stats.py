@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from epochline.functions.columns import names, numeric_columns
+from epochline.session import sized
 
 
 def mean_all(df: DataFrame, by: Iterable[str], exclude: Iterable[str] = ()) -> DataFrame:
@@ -91,7 +92,7 @@ def minmax_scale(df: DataFrame, cols: Iterable[str], by: Iterable[str] = ()) ->
         row = df.agg(*ends).first()
         bounds = {c: tuple(F.lit(row[f"__{n}{i}"]).cast("double") for n in ("lo", "hi")) for i, c in enumerate(cols)}
         return df.withColumns({c: rescaled(F.col(c), *bounds[c]) for c in cols})
-    stats = df.groupBy(*by).agg(*ends).withColumnsRenamed({c: f"__by_{c}" for c in by})
+    stats = sized(df.groupBy(*by).agg(*ends)).withColumnsRenamed({c: f"__by_{c}" for c in by})
     on = [F.col(c).eqNullSafe(F.col(f"__by_{c}")) for c in by]
     joined = df.join(stats, on, "left")
     scaled = {c: rescaled(F.col(c), F.col(f"__lo{i}"), F.col(f"__hi{i}")) for i, c in enumerate(cols)}

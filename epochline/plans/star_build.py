@@ -14,7 +14,7 @@ from epochline.functions.derive import radiative_forcing, solar_modulation
 from epochline.operators.clean import iqr_filter, sample_rule, split_valid
 from epochline.operators.grid import axis_mean, decimate, year_of_month
 from epochline.operators.lookup import forward_lookup, grid_lookup, rebased, shift_future
-from epochline.operators.series import bin_and_fill, dense_id, make_spine, stride_fill
+from epochline.operators.series import bin_and_fill, dense_id, hash_id, make_spine, stride_fill
 from epochline.operators.star import extend_dimension, merge_sources, star_join, star_split
 from epochline.session import settle
 
@@ -81,16 +81,21 @@ class RawInputs:
     field: DataFrame
 
 
-def prepare_samples(samples: DataFrame, id_cols: Iterable[str] | None = None) -> tuple[DataFrame, DataFrame]:
+def prepare_samples(
+    samples: DataFrame, id_cols: Iterable[str] | None = None, ids: str = "dense"
+) -> tuple[DataFrame, DataFrame]:
     """Usable records with id, month and cell, and the rejected ones.
 
-    Ids follow `id_cols`, or a hash of the record if it has no key of its own.
+    Ids are consecutive in the order of `id_cols`, or of a hash of the record if it has no key of its
+    own. With `ids="hash"` they are that hash, which spares very many records an ordering.
     """
     good, rejected = split_valid(samples, sample_rule())
-    if id_cols is None:
-        good = good.withColumn("__record", F.xxhash64(*good.columns))
-        id_cols = ["__record"]
-    numbered = dense_id(good, list(id_cols), "sample_id").drop("__record")
+    if ids == "hash":
+        numbered = hash_id(good, good.columns if id_cols is None else id_cols, "sample_id")
+    else:
+        if id_cols is None:
+            good, id_cols = hash_id(good, good.columns, "__record"), ["__record"]
+        numbered = dense_id(good, list(id_cols), "sample_id").drop("__record")
     season = F.get(F.col("paleoData_interpretation"), F.lit(0)).getField("seasonality")
     placed = lookup_first(
         numbered, [(season, True), (F.col("paleoData_habitatSeason"), False)], SEASON_MONTHS, "month_idx"

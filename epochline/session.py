@@ -59,3 +59,13 @@ def settle(df: DataFrame, name: str = "settled") -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """Settle a join side that is expected to be small, so that the planner knows its real size.
+
+    An aggregate has no useful size estimate. Joined directly, the large side is shuffled before Spark
+    finds out that the other one would have fitted into a broadcast. Read from a table, a small side is
+    broadcast from the start and a large one is joined by sorting; nothing is forced.
+    """
+    return settle(df, "side")
