@@ -206,6 +206,20 @@ def arx_forecast(spark, sf_dir):
     return rounded(ahead, ["pred"], 5).select("series", F.col("day").cast("bigint").alias("day"), "pred")
 
 
+@query(
+    "forecast_backtest",
+    "M9 A12 W13",
+    f"""WITH RECURSIVE d AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY day) - count(*) OVER (PARTITION BY series) + 3 AS step FROM ({sql_daily()})),
+    l AS (SELECT series, day, v, lag(v) OVER (PARTITION BY series ORDER BY day) AS lv FROM d WHERE step <= 0),
+    c AS (SELECT series, regr_slope(v, lv) AS b, regr_intercept(v, lv) AS a, arg_max(v, day) AS last FROM l GROUP BY 1),
+    f AS (SELECT series, 1 AS step, a + b * last AS pred FROM c
+      UNION ALL SELECT f.series, step + 1, c.a + c.b * f.pred FROM f JOIN c USING (series) WHERE step < 3)
+    SELECT series, {r('avg(pow(v - pred, 2))')} AS mse, 0 AS origin FROM f JOIN d USING (series, step) GROUP BY 1""",
+)
+def forecast_backtest(spark, sf_dir):
+    return rounded(forecast.backtest(daily(spark, sf_dir), ["series"], "day", "v", 3, p_grid=(1,)), ["mse"])
+
+
 @query("ar_orders", "M9")
 def ar_orders(spark, sf_dir):
     """Chosen order and coefficients for every user's daily series."""

@@ -6,7 +6,7 @@ import argparse
 
 from epochline.plans import flow
 from epochline.plans.config import FlowConfig
-from epochline.session import build_session
+from epochline.session import build_session, drop_scratch
 from epochline.sources.inputs import InputPaths, read_inputs
 
 
@@ -32,6 +32,7 @@ def main(arguments: list[str] | None = None) -> None:
         flow.run_models(spark, options.views, options.out, config).show(truncate=False)
     else:
         flow.run_reports(spark, options.views, options.models, options.out, config)
+    drop_scratch(spark)
 
 
 if __name__ == "__main__":

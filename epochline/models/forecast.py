@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 from epochline.functions.columns import names
 from epochline.models.linear import gram, solve, squared_error, unpack
+from epochline.operators.ordered import Position, Size, with_ordered
 from epochline.operators.series import add_lags
+from epochline.operators.stats import mse
 from epochline.session import settle
 
 FIT_TYPE = "struct<p int, intercept double, phi array<double>, beta array<double>, sigma double, aicc double, n bigint>"
@@ -139,3 +141,34 @@ def ar_forecast(
         return out
     known = df.select(*series, F.col(key), F.lit(0).alias("step"), F.col(y).cast("double").alias("pred"))
     return known.unionByName(out, allowMissingColumns=True)
+
+
+def backtest(
+    df: DataFrame,
+    series: Iterable[str],
+    key: str,
+    y: str,
+    horizon: int,
+    p_grid: Sequence[int] = (1, 2, 3),
+    origins: Sequence[int] = (0,),
+    **limits,
+) -> DataFrame:
+    """Error of forecasts from inside the known rows, per series and origin.
+
+    Origin 0 withholds the last `horizon` rows of each series, origin n ends n rows earlier. A forecast
+    that merely echoes the past has no error to speak of; this is the one that can be compared.
+    """
+    series = names(series)
+    rows = df.select(*series, key, F.col(y).cast("double").alias(y)).where(F.col(y).isNotNull())
+    exprs = {"__pos": Position(), "__rows": Size()}
+    placed = settle(with_ordered(settle(rows, "series"), key, exprs, series, **limits), "placed")
+    result = None
+    for origin in origins:
+        step = (F.col("__pos") - (F.col("__rows") - F.lit(horizon + origin))).cast("int")
+        stepped = placed.withColumn("step", step)
+        known = stepped.where(F.col("step") <= 0).drop("__pos", "__rows", "step")
+        ahead = ar_forecast(known, series, key, y, horizon, p_grid, **limits).select(*series, "step", "pred")
+        truth = stepped.where(F.col("step").between(1, horizon)).select(*series, "step", y)
+        scored = mse(truth.join(ahead, [*series, "step"]), y, "pred", series).withColumn("origin", F.lit(origin))
+        result = scored if result is None else result.unionByName(scored)
+    return result

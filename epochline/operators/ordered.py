@@ -7,7 +7,8 @@ by (series, key) into blocks of similar size; windows then run per block, and ea
 small summary of its neighbours what lies before and after it: the row count, the last rows, the first
 rows, the nearest known values. Only series that span blocks need a summary row, and a block can hold
 the start of one such series and the end of one other, so there are at most two rows per block; that
-bound is what makes the broadcast of the summary safe.
+bound is what makes the broadcast of the summary safe (beyond `BROADCAST_ROWS` carried rows it is joined
+by sorting instead).
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from epochline.session import settle
 GROUP_LIMIT = 200_000
 BLOCK_ROWS = 1_000_000
 MAX_BLOCKS = 20_000
+BROADCAST_ROWS = 2_000_000
 
 BLOCK, INDEX, COUNT, BEFORE, TOTAL = "__block", "__index", "__count", "__before", "__total"
 TAIL, HEAD, FIRST_ROW = "__tail", "__head", "__first_row"
@@ -326,7 +328,8 @@ def _blocked(df, key, exprs, series, order, rows) -> DataFrame:
     column_of = {slot: c for c, slot in slots.items()}
 
     # The block number must be the same in both branches below, hence the written table.
-    spread = df.repartitionByRange(block_count(df, rows), *series, *order)
+    blocks_wanted = block_count(df, rows)
+    spread = df.repartitionByRange(blocks_wanted, *series, *order)
     laid = settle(spread.withColumn(BLOCK, F.spark_partition_id()), "blocks")
 
     forward, backward = _windows([*series, BLOCK], order)
@@ -385,10 +388,13 @@ def _blocked(df, key, exprs, series, order, rows) -> DataFrame:
         *[F.col(c).alias(n) for c, n in keys.items()], *[value.alias(n) for n, value in carry.items()]
     )
 
+    # At most two summary rows per block, each with at most back + ahead carried rows.
+    if 2 * blocks_wanted * (1 + back + ahead) <= BROADCAST_ROWS:
+        carried = F.broadcast(carried)
     on = F.col(BLOCK) == F.col(keys[BLOCK])
     for c in series:
         on = on & F.col(c).eqNullSafe(F.col(keys[c]))
-    joined = local.join(F.broadcast(carried), on, "left").withColumns(
+    joined = local.join(carried, on, "left").withColumns(
         {BEFORE: F.coalesce(BEFORE, F.lit(0)), TOTAL: F.coalesce(TOTAL, COUNT)}
     )
     scope = Scope(key, forward, backward, slots, blocked=True)

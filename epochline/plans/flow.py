@@ -28,9 +28,7 @@ def run_views(spark: SparkSession, star_dir: str, out: str, config: FlowConfig =
     """Read the star schema and write the three views. `fill` replaces missing targets in the training view."""
     tables = {name: spark.read.parquet(f"{star_dir}/{name}") for name in STAR_TABLES if name != "dim_location"}
     fact = tables.pop("fact_temperature")
-    # Bin-sized from here on: written once, then read by every view.
-    write_parquet(views.joined_base(fact, tables, config), f"{out}/base")
-    base = spark.read.parquet(f"{out}/base")
+    base = views.joined_base(fact, tables, config)
     write_parquet(views.raw_view(base, config), f"{out}/raw_view")
     resampled = views.resampled_view(base, config)
     write_parquet(views.long_term_view(resampled), f"{out}/long_term_view")

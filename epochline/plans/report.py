@@ -52,6 +52,10 @@ def glaciation_spans(spark) -> DataFrame:
     return spark.createDataFrame(list(GLACIATIONS), "lo bigint, hi bigint, label string")
 
 
+def event_markers(spark) -> DataFrame:
+    return spark.createDataFrame(list(EVENTS), "year bigint, label string")
+
+
 def series_window(view: DataFrame, window: str | tuple, cols: Iterable[str] = (TARGET, "co2_ppm"), key: str = KEY):
     """R1: a series within a named or given year range."""
     low, high = WINDOWS[window] if isinstance(window, str) else window

@@ -21,12 +21,13 @@ KEY, TARGET = "year_bin", "anomaly"
 def joined_base(fact: DataFrame, dims: Mapping[str, DataFrame], config: FlowConfig = FlowConfig()) -> DataFrame:
     """Mean anomaly per time, every time of the time dimension, and all measures of the other dimensions.
 
-    The facts are aggregated before any join, so only this step works at fact size.
+    The facts are aggregated before any join, so only this step works at fact size. The result is as small
+    as the bins and feeds every view, so it is written out once.
     """
     rounded = {name: round_all(df, config.places, exclude=[KEY]) for name, df in dims.items()}
     by_time = fact.groupBy("time_id").agg(F.avg(TARGET).alias(TARGET))
     timed = by_time.join(rounded.pop("dim_time"), "time_id", "right")
-    return star_join(timed, rounded, "time_id", drop_key=True)
+    return settle(star_join(timed, rounded, "time_id", drop_key=True), "base")
 
 
 def raw_view(base: DataFrame, config: FlowConfig = FlowConfig()) -> DataFrame:

@@ -44,9 +44,24 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
+_scratch: dict[str, list[str]] = {}
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing has used before."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _scratch.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Remove the intermediate tables of this application once its results are written.
+
+    Frames that still read from them can no longer be used.
+    """
+    for path in _scratch.pop(spark.sparkContext.applicationId, []):
+        location = spark._jvm.org.apache.hadoop.fs.Path(path)
+        location.getFileSystem(spark._jsc.hadoopConfiguration()).delete(location, True)
 
 
 def settle(df: DataFrame, name: str = "settled") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from epochline.functions.columns import title_label
 from epochline.session import settle
-from epochline.sources.files import path_exists
+from epochline.sources.files import path_exists, read_document
 
 METRIC_SCHEMA = "model string, mse double"
 
@@ -18,6 +18,11 @@ def read_metrics(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(METRIC_SCHEMA).json(path)
 
 
+def metrics_from_document(spark: SparkSession, path: str) -> DataFrame:
+    """A scoreboard kept as one JSON object `{model: metric}`, as rows."""
+    return spark.createDataFrame([(m, float(v)) for m, v in read_document(path).items()], METRIC_SCHEMA)
+
+
 def upsert_metric(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame:
     """Replace the entries of the models in `rows`, keep the others."""
     fresh = rows.select("model", F.col("mse").cast("double").alias("mse"))

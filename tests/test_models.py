@@ -154,6 +154,19 @@ def test_arx_uses_the_future_inputs(spark):
     assert close(got[0].pred, first, 1e-6) and close(got[1].pred, 0.5 * first + 2.0 + 1.0, 1e-6)
 
 
+def test_backtest_by_hand(spark):
+    v = [1.0, 2.0, 1.5, 3.0, 2.0, 2.5, 1.0, 2.2, 1.7, 2.9]
+    df = spark.createDataFrame([("a", i, x) for i, x in enumerate(v)], "s string, t bigint, v double")
+    got = {r.origin: r.mse for r in forecast.backtest(df, ["s"], "t", "v", 2, (1,), origins=(0, 1)).collect()}
+    for origin in (0, 1):
+        known = v[: len(v) - 2 - origin]
+        slope, intercept = np.polyfit(known[:-1], known[1:], 1)
+        one = intercept + slope * known[-1]
+        two = intercept + slope * one
+        truth = v[len(known) : len(known) + 2]
+        assert close(got[origin], ((truth[0] - one) ** 2 + (truth[1] - two) ** 2) / 2)
+
+
 SMALL = search.SearchConfig(population=10, generations=5, k=2, retrain_k=5, seed=9)
 
 

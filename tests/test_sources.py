@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from epochline.session import drop_scratch, settle, shared_dir
 from pyspark.sql import functions as F
 
 from epochline.sources import files, metrics, samples
@@ -54,6 +55,13 @@ def test_metric_upsert(spark, tmp_path):
     assert [(r.model, r["rank"]) for r in board] == [("Tree", 1), ("Linear Model", 2)]
 
 
+def test_metrics_from_a_document(spark, tmp_path):
+    path = tmp_path / "scoreboard.json"
+    path.write_text('{"linear_model": 3.6178, "tree": 2}', encoding="utf-8")
+    got = {r.model: r.mse for r in metrics.metrics_from_document(spark, str(path)).collect()}
+    assert got == {"linear_model": 3.6178, "tree": 2.0}
+
+
 def test_nested_records_with_text_nan(spark, tmp_path):
     record = {"age": ["nan", 10.5, 20], "paleoData_values": [1.0, 2.0, "nan"], "geo_meanLat": 1.4, "paleoData_units": "degC"}
     path = tmp_path / "records.json"
@@ -62,3 +70,12 @@ def test_nested_records_with_text_nan(spark, tmp_path):
     assert row.age == [None, 10.5, 20.0] and row.paleoData_values == [1.0, 2.0, None]
     pairs = samples.explode_pairs(samples.read_samples(spark, str(path)), "age", "paleoData_values", "a", "v")
     assert [(r.pos, r.a, r.v) for r in pairs.collect()] == [(1, 10.5, 2.0)]
+
+
+def test_settled_tables_can_be_dropped(spark):
+    df = settle(spark.range(5))
+    path = df.inputFiles()[0].rsplit("/", 1)[0]
+    assert df.count() == 5 and shared_dir(spark).split(":")[-1] in path
+    assert files.path_exists(spark, path)
+    drop_scratch(spark)
+    assert not files.path_exists(spark, path)
