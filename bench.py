@@ -20,7 +20,7 @@ tiered_bin fixed_bin_mean_all derived_forcing modulation missing_rules season_lo
 chained_left_joins star_join right_join_future_keys anti_split forward_lookup nearest_lookup interval_label_sessions
 priority_merge iqr_filter iqr_bounds_nearest standard_scale minmax_scale trend_by_segment weighted_mean unpivot_long repair_shifted
 lag_features event_gaps rolling_events interpolate_rows stride_fill dense_id rebase_first chrono_split
-bin_and_fill gapfill_by_series multi_source_merge star_split raw_view training_view
+fact_ids price_changes bin_and_fill gapfill_by_series multi_source_merge star_split raw_view training_view
 ols_gram kfold_cv ensemble_predict gbt_kfold ar_forecast arx_forecast candidate_search
 report_glacial_cycles report_predictor_trends
 """.split()

@@ -23,7 +23,7 @@ from catalog.common import (
 from epochline.functions.bins import tiered_bin
 from epochline.operators import lookup, series
 from epochline.operators.clean import quarantine_extreme
-from epochline.operators.ordered import Delta, Lag, Position, Rolling, with_ordered
+from epochline.operators.ordered import Delta, Fill, Lag, Position, Rolling, with_ordered
 
 QUERIES = Registry()
 query = QUERIES.query
@@ -307,3 +307,36 @@ def rolling_events(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
     exprs = {"smooth": Rolling("value", before=6, after=3, min_count=1), "pos": Position()}
     return rounded(with_ordered(events, "event_id", exprs, ["event_type"]), ["smooth"]).select("event_id", "smooth", "pos")
+
+
+LINE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+
+
+@query(
+    "fact_ids",
+    "W8",
+    f"""SELECT row_number() OVER (ORDER BY {', '.join(LINE_ORDER)}) AS temperature_id, {', '.join(LINE_ORDER)} FROM lineitem""",
+)
+def fact_ids(spark, sf_dir):
+    """Consecutive ids over the largest table, which is one single series."""
+    return series.dense_id(table(spark, sf_dir, "lineitem").select(*LINE_ORDER), LINE_ORDER, "temperature_id")
+
+
+@query(
+    "price_changes",
+    "W1 W2 W4 W5",
+    f"""WITH l AS (SELECT *, CASE WHEN l_quantity < 30 THEN l_extendedprice END AS known FROM lineitem),
+    w AS (SELECT *, row_number() OVER (PARTITION BY l_linestatus ORDER BY {', '.join(LINE_ORDER)}, l_quantity) AS rn FROM l),
+    k AS (SELECT *, last_value(known IGNORE NULLS) OVER (PARTITION BY l_linestatus ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS before,
+      first_value(known IGNORE NULLS) OVER (PARTITION BY l_linestatus ORDER BY rn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS after,
+      lag(l_extendedprice, 3) OVER (PARTITION BY l_linestatus ORDER BY rn) AS earlier FROM w)
+    SELECT {', '.join(LINE_ORDER)}, coalesce(after, before) AS filled, earlier FROM k""",
+)
+def price_changes(spark, sf_dir):
+    """Lags and fills over two series that split the largest table between them."""
+    lineitem = table(spark, sf_dir, "lineitem").select(*LINE_ORDER, "l_linestatus", "l_quantity")
+    known = lineitem.withColumn("known", F.when(F.col("l_quantity") < 30, F.col("l_extendedprice")))
+    exprs = {"filled": Fill("known"), "earlier": Lag("l_extendedprice", k=3)}
+    first, *rest = LINE_ORDER
+    found = with_ordered(known, first, exprs, ["l_linestatus"], [*rest, "l_quantity"])
+    return found.select(*LINE_ORDER, "filled", "earlier")

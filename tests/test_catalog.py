@@ -52,3 +52,13 @@ def test_query(spark, con, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+INVENTORY = {"S": 14, "P": 28, "J": 10, "A": 15, "W": 13, "O": 3, "U": 4, "C": 15, "Q": 2, "M": 15, "R": 8}
+
+
+def test_the_inventory_is_covered():
+    from catalog import all_queries
+
+    covered = {item for query in all_queries().values() for item in query.covers.split()}
+    assert {f"{kind}{i}" for kind, n in INVENTORY.items() for i in range(1, n + 1)} <= covered
