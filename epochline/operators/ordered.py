@@ -333,15 +333,13 @@ def _blocked(df, key, exprs, series, order, rows) -> DataFrame:
     laid = settle(spread.withColumn(BLOCK, F.spark_partition_id()), "blocks")
 
     forward, backward = _windows([*series, BLOCK], order)
-    local = laid.withColumns(
-        {
-            INDEX: F.row_number().over(forward),
-            COUNT: F.count(F.lit(1)).over(Window.partitionBy(*series, BLOCK)),
-        }
-    )
+    local = laid.withColumn(INDEX, F.row_number().over(forward))
+    counted = bool(back or ahead) or any(isinstance(e, Size) for e in wanted)
+    if counted:
+        local = local.withColumn(COUNT, F.count(F.lit(1)).over(Window.partitionBy(*series, BLOCK)))
 
     row = F.struct(F.col(INDEX).alias("p"), *[F.col(c).alias(s) for c, s in slots.items()])
-    summaries = [F.max(COUNT).alias(COUNT)]
+    summaries = [F.count(F.lit(1)).alias(COUNT)]
     if back:
         summaries.append(F.sort_array(F.collect_list(F.when(F.col(INDEX) > F.col(COUNT) - back, row))).alias(TAIL))
     if ahead:
@@ -394,8 +392,8 @@ def _blocked(df, key, exprs, series, order, rows) -> DataFrame:
     on = F.col(BLOCK) == F.col(keys[BLOCK])
     for c in series:
         on = on & F.col(c).eqNullSafe(F.col(keys[c]))
-    joined = local.join(carried, on, "left").withColumns(
-        {BEFORE: F.coalesce(BEFORE, F.lit(0)), TOTAL: F.coalesce(TOTAL, COUNT)}
-    )
+    joined = local.join(carried, on, "left").withColumn(BEFORE, F.coalesce(BEFORE, F.lit(0)))
+    if counted:
+        joined = joined.withColumn(TOTAL, F.coalesce(TOTAL, COUNT))
     scope = Scope(key, forward, backward, slots, blocked=True)
     return _finish(joined, df.columns, exprs, scope)

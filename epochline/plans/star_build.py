@@ -133,10 +133,11 @@ EXTREME_ANOMALY = 20
 
 
 def sample_temperatures(placed: DataFrame, grid: DataFrame, climatology: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One row per observation relative to the record's newest one, and the rows of extreme records.
+    """One row per observation relative to the record's newest one, and a side table of doubtful rows.
 
     Everything a record needs from outside is joined to the record before its arrays are unfolded, so
-    the observations themselves are never shuffled. A record is extreme if its last anomaly is.
+    the observations themselves are never shuffled. The side table has the rows of records whose last
+    anomaly is extreme (they are kept in the result too), and of those that have no modern baseline.
     """
     known = F.filter(
         F.arrays_zip("age", "paleoData_values"),
@@ -161,8 +162,7 @@ def sample_temperatures(placed: DataFrame, grid: DataFrame, climatology: DataFra
         F.when(F.col("is_anomaly"), F.lit(0.0)).otherwise(F.col("reference")).alias("reference"),
     )
     last = F.element_at("pairs", -1)["paleoData_values"] - newest["paleoData_values"] + F.col("reference")
-    complete = records.join(based, "sample_id").where(F.col("climate").isNotNull() & F.col("reference").isNotNull())
-    unfolded = complete.select(
+    unfolded = records.join(based, "sample_id").select(
         "sample_id",
         *CELL,
         "climate",
@@ -180,7 +180,9 @@ def sample_temperatures(placed: DataFrame, grid: DataFrame, climatology: DataFra
         F.col("climate"),
     )
     rows = unfolded.withColumns(columns)
-    return rows.select(*TEMPERATURE_COLUMNS), rows.where("is_extreme").select(*TEMPERATURE_COLUMNS)
+    reason = F.when(F.col("degC").isNull(), "no baseline").when(F.col("is_extreme"), "extreme").alias("reason")
+    doubtful = rows.select(*TEMPERATURE_COLUMNS, reason).where(F.col("reason").isNotNull())
+    return rows.where(F.col("degC").isNotNull()).select(*TEMPERATURE_COLUMNS), doubtful
 
 
 def grid_temperatures(grid: DataFrame, climatology: DataFrame, id_offset: int = 0) -> DataFrame:

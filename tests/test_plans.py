@@ -73,7 +73,8 @@ def test_anomaly_records_and_those_without_a_baseline(spark, places):
         ],
     )
     assert [r.anomaly for r in rows] == [0.0, 30.0]
-    assert {r.sample_id for r in extreme} == {rows[0].sample_id} and len(extreme) == 2
+    assert {r.sample_id for r in extreme if r.reason == "extreme"} == {rows[0].sample_id}
+    assert sorted(r.reason for r in extreme) == ["extreme"] * 2 + ["no baseline"] * 3
 
 
 def test_season_falls_back_to_the_habitat(spark, places):
