@@ -17,9 +17,9 @@ VIEW_NAMES = ("raw_view", "long_term_view", "training_view")
 FORECASTERS = ("arima_model", "arimax_model")
 
 
-def run_star(inputs: RawInputs, out: str, id_cols=None, update=None) -> None:
+def run_star(inputs: RawInputs, out: str, id_cols=None, update=None, ids: str = "dense") -> None:
     """Build the star schema and write its tables (or only those in `update`) under `out`."""
-    for name, df in build_star(inputs, id_cols).items():
+    for name, df in build_star(inputs, id_cols, ids).items():
         if update is None or name in update:
             write_parquet(df, f"{out}/{name}")
 

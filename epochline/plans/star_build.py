@@ -87,10 +87,10 @@ def prepare_samples(
     """Usable records with id, month and cell, and the rejected ones.
 
     Ids are consecutive in the order of `id_cols`, or of a hash of the record if it has no key of its
-    own. With `ids="hash"` they are that hash, which spares very many records an ordering.
+    own. With `ids="sparse"` they are that hash, which spares very many records an ordering.
     """
     good, rejected = split_valid(samples, sample_rule())
-    if ids == "hash":
+    if ids == "sparse":
         numbered = hash_id(good, good.columns if id_cols is None else id_cols, "sample_id")
     else:
         if id_cols is None:
@@ -185,14 +185,21 @@ def sample_temperatures(placed: DataFrame, grid: DataFrame, climatology: DataFra
     return rows.where(F.col("degC").isNotNull()).select(*TEMPERATURE_COLUMNS), doubtful
 
 
-def grid_temperatures(grid: DataFrame, climatology: DataFrame, id_offset: int = 0) -> DataFrame:
-    """Yearly means of every second grid cell. Gaps take the value of the same month two years later."""
+def grid_temperatures(grid: DataFrame, climatology: DataFrame, id_offset: int | None = 0) -> DataFrame:
+    """Yearly means of every second grid cell. Gaps take the value of the same month two years later.
+
+    Cells are numbered from `id_offset + 1` on, or get a hash as id if it is None.
+    """
     thinned = decimate(missing_to_null(grid, ["anomaly"]), CELL)
     filled = stride_fill(thinned, "month", "anomaly", 24, CELL)
     yearly = filled.withColumn("year", year_of_month(F.col("month"), FIRST_GRID_YEAR))
     yearly = yearly.groupBy(*CELL, "year").agg(F.avg("anomaly").alias("anomaly"))
     climate = axis_mean(decimate(climatology, CELL), CELL, "climate")
-    located = dense_id(climate.select(*CELL).distinct(), CELL, "sample_id", id_offset)
+    cells = climate.select(*CELL).distinct()
+    if id_offset is None:
+        located = hash_id(cells, CELL, "sample_id")
+    else:
+        located = dense_id(cells, CELL, "sample_id", id_offset)
     placed = climate.join(located, CELL).join(yearly, CELL)
     return placed.withColumn("degC", F.col("climate") + F.col("anomaly")).select(*TEMPERATURE_COLUMNS)
 
@@ -226,17 +233,17 @@ def cosmic_series(sediment: DataFrame, field: DataFrame, spine: DataFrame) -> Da
     return both.withColumn("solar_modulation", solar_modulation(F.col("be_ppm"), F.col("VADM")))
 
 
-def build_star(inputs: RawInputs, id_cols: Iterable[str] | None = None) -> dict[str, DataFrame]:
-    """All six tables.
+def build_star(inputs: RawInputs, id_cols: Iterable[str] | None = None, ids: str = "dense") -> dict[str, DataFrame]:
+    """All six tables. `ids="sparse"` gives unique but not consecutive ids, without ordering any rows.
 
     The temperatures are written out once before they fan out. The dimensions are built from the distinct
     bins, which are few, and never from a wide join with the facts.
     """
-    placed, _ = prepare_samples(inputs.samples, id_cols)
+    placed, _ = prepare_samples(inputs.samples, id_cols, ids)
     proxies, _ = sample_temperatures(placed, inputs.grid, inputs.climatology)
     proxies = settle(proxies, "proxies")
     bounded = iqr_filter(proxies, "degC")
-    offset = proxies.agg(F.max("sample_id").alias("n")).first()["n"] or 0
+    offset = None if ids == "sparse" else proxies.agg(F.max("sample_id").alias("n")).first()["n"] or 0
     cells = grid_temperatures(inputs.grid, inputs.climatology, offset)
     rows = settle(bounded.unionByName(cells), "temperatures")
     rows = rows.withColumn("year_bin", tiered_bin(F.col("year"))).withColumn("time_id", F.col("year_bin"))
@@ -256,7 +263,10 @@ def build_star(inputs: RawInputs, id_cols: Iterable[str] | None = None) -> dict[
     by_time = wide.withColumn("time_id", F.col("year_bin"))
 
     # The facts have a unique id, so they need no de-duplication.
-    numbered = dense_id(rows, ["year", "sample_id", "degC", "anomaly"], "temperature_id")
+    if ids == "sparse":
+        numbered = rows.withColumn("temperature_id", F.monotonically_increasing_id())
+    else:
+        numbered = dense_id(rows, ["year", "sample_id", "degC", "anomaly"], "temperature_id")
     tables = {"fact_temperature": numbered.select(*STAR_TABLES["fact_temperature"])}
     tables.update(star_split(rows, {"dim_location": STAR_TABLES["dim_location"]}))
     tables.update(star_split(by_time, {n: STAR_TABLES[n] for n in ("dim_time", "dim_atmosphere", "dim_cosmic")}))

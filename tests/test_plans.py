@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from epochline.models.search import SearchConfig
+from epochline.operators.clean import duplicate_keys
 from epochline.plans import flow, report, star_build, views
 from epochline.plans.config import FlowConfig
 from epochline.sources.inputs import read_named
@@ -91,6 +92,25 @@ def test_grid_temperatures(spark, places):
     assert close(rows[0].anomaly, first) and close(rows[0].degC, 15.5 + first) and rows[0].year == 1850
 
 
+def test_star_with_either_kind_of_ids(spark):
+    from catalog.stars import raw_inputs
+    from tests.conftest import TESTDATA
+
+    inputs = raw_inputs(spark, TESTDATA)
+    dense = star_build.build_star(inputs, ["vec_id"])
+    sparse = star_build.build_star(inputs, ["vec_id"], ids="sparse")
+    for tables in (dense, sparse):
+        fact, location = tables["fact_temperature"], tables["dim_location"]
+        assert duplicate_keys(fact, ["temperature_id"]).count() == 0
+        assert duplicate_keys(location, ["sample_id"]).count() == 0
+        assert fact.join(location, "sample_id", "left_anti").count() == 0
+        for name in ("dim_time", "dim_atmosphere", "dim_orbital", "dim_cosmic"):
+            assert duplicate_keys(tables[name], ["time_id"]).count() == 0
+    ends = dense["fact_temperature"].agg(F.min("temperature_id"), F.max("temperature_id"), F.count("*")).first()
+    assert ends[0] == 1 and ends[1] == ends[2] == sparse["fact_temperature"].count()
+    assert dense["dim_location"].count() == sparse["dim_location"].count()
+
+
 def test_sediment_sources(spark, tmp_path):
     one = tmp_path / "one.csv"
     one.write_text('Sample_label,depth_m,age_ka-BP,Be_ppm\n"A,1",1,3.55,1.6\n"A,2",2,29.3,999999\n', encoding="utf-8")
