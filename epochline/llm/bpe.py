@@ -13,8 +13,6 @@ import os
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import compress, count
-from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -89,32 +87,14 @@ class Codec:
                 )
             k *= 2
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
+    def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit numbers."""
-        known = self.cache.get
-        for k in range(0, len(texts), 32):
-            split = [parts(text) for text in texts[k : k + 32]]
-            found = [list(map(known, words)) for words in split]
-            new = set()
-            for words, ids in zip(split, found):
-                new.update(compress(words, map(not_, ids)))
-            self.learn(new)
-            for words, ids in zip(split, found):
-                for i in compress(count(), map(not_, ids)):
-                    ids[i] = self.cache[words[i]]
-                yield b"".join(ids)
-
-    def learn(self, words: set[str]) -> None:
-        """Encode new words together, which costs less than one by one."""
-        if len(self.cache) + len(words) > CACHE:
-            self.cache.clear()
-        short = [w for w in words if len(w) <= self.leaf_chars]
-        for word, e in zip(short, self.tokenizer.encode_batch(short, add_special_tokens=False)):
-            self.cache[word] = array("I", e.ids).tobytes()
+        find, join = self.cache.__getitem__, b"".join
+        return [join(map(find, parts(text))) for text in texts]
 
 
 class WordCache(dict):
-    """Ids of words; what it lacks, such as words too long to keep, is encoded when asked for."""
+    """Ids of words, encoded when first asked for."""
 
     def __init__(self, codec: Codec):
         super().__init__()
@@ -123,7 +103,10 @@ class WordCache(dict):
     def __missing__(self, word: str) -> bytes:
         if len(word) > self.codec.leaf_chars:
             return self.codec.unsplit(word).ids.astype("<u4").tobytes()
-        return array("I", self.codec.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        if len(self) >= CACHE:
+            self.clear()
+        ids = self[word] = array("I", self.codec.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        return ids
 
 
 def _agree(side: Encoded, window: Encoded, first: int, shift: int, low: int, high: int) -> tuple[int | None, int | None]:
@@ -168,7 +151,7 @@ def encode_texts(
     def direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, leaf_chars)
         for batch in batches:
-            ids = list(own.encode(batch.column(1).to_pylist()))
+            ids = own.encode(batch.column(1).to_pylist())
             yield pa.record_batch(
                 [batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
                 ["id", "n_tokens", "ids"],
@@ -196,7 +179,7 @@ def _encode_pieces(keyed: DataFrame, path: str, leaf_chars: int, piece: int) ->
             out = []
             for text in batch.column(2).to_pylist():
                 words = parts(text)
-                inner = next(own.encode([" ".join(words[1:-1])])) if len(words) > 2 else b""
+                inner = own.encode([" ".join(words[1:-1])])[0] if len(words) > 2 else b""
                 out.append((words[0], inner, words[-1] if len(words) > 1 else None))
             yield pa.record_batch(
                 [batch.column(0), batch.column(1), *(pa.array(x, t) for x, t in zip(zip(*out), (pa.string(), pa.binary(), pa.string())))],
