@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epochline.llm import bpe
+from epochline.llm import bpe, repeats
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -22,10 +22,16 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
     )
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the 100-byte strings that start earlier."""
+    cut = repeats.remove_repeats(read(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
     return bpe_digests(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op10_bpe,)}
+QUERIES = {f.__name__: f for f in (op9_repeats, op10_bpe)}
 SQL: dict[str, str] = {}
