@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epochline.llm import bpe, repeats
+from epochline.llm import bpe, jaccard, repeats
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -22,6 +22,12 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
     )
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents whose 4-word shingles agree to 85 in 100."""
+    found = jaccard.similar_classes(read(spark, sf_dir, "documents"), k=4, num=85, den=100)
+    return found.select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+
+
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without the 100-byte strings that start earlier."""
     cut = repeats.remove_repeats(read(spark, sf_dir, "documents"))
@@ -33,5 +39,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op9_repeats, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op5_jaccard, op9_repeats, op10_bpe)}
 SQL: dict[str, str] = {}
