@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epochline.llm import bpe, jaccard, repeats
+from epochline.llm import bpe, jaccard, quality, repeats
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -28,6 +28,22 @@ def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", F.col("component").alias("component_id"))
 
 
+def fold(n: int) -> Column:
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n))
+
+
+def quality_scores(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = read(spark, sf_dir, "labels").where(fold(5) != 0)
+    scored = quality.score_quality(docs, quality.fit_quality(docs, labels))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by rules learned from four fifths of the labels."""
+    scored = quality_scores(spark, read(spark, sf_dir, "documents"), sf_dir)
+    return scored.select("doc_id", (fold(5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without the 100-byte strings that start earlier."""
     cut = repeats.remove_repeats(read(spark, sf_dir, "documents"))
@@ -39,5 +55,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_jaccard, op9_repeats, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op5_jaccard, op7_quality, op9_repeats, op10_bpe)}
 SQL: dict[str, str] = {}
