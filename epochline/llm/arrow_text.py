@@ -63,12 +63,20 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
+#: White space and all other ASCII characters that are neither letters nor digits.
+NOT_ALNUM = ~np.array([i >= 128 or chr(i).isalnum() for i in range(256)])
+
+
 class Words:
-    """The words `[^\\x20\\x09-\\x0D]+` of some texts, with A-Z lowered: start, end, 64-bit hash and row of each."""
+    """The words `[^\\x20\\x09-\\x0D]+` of some texts, with A-Z lowered: start, end, 64-bit hash and row of each.
+
+    `space` can name other bytes than those of ASCII white space as what stands between words.
+    """
 
-    def __init__(self, data: np.ndarray, off: np.ndarray):
+    def __init__(self, data: np.ndarray, off: np.ndarray, space: np.ndarray = _SPACE):
         n = len(data)
-        solid = ~_SPACE[data]
+        self.space = space
+        solid = ~space[data]
         first = np.zeros(n + 1, bool)  # a text boundary ends a word as white space does
         first[off[:-1]] = True
         first = first[:n]
@@ -100,7 +108,7 @@ class Words:
             at[self.start[0] :] = np.arange(self.start[0], len(data)) - np.repeat(self.start, np.diff(np.append(self.start, len(data))))
         # bytes of the white space after a word count nothing
         value = FOLDED[data]
-        value[_SPACE[data]] = U64(0)
+        value[self.space[data]] = U64(0)
         value *= powers[np.minimum(at, longest - 1)]
         sums = np.add.reduceat(value, self.start)
         return mix(sums + lengths.astype(np.uint64))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epochline.llm import bpe, jaccard, quality, repeats
+from epochline.llm import bpe, decontaminate, jaccard, quality, repeats
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -22,6 +22,17 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
     )
 
 
+def test_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.question_and_answer(read(spark, sf_dir, "benchmark"))
+
+
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test items that documents hold."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.with_matches(docs, test_items(spark, sf_dir))
+    return found.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.*")
+
+
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents whose 4-word shingles agree to 85 in 100."""
     found = jaccard.similar_classes(read(spark, sf_dir, "documents"), k=4, num=85, den=100)
@@ -55,5 +66,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_jaccard, op7_quality, op9_repeats, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op3_decontaminate, op5_jaccard, op7_quality, op9_repeats, op10_bpe)}
 SQL: dict[str, str] = {}
