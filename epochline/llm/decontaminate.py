@@ -2,10 +2,10 @@
 
 The items are the indexed side and small; the passages are the queries. Weights are divided by what an item
 scores against itself, so one threshold holds for all. The search is block-max WAND for many passages at
-a time: terms whose upper bounds together stay under the threshold can't bring an item in, so only the
-postings of the other terms are opened; a passage and an item that meet there are dropped if the block
-maxima of the remaining terms can't lift them over it; what is left is scored in full, and then verified
-on the word n-grams of question and answer.
+a time: frequent terms that together stay under the threshold in every segment can't bring one in, so only
+the postings of the others are opened; a passage and a segment that meet there are dropped if the block
+maxima of the passage's frequent terms can't lift them over it; what is left is scored in full, and then
+verified on the word n-grams of question and answer.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ PASSAGE, STEP = 96, 32
 SEGMENT = PASSAGE - STEP
 #: Postings that share a block maximum.
 BLOCK = 64
+_MAYBE = 1 << 20
 #: Characters of items in one index. More items make more indexes, each of which all passages search.
 INDEX_CHARS = 20_000_000
 
@@ -53,6 +54,7 @@ class Index:
     segment: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
     bound: np.ndarray = field(default_factory=lambda: np.zeros(0))  # greatest weight of a term
+    maybe: np.ndarray = field(default_factory=lambda: np.zeros(_MAYBE, bool))  # by the low bits of a hash: whether it can be a term
     block: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))  # greatest weight of a term in a block of segments
 
 
@@ -80,6 +82,7 @@ def build_index(items: list[tuple[object, str, str]], n: int, k1: float = 1.2, b
     pair, tf = np.unique(np.rec.fromarrays([np.concatenate(segments), seg], names="t,s"), return_counts=True)
     term, s = pair["t"], pair["s"]
     index.terms, at, df = np.unique(term, return_inverse=True, return_counts=True)
+    index.maybe[index.terms & np.uint64(_MAYBE - 1)] = True
     idf = np.log1p((len(segments) - df + 0.5) / (df + 0.5))[at]
     w = idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths[s] / lengths.mean()))
     w /= np.bincount(s, w)[s]
@@ -91,56 +94,81 @@ def build_index(items: list[tuple[object, str, str]], n: int, k1: float = 1.2, b
     return index
 
 
-def search(index: Index, words: Words, threshold: float) -> Iterator[tuple[int, int, int, int, float]]:
+def essential_terms(index: Index, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which terms can bring an item in, and what each segment gets from the others at most.
+
+    The most frequent terms are set aside as long as no segment gets more than half the threshold from them.
+    """
+    df = np.diff(index.first)
+    of = np.repeat(np.arange(len(df)), df)
+    essential = np.ones(len(df), bool)
+    rest = np.zeros(int(index.segment.max()) + 1 if len(index.segment) else 0)
+    for least in sorted(set(df.tolist()), reverse=True):
+        more = rest + np.bincount(index.segment, np.where(df[of] == least, index.weight, 0.0), minlength=len(rest))
+        if more.max() > threshold / 2:
+            break
+        rest, essential[df == least] = more, False
+    return essential, rest
+
+
+def search(index: Index, words: Words, threshold: float, essential: np.ndarray, rest: np.ndarray) -> Iterator[tuple[int, int, int, int, float]]:
     """(row, first word, end word, segment, score) of every passage and segment that score at least the threshold."""
-    terms = index.terms
+    terms, width = index.terms, PASSAGE // STEP
     if not len(terms) or not len(words.hash):
         return
-    at = np.minimum(np.searchsorted(terms, words.hash), len(terms) - 1)
-    hit = np.flatnonzero(terms[at] == words.hash)
-    counts = np.diff(words.first)
-    stripes = -(-counts // STEP)
+    hit = np.flatnonzero(index.maybe[words.hash & np.uint64(_MAYBE - 1)])
+    at = np.minimum(np.searchsorted(terms, words.hash[hit]), len(terms) - 1)
+    same = terms[at] == words.hash[hit]
+    hit, at = hit[same], at[same]
+    stripes = -(-np.diff(words.first) // STEP)
     base = np.concatenate([[0], np.cumsum(stripes)])
     row = words.row[hit]
-    stripe = base[row] + (hit - words.first[row]) // STEP
-    pair = np.unique(stripe * len(terms) + at[hit])
+    pair = np.unique((base[row] + (hit - words.first[row]) // STEP) * len(terms) + at)
     stripe, term = pair // len(terms), pair % len(terms)
-    sums = np.bincount(stripe, index.bound[term], minlength=base[-1] + PASSAGE // STEP)
-    first_pair = np.searchsorted(stripe, np.arange(base[-1] + PASSAGE // STEP + 1))
-    of = np.repeat(np.arange(len(counts)), stripes)
-    width = PASSAGE // STEP
-    total = sum(np.where(np.append(of, [-1] * width)[k : k + len(of)] == of, sums[k : k + len(of)], 0) for k in range(width))
-    for begin in np.flatnonzero(total >= threshold):
+    of = np.repeat(np.arange(len(stripes)), stripes)
+
+    # What essential terms give a segment in each passage; a term in several stripes of it counts more than once, which only raises the bound.
+    opened = np.flatnonzero(essential[term])
+    df = index.first[term[opened] + 1] - index.first[term[opened]]
+    posting = np.arange(int(df.sum())) - np.repeat(np.cumsum(df) - df, df) + np.repeat(index.first[term[opened]], df)
+    where, segment, weight = np.repeat(stripe[opened], df), index.segment[posting], index.weight[posting]
+    begins = np.concatenate([where - k for k in range(width)])
+    inside = np.concatenate([(where - k >= 0) & (of[np.maximum(where - k, 0)] == of[where]) for k in range(width)])
+    key = (begins * len(rest) + np.tile(segment, width))[inside]
+    key, inverse = np.unique(key, return_inverse=True)
+    score = np.bincount(inverse, np.tile(weight, width)[inside], minlength=len(key))
+    begins, segment = key // len(rest), key % len(rest)
+    keep = score + rest[segment] >= threshold - 1e-9
+    begins, segment, score = begins[keep], segment[keep], score[keep]
+
+    postings = np.repeat(np.arange(len(terms)), np.diff(index.first)) * len(rest) + index.segment
+    first_pair = np.searchsorted(stripe, np.arange(len(of) + 1))
+    for lo, hi in zip(*_groups(begins)):
+        begin, found = int(begins[lo]), segment[lo:hi]
         text = of[begin]
         end = min(begin + width, base[text + 1])
         mine = np.unique(term[first_pair[begin] : first_pair[end]])
-        bounds = index.bound[mine]
-        order = np.argsort(bounds)
-        mine, bounds = mine[order], bounds[order]
-        reach = np.cumsum(bounds)
-        if reach[-1] < threshold:
-            continue
-        pivot = int(np.searchsorted(reach, threshold))  # the terms before can't bring a segment in
-        spans = [slice(index.first[t], index.first[t + 1]) for t in mine[pivot:]]
-        segment = np.concatenate([index.segment[s] for s in spans])
-        found, inverse = np.unique(segment, return_inverse=True)
-        score = np.bincount(inverse, np.concatenate([index.weight[s] for s in spans]))
-        rest = index.block[mine[:pivot]][:, found // BLOCK].sum(axis=0) if pivot else 0.0
-        keep = score + rest >= threshold - 1e-9
-        found, score = found[keep], score[keep]
+        frequent = mine[~essential[mine]]
+        top = index.block[frequent][:, found // BLOCK].sum(axis=0)
+        found = found[score[lo:hi] + top >= threshold - 1e-6]
         if not len(found):
             continue
-        for t in mine[:pivot]:
-            postings = index.segment[index.first[t] : index.first[t + 1]]
-            where = np.minimum(np.searchsorted(postings, found), len(postings) - 1)
-            score = score + np.where(postings[where] == found, index.weight[index.first[t] + where], 0.0)
+        wanted = mine[:, None] * len(rest) + found[None, :]
+        place = np.minimum(np.searchsorted(postings, wanted), len(postings) - 1)
+        exact = np.where(postings[place] == wanted, index.weight[place], 0.0).sum(axis=0)
         a = words.first[text] + (begin - base[text]) * STEP
         z = min(a + PASSAGE, words.first[text + 1])
-        for s, x in zip(found, score):
+        for s, x in zip(found, exact):
             if x >= threshold:
                 yield int(text), int(a), int(z), int(s), float(x)
 
 
+def _groups(sorted_values: np.ndarray) -> tuple[list[int], list[int]]:
+    """Where runs of equal values begin and end."""
+    starts = np.flatnonzero(np.concatenate([[True], sorted_values[1:] != sorted_values[:-1]])) if len(sorted_values) else np.zeros(0, int)
+    return starts.tolist(), [*starts[1:].tolist(), len(sorted_values)] if len(starts) else []
+
+
 MATCH = "array<struct<item_id:{id},score:double,question_overlap:double,answer_overlap:double,start:long,end:long>>"
 
 
@@ -183,13 +211,14 @@ def with_matches(
 def _matcher(shared, n: int, threshold: float, overlap: float):
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
+        essential, rest = essential_terms(index, threshold)
         for batch in batches:
             data, off = utf8(batch.column(1))
             found = batch.column(2).to_pylist()
             for a, b in chunks(off, 1 << 20):
                 words = Words(data[off[a] : off[b]], off[a : b + 1] - off[a], NOT_ALNUM)
                 held: dict[tuple[int, int], list[tuple[int, int, float]]] = {}
-                for text, first, end, segment, score in search(index, words, threshold):
+                for text, first, end, segment, score in search(index, words, threshold, essential, rest):
                     held.setdefault((text, int(index.item[segment])), []).append((first, end, score))
                 for (text, item), spans in held.items():
                     shares = [_share(words.hash, spans, k, grams) for k, grams in index.parts[item]]
