@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epochline.llm import bpe, decontaminate, jaccard, quality, repeats
+from epochline.llm import bpe, decontaminate, jaccard, merkle, quality, repeats
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -55,6 +55,14 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op8_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of a half edited one."""
+    found = merkle.compare_edits(read(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next"
+    )
+
+
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without the 100-byte strings that start earlier."""
     cut = repeats.remove_repeats(read(spark, sf_dir, "documents"))
@@ -66,5 +74,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_decontaminate, op5_jaccard, op7_quality, op9_repeats, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op3_decontaminate, op5_jaccard, op7_quality, op8_merkle, op9_repeats, op10_bpe)}
 SQL: dict[str, str] = {}
