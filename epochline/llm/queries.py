@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epochline.llm import bpe, decontaminate, jaccard, merkle, quality, repeats
+from epochline.llm import bpe, decontaminate, jaccard, langid, merkle, quality, repeats
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -33,6 +33,14 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.*")
 
 
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from two thirds of them."""
+    docs = read(spark, sf_dir, "documents")
+    model = langid.fit_languages(docs.where(fold(3) != 1))
+    found = langid.label_languages(docs, model)
+    return found.select("doc_id", (fold(3) == 1).alias("held_out"), F.col("lang").alias("lang_pred"), "score", F.size("spans").alias("n_spans"))
+
+
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents whose 4-word shingles agree to 85 in 100."""
     found = jaccard.similar_classes(read(spark, sf_dir, "documents"), k=4, num=85, den=100)
@@ -74,5 +82,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_decontaminate, op5_jaccard, op7_quality, op8_merkle, op9_repeats, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op3_decontaminate, op4_langid, op5_jaccard, op7_quality, op8_merkle, op9_repeats, op10_bpe)}
 SQL: dict[str, str] = {}
