@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epochline.llm import bpe, decontaminate, jaccard, langid, merkle, quality, repeats
+from epochline.llm import bpe, decontaminate, jaccard, langid, lm, merkle, quality, repeats
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -15,6 +15,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def fold(n: int) -> Column:
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n))
+
+
 def bpe_digests(docs: DataFrame) -> DataFrame:
     both = bpe.round_trip(docs, public_tokenizers.path(WORD_BPE))
     return both.select(
@@ -22,6 +26,16 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
     )
 
 
+def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model scores of every document, learned from six sevenths of them."""
+    docs = read(spark, sf_dir, "documents")
+    model = lm.fit_model(docs.where(fold(7) != 2))
+    found = lm.score_texts(docs, model)
+    return found.select(
+        "doc_id", (fold(7) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score"
+    )
+
+
 def test_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.question_and_answer(read(spark, sf_dir, "benchmark"))
 
@@ -47,10 +61,6 @@ def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", F.col("component").alias("component_id"))
 
 
-def fold(n: int) -> Column:
-    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n))
-
-
 def quality_scores(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = read(spark, sf_dir, "labels").where(fold(5) != 0)
     scored = quality.score_quality(docs, quality.fit_quality(docs, labels))
@@ -82,5 +92,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_decontaminate, op4_langid, op5_jaccard, op7_quality, op8_merkle, op9_repeats, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op2_lm, op3_decontaminate, op4_langid, op5_jaccard, op7_quality, op8_merkle, op9_repeats, op10_bpe)}
 SQL: dict[str, str] = {}
