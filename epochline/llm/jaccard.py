@@ -6,7 +6,7 @@ same sum over the pages' upper corners. Pairs that survive these bounds are veri
 
 Near copies are the only points that are close in many dimensions, so one tree over all points would have
 to open every page. The texts are therefore dealt to trees by the shingles of their prefix: texts that
-reach the threshold share a shingle among the first few of either, in any fixed order of all shingles. In
+reach the threshold share shingles among the first few of either, in any fixed order of all shingles. In
 that order, shingles that are frequent in a bounded sample come last, which changes cost and no result.
 
 Links are needed for classes, not one by one. A first round tries the members of each tree with its first
@@ -30,7 +30,9 @@ from epochline.session import settle
 #: Texts of the sample that shows frequent shingles, the share that makes one, and how many are kept.
 SAMPLE, FREQUENT, KEPT = 10_000, 0.002, 50_000
 #: Points in a page, and coordinates of its box.
-PAGE, BOX = 128, 8
+PAGE, BOX = 128, 64
+#: Shingles that texts have to share in their prefixes, which are longer by one less.
+SHARED = 2
 _FP = U64(0x9FB21C651E98DF25)
 
 
@@ -54,13 +56,33 @@ def fingerprint(shingle_set: np.ndarray) -> int:
 
 
 def groups(n: int) -> int:
-    """Number of groups for a set of n shingles: about eight to a group, so that unrelated sets of any size stay apart."""
-    return 1 << min(12, max(3, (max(n, 1) // 8).bit_length()))
+    """Number of groups for a set of n shingles: about one to a group, so that only sets that share most of them seem to."""
+    return 1 << min(16, max(3, max(n - 1, 1).bit_length()))
 
 
-def point(shingle_set: np.ndarray) -> np.ndarray:
+def point(shingle_set: np.ndarray) -> bytes:
+    """Group counts, a byte each; four bytes each if one is over 255."""
     g = groups(len(shingle_set))
-    return np.bincount((mix(shingle_set) & U64(g - 1)).astype(np.int64), minlength=g).astype(np.uint32)
+    counts = np.bincount((mix(shingle_set) & U64(g - 1)).astype(np.int64), minlength=g)
+    return counts.astype(np.uint8 if counts.max() < 256 else np.uint32).tobytes()
+
+
+def coordinates(stored: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(stored, np.uint8 if len(stored) == groups(n) else np.uint32).astype(np.uint32)
+
+
+def coarse_point(shingle_set: np.ndarray) -> bytes:
+    """Counts of BOX groups, a byte each. A set too large for a byte gets the greatest value everywhere, which bounds nothing."""
+    counts = np.bincount((mix(shingle_set) & U64(BOX - 1)).astype(np.int64), minlength=BOX)
+    return (counts if counts.max() < 255 else np.full(BOX, 255)).astype(np.uint8).tobytes()
+
+
+def coarse_fits(p: np.ndarray, q: np.ndarray, n: np.ndarray, m: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether coarse points (rows) of sets of n and m allow the overlap."""
+    least = np.minimum(p, q).astype(np.int64).sum(axis=1)
+    least[(p[:, 0] == 255) | (q[:, 0] == 255)] = np.iinfo(np.int32).max
+    least = np.minimum(least, np.minimum(n, m))
+    return den * least >= num * (n + m - least)
 
 
 def fold(p: np.ndarray, g: int) -> np.ndarray:
@@ -81,25 +103,27 @@ def _profile(k: int, num: int, den: int, frequent: np.ndarray):
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = utf8(batch.column(1))
-            n, fp, points, keys, seen = [], [], [], [], set()
+            n, fp, points, coarse, keys, seen = [], [], [], [], [], set()
             for _, s in text_sets(data, off, k):
                 node = (len(s), fingerprint(s))
                 n.append(node[0])
                 fp.append(node[1])
                 if node in seen or not len(s):  # one of equal sets in a batch is enough
                     points.append(None)
+                    coarse.append(None)
                     keys.append(None)
                     continue
                 seen.add(node)
-                points.append(point(s).tobytes())
+                points.append(point(s))
+                coarse.append(coarse_point(s))
                 ordered = mix(s)
                 if len(frequent):
                     hot = np.isin(s, frequent)
                     ordered = ordered >> U64(1) | (hot.astype(np.uint64) << U64(63))
-                keys.append(s[np.argsort(ordered)[: len(s) - -(-num * len(s) // den) + 1]].view(np.int64))
+                keys.append(s[np.argsort(ordered)[: len(s) - -(-num * len(s) // den) + SHARED]].view(np.int64))
             yield pa.record_batch(
-                [batch.column(0), pa.array(n, pa.int32()), pa.array(fp, pa.int64()), pa.array(points, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                ["id", "n", "fp", "point", "keys"],
+                [batch.column(0), pa.array(n, pa.int32()), pa.array(fp, pa.int64()), pa.array(points, pa.binary()), pa.array(coarse, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                ["id", "n", "fp", "point", "coarse", "keys"],
             )
 
     return build
@@ -159,7 +183,7 @@ def _bounded(pairs: DataFrame, points: DataFrame, num: int, den: int) -> DataFra
             n, m = (np.asarray(batch.column(x).field("n")) for x in (0, 1))
             p, q = (batch.column(x).to_pylist() for x in (2, 3))
             ok = [
-                enough(min(overlap_bound(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)), int(i), int(j)), int(i), int(j), num, den)
+                enough(min(overlap_bound(coordinates(x, int(i)), coordinates(y, int(j))), int(i), int(j)), int(i), int(j), num, den)
                 for x, y, i, j in zip(p, q, n, m)
             ]
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
@@ -200,48 +224,109 @@ def _verified(pairs: DataFrame, docs: DataFrame, profile: DataFrame, k: int, num
     return rows.mapInArrow(judge, pairs.select("a", "b").schema)
 
 
-def _pages(members: DataFrame) -> DataFrame:
-    """Leaves of the trees: the points of a key by size and coordinates, PAGE to a leaf, with the upper corner of its box."""
-    ordered = members.repartition("key").sortWithinPartitions("key", "n", "point", "fp")
+_PAIR = "a struct<n:int,fp:long>, b struct<n:int,fp:long>"
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, number, held = None, 0, []
 
-        def leaf() -> pa.RecordBatch:
-            corner = np.max([fold(np.frombuffer(r["point"], np.uint32), BOX) for r in held], axis=0)
-            row = {"key": key, "page": number, "low": held[0]["n"], "high": held[-1]["n"], "corner": corner.tolist(), "members": [{c: r[c] for c in ("n", "fp", "class", "point")} for r in held]}
-            return pa.RecordBatch.from_pylist([row], schema=_LEAF)
+def _pair_batch(n: np.ndarray, fp: np.ndarray, m: np.ndarray, fq: np.ndarray) -> pa.RecordBatch:
+    """Pairs with the lesser (n, fp) first."""
+    swap = (n > m) | ((n == m) & (fp > fq))
+    n, fp, m, fq = np.where(swap, m, n), np.where(swap, fq, fp), np.where(swap, n, m), np.where(swap, fp, fq)
+    node = lambda x, y: pa.StructArray.from_arrays([pa.array(x.astype(np.int32)), pa.array(y)], ["n", "fp"])
+    return pa.record_batch([node(n, fp), node(m, fq)], ["a", "b"])
+
 
+def _points(batch: pa.RecordBatch, at: int) -> tuple[np.ndarray, ...]:
+    """n, fp, class (two columns) and coarse point of members; at: the first of these columns."""
+    n, fp = (np.asarray(batch.column(at + k)) for k in (0, 1))
+    kind = batch.column(at + 2)
+    coarse = np.frombuffer(b"".join(batch.column(at + 3).to_pylist()), np.uint8).reshape(-1, BOX)
+    return n.astype(np.int64), fp, np.asarray(kind.field("n")), np.asarray(kind.field("fp")), coarse
+
+
+def _small_trees(num: int, den: int):
+    """Trees of one page, sorted by key: every member against those behind it."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
         for batch in batches:
-            for r in batch.to_pylist():
-                if held and (r["key"] != key or len(held) == PAGE):
-                    yield leaf()
-                    number, held = (number + 1 if r["key"] == key else 0), []
-                key = r["key"]
-                held.append(r)
-        if held:
-            yield leaf()
-
-    schema = "key long, page int, low int, high int, corner array<long>, members array<struct<n:int,fp:long,class:struct<n:int,fp:long>,point:binary>>"
-    return ordered.select("key", "n", "fp", "class", "point").mapInArrow(build, schema)
-
-
-_CLASS = pa.struct([("n", pa.int32()), ("fp", pa.int64())])
-_LEAF = pa.schema(
-    [
-        ("key", pa.int64()),
-        ("page", pa.int32()),
-        ("low", pa.int32()),
-        ("high", pa.int32()),
-        ("corner", pa.list_(pa.int64())),
-        ("members", pa.list_(pa.struct([("n", pa.int32()), ("fp", pa.int64()), ("class", _CLASS), ("point", pa.binary())]))),
-    ]
-)
+            batch = batch if rest is None else pa.concat_batches([rest, batch])
+            key = np.asarray(batch.column(0))
+            if not len(key):
+                continue
+            cut = int(np.searchsorted(key, key[-1])) if len(key) else 0  # the last key may go on; it has PAGE members at most
+            rest = batch.slice(cut)
+            yield from pairs(batch.slice(0, cut))
+        if rest is not None:
+            yield from pairs(rest)
+
+    def pairs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        key = np.asarray(batch.column(0))
+        if len(key) < 2:
+            return
+        n, fp, cn, cf, coarse = _points(batch, 1)
+        for d in range(1, len(key)):
+            i = np.flatnonzero(key[d:] == key[:-d])
+            if not len(i):
+                return
+            j = i + d
+            ok = ((cn[i] != cn[j]) | (cf[i] != cf[j])) & (den * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j]))
+            i, j = i[ok], j[ok]
+            ok = coarse_fits(coarse[i], coarse[j], n[i], n[j], num, den)
+            if ok.any():
+                yield _pair_batch(n[i[ok]], fp[i[ok]], n[j[ok]], fp[j[ok]])
+
+    return search
+
+
+def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages of PAGE members of a key, which come sorted by size and coordinates, with the upper corner of each."""
+    key, number, held = None, 0, None
+
+    def leaf(rows: pa.RecordBatch) -> pa.RecordBatch:
+        n, _, _, _, coarse = _points(rows, 1)
+        members = pa.StructArray.from_arrays([rows.column(c) for c in range(1, 5)], ["n", "fp", "class", "coarse"])
+        corner = coarse.max(axis=0) if coarse[:, 0].max() < 255 else np.full(BOX, 2**24)
+        return pa.record_batch(
+            [
+                pa.array([key], pa.int64()),
+                pa.array([number], pa.int32()),
+                pa.array([n.min()], pa.int32()),
+                pa.array([n.max()], pa.int32()),
+                pa.array([corner.tolist()], pa.list_(pa.int64())),
+                pa.ListArray.from_arrays(pa.array([0, rows.num_rows], pa.int32()), members),
+            ],
+            ["key", "page", "low", "high", "corner", "members"],
+        )
+
+    for batch in batches:
+        at = np.asarray(batch.column(0))
+        cuts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else []
+        for a, b in zip(cuts, [*cuts[1:], len(at)]):
+            if at[a] != key:
+                if held is not None and held.num_rows:
+                    yield leaf(held)
+                key, number, held = int(at[a]), 0, None
+            part = batch.slice(a, b - a)
+            held = part if held is None else pa.concat_batches([held, part])
+            while held.num_rows >= PAGE:
+                yield leaf(held.slice(0, PAGE))
+                number, held = number + 1, held.slice(PAGE)
+    if held is not None and held.num_rows:
+        yield leaf(held)
 
 
 def _tree_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of different classes in a tree that no bound excludes: first pages against pages, then points against points."""
-    leaves = settle(_pages(members), "leaves")
+    """Pairs of different classes that share enough keys and that no coarse bound excludes.
+
+    `members` has key, size (members of the key), n, fp, class and coarse. In a tree of several pages, first
+    pages are held against pages by the sum of the lesser coordinates of their corners.
+    """
+    columns = ["key", "n", "fp", "class", "coarse"]
+    small = members.where(F.col("size") <= PAGE).select(*columns).repartition("key").sortWithinPartitions("key")
+    found = small.mapInArrow(_small_trees(num, den), _PAIR)
+    schema = "key long, page int, low int, high int, corner array<long>, members array<struct<n:int,fp:long,class:struct<n:int,fp:long>,coarse:binary>>"
+    large = members.where(F.col("size") > PAGE).select(*columns).repartition("key").sortWithinPartitions("key", "n", "coarse")
+    leaves = settle(large.mapInArrow(_leaves, schema), "leaves")
     x, y = leaves.alias("x"), leaves.alias("y")
     corner = F.aggregate(F.zip_with("x.corner", "y.corner", lambda a, b: F.least(a, b)), F.lit(0).cast("long"), lambda s, v: s + v)
     close = (
@@ -250,29 +335,24 @@ def _tree_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
         & (den * F.col("x.high") >= num * F.col("y.low"))
         & ((den + num) * corner >= num * (F.col("x.low") + F.col("y.low")))
     )
-    rows = x.join(y, close).select(F.col("x.page").alias("p"), F.col("y.page").alias("q"), F.col("x.members").alias("xs"), F.col("y.members").alias("ys"))
+    rows = x.join(y, close).select((F.col("x.page") == F.col("y.page")).alias("own"), F.col("x.members").alias("xs"), F.col("y.members").alias("ys"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for r in batch.to_pylist():
-                ys = [(m["n"], m["fp"], (m["class"]["n"], m["class"]["fp"]), np.frombuffer(m["point"], np.uint32)) for m in r["ys"]]
-                coarse = np.array([fold(m[3], BOX) for m in ys])
-                sizes = np.array([m[0] for m in ys], np.int64)
-                for i, m in enumerate(r["xs"]):
-                    p, mine = np.frombuffer(m["point"], np.uint32), (m["class"]["n"], m["class"]["fp"])
-                    least = np.minimum(coarse, fold(p, BOX)).sum(axis=1)
-                    ok = enough(np.minimum(least, np.minimum(sizes, m["n"])), sizes, m["n"], num, den)
-                    if r["p"] == r["q"]:
-                        ok[: i + 1] = False
-                    for j in np.flatnonzero(ok):
-                        n, fp, other, q = ys[j]
-                        if other != mine and enough(overlap_bound(p, q), n, m["n"], num, den):
-                            one, two = sorted(((m["n"], m["fp"]), (n, fp)))
-                            found.append({"a": {"n": one[0], "fp": one[1]}, "b": {"n": two[0], "fp": two[1]}})
-            yield pa.RecordBatch.from_pylist(found, schema=pa.schema([("a", _CLASS), ("b", _CLASS)]))
-
-    return rows.mapInArrow(search, "a struct<n:int,fp:long>, b struct<n:int,fp:long>").distinct()
+            for own, xs, ys in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                n, fp, cn, cf, p = _points(pa.RecordBatch.from_struct_array(xs.values), 0)
+                m, fq, dn, df, q = _points(pa.RecordBatch.from_struct_array(ys.values), 0)
+                fits = ((cn[:, None] != dn) | (cf[:, None] != df)) & (den * np.minimum(n[:, None], m) >= num * np.maximum(n[:, None], m))
+                i, j = np.nonzero(np.triu(fits, 1) if own else fits)
+                ok = coarse_fits(p[i], q[j], n[i], m[j], num, den)
+                if ok.any():
+                    yield _pair_batch(n[i[ok]], fp[i[ok]], m[j[ok]], fq[j[ok]])
+
+    found = found.unionByName(rows.mapInArrow(search, _PAIR))
+    # a pair of sets that reach the threshold has this overlap, and so shares SHARED keys or as many as it has in common
+    overlap = F.ceil(F.lit(num) * (F.col("a.n") + F.col("b.n")) / F.lit(num + den))
+    shared = found.groupBy("a", "b").agg(F.count(F.lit(1)).alias("keys"))
+    return shared.where(F.col("keys") >= F.least(F.lit(SHARED), overlap)).select("a", "b")
 
 
 def frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
@@ -306,7 +386,7 @@ def similar_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
     frequent = frequent_shingles(docs, k)
-    schema = f"id {kind}, n int, fp long, point binary, keys array<long>"
+    schema = f"id {kind}, n int, fp long, point binary, coarse binary, keys array<long>"
     profile = settle(docs.mapInArrow(_profile(k, num, den, frequent), schema), "profile")
 
     keyed = profile.where(F.col("keys").isNotNull()).select(F.explode("keys").alias("key"), "n", "fp")
@@ -323,9 +403,11 @@ def similar_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = labels.select("node", "label")
     marked = members.select("key", "n", "fp", _node("n", "fp").alias("node")).join(classes, "node", "left")
     marked = settle(marked.select("key", "n", "fp", F.coalesce("label", "node").alias("class")), "marked")
-    open_keys = marked.groupBy("key").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x != y").select("key")
-    rest = marked.join(open_keys, "key").withColumn("node", _node("n", "fp")).join(points, "node").select("key", "n", "fp", "class", "point")
-    more = settle(_tree_pairs(rest, num, den), "pairs")
+    open_keys = marked.groupBy("key").agg(F.min("class").alias("x"), F.max("class").alias("y"), F.count(F.lit(1)).alias("size"))
+    coarse = profile.where(F.col("coarse").isNotNull()).select(_node("n", "fp").alias("node"), "coarse").dropDuplicates(["node"])
+    rest = marked.join(open_keys.where("x != y").select("key", "size"), "key").withColumn("node", _node("n", "fp")).join(coarse, "node")
+    tried = _tree_pairs(rest.select("key", "size", "n", "fp", "class", "coarse"), num, den)
+    more = settle(_bounded(tried, points, num, den), "pairs")
     links = links.unionByName(_verified(more, docs, profile, k, num, den))
     labels = connected_components(links)
 
