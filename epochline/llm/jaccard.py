@@ -122,8 +122,8 @@ def _profile(k: int, num: int, den: int, frequent: np.ndarray):
                     ordered = ordered >> U64(1) | (hot.astype(np.uint64) << U64(63))
                 keys.append(s[np.argsort(ordered)[: len(s) - -(-num * len(s) // den) + SHARED]].view(np.int64))
             yield pa.record_batch(
-                [batch.column(0), pa.array(n, pa.int32()), pa.array(fp, pa.int64()), pa.array(points, pa.binary()), pa.array(coarse, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                ["id", "n", "fp", "point", "coarse", "keys"],
+                [batch.column(0), batch.column(2), pa.array(n, pa.int32()), pa.array(fp, pa.int64()), pa.array(points, pa.binary()), pa.array(coarse, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                ["id", "tie", "n", "fp", "point", "coarse", "keys"],
             )
 
     return build
@@ -375,7 +375,8 @@ def frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def similar_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """(id, n_shingles, component) per row: size of its shingle set, and the least id that links of similarity num / den lead to.
+    """(id, n_shingles, component, tie) per row: size of its shingle set, the least id that links of similarity num / den lead to,
+    and a hash of the text, which tells rows of one id apart.
 
     Null and empty texts, and texts without a word, have no shingles and are linked with nothing: their
     component is their own id. A text of fewer than k words has its whole sequence as its only shingle.
@@ -383,10 +384,10 @@ def similar_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     least id, which is null only where all ids of a class are. Other columns are not looked at.
     """
     small_batches(df.sparkSession)
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tie"))
     kind = docs.schema["id"].dataType.simpleString()
     frequent = frequent_shingles(docs, k)
-    schema = f"id {kind}, n int, fp long, point binary, coarse binary, keys array<long>"
+    schema = f"id {kind}, tie long, n int, fp long, point binary, coarse binary, keys array<long>"
     profile = settle(docs.mapInArrow(_profile(k, num, den, frequent), schema), "profile")
 
     keyed = profile.where(F.col("keys").isNotNull()).select(F.explode("keys").alias("key"), "n", "fp")
@@ -411,9 +412,9 @@ def similar_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     links = links.unionByName(_verified(more, docs, profile, k, num, den))
     labels = connected_components(links)
 
-    own = profile.select("id", "n", _node("n", "fp").alias("node"))
-    classed = settle(own.join(labels, "node", "left").select("id", "n", F.coalesce("label", "node").alias("class")), "classed")
+    own = profile.select("id", "tie", "n", _node("n", "fp").alias("node"))
+    classed = settle(own.join(labels, "node", "left").select("id", "tie", "n", F.coalesce("label", "node").alias("class")), "classed")
     least = classed.where("n > 0").groupBy("class").agg(F.min("id").alias("component"))
     out = classed.join(least, "class", "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), component.alias("component"))
+    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), component.alias("component"), "tie")

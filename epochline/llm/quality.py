@@ -98,22 +98,22 @@ def statistics(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def with_statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, *keep, *STATISTICS) per row; null texts count as empty ones."""
+    """(id, *STATISTICS) per row, and a struct `kept` of the columns to keep; null texts count as empty ones."""
     small_batches(df.sparkSession)
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"keep_{c}") for c in keep))
+    kept = [F.struct(*keep).alias("kept")] if keep else []
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *kept)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = utf8(batch.column(1))
             parts = [statistics(data[off[a] : off[b]], off[a : b + 1] - off[a]) for a, b in chunks(off, 1 << 20)]
             values = np.concatenate(parts) if parts else np.zeros((0, len(STATISTICS)))
-            kept = [batch.column(2 + i) for i in range(len(keep))]
             columns = [pa.array(np.ascontiguousarray(values[:, i])) for i in range(len(STATISTICS))]
-            yield pa.record_batch([batch.column(0), *kept, *columns], ["id", *(f"keep_{c}" for c in keep), *STATISTICS])
+            yield pa.record_batch([batch.column(0), *columns, *batch.columns[2:]], ["id", *STATISTICS, *batch.schema.names[2:]])
 
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text"]
-    out = rows.mapInArrow(build, ", ".join([*kinds, *(f"{s} double" for s in STATISTICS)]))
-    return out.withColumnsRenamed({"id": id_col, **{f"keep_{c}": c for c in keep}})
+    kinds = [f"id {rows.schema['id'].dataType.simpleString()}", *(f"{s} double" for s in STATISTICS)]
+    kinds += [f"kept {rows.schema['kept'].dataType.simpleString()}"] if keep else []
+    return rows.mapInArrow(build, ", ".join(kinds)).withColumnRenamed("id", id_col)
 
 
 @dataclass(frozen=True)
@@ -197,9 +197,15 @@ def fit_quality(
     bucket = F.pmod(F.xxhash64("id"), F.lit(1_000_000))
     chosen = known.where(bucket < math.ceil(share * 1_000_000)).limit(2 * sample)  # the limit only proves the size
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
-    return fit_rules(settle(with_statistics(texts, "id", "text", ("label",)), "labelled").coalesce(8))
+    return fit_rules(settle(with_statistics(texts, "id", "text", ("label",)).select("*", "kept.label").drop("kept"), "labelled").coalesce(8))
 
 
-def score_quality(df: DataFrame, model: RuleModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score, *STATISTICS) per row. Null and empty texts are scored by the rules that no statistic contradicts; repeated rows stay."""
-    return with_statistics(df, id_col, text_col).select(id_col, model.score().alias("score"), *STATISTICS)
+def score_quality(
+    df: DataFrame, model: RuleModel, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """(id, score, *STATISTICS) per row, and a struct `kept` of the columns to keep.
+
+    Null and empty texts are scored by the rules that no statistic contradicts; repeated rows stay.
+    """
+    kept = ["kept"] if keep else []
+    return with_statistics(df, id_col, text_col, keep).select(id_col, model.score().alias("score"), *STATISTICS, *kept)

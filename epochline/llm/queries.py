@@ -61,16 +61,18 @@ def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", F.col("component").alias("component_id"))
 
 
-def quality_scores(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def quality_rows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with all their columns, and `predicted`."""
     labels = read(spark, sf_dir, "labels").where(fold(5) != 0)
-    scored = quality.score_quality(docs, quality.fit_quality(docs, labels))
-    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+    scored = quality.score_quality(docs, quality.fit_quality(docs, labels), keep=tuple(docs.columns))
+    return scored.select("kept.*", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document by rules learned from four fifths of the labels."""
-    scored = quality_scores(spark, read(spark, sf_dir, "documents"), sf_dir)
-    return scored.select("doc_id", (fold(5) == 0).alias("held_out"), "score", "predicted")
+    docs = read(spark, sf_dir, "documents")
+    scored = quality.score_quality(docs, quality.fit_quality(docs, read(spark, sf_dir, "labels").where(fold(5) != 0)))
+    return scored.select("doc_id", (fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op8_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -294,9 +294,10 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return _gather(_settled(texts, kind, length), settled=True)
 
 
-def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _keyed(df: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return df.select(F.col(id_col).alias("id"), F.shiftright(F.crc32(text), 1).alias("tie"), text.alias("text"))
+    carried = [F.struct(*carry).alias("carried")] if carry else []
+    return df.select(F.col(id_col).alias("id"), F.shiftright(F.crc32(text), 1).alias("tie"), text.alias("text"), *carried)
 
 
 def _gather(found: DataFrame, settled: bool) -> DataFrame:
@@ -330,20 +331,22 @@ def _same_text():
     return F.col("t.id").eqNullSafe(F.col("o.id")) & (F.col("t.tie") == F.col("o.tie"))
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, removed, kept) per row.
+def remove_repeats(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, carry: tuple[str, ...] = (), as_text: bool = False
+) -> DataFrame:
+    """(id, n_bytes, n_removed, n_spans, removed, kept) per row; with `carry` also a struct `carried` of these columns.
 
     Removes each byte that a string of `length` bytes covers which also starts earlier: in a text of smaller
     id, or in the same text further left. `removed` lists the removed spans as (start, end) in bytes, `kept`
-    the bytes that remain. Null and empty texts have 0 bytes. A null id comes before all others. Rows that
+    the bytes that remain; `as_text` makes them a string without the characters that a cut has split. Null and empty texts have 0 bytes. A null id comes before all others. Rows that
     repeat an id and its text count as one document and get the same result; different texts of one id are
     ordered by their CRC. Other columns are not looked at.
     """
     small_batches(df.sparkSession)
-    texts = _keyed(df, id_col, text_col)
+    texts = _keyed(df, id_col, text_col, carry)
     kind = texts.schema["id"].dataType.simpleString()
-    spans = _gather(_settled(texts, kind, length), settled=True)
-    joined = texts.alias("t").join(spans.alias("o"), _same_text(), "left").select("t.id", "t.text", "o.spans")
+    spans = _gather(_settled(texts.drop("carried"), kind, length), settled=True)
+    joined = texts.alias("t").join(spans.alias("o"), _same_text(), "left").select("t.id", "t.text", "o.spans", *(["t.carried"] if carry else []))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -373,12 +376,15 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     pa.array([sum(s["end"] - s["start"] for s in r) for r in removed], pa.int64()),
                     pa.array([len(r) for r in removed], pa.int64()),
                     pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                    pa.array(kept, pa.binary()),
+                    pa.array([x.decode(errors="ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary()),
+                    *batch.columns[3:],
                 ],
-                ["id", "n_bytes", "n_removed", "n_spans", "removed", "kept"],
+                ["id", "n_bytes", "n_removed", "n_spans", "removed", "kept", *batch.schema.names[3:]],
             )
 
-    out = f"id {kind}, n_bytes long, n_removed long, n_spans long, removed array<struct<start:long,end:long>>, kept binary"
+    out = f"id {kind}, n_bytes long, n_removed long, n_spans long, removed array<struct<start:long,end:long>>, kept {'string' if as_text else 'binary'}"
+    if carry:
+        out += f", carried {texts.schema['carried'].dataType.simpleString()}"
     return joined.mapInArrow(cut, out).withColumnRenamed("id", id_col)
 
 
