@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epochline.llm import bpe, decontaminate, jaccard, langid, lm, merkle, quality, repeats
+from epochline.llm import bpe, chains, decontaminate, jaccard, langid, lm, merkle, quality, repeats
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -26,6 +26,11 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
     )
 
 
+def op1_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of documents that earlier documents have too, exactly or nearly."""
+    return chains.repeated_passages(read(spark, sf_dir, "documents"))
+
+
 def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base and model scores of every document, learned from six sevenths of them."""
     docs = read(spark, sf_dir, "documents")
@@ -94,5 +99,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_lm, op3_decontaminate, op4_langid, op5_jaccard, op7_quality, op8_merkle, op9_repeats, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_chains, op2_lm, op3_decontaminate, op4_langid, op5_jaccard, op7_quality, op8_merkle, op9_repeats, op10_bpe)}
 SQL: dict[str, str] = {}
