@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from epochline.llm import bpe, chains, decontaminate, jaccard, langid, lm, merkle, quality, repeats
+from epochline.llm import bpe, chains, decontaminate, jaccard, langid, lm, merkle, quality, repeats, toolcalls
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -66,6 +66,37 @@ def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", F.col("component").alias("component_id"))
 
 
+#: What a call made of a user's turn has to look like.
+REPLY_SCHEMA = {
+    "reply": {
+        "type": "object",
+        "required": ["conversation", "turn", "prompt"],
+        "additionalProperties": False,
+        "properties": {
+            "conversation": {"type": "integer", "minimum": 0},
+            "turn": {"type": "integer", "minimum": 0},
+            "prompt": {"type": "string", "minLength": 1, "maxLength": 100_000},
+            "after": {"type": "string"},
+        },
+    }
+}
+
+
+def op6_toolcalls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as tool calls: a user's turn calls for a reply and refers to the one before; an assistant's turn is the result."""
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    asked = F.max(F.when(F.col("role") == "user", F.col("turn"))).over(before)
+    turns = turns.withColumn("asked", asked).withColumn("name", F.concat(F.lit("turn-"), F.col("turn").cast("string")))
+    earlier = F.when(F.col("asked").isNotNull(), F.create_map(F.lit("$result"), F.concat(F.lit("turn-"), F.col("asked").cast("string"))))
+    arguments = F.to_json(F.struct(F.col("conv_id").alias("conversation"), "turn", F.col("text").alias("prompt"), earlier.alias("after")))
+    calls = turns.where("role = 'user'").select("conv_id", F.col("name").alias("call_id"), F.col("turn").alias("seq"), F.lit("reply").alias("name"), arguments.alias("arguments"))
+    results = turns.where("role = 'assistant'").select(
+        "conv_id", F.concat(F.lit("turn-"), F.col("asked").cast("string")).alias("call_id"), F.col("turn").alias("seq"), F.col("text").alias("content")
+    )
+    return toolcalls.link_calls(calls, results, REPLY_SCHEMA)
+
+
 def quality_rows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with all their columns, and `predicted`."""
     labels = read(spark, sf_dir, "labels").where(fold(5) != 0)
@@ -99,5 +130,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chains, op2_lm, op3_decontaminate, op4_langid, op5_jaccard, op7_quality, op8_merkle, op9_repeats, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_chains, op2_lm, op3_decontaminate, op4_langid, op5_jaccard, op6_toolcalls, op7_quality, op8_merkle, op9_repeats, op10_bpe)}
 SQL: dict[str, str] = {}
