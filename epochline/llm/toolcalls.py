@@ -108,7 +108,7 @@ def _positions(calls: DataFrame) -> DataFrame:
     that refer to a later one move, in as many rounds as such references follow one another.
     """
     edges = settle(calls.select("conv", F.col("id").alias("of"), F.explode("refs").alias("to")).distinct(), "references")
-    here = calls.select("conv", "id", "seq", F.col("seq").alias("pos"), F.lit(0).cast("long").alias("level"))
+    here = calls.select("conv", "id", "seq", F.col("seq").alias("pos"), F.lit(0).cast("long").alias("level"), F.lit(0).alias("last"))
     here, rounds = settle(here, "positions"), 0
     while True:
         below = edges.alias("e").join(here.alias("p"), F.col("e.conv").eqNullSafe(F.col("p.conv")) & (F.col("e.to") == F.col("p.id")))
@@ -118,14 +118,15 @@ def _positions(calls: DataFrame) -> DataFrame:
         pos = F.when(behind, F.col("best.pos")).otherwise(F.col("pos"))
         level = F.when(behind, F.greatest(F.when(F.col("best.pos") == F.col("pos"), F.col("level")).otherwise(F.lit(0)), F.col("best.level") + 1)).otherwise(F.col("level"))
         moved = (F.coalesce(pos, F.lit(-1)) != F.coalesce("pos", F.lit(-1))) | (level != F.col("level"))
-        there = settle(joined.select("conv", "id", "seq", pos.alias("pos"), level.alias("level"), moved.alias("moved")), "positions")
-        size = there.where("moved").agg(F.count(F.lit(1)), F.max("level")).first()
-        here, rounds = there.drop("moved"), rounds + 1
-        if not size[0]:
-            return there.select("conv", "id", "seq", "pos", "level", F.lit(False).alias("cyclic"))
-        # as many calls still move in round n as stand in cycles, or on paths of n calls
-        if rounds > size[0] + 1:
-            return there.select("conv", "id", "seq", "pos", "level", F.col("moved").alias("cyclic"))
+        rounds += 1
+        last = F.when(moved, F.lit(rounds)).otherwise(F.col("last")).alias("last")
+        here = settle(joined.select("conv", "id", "seq", pos.alias("pos"), level.alias("level"), last), "positions")
+        active = here.where("last > 0").groupBy("conv").agg(F.count(F.lit(1)).alias("n"), F.max("last").alias("last")).where(F.col("last") == rounds)
+        most = active.agg(F.max("n")).first()[0]
+        # Without a cycle, a call that moves in round n ends a path of n calls of its conversation that have all
+        # moved, so none does after round `most`; a cycle that goes on moves each of its calls in as many more.
+        if not most or rounds > 2 * most:
+            return here.select("conv", "id", "seq", "pos", "level", (F.col("last") > (most or rounds)).alias("cyclic"))
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
@@ -135,7 +136,7 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
     missing) or repeated (a call or result whose identifier came before in the conversation; it links with
     nothing). A null identifier links with nothing. `position` counts the calls of a conversation from 1, each
     behind those whose results it refers to, else by seq; only rows with status linked or no_result have one.
-    Calls in a cycle of references, or behind one, are `cyclic` and come in the order in which they were left.
+    Calls that a cycle of references keeps from a place are `cyclic` and come in the order in which they were left.
     """
     small_batches(calls.sparkSession)
     rows = calls.select(F.col("conv_id").alias("conv"), F.col("call_id").cast("string").alias("id"), F.col("seq").cast("long").alias("seq"), F.col("name").cast("string").alias("name"), F.col("arguments").cast("string").alias("arguments"))
