@@ -6,8 +6,8 @@ only if all marks before are there too. The filter comes in segments by the hash
 where its n-grams meet. Small enough, all segments go to all workers; otherwise the probes go to the
 segments.
 
-The model backs off with absolute discounting: (c(hw) - D) / c(h) for a known pair, else
-D * types(h) / c(h) * P(w), with P(w) = (c(w) + 1) / (N + V + 1), all counts read from the filter.
+The model has a Dirichlet prior: P(w|h) = (c(hw) + M * P(w)) / (c(h) + M) with P(w) = (c(w) + 1) / (N + V + 1),
+all counts read from the filter.
 """
 
 from __future__ import annotations
@@ -31,9 +31,10 @@ SEGMENT = 1_000_000
 TOP_WORDS = 2_000_000
 #: Bytes of a filter that goes to all workers at most.
 RESIDENT = 256 << 20
-DISCOUNT = 0.75
+#: Weight of the prior, in words.
+PRIOR = 20.0
 _END, _BEGIN = U64(0xA076_1D64_78BD_642F), U64(0xE703_7ED1_A0B4_28DB)
-_PAIR, _KINDS, _WORD = U64(0x8EBC6AF09C88C6E3), U64(0x589965CC75374CC3), U64(0x1D8E4E27C47D124F)
+_PAIR, _WORD = U64(0x8EBC6AF09C88C6E3), U64(0x1D8E4E27C47D124F)
 
 
 def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -62,10 +63,6 @@ def word_key(token: np.ndarray) -> np.ndarray:
     return mix(token ^ _WORD)
 
 
-def kinds_key(token: np.ndarray) -> np.ndarray:
-    return mix(token ^ _KINDS)
-
-
 def segment_of(key: np.ndarray, segments: int) -> np.ndarray:
     return ((key >> U64(40)) % U64(segments)).astype(np.int64)
 
@@ -170,116 +167,55 @@ def fit_model(df: DataFrame, text_col: str = "text") -> LanguageModel:
     n_tokens, n_words = vocabulary.where(F.col("hash") != begin).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     segments = max(8, -(-2 * n_tokens // SEGMENT))
 
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs, and their first words to count kinds, to the segments of their keys."""
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _counts(batches):
-            if batch.column(1).null_count:
-                continue
-            t, b = (np.asarray(batch.column(c)).view(np.uint64) for c in (0, 1))
-            key = pair_key(b, t)
-            yield pa.record_batch([pa.array(segment_of(key, segments).astype(np.int32)), signed(key), signed(b), batch.column(2)], ["segment", "key", "before", "n"])
+            if not batch.column(1).null_count:
+                t, b = (np.asarray(batch.column(c)).view(np.uint64) for c in (0, 1))
+                yield pa.record_batch([signed(pair_key(b, t)), batch.column(2)], ["key", "n"])
 
-    rows = df.select(F.col(text_col).alias("text")).mapInArrow(route, "segment int, key long, before long, n long")
-    rows = rows.repartition("segment").sortWithinPartitions("segment")
+    def singles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([signed(word_key(np.asarray(batch.column(0)).view(np.uint64))), batch.column(1)], ["key", "n"])
 
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Segments of pairs, and of every first word how many kinds of pairs it has there. A segment holds about SEGMENT rows."""
-        for segment, (key, before, n) in _by_segment(batches):
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The bits of each segment, which has about SEGMENT rows."""
+        for segment, key, n in _by_segment(batches, segments):
             order = np.argsort(key)
-            key, before, n = key[order], before[order], n[order]
+            key, n = key[order], n[order]
             at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            key, before, n = key[at], before[at], np.add.reduceat(n, at)
-            first, kinds = np.unique(before, return_counts=True)
-            yield pa.record_batch(
-                [
-                    pa.array(np.full(len(first) + 1, segment, np.int32)),
-                    pa.array([0, *first.tolist()], pa.int64()),
-                    pa.array([0, *kinds.tolist()], pa.int64()),
-                    pa.array([_packed(key.view(np.uint64), n), *[None] * len(first)], pa.binary()),
-                ],
-                ["segment", "before", "kinds", "packed"],
-            )
-
-    paired = settle(rows.mapInArrow(total, "segment int, before long, kinds long, packed binary"), "pairs")
-    kinds = paired.where("packed is null").groupBy("before").agg(F.sum("kinds").alias("n"))
-
-    def keyed(make):
-        def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                key = make(np.asarray(batch.column(0)).view(np.uint64))
-                yield pa.record_batch([pa.array(segment_of(key, segments).astype(np.int32)), signed(key), batch.column(1)], ["segment", "key", "n"])
-
-        return build
+            data = build_segment(key[at].view(np.uint64), np.add.reduceat(n, at))
+            yield pa.record_batch([pa.array([segment], pa.int32()), pa.array([data], pa.binary())], ["segment", "bits"])
 
-    singles = vocabulary.mapInArrow(keyed(word_key), "segment int, key long, n long").unionByName(
-        kinds.mapInArrow(keyed(kinds_key), "segment int, key long, n long")
-    )
-    singles = singles.withColumn("packed", F.lit(None).cast("binary"))
-    pairs = paired.where("packed is not null").select("segment", F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("n"), "packed")
-
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segment, keys, counts, pairs_ = None, [], [], []
-
-        def row() -> pa.RecordBatch:
-            both = [_unpacked(p) for p in pairs_]
-            key = np.concatenate([*(np.asarray(k).view(np.uint64) for k in keys), *(b[0] for b in both)])
-            n = np.concatenate([*counts, *(b[1] for b in both)])
-            return pa.record_batch([pa.array([segment], pa.int32()), pa.array([build_segment(key, n)], pa.binary())], ["segment", "bits"])
-
-        for batch in batches:
-            for s in np.unique(np.asarray(batch.column(0))).tolist():
-                own = batch.filter(pa.array(np.asarray(batch.column(0)) == s))
-                if s != segment:
-                    if segment is not None:
-                        yield row()
-                    segment, keys, counts, pairs_ = s, [], [], []
-                single = own.filter(own.column(3).is_null())
-                keys.append(np.asarray(single.column(1)))
-                counts.append(np.asarray(single.column(2)))
-                pairs_ += [x for x in own.column(3).to_pylist() if x is not None]
-        if segment is not None:
-            yield row()
-
-    marks = singles.unionByName(pairs).repartition("segment").sortWithinPartitions("segment").mapInArrow(bits, "segment int, bits binary")
-    made = settle(marks, "filter")
+    rows = df.select(F.col(text_col).alias("text")).mapInArrow(pairs, "key long, n long")
+    rows = rows.unionByName(vocabulary.select("hash", "n").mapInArrow(singles, "key long, n long"))
+    segment = F.expr(f"shiftrightunsigned(key, 40) % {segments}")
+    made = settle(rows.repartition(segment).sortWithinPartitions(segment).mapInArrow(bits, "segment int, bits binary"), "filter")
     size = made.agg(F.coalesce(F.sum(F.length("bits")), F.lit(0))).first()[0]
     return LanguageModel(vocabulary, made, segments, size, n_tokens, n_words)
 
 
-def _packed(key: np.ndarray, n: np.ndarray) -> bytes:
-    """Keys and counts of a segment; counts take four bytes."""
-    return key.tobytes() + np.minimum(n, 2**32 - 1).astype(np.uint32).tobytes()
-
-
-def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    size = len(data) // 12
-    return np.frombuffer(data[: 8 * size], np.uint64), np.frombuffer(data[8 * size :], np.uint32).astype(np.int64)
-
-
-def _by_segment(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """The rows of each segment together, from rows sorted by segment."""
+def _by_segment(batches: Iterator[pa.RecordBatch], segments: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Keys and counts of each segment, from rows sorted by segment."""
     segment, held = None, []
     for batch in batches:
-        at = np.asarray(batch.column(0))
+        key, n = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+        at = segment_of(key.view(np.uint64), segments)
         cut = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else []
         for a, b in zip(cut, [*cut[1:], len(at)]):
             if at[a] != segment:
                 if held:
-                    yield segment, [np.concatenate(x) for x in zip(*held)]
+                    yield segment, *(np.concatenate(x) for x in zip(*held))
                 segment, held = int(at[a]), []
-            held.append([np.asarray(batch.column(c))[a:b] for c in range(1, batch.num_columns)])
+            held.append((key[a:b], n[a:b]))
     if held:
-        yield segment, [np.concatenate(x) for x in zip(*held)]
+        yield segment, *(np.concatenate(x) for x in zip(*held))
 
 
-def pair_logs(pair: np.ndarray, before: np.ndarray, word: np.ndarray, kinds: np.ndarray, n_tokens: int, n_words: int) -> np.ndarray:
-    """log10 probabilities from the levels of a pair, its first and second word, and the kinds of pairs of the first."""
-    c_pair, c_before, c_word, c_kinds = count_of(pair), count_of(before), count_of(word), count_of(kinds)
-    single = (np.minimum(c_word, n_tokens) + 1) / (n_tokens + n_words + 1)
-    whole = np.maximum(c_before, np.maximum(c_pair, 1))
-    seen = (c_pair - DISCOUNT) / whole
-    left = np.where((c_before > 0) & (c_kinds > 0), DISCOUNT * np.minimum(c_kinds, whole) / whole, 1.0)
-    return np.log10(np.where(pair > 0, seen, left * single))
+def pair_logs(pair: np.ndarray, before: np.ndarray, word: np.ndarray, n_tokens: int, n_words: int) -> np.ndarray:
+    """log10 probabilities from the levels of a pair and of its first and second word."""
+    c_pair = count_of(pair)
+    single = (np.minimum(count_of(word), n_tokens) + 1) / (n_tokens + n_words + 1)
+    return np.log10((c_pair + PRIOR * single) / (np.maximum(count_of(before), c_pair) + PRIOR))
 
 
 def score_texts(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", top_words: int = TOP_WORDS, resident: int = RESIDENT) -> DataFrame:
@@ -333,11 +269,10 @@ def score_texts(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", tex
             score = np.zeros(count)
             if probe is not None:
                 levels = np.append(probe.levels(word_key(own)), probe.levels(word_key(np.array([_BEGIN]))))
-                kinds = np.append(probe.levels(kinds_key(own)), probe.levels(kinds_key(np.array([_BEGIN]))))
                 first = np.concatenate([[True], row[1:] != row[:-1]])
                 prior = np.where(first, len(own), np.concatenate([[0], place[:-1]]))
                 keys = pair_key(before, token)
-                score = total(pair_logs(probe.levels(keys), levels[prior], levels[place], kinds[prior], n_tokens, n_words))
+                score = total(pair_logs(probe.levels(keys), levels[prior], levels[place], n_tokens, n_words))
             size = total(None)
             yield pa.record_batch(
                 [batch.column(0), batch.column(1), pa.array(size.astype(np.int64)), pa.array(total(found[place].astype(float)).astype(np.int64)), pa.array(total(gained[place])), pa.array(score), pa.nulls(count, pa.int64()), pa.nulls(count, pa.int64())],
@@ -386,7 +321,7 @@ def _routed_scores(rows: DataFrame, model: LanguageModel, kind: str) -> DataFram
                 times = np.diff(np.append(at, len(t)))
                 t, p, r = t[at], p[at], pa.array(r[at] + a)
                 pair = pair_key(p, t)
-                for what, key in enumerate((pair, word_key(p), word_key(t), kinds_key(p))):
+                for what, key in enumerate((pair, word_key(p), word_key(t))):
                     yield pa.record_batch(
                         [batch.column(0).take(r), batch.column(1).take(r), signed(pair), pa.array(times), pa.array(np.full(len(t), what, np.int32)), signed(key), pa.array(segment_of(key, n_segments).astype(np.int32))],
                         ["id", "tie", "pair", "times", "what", "key", "segment"],
@@ -411,12 +346,12 @@ def _routed_scores(rows: DataFrame, model: LanguageModel, kind: str) -> DataFram
             yield out.filter(pa.array(what >= 0))
 
     told = both.mapInArrow(answer, f"id {kind}, tie long, pair long, times long, what int, level long")
-    level = [F.max(F.when(F.col("what") == k, F.col("level"))).alias(n) for k, n in enumerate(("pair_level", "before", "word", "kinds"))]
+    level = [F.max(F.when(F.col("what") == k, F.col("level"))).alias(n) for k, n in enumerate(("pair_level", "before", "word"))]
     wide = told.groupBy("id", "tie", "pair", "times").agg(*level)
 
     def logs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = pair_logs(*(np.asarray(batch.column(c)) for c in range(3, 7)), n_tokens, n_words) * np.asarray(batch.column(2))
+            x = pair_logs(*(np.asarray(batch.column(c)) for c in range(3, 6)), n_tokens, n_words) * np.asarray(batch.column(2))
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(x)], ["id", "tie", "log"])
 
-    return wide.select("id", "tie", "times", "pair_level", "before", "word", "kinds").mapInArrow(logs, f"id {kind}, tie long, log double").groupBy("id", "tie").agg(F.sum("log").alias("score"))
+    return wide.select("id", "tie", "times", "pair_level", "before", "word").mapInArrow(logs, f"id {kind}, tie long, log double").groupBy("id", "tie").agg(F.sum("log").alias("score"))

@@ -39,19 +39,17 @@ def test_scores_by_probes_here_and_there(spark):
     here = sorted((str(r.doc_id), r.n_tokens, round(r.score, 6)) for r in lm.score_texts(docs(spark, rows), model).collect())
     there = sorted((str(r.doc_id), r.n_tokens, round(r.score, 6)) for r in lm.score_texts(docs(spark, rows), model, resident=0).collect())
     assert here == there
-    pairs, single, kinds = Counter(), Counter(), Counter()
+    pairs, single = Counter(), Counter()
     for _, t in rows:
         w = ["<", *words(t), ">"]
         pairs.update(zip(w, w[1:]))
         single.update(w)
-    for a, _ in pairs:
-        kinds[a] += 1
     level = lambda c: int(math.log2(c)) + 1 if c else 0
     size = sum(single.values()) - single["<"]
     exact = {}
     for i, t in rows:
         w = ["<", *words(t), ">"]
-        args = [np.array([f(p) for p in zip(w, w[1:])]) for f in (lambda p: level(pairs[p]), lambda p: level(single[p[0]]), lambda p: level(single[p[1]]), lambda p: level(kinds[p[0]]))]
+        args = [np.array([f(p) for p in zip(w, w[1:])]) for f in (lambda p: level(pairs[p]), lambda p: level(single[p[0]]), lambda p: level(single[p[1]]))]
         exact.setdefault(str(i), []).append(lm.pair_logs(*args, size, len(single) - 1).sum())
     assert sum(min(abs(s - x) for x in exact[i]) > 0.02 * abs(s) + 0.3 for i, _, s in here) <= len(here) // 20  # but for false hits
 
