@@ -202,15 +202,16 @@ def key_check(spark, sf_dir):
     "repair_shifted",
     "Q2",
     """SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag <> 'R' THEN l_tax END AS depth, l_quantity AS age, l_discount AS al,
-      l_extendedprice AS be FROM lineitem""",
+      CASE WHEN l_returnflag <> 'A' THEN l_extendedprice END AS be FROM lineitem""",
 )
 def repair_shifted(spark, sf_dir):
-    """The rows of one return flag lost their first cell and are moved one column to the left."""
+    """The rows of one return flag lost their first cell and are moved one column to the left; good rows of another end in an empty cell."""
     lost = F.col("l_returnflag") == "R"
-    cells = ["l_tax", "l_quantity", "l_discount", "l_extendedprice"]
+    cells = ["l_tax", "l_quantity", "l_discount", "priced"]
     names = ["depth", "age", "al", "be"]
     moved = [
         F.when(lost, F.col(cells[i + 1]) if i < 3 else F.lit(None)).otherwise(F.col(cells[i])).alias(names[i]) for i in range(4)
     ]
-    broken = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *moved)
-    return clean.repair_shifted(broken, names)
+    rows = table(spark, sf_dir, "lineitem").withColumn("priced", F.when(F.col("l_returnflag") != "A", F.col("l_extendedprice")))
+    broken = rows.select("l_orderkey", "l_linenumber", *moved)
+    return clean.repair_shifted(broken, names, clean.leading_lost(names, "al", (0, 0.5)))

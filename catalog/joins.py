@@ -83,7 +83,7 @@ def right_join_future_keys(spark, sf_dir):
     dim = orders.select("time_id", F.col("time_id").alias("year_bin")).distinct()
     later = orders.select((F.col("time_id") + 90).alias("time_id"))
     spine = regular_spine(make_spine(orders, later, key="time_id"), "time_id", 1)
-    return fact.join(star.extend_dimension(dim, spine, "time_id"), "time_id", "right")
+    return fact.join(star.extend_dimension(dim, spine, "time_id", ["year_bin"]), "time_id", "right")
 
 
 @query(

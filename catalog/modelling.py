@@ -56,6 +56,58 @@ def ridge_gram(spark, sf_dir):
     return terms(spark, linear.fit_ridge(lines(spark, sf_dir), ["l_quantity"], Y, 50000.0))
 
 
+FAR = 1e9
+FAR_LINES = "SELECT l_orderkey AS x, 2 * l_orderkey + l_quantity AS y, l_linenumber AS f FROM lineitem"
+
+
+@query(
+    "ols_far_from_zero",
+    "M1",
+    f"""WITH m AS (SELECT avg(x) AS mx, avg(y) AS my, regr_slope(y, x) AS b, count(*) AS n FROM ({FAR_LINES}))
+    SELECT {r('b', 8)} AS slope, (SELECT {r('avg((y - my - b * (x - mx)) ** 2)', 4)} FROM ({FAR_LINES}), m) AS mse, n FROM m""",
+)
+def ols_far_from_zero(spark, sf_dir):
+    """A feature like an epoch time: far from zero, with a small spread. SQL computes the same slope and error on the keys themselves."""
+    rows = far_lines(spark, sf_dir)
+    moments = linear.collect_grams(linear.gram(rows, ["x"], "y"), 2)[()]
+    beta = linear.solve(moments, [1])
+    found = [(float(beta[1]), linear.squared_error(moments, [1], beta) / moments.n, int(moments.n))]
+    return rounded(rounded(spark.createDataFrame(found, "slope double, mse double, n bigint"), ["slope"], 8), ["mse"], 4)
+
+
+def far_lines(spark, sf_dir):
+    x = F.col("l_orderkey") + F.lit(FAR)
+    return table(spark, sf_dir, "lineitem").select(x.alias("x"), (2 * F.col("l_orderkey") + F.col("l_quantity")).alias("y"), "l_linenumber")
+
+
+@query(
+    "kfold_far_from_zero",
+    "M4",
+    f"""WITH l AS ({FAR_LINES}), k AS (SELECT DISTINCT f FROM l),
+    m AS (SELECT k.f, avg(x) AS mx, avg(y) AS my, regr_slope(y, x) AS b FROM k JOIN l ON l.f <> k.f GROUP BY 1)
+    SELECT l.f AS fold, {r('any_value(b)', 8)} AS slope, {r('avg((y - my - b * (x - mx)) ** 2)', 4)} AS mse FROM l JOIN m USING (f) GROUP BY 1""",
+)
+def kfold_far_from_zero(spark, sf_dir):
+    grams = linear.collect_grams(linear.gram(far_lines(spark, sf_dir), ["x"], "y", ["l_linenumber"]), 2)
+    folds = {fold: m for (fold,), m in grams.items()}
+    result = linear.cross_validate_grams(folds, ["x"])
+    rows = [(f, m.coefs[0], e) for f, m, e in zip(sorted(folds), result.models, result.fold_mse)]
+    return rounded(rounded(spark.createDataFrame(rows, "fold int, slope double, mse double"), ["slope"], 8), ["mse"], 4)
+
+
+@query(
+    "ridge_per_row",
+    "M7",
+    f"""WITH s AS (SELECT covar_pop(x1, y) AS sxy, var_pop(x1) AS sxx FROM ({LINES})), g(lam) AS (VALUES (0.0::DOUBLE), (0.05), (0.2))
+    SELECT lam, {r('sxy / (sxx * (1 + lam))', 7)} AS slope FROM s, g""",
+)
+def ridge_per_row(spark, sf_dir):
+    """The penalty on the mean loss over scaled features: it changes the slope alike at every number of rows."""
+    moments = linear.collect_grams(linear.gram(lines(spark, sf_dir), ["l_quantity"], Y), 2)[()]
+    rows = [(lam, float(linear.solve(moments, [1], lam, per_row=True)[1])) for lam in (0.0, 0.05, 0.2)]
+    return rounded(spark.createDataFrame(rows, "lam double, slope double"), ["slope"], 7)
+
+
 @query(
     "predict",
     "M6",
@@ -71,7 +123,7 @@ def predict(spark, sf_dir):
 def stepwise(spark, sf_dir):
     rows = lines(spark, sf_dir)
     x = [*X, "l_linenumber"]
-    matrix = linear.collect_grams(linear.gram(rows, x, Y), len(x) + 2)[()]
+    matrix = linear.collect_grams(linear.gram(rows, x, Y), len(x) + 1)[()]
     return terms(spark, linear.fit_matrix(matrix, x, linear.stepwise(matrix)))
 
 
@@ -112,7 +164,7 @@ LEAVE_OUT = f"""WITH l AS (SELECT l_orderkey, l_linenumber AS f, l_quantity AS x
 )
 def kfold_given_folds(spark, sf_dir):
     """Leave one line number out: the folds come with the data, so that SQL can do the same."""
-    grams = linear.collect_grams(linear.gram(lines(spark, sf_dir), ["l_quantity"], Y, ["l_linenumber"]), 3)
+    grams = linear.collect_grams(linear.gram(lines(spark, sf_dir), ["l_quantity"], Y, ["l_linenumber"]), 2)
     folds = {fold: m for (fold,), m in grams.items()}
     result = linear.cross_validate_grams(folds, ["l_quantity"])
     rows = [(f, m.intercept, m.coefs[0], e) for f, m, e in zip(sorted(folds), result.models, result.fold_mse)]
@@ -127,7 +179,7 @@ def kfold_given_folds(spark, sf_dir):
 )
 def ensemble_predict(spark, sf_dir):
     rows = lines(spark, sf_dir)
-    grams = linear.collect_grams(linear.gram(rows, ["l_quantity"], Y, ["l_linenumber"]), 3)
+    grams = linear.collect_grams(linear.gram(rows, ["l_quantity"], Y, ["l_linenumber"]), 2)
     result = linear.cross_validate_grams({fold: m for (fold,), m in grams.items()}, ["l_quantity"])
     return rounded(linear.predict_ensemble(rows, result.models), ["pred"], 5).select("key", "pred")
 
@@ -227,7 +279,7 @@ def ar_orders(spark, sf_dir):
     return fits.select("series", "p", F.round("aicc", 4).alias("aicc"), "n", "last_key")
 
 
-SEARCH = search.SearchConfig(population=8, generations=2, k=2, retrain_k=5, fold_method="hash")
+SEARCH = search.SearchConfig(fold_method="hash")
 
 
 @query("candidate_search", "M11 M12 O2")

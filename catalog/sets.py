@@ -84,7 +84,7 @@ def extend_dimension(spark, sf_dir):
     day = days("o_orderdate").cast("bigint")
     dim = table(spark, sf_dir, "orders").select(day.alias("time_id"), day.alias("year_bin")).distinct()
     later = table(spark, sf_dir, "lineitem").select(days("l_shipdate").cast("bigint").alias("time_id"))
-    return star.extend_dimension(dim, later, "time_id")
+    return star.extend_dimension(dim, later, "time_id", ["year_bin"])
 
 
 @query(

@@ -31,8 +31,8 @@ def _order_search(p_grid: Sequence[int], p_max: int, n_exog: int):
         rows = []
         for flat in g:
             best = None
-            matrix = unpack(flat, p_max + n_exog + 2)
-            n = matrix[0, 0]
+            matrix = unpack(flat, p_max + n_exog + 1)
+            n = matrix.n
             for p in p_grid:
                 used = [*range(1, p + 1), *range(p_max + 1, p_max + n_exog + 1)]
                 params = len(used) + 2
@@ -71,10 +71,11 @@ def fit_ar(
     # The newest row carries its own lags, so one row per series is all the recursion needs.
     recent = [F.max_by(c, key) for c in (y, *lag_names[:-1])]
     ends = lagged.groupBy(*series).agg(F.max(key).alias("last_key"), F.array(*recent).alias("recent"))
-    if not series:
-        joined = fits.withColumn("__one", F.lit(1)).join(ends.withColumn("__one", F.lit(1)), "__one").drop("__one")
-    else:
+    if series:
         joined = fits.join(ends, series)
+    else:  # one row, taken as constants
+        end, kinds = ends.first(), dict(ends.dtypes)
+        joined = fits.withColumns({c: F.lit(end[c]).cast(kinds[c]) for c in ("last_key", "recent")})
     return joined.select(*series, "fit.*", "last_key", "recent")
 
 
@@ -100,18 +101,23 @@ def ar_forecast(
     series, exog = names(series), list(exog)
     fits = fit_ar(df, series, key, y, p_grid, exog, **limits)
     if exog:
-        ends = fits.select(*series, "last_key")
-        later = future.join(ends, series) if series else future.withColumn("__one", F.lit(1)).join(
-            ends.withColumn("__one", F.lit(1)), "__one"
-        ).drop("__one")
-        at = ((F.col(key) - F.col("last_key")) / F.lit(step)).cast("int")
-        later = later.withColumn("__step", at).where(F.col("__step").between(1, horizon))
-        values = F.struct("__step", F.array(*[F.col(c).cast("double") for c in exog]).alias("x"))
+        if series:
+            later = future.join(fits.select(*series, "last_key"), series)
+        else:
+            last = fits.select("last_key").first()
+            later = future.withColumn("last_key", F.lit(last["last_key"] if last else None).cast(dict(fits.dtypes)["last_key"]))
+        # a key between two steps belongs to neither; several values at one step are averaged
+        at = (F.col(key) - F.col("last_key")) / F.lit(step)
+        later = later.where(F.abs(at - F.round(at)) < 1e-9).withColumn("__step", F.round(at).cast("int")).where(F.col("__step").between(1, horizon))
+        later = later.groupBy(*series, "__step").agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in exog])
+        values = F.struct("__step", F.array(*exog).alias("x"))
         inputs = later.groupBy(*series).agg(F.map_from_entries(F.collect_list(values)).alias("inputs"))
         if series:
             fits = fits.join(inputs, series, "left")
-        else:
-            fits = fits.withColumn("__one", F.lit(1)).join(inputs.withColumn("__one", F.lit(1)), "__one", "left").drop("__one")
+        else:  # `horizon` entries at most
+            known = inputs.first()["inputs"] or {}
+            entries = [e for k, v in sorted(known.items()) for e in (F.lit(k), F.array(*map(F.lit, v)))]
+            fits = fits.withColumn("inputs", F.create_map(*entries).cast("map<int,array<double>>"))
 
     def dot(a, b):
         return F.aggregate(F.zip_with(a, b, lambda u, v: u * v), F.lit(0.0), lambda acc, v: acc + v)

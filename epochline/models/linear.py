@@ -1,15 +1,18 @@
 """Linear models from one pass over the data.
 
-Everything a least-squares fit needs is in the matrix of cross products of (1, features, target). That
-matrix is a plain sum, so it is computed by one map-side combined aggregate whatever the number of rows;
-fits, ridge fits, stepwise selection, folds and errors then work on small matrices.
+Everything a least-squares fit needs is in the number of rows, the means and the centred co-moments of
+features and target. They merge stably, so they are computed by one map-side combined aggregate whatever the
+number of rows and wherever the columns lie (years, keys, epoch times); fits, ridge fits, stepwise selection,
+folds and errors then work on these small tables. Features are scaled to unit variance before solving.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -19,10 +22,33 @@ from epochline.functions.columns import names
 from epochline.operators.ordered import Position, with_ordered
 
 GROUPS_ON_DRIVER = 10_000
+#: Singular values of the scaled features below this share of the largest count as linear dependence.
+DEPENDENT = 1e-11
+
+
+@dataclass(frozen=True)
+class Moments:
+    """Rows, means and centred co-moments of (x…, y)."""
+
+    n: float
+    mean: np.ndarray
+    comoment: np.ndarray
+
+    def merge(self, other: Moments) -> Moments:
+        """The moments of both sets of rows together, by the pairwise update."""
+        if not self.n or not other.n:
+            return self if self.n else other
+        n, apart = self.n + other.n, other.mean - self.mean
+        shift = np.outer(apart, apart) * (self.n * other.n / n)
+        return Moments(n, self.mean + apart * (other.n / n), self.comoment + other.comoment + shift)
+
+
+def merged(parts: Iterable[Moments]) -> Moments:
+    return reduce(Moments.merge, parts)
 
 
 def gram(df: DataFrame, x: Sequence[str], y: str, by: Iterable[str] = ()) -> DataFrame:
-    """Cross products per group as array `g`: the upper triangle of Z'Z for Z = (1, x…, y), row by row.
+    """Moments per group as array `g`: rows, means of x… and y, and the upper triangle of their co-moments row by row.
 
     Only rows that have all values count.
     """
@@ -30,40 +56,71 @@ def gram(df: DataFrame, x: Sequence[str], y: str, by: Iterable[str] = ()) -> Dat
     complete = F.lit(True)
     for c in used:
         complete = complete & F.col(c).isNotNull()
-    z = [F.lit(1.0), *[F.col(c).cast("double") for c in used]]
-    sums = [F.sum(z[i] * z[j]) for i in range(len(z)) for j in range(i, len(z))]
-    return df.where(complete).groupBy(*by).agg(F.array(*sums).alias("g"))
+    z = [F.col(c).cast("double") for c in used]
+    n = F.count(F.lit(1)).cast("double")
+    pairs = [(F.covar_pop(z[i], z[j]) if i != j else F.var_pop(z[i])) * n for i in range(len(z)) for j in range(i, len(z))]
+    return df.where(complete).groupBy(*by).agg(F.array(n, *[F.avg(c) for c in z], *pairs).alias("g"))
+
 
+def unpack(g: Sequence[float], size: int) -> Moments:
+    """Moments of `size` columns from an array of `gram`."""
+    flat = np.asarray(g, dtype=float)
+    upper = np.zeros((size, size))
+    upper[np.triu_indices(size)] = flat[1 + size :]
+    return Moments(float(flat[0]), flat[1 : 1 + size], upper + np.triu(upper, 1).T)
 
-def unpack(g: Sequence[float], size: int) -> np.ndarray:
-    """The symmetric matrix from its upper triangle."""
-    matrix = np.zeros((size, size))
-    matrix[np.triu_indices(size)] = np.asarray(g, dtype=float)
-    return matrix + np.triu(matrix, 1).T
 
+def collect_grams(grams: DataFrame, size: int) -> dict[tuple, Moments]:
+    """Moments of a few groups (such as folds) on the driver; `size` counts features and target.
 
-def collect_grams(grams: DataFrame, size: int) -> dict[tuple, np.ndarray]:
-    """Grams of a few groups (such as folds) as matrices on the driver."""
+    More groups than GROUPS_ON_DRIVER belong into a fit on the executors, as `forecast.fit_ar` does it.
+    """
     rows = grams.limit(GROUPS_ON_DRIVER + 1).collect()
     if len(rows) > GROUPS_ON_DRIVER:
         raise ValueError("too many groups to fit on the driver")
     by = [c for c in grams.columns if c != "g"]
-    return {tuple(row[c] for c in by): unpack(row["g"], size) for row in rows if row["g"][0] is not None}
+    return {tuple(row[c] for c in by): unpack(row["g"], size) for row in rows if row["g"][0]}
 
 
-def solve(matrix: np.ndarray, used: Sequence[int], lam: float = 0.0) -> np.ndarray:
-    """Coefficients (intercept first) for the features at the given positions; `lam` spares the intercept."""
-    at = [0, *used]
-    a = matrix[np.ix_(at, at)].copy()
-    a[np.arange(1, len(at)), np.arange(1, len(at))] += lam
-    return np.linalg.lstsq(a, matrix[at, -1], rcond=None)[0]
+def _scaled(moments: Moments, used: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Spread of the used features and their correlations; a constant one has spread 1 and no correlation."""
+    at = np.asarray(used, dtype=int) - 1
+    a = moments.comoment[np.ix_(at, at)]
+    size = np.abs(moments.mean[at])
+    spread = np.sqrt(np.diag(a))
+    spread = np.where(spread > 1e-13 * np.sqrt(moments.n) * size, spread, 0.0)
+    spread = np.where(spread > 0, spread, 1.0)
+    return spread, a / np.outer(spread, spread)
 
 
-def squared_error(matrix: np.ndarray, used: Sequence[int], beta: np.ndarray) -> float:
-    """Sum of squared errors of a fit on the rows behind `matrix`, without looking at them again."""
-    at = [0, *used]
-    a, b = matrix[np.ix_(at, at)], matrix[at, -1]
-    return max(0.0, float(matrix[-1, -1] - 2 * beta @ b + beta @ a @ beta))
+def solve(moments: Moments, used: Sequence[int], lam: float = 0.0, per_row: bool = False) -> np.ndarray:
+    """Coefficients (intercept first) for the features at the given positions, counted from 1; `lam` spares the intercept.
+
+    `lam` times the squared coefficients is added to the sum of squared errors. With `per_row` it is added to
+    the mean of squared errors, over features of unit variance, so that its effect doesn't fade as rows are
+    added. Linearly dependent features share their effect, and a warning says so.
+    """
+    at = np.asarray(used, dtype=int) - 1
+    if not len(at):
+        return np.array([moments.mean[-1]])
+    spread, a = _scaled(moments, used)
+    b = moments.comoment[at, -1] / spread
+    # sums of squares of scaled features are 1, so a variance of 1 is a scale of sqrt(n): lam * n / n stays lam
+    a = a + np.diag(np.full(len(at), lam) if per_row else lam / spread**2)
+    scaled, _, rank, _ = np.linalg.lstsq(a, b, rcond=DEPENDENT)
+    if rank < len(at):
+        warnings.warn(f"{len(at) - rank} of {len(at)} features depend linearly on others", stacklevel=2)
+    coefs = scaled / spread
+    return np.concatenate([[moments.mean[-1] - moments.mean[at] @ coefs], coefs])
+
+
+def squared_error(moments: Moments, used: Sequence[int], beta: np.ndarray) -> float:
+    """Sum of squared errors of a fit on the rows behind `moments`, without looking at them again."""
+    at = [*(i - 1 for i in used), len(moments.mean) - 1]
+    weights = np.append(-beta[1:], 1.0)
+    bias = moments.mean[at] @ weights - beta[0]
+    spread = float(weights @ moments.comoment[np.ix_(at, at)] @ weights)
+    return max(0.0, spread) + moments.n * float(bias) ** 2  # a perfect fit may miss 0 by a rounding
 
 
 @dataclass(frozen=True)
@@ -79,7 +136,7 @@ class LinearModel:
         return result
 
 
-def fit_matrix(matrix: np.ndarray, x: Sequence[str], used: Sequence[int] | None = None, lam: float = 0.0) -> LinearModel:
+def fit_matrix(matrix: Moments, x: Sequence[str], used: Sequence[int] | None = None, lam: float = 0.0) -> LinearModel:
     used = list(range(1, len(x) + 1)) if used is None else list(used)
     beta = solve(matrix, used, lam)
     return LinearModel(tuple(x[i - 1] for i in used), float(beta[0]), tuple(float(b) for b in beta[1:]))
@@ -91,7 +148,7 @@ def fit_ols(df: DataFrame, x: Sequence[str], y: str) -> LinearModel:
 
 def fit_ridge(df: DataFrame, x: Sequence[str], y: str, lam: float) -> LinearModel:
     """Least squares with `lam` times the squared coefficients added; scale the features first."""
-    matrices = collect_grams(gram(df, x, y), len(x) + 2)
+    matrices = collect_grams(gram(df, x, y), len(x) + 1)
     if not matrices:
         raise ValueError("no row has all values")
     return fit_matrix(matrices[()], x, lam=lam)
@@ -133,18 +190,18 @@ def t_test_p(t: float, freedom: float) -> float:
     return 1.0 - front * _beta_fraction(b, a, 1.0 - x) / b
 
 
-def p_values(matrix: np.ndarray, used: Sequence[int]) -> np.ndarray:
+def p_values(moments: Moments, used: Sequence[int]) -> np.ndarray:
     """p-value of each used feature in their joint fit."""
-    at = [0, *used]
-    freedom = matrix[0, 0] - len(at)
+    freedom = moments.n - len(used) - 1
     if freedom <= 0:
         return np.ones(len(used))
-    beta = solve(matrix, used)
-    variance = squared_error(matrix, used, beta) / freedom
-    spread = np.sqrt(np.maximum(variance * np.diag(np.linalg.pinv(matrix[np.ix_(at, at)])), 0.0))
+    beta = solve(moments, used)
+    variance = squared_error(moments, used, beta) / freedom
+    spread, a = _scaled(moments, used)
+    error = np.sqrt(np.maximum(variance * np.diag(np.linalg.pinv(a, rcond=DEPENDENT)), 0.0)) / spread
     with np.errstate(divide="ignore", invalid="ignore"):
-        t = np.where(spread > 0, beta / spread, np.inf)
-    return np.array([t_test_p(v, freedom) for v in t[1:]])
+        t = np.where(error > 0, beta[1:] / error, np.inf)
+    return np.array([t_test_p(v, freedom) for v in t])
 
 
 @dataclass(frozen=True)
@@ -155,9 +212,9 @@ class Stepwise:
     remove: float = 0.3
 
 
-def stepwise(matrix: np.ndarray, rule: Stepwise = Stepwise()) -> list[int]:
+def stepwise(matrix: Moments, rule: Stepwise = Stepwise()) -> list[int]:
     """Positions (from 1) of the features selected in both directions by p-value."""
-    every = range(1, matrix.shape[0] - 1)
+    every = range(1, len(matrix.mean))
     used: list[int] = []
     seen = set()
     while tuple(used) not in seen:
@@ -216,19 +273,18 @@ class CrossValidation:
 
 
 def cross_validate_grams(
-    folds: dict[int, np.ndarray], x: Sequence[str], used: Sequence[int] | None = None, lam: float = 0.0, rule: Stepwise | None = None
+    folds: dict[int, Moments], x: Sequence[str], used: Sequence[int] | None = None, lam: float = 0.0, rule: Stepwise | None = None
 ) -> CrossValidation:
-    """Fit on all folds but one and score on that one, for each fold, from their matrices alone."""
-    total = sum(folds.values())
+    """Fit on all folds but one and score on that one, for each fold, from their moments alone. `lam` is per row, see `solve`."""
     models, errors = [], []
     for fold in sorted(folds):
-        train = total - folds[fold]
+        train = merged([Moments(0.0, folds[fold].mean, folds[fold].comoment), *(m for f, m in sorted(folds.items()) if f != fold)])
         chosen = list(used) if used is not None else list(range(1, len(x) + 1))
         if rule is not None:
             chosen = stepwise(train, rule)
-        beta = solve(train, chosen, lam)
+        beta = solve(train, chosen, lam, per_row=True)
         models.append(LinearModel(tuple(x[i - 1] for i in chosen), float(beta[0]), tuple(map(float, beta[1:]))))
-        errors.append(squared_error(folds[fold], chosen, beta) / float(folds[fold][0, 0]))
+        errors.append(squared_error(folds[fold], chosen, beta) / folds[fold].n)
     return CrossValidation(models, errors)
 
 
@@ -248,7 +304,7 @@ def cross_validate(
     """k-fold fit and score with one aggregate over the data, grouped by fold."""
     complete = df.select(key, *x, y).na.drop(subset=[*x, y])
     folded = assign_folds(complete, key, k, seed, stratify, method, **limits)
-    grams = collect_grams(gram(folded, x, y, ["fold"]), len(x) + 2)
+    grams = collect_grams(gram(folded, x, y, ["fold"]), len(x) + 1)
     return cross_validate_grams({fold: m for (fold,), m in grams.items()}, x, lam=lam, rule=rule)
 
 

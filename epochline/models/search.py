@@ -1,8 +1,8 @@
 """Evolutionary search over feature subsets and the strength of regularisation.
 
-The data is read once, for the cross products of each fold. After that a candidate is judged from a few
-small matrices; every generation is one Spark job over its candidates, and candidates that the history
-table already holds are not judged again.
+The data is read once, for the moments of each fold. After that a candidate is judged from these few small
+matrices where they are, without another job; candidates that the history table already holds are not judged
+again.
 """
 
 from __future__ import annotations
@@ -11,7 +11,6 @@ import random
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,26 +51,13 @@ class Candidate:
 def fold_grams(df: DataFrame, x: Sequence[str], y: str, key: str, k: int, seed: int, method: str) -> dict:
     complete = df.select(key, *x, y).na.drop(subset=[*x, y])
     folded = assign_folds(complete, key, k, seed, method=method)
-    return {fold: m for (fold,), m in collect_grams(gram(folded, x, y, ["fold"]), len(x) + 2).items()}
+    return {fold: m for (fold,), m in collect_grams(gram(folded, x, y, ["fold"]), len(x) + 1).items()}
 
 
-def score(candidates: DataFrame, grams: dict, x: Sequence[str], penalty: float = 0.0) -> DataFrame:
-    """Mean validation error of each candidate, plus `penalty` per used feature."""
-    x = list(x)
-
-    def judge(batches):
-        for batch in batches:
-            fitness = []
-            for mask, lam in zip(batch["mask"], batch["lam"]):
-                used = [i + 1 for i, bit in enumerate(mask) if bit]
-                fitness.append(cross_validate_grams(grams, x, used, lam).mse + penalty * len(used))
-            yield pd.DataFrame(
-                {"key": batch["key"], "mask": batch["mask"], "lam": batch["lam"], "fitness": fitness}
-            )
-
-    return candidates.select("key", "mask", "lam").mapInPandas(
-        judge, "key string, mask array<int>, lam double, fitness double"
-    )
+def score(candidate: Candidate, grams: dict, x: Sequence[str], penalty: float = 0.0) -> float:
+    """Mean validation error of a candidate, plus `penalty` per used feature."""
+    used = [i + 1 for i, bit in enumerate(candidate.mask) if bit]
+    return cross_validate_grams(grams, x, used, candidate.lam).mse + penalty * len(used)
 
 
 class _Breeder:
@@ -124,21 +110,17 @@ def search(
     breeder = _Breeder(len(x), config)
     log: list[tuple] = []
 
+    memo = {}
+    if history is not None:  # as many rows as earlier searches have judged candidates
+        past = history.where(F.col("generation") >= 0).groupBy("key").agg(F.min("fitness").alias("fitness"))
+        memo = {row["key"]: row["fitness"] for row in past.collect()}
+
     def judged(candidates: list[Candidate], generation: int) -> list[Candidate]:
-        unique = {c.key: c for c in candidates}
-        asked = spark.createDataFrame([(c.key, list(c.mask), c.lam) for c in unique.values()], "key string, mask array<int>, lam double")
-        past = spark.createDataFrame(log, HISTORY_SCHEMA)
-        if history is not None:
-            past = past.unionByName(history.where(F.col("generation") >= 0).select(*past.columns))
-        memo = past.groupBy("key").agg(F.min("fitness").alias("fitness"))
-        known = asked.join(memo, "key").select("key", "fitness", F.lit(False).alias("new"))
-        new = score(asked.join(memo, "key", "left_anti"), grams, x, config.penalty)
-        rows = known.unionByName(new.select("key", "fitness", F.lit(True).alias("new"))).collect()
-        fitness = {row["key"]: row["fitness"] for row in rows}
-        log.extend(
-            (generation, k, list(unique[k].mask), unique[k].lam, fitness[k]) for k in sorted(row["key"] for row in rows if row["new"])
-        )
-        return [Candidate(c.mask, c.lam, fitness[c.key]) for c in candidates]
+        new = {c.key: c for c in candidates if c.key not in memo}
+        for key_, c in sorted(new.items()):
+            memo[key_] = score(c, grams, x, config.penalty)
+            log.append((generation, key_, list(c.mask), c.lam, memo[key_]))
+        return [Candidate(c.mask, c.lam, memo[c.key]) for c in candidates]
 
     population = judged([breeder.fresh() for _ in range(config.population)], 0)
     for generation in range(1, config.generations + 1):

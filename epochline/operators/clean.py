@@ -140,18 +140,13 @@ def duplicate_keys(df: DataFrame, keys: Iterable[str]) -> DataFrame:
     return df.groupBy(*names(keys)).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
 
 
-def repair_shifted(df: DataFrame, cols: Sequence[str], shifted: Column | None = None, n_missing: int = 1) -> DataFrame:
-    """Move the cells of rows that lost their leading cells back to the right columns.
+def repair_shifted(df: DataFrame, cols: Sequence[str], shifted: Column, n_missing: int = 1) -> DataFrame:
+    """Move the cells of rows that lost their leading `n_missing` cells back to the right columns.
 
-    Such a row has its values too far left and nothing in its last `n_missing` columns, which is what
-    the default test looks for. The columns must share one type.
+    `shifted` tells these rows. That the last cells are empty doesn't, as good rows may end in empty cells:
+    see `leading_lost`. The columns must share one type.
     """
     cols = names(cols)
-    if shifted is None:
-        shifted = F.lit(True)
-        for c in cols[-n_missing:]:
-            shifted = shifted & F.col(c).isNull()
-        shifted = shifted & F.col(cols[0]).isNotNull()
     moved = {}
     for i, c in enumerate(cols):
         source = F.lit(None) if i < n_missing else F.col(cols[i - n_missing])
@@ -159,6 +154,21 @@ def repair_shifted(df: DataFrame, cols: Sequence[str], shifted: Column | None =
     return df.withColumns(moved)
 
 
+def leading_lost(cols: Sequence[str], known: str, between: tuple[float, float], n_missing: int = 1) -> Column:
+    """Whether a row lost its leading cells, by a column whose range is known.
+
+    The last cells are empty, the value in the known column is out of its range or missing, and the value
+    that a shift would bring there is within.
+    """
+    cols = names(cols)
+    empty = F.lit(True)
+    for c in cols[-n_missing:]:
+        empty = empty & F.col(c).isNull()
+    here = F.col(known).try_cast("double")
+    there = F.col(cols[cols.index(known) - n_missing]).try_cast("double")
+    return empty & F.coalesce(there.between(*between), F.lit(False)) & ~F.coalesce(here.between(*between), F.lit(False))
+
+
 def quarantine_extreme(
     df: DataFrame, series: Iterable[str], order: str, value: str, limit: float = 20
 ) -> tuple[DataFrame, DataFrame]:

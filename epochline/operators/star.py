@@ -32,12 +32,14 @@ def star_join(
     return joined.drop(key) if drop_key else joined
 
 
-def extend_dimension(dim: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """Add the keys that the dimension lacks; columns other than the key repeat it if they can, else null."""
+def extend_dimension(dim: DataFrame, keys: DataFrame, key: str, repeat: Iterable[str] = ()) -> DataFrame:
+    """Add the keys that the dimension lacks. Columns named in `repeat` take the key's value, all others are null there."""
     fresh = keys.select(F.col(key)).distinct().join(dim.select(key), key, "left_anti")
-    kinds = {f.name: f.dataType for f in dim.schema.fields}
-    rows = fresh.select(*[F.col(key).cast(kinds[c]).alias(c) for c in dim.columns])
-    return dim.unionByName(rows).distinct()
+    same = {key, *names(repeat)}
+    rows = fresh.select(
+        *[(F.col(key) if f.name in same else F.lit(None)).cast(f.dataType).alias(f.name) for f in dim.schema.fields]
+    )
+    return dim.distinct().unionByName(rows)
 
 
 def merge_sources(sources: Sequence[tuple[DataFrame, int]], key: Iterable[str], values: Iterable[str]) -> DataFrame:

@@ -42,6 +42,7 @@ def run_models(
     config: FlowConfig = FlowConfig(),
     settings: SearchConfig = SearchConfig(),
     folds: int = 5,
+    tree_folds: int = 10,
     **gbt,
 ) -> DataFrame:
     """Fit every model on the training view; write predictions, the search history and the scoreboard."""
@@ -51,7 +52,7 @@ def run_models(
     for name, lagged in (("linear_model", False), ("lagged_linear_model", True)):
         predictions[name], result = modeling.linear_predictions(training, config, lagged, folds)
         scores[name] = result.mse
-    predictions["tree_model"], scores["tree_model"] = modeling.tree_predictions(training, config, folds, **gbt)
+    predictions["tree_model"], scores["tree_model"] = modeling.tree_predictions(training, config, tree_folds, **gbt)
     predictions["searched_model"], scores["searched_model"], history = modeling.searched_predictions(training, config, settings)
     predictions["arima_model"] = modeling.forecast_predictions(training, config)
     predictions["arimax_model"] = modeling.forecast_predictions(training, config, exogenous=True)

@@ -83,7 +83,7 @@ def forecast_predictions(
     exog: list[str] = []
     if exogenous:
         x = feature_columns(training)
-        matrix = collect_grams(gram(past, x, TARGET), len(x) + 2)[()]
+        matrix = collect_grams(gram(past, x, TARGET), len(x) + 1)[()]
         exog = list(fit_matrix(matrix, x, stepwise(matrix, rule)).features)
     horizon = future.count()
     ahead = ar_forecast(

@@ -271,5 +271,5 @@ def build_star(inputs: RawInputs, id_cols: Iterable[str] | None = None, ids: str
     tables.update(star_split(rows, {"dim_location": STAR_TABLES["dim_location"]}))
     tables.update(star_split(by_time, {n: STAR_TABLES[n] for n in ("dim_time", "dim_atmosphere", "dim_cosmic")}))
     tables["dim_orbital"] = orbital.select(F.col("year_bin").alias("time_id"), *orbital_cols)
-    tables["dim_time"] = extend_dimension(tables["dim_time"], tables["dim_orbital"], "time_id")
+    tables["dim_time"] = extend_dimension(tables["dim_time"], tables["dim_orbital"], "time_id", repeat=["year_bin"])
     return {name: tables[name] for name in STAR_TABLES}

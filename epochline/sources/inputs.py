@@ -49,12 +49,16 @@ def read_named(spark: SparkSession, paths: str | Iterable[str], columns: Mapping
     """Some columns of CSV files by header name, as numbers under new names.
 
     Files with dozens of columns need no full schema this way; everything is read as text and only the
-    named columns are parsed. `repair` first moves rows back that lost their leading cell.
+    named columns are parsed. `repair` first moves rows back that lost their leading cell: the first two
+    columns are depths in two cores, of which the second is greater, so a row with the greater value first
+    (a depth and an age) and without a last cell is shifted.
     """
     df = spark.read.csv(names(paths), header=True)
     if repair:
         safe = [f"c{i}" for i in range(len(df.columns))]
-        fixed = repair_shifted(df.toDF(*safe), safe)
+        first, second = (F.col(c).try_cast("double") for c in safe[:2])
+        shifted = F.coalesce((first > second) & F.col(safe[-1]).isNull(), F.lit(False))
+        fixed = repair_shifted(df.toDF(*safe), safe, shifted)
         df = fixed.toDF(*df.columns)
     return df.select(*[F.col(f"`{source}`").try_cast("double").alias(out) for source, out in columns.items()])
 

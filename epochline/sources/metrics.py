@@ -6,16 +6,21 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from epochline.functions.columns import title_label
-from epochline.session import settle
 from epochline.sources.files import path_exists, read_document
 
 METRIC_SCHEMA = "model string, mse double"
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """The newest entry of each model."""
     if not path_exists(spark, path):
         return spark.createDataFrame([], METRIC_SCHEMA)
-    return spark.read.schema(METRIC_SCHEMA).json(path)
+    return _versions(spark, path).groupBy("model").agg(F.max_by("mse", "version").alias("mse"))
+
+
+def _versions(spark: SparkSession, path: str) -> DataFrame:
+    rows = spark.read.schema(f"{METRIC_SCHEMA}, version bigint").json(path)
+    return rows.withColumn("version", F.coalesce("version", F.lit(0)))
 
 
 def metrics_from_document(spark: SparkSession, path: str) -> DataFrame:
@@ -24,12 +29,15 @@ def metrics_from_document(spark: SparkSession, path: str) -> DataFrame:
 
 
 def upsert_metric(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame:
-    """Replace the entries of the models in `rows`, keep the others."""
-    fresh = rows.select("model", F.col("mse").cast("double").alias("mse"))
-    kept = read_metrics(spark, path).join(fresh, "model", "left_anti")
-    merged = settle(kept.unionByName(fresh), "metrics")
-    merged.write.mode("overwrite").json(path)
-    return merged
+    """Replace the entries of the models in `rows`, keep the others; returns the board.
+
+    New entries are added with a higher version and never overwrite the old ones, so a write that fails
+    leaves the board as it was.
+    """
+    last = _versions(spark, path).agg(F.max("version").alias("v")).first()["v"] if path_exists(spark, path) else None
+    fresh = rows.select("model", F.col("mse").cast("double").alias("mse"), F.lit((last or 0) + 1).cast("bigint").alias("version"))
+    fresh.write.mode("append").json(path)
+    return read_metrics(spark, path)
 
 
 def scoreboard(df: DataFrame, metric: str = "mse", model: str = "model") -> DataFrame:

@@ -51,9 +51,9 @@ def test_iqr_filter(spark):
 
 
 def test_repair_shifted(spark):
-    df = spark.createDataFrame([(9.0, 2.23, 5.36, None), (1.0, 2.0, 3.0, 4.0)], "a double, b double, c double, d double")
-    got = [tuple(r) for r in clean.repair_shifted(df, df.columns).collect()]
-    assert got == [(None, 9.0, 2.23, 5.36), (1.0, 2.0, 3.0, 4.0)]
+    df = spark.createDataFrame([(9.0, 2.23, 5.36, None), (1.0, 2.0, 3.0, 4.0), (1.0, 2.0, 3.0, None)], "a double, b double, c double, d double")
+    got = [tuple(r) for r in clean.repair_shifted(df, df.columns, clean.leading_lost(df.columns, "c", (0, 3))).collect()]
+    assert got == [(None, 9.0, 2.23, 5.36), (1.0, 2.0, 3.0, 4.0), (1.0, 2.0, 3.0, None)]
 
 
 def test_duplicate_keys(spark):
@@ -106,8 +106,10 @@ def test_range_split(spark):
 def test_extend_dimension(spark):
     dim = spark.createDataFrame([(1, 1), (2, 2)], "time_id bigint, year_bin bigint")
     keys = spark.createDataFrame([(2,), (5,)], "time_id bigint")
-    got = {tuple(r) for r in star.extend_dimension(dim, keys, "time_id").collect()}
+    got = {tuple(r) for r in star.extend_dimension(dim, keys, "time_id", ["year_bin"]).collect()}
     assert got == {(1, 1), (2, 2), (5, 5)}
+    measured = spark.createDataFrame([(1, 280.0)], "time_id bigint, co2_ppm double")
+    assert {tuple(r) for r in star.extend_dimension(measured, keys, "time_id").collect()} == {(1, 280.0), (2, None), (5, None)}
 
 
 def test_forward_lookup(spark):
