@@ -9,8 +9,8 @@ to open every page. The texts are therefore dealt to trees by the shingles of th
 reach the threshold share shingles among the first few of either, in any fixed order of all shingles. In
 that order, shingles that are frequent in a bounded sample come last, which changes cost and no result.
 
-Links are needed for classes, not one by one. A first round tries the members of each tree with its first
-member only. Then a tree whose members are all of one class is done; in the others, all pairs of different
+Links are needed for classes, not one by one. A first round tries each text with a few that come first in its
+trees. Then a tree whose members are all of one class is done; in the others, all pairs of different
 classes are searched. So a large group of near copies costs rows in proportion to its size.
 """
 
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from epochline.llm.arrow_text import U64, Words, chunks, mix, shingles, signed, small_batches, utf8
@@ -28,7 +28,9 @@ from epochline.llm.components import connected_components
 from epochline.session import settle
 
 #: Texts of the sample that shows frequent shingles, the share that makes one, and how many are kept.
-SAMPLE, FREQUENT, KEPT = 10_000, 0.002, 50_000
+SAMPLE, FREQUENT, KEPT = 20_000, 0.0003, 200_000
+#: First members of trees that a set is tried with in the first round: those that it shares most keys with.
+TRIED = 3
 #: Points in a page, and coordinates of its box.
 PAGE, BOX = 128, 64
 #: Shingles that texts have to share in their prefixes, which are longer by one less.
@@ -118,7 +120,7 @@ def _profile(k: int, num: int, den: int, frequent: np.ndarray):
                 coarse.append(coarse_point(s))
                 ordered = mix(s)
                 if len(frequent):
-                    hot = np.isin(s, frequent)
+                    hot = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
                     ordered = ordered >> U64(1) | (hot.astype(np.uint64) << U64(63))
                 keys.append(s[np.argsort(ordered)[: len(s) - -(-num * len(s) // den) + SHARED]].view(np.int64))
             yield pa.record_batch(
@@ -284,7 +286,7 @@ def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def leaf(rows: pa.RecordBatch) -> pa.RecordBatch:
         n, _, _, _, coarse = _points(rows, 1)
-        members = pa.StructArray.from_arrays([rows.column(c) for c in range(1, 5)], ["n", "fp", "class", "coarse"])
+        members = pa.StructArray.from_arrays([rows.column(c) for c in range(1, 6)], ["n", "fp", "class", "coarse", "point"])
         corner = coarse.max(axis=0) if coarse[:, 0].max() < 255 else np.full(BOX, 2**24)
         return pa.record_batch(
             [
@@ -315,17 +317,18 @@ def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield leaf(held)
 
 
-def _tree_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
+def _tree_pairs(members: DataFrame, points: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of different classes that share enough keys and that no coarse bound excludes.
 
     `members` has key, size (members of the key), n, fp, class and coarse. In a tree of several pages, first
-    pages are held against pages by the sum of the lesser coordinates of their corners.
+    pages are held against pages by the sum of the lesser coordinates of their corners; there the full points
+    are at hand, as most pairs of long texts pass the coarse ones.
     """
     columns = ["key", "n", "fp", "class", "coarse"]
     small = members.where(F.col("size") <= PAGE).select(*columns).repartition("key").sortWithinPartitions("key")
     found = small.mapInArrow(_small_trees(num, den), _PAIR)
-    schema = "key long, page int, low int, high int, corner array<long>, members array<struct<n:int,fp:long,class:struct<n:int,fp:long>,coarse:binary>>"
-    large = members.where(F.col("size") > PAGE).select(*columns).repartition("key").sortWithinPartitions("key", "n", "coarse")
+    schema = "key long, page int, low int, high int, corner array<long>, members array<struct<n:int,fp:long,class:struct<n:int,fp:long>,coarse:binary,point:binary>>"
+    large = members.where(F.col("size") > PAGE).withColumn("node", _node("n", "fp")).join(points, "node").select(*columns, "point").repartition("key").sortWithinPartitions("key", "n", "coarse")
     leaves = settle(large.mapInArrow(_leaves, schema), "leaves")
     x, y = leaves.alias("x"), leaves.alias("y")
     corner = F.aggregate(F.zip_with("x.corner", "y.corner", lambda a, b: F.least(a, b)), F.lit(0).cast("long"), lambda s, v: s + v)
@@ -345,6 +348,9 @@ def _tree_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
                 fits = ((cn[:, None] != dn) | (cf[:, None] != df)) & (den * np.minimum(n[:, None], m) >= num * np.maximum(n[:, None], m))
                 i, j = np.nonzero(np.triu(fits, 1) if own else fits)
                 ok = coarse_fits(p[i], q[j], n[i], m[j], num, den)
+                i, j = i[ok], j[ok]
+                one, two = ([coordinates(b, int(k)) for b, k in zip(s.values.field("point").to_pylist(), sizes)] for s, sizes in ((xs, n), (ys, m)))
+                ok = np.array([enough(min(overlap_bound(one[a], two[b]), n[a], m[b]), n[a], m[b], num, den) for a, b in zip(i, j)], bool)
                 if ok.any():
                     yield _pair_batch(n[i[ok]], fp[i[ok]], m[j[ok]], fq[j[ok]])
 
@@ -396,7 +402,9 @@ def similar_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     points = profile.where(F.col("point").isNotNull()).select(_node("n", "fp").alias("node"), "point").dropDuplicates(["node"])
 
     star = members.where(_sizes_fit("n", "hn", num, den)).select(_node("hn", "hf").alias("a"), _node("n", "fp").alias("b"))
-    star = star.where("a != b").distinct()
+    shared = star.where("a != b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("keys"))
+    best = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("keys"), "a"))
+    star = shared.withColumn("__best", best).where(F.col("__best") <= TRIED).select("a", "b")
     pairs = settle(_bounded(star, points, num, den), "pairs")
     links = settle(_verified(pairs, docs, profile, k, num, den), "links")
     labels = connected_components(links)
@@ -407,7 +415,7 @@ def similar_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     open_keys = marked.groupBy("key").agg(F.min("class").alias("x"), F.max("class").alias("y"), F.count(F.lit(1)).alias("size"))
     coarse = profile.where(F.col("coarse").isNotNull()).select(_node("n", "fp").alias("node"), "coarse").dropDuplicates(["node"])
     rest = marked.join(open_keys.where("x != y").select("key", "size"), "key").withColumn("node", _node("n", "fp")).join(coarse, "node")
-    tried = _tree_pairs(rest.select("key", "size", "n", "fp", "class", "coarse"), num, den)
+    tried = _tree_pairs(rest.select("key", "size", "n", "fp", "class", "coarse"), points, num, den)
     more = settle(_bounded(tried, points, num, den), "pairs")
     links = links.unionByName(_verified(more, docs, profile, k, num, den))
     labels = connected_components(links)
