@@ -77,20 +77,25 @@ def count_of(level: np.ndarray) -> np.ndarray:
     return np.where(level > 0, (top / 2 + top - 1) / 2, 0.0)
 
 
-def _bits(key: np.ndarray, level: int, probe: int, size: np.ndarray) -> np.ndarray:
-    x = mix(key + U64(level * PROBES + probe + 1) * U64(0x9E3779B97F4A7C15)) >> U64(32)
-    return (x * size.astype(np.uint64)) >> U64(32)
+def _hashes(key: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    x = mix(key + U64(level * 0x9E3779B97F4A7C15 & 2**64 - 1))
+    return x >> U64(32), (x & U64(0xFFFFFFFF)) | U64(1)
+
+
+def _bit(one: np.ndarray, two: np.ndarray, probe: int, size: np.ndarray) -> np.ndarray:
+    """Place of a probe among `size` bits, fewer than 2**32."""
+    return ((((one + U64(probe) * two) & U64(0xFFFFFFFF)) * size.astype(np.uint64)) >> U64(32)).astype(np.int64)
 
 
 def build_segment(key: np.ndarray, count: np.ndarray) -> bytes:
-    """The bits of one segment."""
+    """The bits of one segment, and their number."""
     level = level_of(count)
     size = max(64, int(level.sum()) * BITS)
     bits = np.zeros(size, bool)
     for q in range(1, int(level.max(initial=0)) + 1):
-        own = key[level >= q]
+        one, two = _hashes(key[level >= q], q)
         for p in range(PROBES):
-            bits[_bits(own, q, p, np.array([size])).astype(np.int64)] = True
+            bits[_bit(one, two, p, np.array([size]))] = True
     return np.packbits(bits, bitorder="little").tobytes() + size.to_bytes(8, "little")
 
 
@@ -116,10 +121,12 @@ class Filter:
         open_ = np.arange(len(key))
         q = 1
         while len(open_):
+            one, two = _hashes(key[open_], q)
             for p in range(PROBES):
                 own = segment[open_]
-                bit = self.base[own] + _bits(key[open_], q, p, self.size[own]).astype(np.int64)
-                open_ = open_[(self.bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1]
+                bit = self.base[own] + _bit(one, two, p, self.size[own])
+                hit = (self.bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+                open_, one, two = open_[hit], one[hit], two[hit]
             level[open_] = q
             q += 1
         return level
@@ -137,42 +144,39 @@ class LanguageModel:
     n_words: int
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each batch its distinct words and pairs with their numbers."""
+def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    data, off = utf8(column)
+    parts = [tokens(data[off[a] : off[b]], off[a : b + 1] - off[a])[:2] for a, b in chunks(off, 1 << 19)]
+    return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.uint64),) * 2
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each batch its distinct words, the end and the beginning, with their numbers."""
     for batch in batches:
-        data, off = utf8(batch.column(0))
-        parts = [tokens(data[off[a] : off[b]], off[a : b + 1] - off[a]) for a, b in chunks(off, 1 << 21)]
-        if not parts:
-            continue
-        token = np.concatenate([p[0] for p in parts])
-        before = np.concatenate([p[1] for p in parts])
+        token, before = _tokens(batch.column(0))
         word, n = np.unique(token, return_counts=True)
         starts = int((before == _BEGIN).sum())
-        yield pa.record_batch([signed(np.append(word, _BEGIN)), pa.nulls(len(word) + 1, pa.int64()), pa.array(np.append(n, starts))], ["word", "before", "n"])
-        order = np.lexsort((token, before))
-        t, b = token[order], before[order]
-        new = np.ones(len(t), bool)
-        new[1:] = (t[1:] != t[:-1]) | (b[1:] != b[:-1])
-        at = np.flatnonzero(new)
-        yield pa.record_batch([signed(t[at]), signed(b[at]), pa.array(np.diff(np.append(at, len(t))))], ["word", "before", "n"])
+        yield pa.record_batch([signed(np.append(word, _BEGIN)), pa.array(np.append(n, starts))], ["hash", "n"])
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each batch the keys of its distinct pairs with their numbers."""
+    for batch in batches:
+        token, before = _tokens(batch.column(0))
+        key, n = np.unique(pair_key(before, token), return_counts=True)
+        yield pa.record_batch([signed(key), pa.array(n)], ["key", "n"])
 
 
 def fit_model(df: DataFrame, text_col: str = "text") -> LanguageModel:
     """Counts over all texts; a null text is empty and teaches its end. An empty table gives a model without n-grams."""
     spark = df.sparkSession
     small_batches(spark)
-    counted = df.select(F.col(text_col).alias("text")).mapInArrow(_counts, "word long, before long, n long")
-    vocabulary = settle(counted.where("before is null").groupBy(F.col("word").alias("hash")).agg(F.sum("n").alias("n")), "vocabulary")
+    texts = df.select(F.col(text_col).alias("text"))
+    vocabulary = settle(texts.mapInArrow(_words, "hash long, n long").where("n > 0").groupBy("hash").agg(F.sum("n").alias("n")), "vocabulary")
     begin = int(np.array([_BEGIN]).view(np.int64)[0])
     n_tokens, n_words = vocabulary.where(F.col("hash") != begin).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     segments = max(8, -(-2 * n_tokens // SEGMENT))
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _counts(batches):
-            if not batch.column(1).null_count:
-                t, b = (np.asarray(batch.column(c)).view(np.uint64) for c in (0, 1))
-                yield pa.record_batch([signed(pair_key(b, t)), batch.column(2)], ["key", "n"])
-
     def singles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.record_batch([signed(word_key(np.asarray(batch.column(0)).view(np.uint64))), batch.column(1)], ["key", "n"])
@@ -186,7 +190,7 @@ def fit_model(df: DataFrame, text_col: str = "text") -> LanguageModel:
             data = build_segment(key[at].view(np.uint64), np.add.reduceat(n, at))
             yield pa.record_batch([pa.array([segment], pa.int32()), pa.array([data], pa.binary())], ["segment", "bits"])
 
-    rows = df.select(F.col(text_col).alias("text")).mapInArrow(pairs, "key long, n long")
+    rows = texts.mapInArrow(_pairs, "key long, n long")
     rows = rows.unionByName(vocabulary.select("hash", "n").mapInArrow(singles, "key long, n long"))
     segment = F.expr(f"shiftrightunsigned(key, 40) % {segments}")
     made = settle(rows.repartition(segment).sortWithinPartitions(segment).mapInArrow(bits, "segment int, bits binary"), "filter")
@@ -243,18 +247,18 @@ def score_texts(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", tex
         (top.column("hash").to_numpy().view(np.uint64)[order], np.log10(top.column("n").to_numpy()[order] + 1.0).astype(np.float64))
     )  # top_words at most
     at_hand = model.filter_bytes <= resident
-    bits = spark.sparkContext.broadcast({r["segment"]: bytes(r["bits"]) for r in model.segments.toLocalIterator()} if at_hand else {})
+    bits = spark.sparkContext.broadcast(Filter({r["segment"]: bytes(r["bits"]) for r in model.segments.toLocalIterator()}, model.n_segments) if at_hand else None)
     n_segments, n_tokens, n_words = model.n_segments, model.n_tokens, model.n_words
     names = ["id", "tie", "n_tokens", "n_known", "logs", "score", "hash", "times"]
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One row per text, with hash null, and one for each rarer word of it."""
         words, logs = known.value
-        probe = Filter(bits.value, n_segments) if at_hand else None
+        probe = bits.value
         for batch in batches:
             data, off = utf8(batch.column(2))
             parts = []
-            for a, b in chunks(off, 1 << 21):
+            for a, b in chunks(off, 1 << 19):
                 token, before, row = tokens(data[off[a] : off[b]], off[a : b + 1] - off[a])
                 parts.append((token, before, row + a))
             if not parts:
