@@ -11,35 +11,46 @@ from epochline.plans import report
 QUERIES = Registry()
 query = QUERIES.query
 
-RAW = f"WITH {BASE_CTES}, raw AS ({RAW_SQL})"
+RAW = f"WITH {BASE_CTES}, raw AS (SELECT * FROM ({RAW_SQL}) WHERE year_bin BETWEEN -700000 AND 2025)"
+LONG = f"""WITH {RESAMPLED_CTES}, lt AS (SELECT year_bin, {', '.join(f'(round({c}, 5) + 0.0) AS {c}' for c in MEASURES)} FROM fi WHERE year_bin <= 2025)"""
 SPANS = "spans AS (SELECT * FROM (VALUES " + ", ".join(f"({lo}, {hi}, '{t}')" for lo, hi, t in report.GLACIATIONS) + ") s(lo, hi, label))"
 
 
 @query(
     "report_windows",
     "R1",
-    f"""{RAW} SELECT 'modern' AS win, year_bin, anomaly, co2_ppm FROM raw WHERE year_bin BETWEEN 1850 AND 2025
-    UNION ALL SELECT 'since_ice_age', year_bin, anomaly, co2_ppm FROM raw WHERE year_bin >= -12000
-    UNION ALL SELECT 'eruption', year_bin, anomaly, co2_ppm FROM raw WHERE year_bin BETWEEN -700000 AND -600000
-    UNION ALL SELECT 'long_term', year_bin, anomaly, co2_ppm FROM raw WHERE year_bin >= -800000""",
+    f"""SELECT win, year_bin, {r('anomaly', 5)} AS anomaly, {r('co2_ppm', 5)} AS co2_ppm FROM (
+    ({RAW} SELECT 'modern' AS win, year_bin, anomaly, co2_ppm FROM raw WHERE year_bin BETWEEN 1850 AND 2025
+    UNION ALL SELECT 'since_ice_age', year_bin, anomaly, co2_ppm FROM raw WHERE year_bin >= -12000) UNION ALL
+    ({LONG} SELECT 'eruption', year_bin, anomaly, co2_ppm FROM lt WHERE year_bin BETWEEN -700000 AND -600000
+    UNION ALL SELECT 'long_term', year_bin, anomaly, co2_ppm FROM lt WHERE year_bin >= -800000))""",
 )
 def report_windows(spark, sf_dir):
-    raw = raw_view(spark, sf_dir)
-    parts = [report.series_window(raw, name).select(F.lit(name).alias("win"), "*") for name in report.WINDOWS]
-    merged = parts[0]
-    for part in parts[1:]:
-        merged = merged.unionByName(part)
-    return merged
+    raw, long_term = past_raw(spark, sf_dir), past_long_term(spark, sf_dir)
+    merged = None
+    for name in report.WINDOWS:
+        view = long_term if name in report.LONG_TERM_WINDOWS else raw
+        part = report.series_window(view, name).select(F.lit(name).alias("win"), "year_bin", "anomaly", "co2_ppm")
+        merged = part if merged is None else merged.unionByName(part)
+    return rounded(merged, ["anomaly", "co2_ppm"], 5)
+
+
+def past_raw(spark, sf_dir):
+    return report.report_base(raw_view(spark, sf_dir))
+
+
+def past_long_term(spark, sf_dir):
+    return long_term_view(spark, sf_dir).where(F.col("year_bin") <= CONFIG.present)
 
 
 @query(
     "report_co2_trend",
     "R2 A15",
-    f"""{RAW} SELECT CASE WHEN year_bin < 1750 THEN 'Before 1750' ELSE '1750-Present' END AS period, {r('regr_slope(anomaly, co2_ppm)')} AS slope,
+    f"""{RAW} SELECT CASE WHEN year_bin < 1750 THEN 'Before 1750' ELSE '1750-Present' END AS period, CASE WHEN var_pop(co2_ppm) > 0 THEN {r('regr_slope(anomaly, co2_ppm)')} END AS slope,
       {r('regr_intercept(anomaly, co2_ppm)', 4)} AS intercept, {r('regr_r2(anomaly, co2_ppm)')} AS r2, regr_count(anomaly, co2_ppm)::BIGINT AS n FROM raw GROUP BY 1""",
 )
 def report_co2_trend(spark, sf_dir):
-    _, lines = report.anomaly_by_co2(raw_view(spark, sf_dir))
+    _, lines = report.anomaly_by_co2(past_raw(spark, sf_dir))
     return rounded(rounded(lines, ["slope", "r2"]), ["intercept"], 4)
 
 
@@ -56,7 +67,7 @@ CYCLES = ["anomaly", "co2_ppm", "eccentricity", "global_insolation"]
     SELECT year_bin, variable, {r('value')} AS value, label FROM l LEFT JOIN spans ON year_bin BETWEEN lo AND hi""",
 )
 def report_glacial_cycles(spark, sf_dir):
-    return rounded(report.glacial_cycles(raw_view(spark, sf_dir)), ["value"])
+    return rounded(report.glacial_cycles(past_raw(spark, sf_dir)), ["value"])
 
 
 @query(
@@ -68,10 +79,7 @@ def report_glacial_cycles(spark, sf_dir):
     UNION ALL SELECT year_bin, 'global_insolation', {r('(global_insolation - l2) / (h2 - l2)')}, {r('(anomaly - l0) / (h0 - l0)')}, year_bin >= -12000 FROM p, b""",
 )
 def report_scatter(spark, sf_dir):
-    return rounded(report.scatter_pairs(raw_view(spark, sf_dir)), ["x", "y"])
-
-
-LONG = f"WITH {RESAMPLED_CTES}, lt AS (SELECT year_bin, {', '.join(f'(round({c}, 5) + 0.0) AS {c}' for c in MEASURES)} FROM fi)"
+    return rounded(report.scatter_pairs(past_raw(spark, sf_dir)), ["x", "y"])
 
 
 @query(
@@ -82,7 +90,7 @@ LONG = f"WITH {RESAMPLED_CTES}, lt AS (SELECT year_bin, {', '.join(f'(round({c},
     FROM lt LEFT JOIN spans ON year_bin BETWEEN lo AND hi, ends""",
 )
 def report_modulation(spark, sf_dir):
-    return rounded(report.modulation_overlay(long_term_view(spark, sf_dir)), ["solar_modulation", "anomaly"], 5)
+    return rounded(report.modulation_overlay(past_long_term(spark, sf_dir)), ["solar_modulation", "anomaly"], 5)
 
 
 @query(
@@ -113,5 +121,5 @@ _TRENDS = " UNION ALL ".join(
 
 @query("report_predictor_trends", "R8 A15", f"{LONG} {_TRENDS}")
 def report_predictor_trends(spark, sf_dir):
-    lines = report.predictor_trends(long_term_view(spark, sf_dir)).drop("r2")
+    lines = report.predictor_trends(past_long_term(spark, sf_dir)).drop("r2")
     return rounded(lines, ["slope", "intercept"], 5)

@@ -24,15 +24,17 @@ def main(arguments: list[str] | None = None) -> None:
 
     config = FlowConfig.from_document(options.config) if options.config else FlowConfig()
     spark = build_session(master=options.master)
-    if options.stage == "star":
-        flow.run_star(read_inputs(spark, InputPaths.in_folder(options.inputs)), options.out)
-    elif options.stage == "views":
-        flow.run_views(spark, options.star, options.out, config)
-    elif options.stage == "models":
-        flow.run_models(spark, options.views, options.out, config).show(truncate=False)
-    else:
-        flow.run_reports(spark, options.views, options.models, options.out, config)
-    drop_scratch(spark)
+    try:
+        if options.stage == "star":
+            flow.run_star(read_inputs(spark, InputPaths.in_folder(options.inputs)), options.out)
+        elif options.stage == "views":
+            flow.run_views(spark, options.star, options.out, config)
+        elif options.stage == "models":
+            flow.run_models(spark, options.views, options.out, config).show(truncate=False)
+        else:
+            flow.run_reports(spark, options.views, options.models, options.out, config)
+    finally:
+        drop_scratch(spark)
 
 
 if __name__ == "__main__":

@@ -70,7 +70,7 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
 def run_reports(spark: SparkSession, views_dir: str, models_dir: str, out: str, config: FlowConfig = FlowConfig()) -> None:
     """Write the plot-ready tables."""
     past = F.col(views.KEY) <= config.present
-    raw = spark.read.parquet(f"{views_dir}/raw_view").where(past)
+    raw = report.report_base(spark.read.parquet(f"{views_dir}/raw_view"), (report.RAW_RANGE[0], config.present))
     long_term = spark.read.parquet(f"{views_dir}/long_term_view").where(past)
     points, lines = report.anomaly_by_co2(raw)
     board = read_metrics(spark, f"{models_dir}/scoreboard")
@@ -88,6 +88,8 @@ def run_reports(spark: SparkSession, views_dir: str, models_dir: str, out: str,
         "scoreboard": scoreboard(board),
         "predictor_trends": report.predictor_trends(long_term),
     }
-    tables |= {f"window_{name}": report.series_window(raw, name) for name in report.WINDOWS}
+    for name in report.WINDOWS:
+        view = long_term if name in report.LONG_TERM_WINDOWS else raw
+        tables[f"window_{name}"] = report.series_window(view, name)
     for name, df in tables.items():
         write_parquet(df, f"{out}/{name}")

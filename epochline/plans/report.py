@@ -43,6 +43,10 @@ EVENTS = (
     (1_760, "Industrial Revolution"),
 )
 
+# The range of the raw view that all its reports are drawn from, and the windows that show the long-term view.
+RAW_RANGE = (-700_000, 2_025)
+LONG_TERM_WINDOWS = ("long_term", "eruption")
+
 SEGMENT_YEAR = 1_750
 INDUSTRIAL_YEAR = 1_850
 ICE_AGE_END = -12_000
@@ -56,6 +60,11 @@ def event_markers(spark) -> DataFrame:
     return spark.createDataFrame(list(EVENTS), "year bigint, label string")
 
 
+def report_base(raw: DataFrame, between: tuple[float, float] = RAW_RANGE, key: str = KEY) -> DataFrame:
+    """The rows of the raw view that reports show. Scales and trends are of these rows alone."""
+    return raw.where(F.col(key).between(*between))
+
+
 def series_window(view: DataFrame, window: str | tuple, cols: Iterable[str] = (TARGET, "co2_ppm"), key: str = KEY):
     """R1: a series within a named or given year range."""
     low, high = WINDOWS[window] if isinstance(window, str) else window
