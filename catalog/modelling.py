@@ -203,7 +203,7 @@ def kfold_stepwise(spark, sf_dir):
 
 @query("gbt_kfold", "M8 M5 A12")
 def gbt_kfold(spark, sf_dir):
-    predicted, _ = trees.gbt_kfold(lines(spark, sf_dir), X, Y, "key", k=2, fold_method="hash", maxIter=3, maxDepth=3)
+    predicted, _ = trees.gbt_kfold(lines(spark, sf_dir), X, Y, "key", k=10, fold_method="hash", partitions=8, maxIter=5)
     return predicted.select("key", Y, F.round("pred", 6).alias("pred"))
 
 
