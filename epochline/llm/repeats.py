@@ -56,8 +56,12 @@ class Grams:
 
     def text(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """Identifiers of the bytes lo to hi + length - 1. They hold at most five blocks of 2q."""
-        block, last = 2 * self.q, hi + self.length - 2 * self.q
-        out = (hi - lo + 1).astype(np.uint64)
+        return self.bytes(lo, hi - lo + self.length)
+
+    def bytes(self, lo: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Identifiers of `size` bytes from lo on, at least 2q of them."""
+        block, last = 2 * self.q, lo + size - 2 * self.q
+        out = np.asarray(size).astype(np.uint64) + np.zeros(len(lo), np.uint64)
         for k in range(5):
             out = mix(out * _C + self.two[np.minimum(lo + k * block, last)])
         return out
@@ -213,7 +217,10 @@ def _finer(length: int, width: int):
                 cut[1:] = (gap[1:] // width != gap[:-1] // width) | (owner[1:] != owner[:-1])
                 s = np.flatnonzero(cut)
                 e = np.append(s[1:], len(at)) - 1
-                key = mix(grams.one[np.repeat(least, hi - lo + 1)[s]] + (gap[s] // width).astype(np.uint64))
+                # all windows of a cut hold the same `core` bytes, so equal strings are in one bucket of cores
+                core, turn = length - width + 1, gap[s] // width
+                key = grams.bytes(at[s] + gap[s] - turn * width, core) if core >= 2 * grams.q else grams.one[at[s] + gap[s]]
+                key = mix(key + turn.astype(np.uint64))
                 content = mix(grams.text(at[s], at[e]) + gap[s].astype(np.uint64) * _D)
                 found.append((row[owner[s]], key, content, base[owner[s]] + offset[s], e - s + 1))
             yield _first_only(batch, *(np.concatenate(x) for x in zip(*found)))
