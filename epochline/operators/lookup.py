@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +31,19 @@ def _merged(df: DataFrame, ref: DataFrame, on: list[str], key: str, t: str, valu
     return merged if lane is None else merged.withColumn("__lane", lane)
 
 
+def _once_per_key(df: DataFrame, keys: list[str], find: Callable[[DataFrame], DataFrame], out: str) -> DataFrame:
+    """`find` for the distinct keys, joined back to all rows.
+
+    A key that a third of the rows share is looked up once; in the join, Spark can split its rows.
+    """
+    found = find(df.select(*keys).distinct())
+    named = found.select(*[F.col(c).alias(f"__key{i}") for i, c in enumerate(keys)], F.col(out).alias("__out"))
+    same = F.lit(True)
+    for i, c in enumerate(keys):
+        same = same & df[c].eqNullSafe(named[f"__key{i}"])
+    return df.join(named, same, "left").select(*[df[c] for c in df.columns], named["__out"].alias(out))
+
+
 def forward_lookup(
     df: DataFrame,
     ref: DataFrame,
@@ -49,10 +62,14 @@ def forward_lookup(
     """
     on = names(on)
     lane = F.pmod(F.col("__at"), F.lit(float(step)))
-    merged = _merged(df, ref, on, key, t, value, lane)
-    exprs = {"__found": Fill("__known", direction="backward")}
-    found = with_ordered(merged, "__at", exprs, [*on, "__lane"], ["__side"], **limits)
-    return found.where(F.col("__side") == 0).select(*df.columns, F.col("__found").alias(out or value))
+
+    def find(probes: DataFrame) -> DataFrame:
+        merged = _merged(probes, ref, on, key, t, value, lane)
+        exprs = {"__found": Fill("__known", direction="backward")}
+        found = with_ordered(merged, "__at", exprs, [*on, "__lane"], ["__side"], **limits)
+        return found.where(F.col("__side") == 0).select(*probes.columns, F.col("__found").alias(out or value))
+
+    return _once_per_key(df, [*on, key], find, out or value)
 
 
 def nearest_lookup(
@@ -60,16 +77,20 @@ def nearest_lookup(
 ) -> DataFrame:
     """Per probe the nearest reference key, the lower one on a tie."""
     on = names(on)
-    merged = _merged(df, ref, on, key, t, t, None)
-    exprs = {
-        "__left": NearestKnown("__known", direction="forward"),
-        "__right": NearestKnown("__known", direction="backward"),
-    }
-    both = with_ordered(merged, "__at", exprs, on, ["__side"], **limits).where(F.col("__side") == 0)
-    left, right = F.col("__left.v"), F.col("__right.v")
-    at = F.col("__at")
-    nearer = F.when(right.isNull() | (at - left <= right - at), left).otherwise(right)
-    return both.select(*df.columns, F.coalesce(nearer, right).alias(out))
+
+    def find(probes: DataFrame) -> DataFrame:
+        merged = _merged(probes, ref, on, key, t, t, None)
+        exprs = {
+            "__left": NearestKnown("__known", direction="forward"),
+            "__right": NearestKnown("__known", direction="backward"),
+        }
+        both = with_ordered(merged, "__at", exprs, on, ["__side"], **limits).where(F.col("__side") == 0)
+        left, right = F.col("__left.v"), F.col("__right.v")
+        at = F.col("__at")
+        nearer = F.when(right.isNull() | (at - left <= right - at), left).otherwise(right)
+        return both.select(*probes.columns, F.coalesce(nearer, right).alias(out))
+
+    return _once_per_key(df, [*on, key], find, out)
 
 
 def label_intervals(
