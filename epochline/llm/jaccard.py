@@ -286,7 +286,7 @@ def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def leaf(rows: pa.RecordBatch) -> pa.RecordBatch:
         n, _, _, _, coarse = _points(rows, 1)
-        members = pa.StructArray.from_arrays([rows.column(c) for c in range(1, 6)], ["n", "fp", "class", "coarse", "point"])
+        members = pa.StructArray.from_arrays([rows.column(c) for c in range(1, 7)], ["n", "fp", "class", "coarse", "point", "keys"])
         corner = coarse.max(axis=0) if coarse[:, 0].max() < 255 else np.full(BOX, 2**24)
         return pa.record_batch(
             [
@@ -317,6 +317,12 @@ def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield leaf(held)
 
 
+def _shared_keys(a: pa.ListScalar, b: pa.ListScalar) -> list[int]:
+    """The first SHARED of the keys that two sets share, in their common order."""
+    one, two = np.asarray(a.values), np.asarray(b.values)
+    return one[np.isin(one, two)][:SHARED].tolist()
+
+
 def _tree_pairs(members: DataFrame, points: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of different classes that share enough keys and that no coarse bound excludes.
 
@@ -327,8 +333,8 @@ def _tree_pairs(members: DataFrame, points: DataFrame, num: int, den: int) -> Da
     columns = ["key", "n", "fp", "class", "coarse"]
     small = members.where(F.col("size") <= PAGE).select(*columns).repartition("key").sortWithinPartitions("key")
     found = small.mapInArrow(_small_trees(num, den), _PAIR)
-    schema = "key long, page int, low int, high int, corner array<long>, members array<struct<n:int,fp:long,class:struct<n:int,fp:long>,coarse:binary,point:binary>>"
-    large = members.where(F.col("size") > PAGE).withColumn("node", _node("n", "fp")).join(points, "node").select(*columns, "point").repartition("key").sortWithinPartitions("key", "n", "coarse")
+    schema = "key long, page int, low int, high int, corner array<long>, members array<struct<n:int,fp:long,class:struct<n:int,fp:long>,coarse:binary,point:binary,keys:array<long>>>"
+    large = members.where(F.col("size") > PAGE).withColumn("node", _node("n", "fp")).join(points, "node").select(*columns, "point", "keys").repartition("key").sortWithinPartitions("key", "n", "coarse")
     leaves = settle(large.mapInArrow(_leaves, schema), "leaves")
     x, y = leaves.alias("x"), leaves.alias("y")
     corner = F.aggregate(F.zip_with("x.corner", "y.corner", lambda a, b: F.least(a, b)), F.lit(0).cast("long"), lambda s, v: s + v)
@@ -338,11 +344,11 @@ def _tree_pairs(members: DataFrame, points: DataFrame, num: int, den: int) -> Da
         & (den * F.col("x.high") >= num * F.col("y.low"))
         & ((den + num) * corner >= num * (F.col("x.low") + F.col("y.low")))
     )
-    rows = x.join(y, close).select((F.col("x.page") == F.col("y.page")).alias("own"), F.col("x.members").alias("xs"), F.col("y.members").alias("ys"))
+    rows = x.join(y, close).select((F.col("x.page") == F.col("y.page")).alias("own"), F.col("x.key").alias("key"), F.col("x.members").alias("xs"), F.col("y.members").alias("ys"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for own, xs, ys in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+            for own, key, xs, ys in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
                 n, fp, cn, cf, p = _points(pa.RecordBatch.from_struct_array(xs.values), 0)
                 m, fq, dn, df, q = _points(pa.RecordBatch.from_struct_array(ys.values), 0)
                 fits = ((cn[:, None] != dn) | (cf[:, None] != df)) & (den * np.minimum(n[:, None], m) >= num * np.maximum(n[:, None], m))
@@ -351,6 +357,10 @@ def _tree_pairs(members: DataFrame, points: DataFrame, num: int, den: int) -> Da
                 i, j = i[ok], j[ok]
                 one, two = ([coordinates(b, int(k)) for b, k in zip(s.values.field("point").to_pylist(), sizes)] for s, sizes in ((xs, n), (ys, m)))
                 ok = np.array([enough(min(overlap_bound(one[a], two[b]), n[a], m[b]), n[a], m[b], num, den) for a, b in zip(i, j)], bool)
+                i, j = i[ok], j[ok]
+                # a pair is told by the first SHARED keys that it shares, and not by all of them
+                mine, theirs = xs.values.field("keys"), ys.values.field("keys")
+                ok = np.array([key in _shared_keys(mine[int(a)], theirs[int(b)]) for a, b in zip(i, j)], bool)
                 if ok.any():
                     yield _pair_batch(n[i[ok]], fp[i[ok]], m[j[ok]], fq[j[ok]])
 
@@ -400,6 +410,7 @@ def similar_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = keyed.repartition("key").sortWithinPartitions("key", "n", "fp")
     members = settle(rows.mapInArrow(_shared, "key long, n int, fp long, hn int, hf long"), "members")
     points = profile.where(F.col("point").isNotNull()).select(_node("n", "fp").alias("node"), "point").dropDuplicates(["node"])
+    whole = profile.where(F.col("point").isNotNull()).select(_node("n", "fp").alias("node"), "point", "keys").dropDuplicates(["node"])
 
     star = members.where(_sizes_fit("n", "hn", num, den)).select(_node("hn", "hf").alias("a"), _node("n", "fp").alias("b"))
     shared = star.where("a != b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("keys"))
@@ -415,10 +426,16 @@ def similar_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     open_keys = marked.groupBy("key").agg(F.min("class").alias("x"), F.max("class").alias("y"), F.count(F.lit(1)).alias("size"))
     coarse = profile.where(F.col("coarse").isNotNull()).select(_node("n", "fp").alias("node"), "coarse").dropDuplicates(["node"])
     rest = marked.join(open_keys.where("x != y").select("key", "size"), "key").withColumn("node", _node("n", "fp")).join(coarse, "node")
-    tried = _tree_pairs(rest.select("key", "size", "n", "fp", "class", "coarse"), points, num, den)
+    tried = _tree_pairs(rest.select("key", "size", "n", "fp", "class", "coarse"), whole, num, den)
     more = settle(_bounded(tried, points, num, den), "pairs")
-    links = links.unionByName(_verified(more, docs, profile, k, num, den))
-    labels = connected_components(links)
+    found = _verified(more, docs, profile, k, num, den)
+    # links of the second round join classes of the first
+    for end in ("a", "b"):
+        first = classes.select(F.col("node").alias(end), F.col("label").alias("class"))
+        found = found.join(first, end, "left").withColumn(end, F.coalesce("class", end)).drop("class")
+    joined = connected_components(found.distinct()).select(F.col("node").alias("label"), F.col("label").alias("top"))
+    alone = joined.join(classes.select(F.col("node").alias("label")), "label", "left_anti").select(F.col("label").alias("node"), F.col("top").alias("label"))
+    labels = classes.join(joined, "label", "left").select("node", F.coalesce("top", "label").alias("label")).unionByName(alone)
 
     own = profile.select("id", "tie", "n", _node("n", "fp").alias("node"))
     classed = settle(own.join(labels, "node", "left").select("id", "tie", "n", F.coalesce("label", "node").alias("class")), "classed")
