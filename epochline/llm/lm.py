@@ -12,6 +12,7 @@ all counts read from the filter.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,8 +28,8 @@ from epochline.session import settle
 BITS, PROBES = 8, 4
 #: Counted n-grams in a segment, about.
 SEGMENT = 1_000_000
-#: Words whose exact counts go to all workers; the others are joined.
-TOP_WORDS = 2_000_000
+#: Share of all tokens from which on a word's exact count goes to all workers, which bounds these words by five million at any size; the others are joined.
+TOP_SHARE = 2e-7
 #: Bytes of a filter that goes to all workers at most.
 RESIDENT = 256 << 20
 #: Weight of the prior, in words.
@@ -222,7 +223,7 @@ def pair_logs(pair: np.ndarray, before: np.ndarray, word: np.ndarray, n_tokens:
     return np.log10((c_pair + PRIOR * single) / (np.maximum(count_of(before), c_pair) + PRIOR))
 
 
-def score_texts(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", top_words: int = TOP_WORDS, resident: int = RESIDENT) -> DataFrame:
+def score_texts(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", top_share: float = TOP_SHARE, resident: int = RESIDENT) -> DataFrame:
     """(id, n_tokens, n_known, base_score, score) per row.
 
     `base_score` takes exact counts: those of the most frequent words are at hand, those of rarer ones are
@@ -235,17 +236,12 @@ def score_texts(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", tex
     rows = df.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("tie"), text.alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
 
-    histogram = model.vocabulary.groupBy(F.least("n", F.lit(1000)).alias("n")).count().orderBy(F.desc("n")).collect()
-    least, held = 1001, 0
-    for r in histogram:
-        if held + r["count"] > top_words:
-            break
-        least, held = r["n"], held + r["count"]
-    top = model.vocabulary.where(F.col("n") >= least).toArrow() if held else pa.table({"hash": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
+    least = max(1, math.ceil(top_share * model.n_tokens))
+    top = model.vocabulary.where(F.col("n") >= least).toArrow()
     order = np.argsort(top.column("hash").to_numpy().view(np.uint64))
     known = spark.sparkContext.broadcast(
         (top.column("hash").to_numpy().view(np.uint64)[order], np.log10(top.column("n").to_numpy()[order] + 1.0).astype(np.float64))
-    )  # top_words at most
+    )  # 1 / top_share words at most
     at_hand = model.filter_bytes <= resident
     bits = spark.sparkContext.broadcast(Filter({r["segment"]: bytes(r["bits"]) for r in model.segments.toLocalIterator()}, model.n_segments) if at_hand else None)
     n_segments, n_tokens, n_words = model.n_segments, model.n_tokens, model.n_words
