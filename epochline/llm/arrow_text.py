@@ -70,12 +70,13 @@ NOT_ALNUM = ~np.array([i >= 128 or chr(i).isalnum() for i in range(256)])
 class Words:
     """The words `[^\\x20\\x09-\\x0D]+` of some texts, with A-Z lowered: start, end, 64-bit hash and row of each.
 
-    `space` can name other bytes than those of ASCII white space as what stands between words.
+    `space` can name other bytes than those of ASCII white space as what stands between words; `values=BYTE`
+    tells capitals from small letters.
     """
 
-    def __init__(self, data: np.ndarray, off: np.ndarray, space: np.ndarray = _SPACE):
+    def __init__(self, data: np.ndarray, off: np.ndarray, space: np.ndarray = _SPACE, values: np.ndarray = FOLDED):
         n = len(data)
-        self.space = space
+        self.space, self.values = space, values
         solid = ~space[data]
         first = np.zeros(n + 1, bool)  # a text boundary ends a word as white space does
         first[off[:-1]] = True
@@ -107,7 +108,7 @@ class Words:
             at = np.zeros(len(data), np.int64)
             at[self.start[0] :] = np.arange(self.start[0], len(data)) - np.repeat(self.start, np.diff(np.append(self.start, len(data))))
         # bytes of the white space after a word count nothing
-        value = FOLDED[data]
+        value = self.values[data]
         value[self.space[data]] = U64(0)
         value *= powers[np.minimum(at, longest - 1)]
         sums = np.add.reduceat(value, self.start)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from epochline.llm import bpe, chains, decontaminate, jaccard, langid, lm, merkle, quality, repeats, toolcalls
+from epochline.llm import bpe, chains, decontaminate, jaccard, langid, lm, merkle, quality, repeats, runs, toolcalls
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -130,5 +130,37 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chains, op2_lm, op3_decontaminate, op4_langid, op5_jaccard, op6_toolcalls, op7_quality, op8_merkle, op9_repeats, op10_bpe)}
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): in a tenth of the documents the words from some place on become a repeated stretch."""
+    docs = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string")).alias("h"))
+    words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    g, n = F.floor(F.col("h") / 10), F.size("w").cast("long")
+    edited = docs.where("h % 10 = 0").withColumn("w", words).withColumn("a", F.when(n > 0, F.pmod(g, n)))
+    edited = edited.withColumn("p", 1 + F.floor((n - F.col("a")) / (3 + F.pmod(g, F.lit(8)))))
+    places = F.sequence(F.lit(0).cast("long"), n - 1)
+    moved = F.transform(places, lambda i: F.get("w", F.when(i < F.col("a"), i).otherwise(F.col("a") + F.pmod(i - F.col("a"), F.col("p")))))
+    edited = edited.withColumn("text", F.when(n > 0, F.array_join(moved, " ")).otherwise(F.col("text")))
+    return docs.where("h % 10 <> 0 or h is null").unionByName(edited.select("doc_id", "text", "h")).select("doc_id", "text")
+
+
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document, a tenth of which get one."""
+    found = runs.periodic_runs(with_planted_runs(read(spark, sf_dir, "documents")))
+    order = lambda x, y: F.when(x.length != y.length, y.length - x.length).when(x.start != y.start, x.start - y.start).otherwise(x.period - y.period)
+    best = F.get(F.array_sort("runs", lambda x, y: order(x, y).cast("int")), F.lit(0))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n")))
+    found = found.withColumn("best", best)
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_chains, op2_lm, op3_decontaminate, op4_langid, op5_jaccard, op6_toolcalls, op7_quality, op8_merkle, op9_repeats, op10_bpe, op11_runs)}
 SQL: dict[str, str] = {}
