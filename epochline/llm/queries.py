@@ -6,9 +6,10 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from epochline.llm import bpe, chains, decontaminate, jaccard, langid, lm, merkle, quality, repeats, runs, toolcalls
+from epochline.llm import alignment, bpe, chains, decontaminate, jaccard, langid, lm, merkle, packing, quality, repeats, runs, toolcalls
 
 WORD_BPE = "word_bpe_49k.json"
+BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -162,5 +163,20 @@ def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_chains, op2_lm, op3_decontaminate, op4_langid, op5_jaccard, op6_toolcalls, op7_quality, op8_merkle, op9_repeats, op10_bpe, op11_runs)}
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents and their places in sequences of 2048 tokens."""
+    packed = packing.pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), capacity=2048, end_id=0)
+    return packed.withColumn("length", F.col("length").cast("long"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers over every document."""
+    docs = read(spark, sf_dir, "documents")
+    return alignment.align_documents(docs, public_tokenizers.path(BYTE_BPE), public_tokenizers.path(PIECE_BPE))
+
+
+_ALL = (
+    op1_chains, op2_lm, op3_decontaminate, op4_langid, op5_jaccard, op6_toolcalls, op7_quality, op8_merkle, op9_repeats, op10_bpe, op11_runs, op12_packing, op13_alignment,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 SQL: dict[str, str] = {}
