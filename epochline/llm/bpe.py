@@ -22,8 +22,12 @@ from tokenizers import Tokenizer
 
 from epochline.llm.arrow_text import small_batches
 
-#: Entries of the word cache of a worker; it starts anew when full.
+#: Entries of the word cache of a worker.
 CACHE = 600_000
+#: Words that are encoded together, and signs one of which stands between them: it has to be a token of its own.
+TOGETHER, SIGNS = 64, "¤§¶®©±"
+#: Characters of a text in one piece; longer ones are dealt out.
+SPLIT_CHARS = 1 << 20
 #: A special token may span a join; agreement nearer to it than this many characters doesn't count.
 GUARD = 40
 
@@ -51,8 +55,16 @@ class Codec:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.leaf_chars = max(4, leaf_chars)
+        self.sign = next((c for c in SIGNS if self._apart(c)), None)
         self.cache = WordCache(self)
 
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _apart(self, sign: str) -> bool:
+        one = self._ids(sign)
+        return len(one) == 1 and self._ids(f"a {sign} b") == self._ids("a") + one + self._ids("b") and one[0] not in self._ids("a b")
+
     def leaf(self, text: str) -> Encoded:
         e = self.tokenizer.encode(text, add_special_tokens=False)
         at = np.array(e.offsets, np.int64).reshape(-1, 2)
@@ -89,25 +101,56 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit numbers."""
+        split = [parts(text) for text in texts]
+        self.cache.learn(set().union(*split) if split else set())
         find, join = self.cache.__getitem__, b"".join
-        return [join(map(find, parts(text))) for text in texts]
+        return [join(map(find, words)) for words in split]
 
 
 class WordCache(dict):
-    """Ids of words, encoded when first asked for."""
+    """Ids of words, encoded when first asked for.
+
+    Half of the words at hand are those that came up last; when they are CACHE / 2, they take the place of the
+    other half, so that words in use stay and those that came up once go.
+    """
 
     def __init__(self, codec: Codec):
         super().__init__()
-        self.codec = codec
+        self.codec, self.older = codec, {}
 
-    def __missing__(self, word: str) -> bytes:
-        if len(word) > self.codec.leaf_chars:
-            return self.codec.unsplit(word).ids.astype("<u4").tobytes()
-        if len(self) >= CACHE:
+    def keep(self, word: str, ids: bytes) -> bytes:
+        if len(self) >= CACHE // 2:
+            self.older = dict(self)
             self.clear()
-        ids = self[word] = array("I", self.codec.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        self[word] = ids
         return ids
 
+    def learn(self, words: set[str]) -> None:
+        """Encode those of the words that are not at hand, many at a time, as a single word costs the tokenizer mostly setting up."""
+        sign, longest = self.codec.sign, self.codec.leaf_chars
+        if sign is None:
+            return
+        older, needed = self.older, words.difference(self)
+        for w in needed.intersection(older):
+            self.keep(w, older[w])
+        fresh = [w for w in needed.difference(older) if w and len(w) <= longest and sign not in w]
+        groups = [fresh[k : k + TOGETHER] for k in range(0, len(fresh), TOGETHER)]
+        mark = self.codec._ids(sign)[0]
+        for group, e in zip(groups, self.codec.tokenizer.encode_batch_fast([f" {sign} ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            cuts = np.flatnonzero(ids == mark)
+            if len(cuts) == len(group) - 1:
+                for word, a, b in zip(group, [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]):
+                    self.keep(word, ids[a:b].tobytes())
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            if len(word) > self.codec.leaf_chars:
+                return self.codec.unsplit(word).ids.astype("<u4").tobytes()
+            ids = array("I", self.codec._ids(word)).tobytes()
+        return self.keep(word, ids)
+
 
 def _agree(side: Encoded, window: Encoded, first: int, shift: int, low: int, high: int) -> tuple[int | None, int | None]:
     """Where the side and the window have the same three tokens at the same places, between two positions of the joined text.
@@ -138,7 +181,7 @@ def codec(path: str, leaf_chars: int = 2048) -> Codec:
 
 
 def encode_texts(
-    df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", leaf_chars: int = 2048, split_chars: int = 1 << 20
+    df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", leaf_chars: int = 2048, split_chars: int = SPLIT_CHARS
 ) -> DataFrame:
     """(id, n_tokens, ids) per row; ids are little-endian unsigned 32-bit numbers in one binary value.
 
@@ -240,7 +283,7 @@ def decode_ids(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
 
 
 def round_trip(
-    df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", leaf_chars: int = 2048, split_chars: int = 1 << 20
+    df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", leaf_chars: int = 2048, split_chars: int = SPLIT_CHARS
 ) -> DataFrame:
     """(id, n_tokens, ids, decoded): encoding and decoding in one pass over the rows, for digests of both."""
     small_batches(df.sparkSession)

@@ -15,7 +15,7 @@ task and length, and a running sum of these counts. No piece is moved for it, an
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from epochline.llm.arrow_text import small_batches
-from epochline.llm.bpe import encode_texts
+from epochline.llm.bpe import SPLIT_CHARS, codec, encode_texts
 from epochline.session import settle, sized
 
 #: Groups of large lengths, and the share of the capacity from which on a length is large.
@@ -213,40 +213,50 @@ _PIECE = "piece int, start long, length int, ids_crc32 long, part int, nth long"
 
 
 def cut_pieces(df: DataFrame, path: str, capacity: int, end_id: int, id_col: str, text_col: str, keep_ids: bool) -> DataFrame:
-    """Rows (id, piece, start, length, ids_crc32, part, nth[, ids]); `nth` numbers the pieces of a length within a task, `part`."""
-    encoded = encode_texts(df, path, id_col, text_col).select(F.col(id_col).alias("id"), "ids")
-    kind = encoded.schema["id"].dataType.simpleString()
+    """Rows (id, piece, start, length, ids_crc32, part, nth[, ids]); `nth` numbers the pieces of a length within a task, `part`.
+
+    Texts are encoded and cut in one pass; only those that `bpe.encode_texts` deals out to tasks are encoded before.
+    """
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = rows.schema["id"].dataType.simpleString()
     end = int(end_id).to_bytes(4, "little")
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for batch in batches:
-            whole = [x + end for x in batch.column(1).to_pylist()]
-            sizes = np.array([len(x) // 4 for x in whole], np.int64)
-            number = -(-sizes // capacity)
-            row = np.repeat(np.arange(len(whole)), number)
-            piece = np.arange(len(row)) - np.repeat(np.cumsum(number) - number, number)
-            start = piece * capacity
-            length = np.minimum(capacity, sizes[row] - start)
-            pieces = [whole[r][4 * a : 4 * b] for r, a, b in zip(row.tolist(), start.tolist(), (start + length).tolist())]
-            order = np.argsort(length, kind="stable")
-            nth = np.empty(len(row), np.int64)
-            nth[order] = np.arange(len(row)) - np.searchsorted(length[order], length[order])
-            nth += seen[length]
-            seen += np.bincount(length, minlength=capacity + 1)
-            columns = [
-                batch.column(0).take(pa.array(row)),
-                pa.array(piece, pa.int32()),
-                pa.array(start, pa.int64()),
-                pa.array(length, pa.int32()),
-                pa.array([zlib.crc32(x) for x in pieces], pa.int64()),
-                pa.array(np.full(len(row), part), pa.int32()),
-                pa.array(nth, pa.int64()),
-                *([pa.array(pieces, pa.binary())] if keep_ids else []),
-            ]
-            yield pa.record_batch(columns, ["id", "piece", "start", "length", "ids_crc32", "part", "nth", *(["ids"] if keep_ids else [])])
-
-    return encoded.mapInArrow(cut, f"id {kind}, {_PIECE}{', ids binary' if keep_ids else ''}")
+    def cut(ids_of: Callable[[pa.Array], list[bytes]]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+            for batch in batches:
+                whole = [x + end for x in ids_of(batch.column(1))]
+                sizes = np.array([len(x) // 4 for x in whole], np.int64)
+                number = -(-sizes // capacity)
+                row = np.repeat(np.arange(len(whole)), number)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(number) - number, number)
+                start = piece * capacity
+                length = np.minimum(capacity, sizes[row] - start)
+                pieces = [whole[r][4 * a : 4 * b] for r, a, b in zip(row.tolist(), start.tolist(), (start + length).tolist())]
+                order = np.argsort(length, kind="stable")
+                nth = np.empty(len(row), np.int64)
+                nth[order] = np.arange(len(row)) - np.searchsorted(length[order], length[order])
+                nth += seen[length]
+                seen += np.bincount(length, minlength=capacity + 1)
+                columns = [
+                    batch.column(0).take(pa.array(row)),
+                    pa.array(piece, pa.int32()),
+                    pa.array(start, pa.int64()),
+                    pa.array(length, pa.int32()),
+                    pa.array([zlib.crc32(x) for x in pieces], pa.int64()),
+                    pa.array(np.full(len(row), part), pa.int32()),
+                    pa.array(nth, pa.int64()),
+                    *([pa.array(pieces, pa.binary())] if keep_ids else []),
+                ]
+                yield pa.record_batch(columns, ["id", "piece", "start", "length", "ids_crc32", "part", "nth", *(["ids"] if keep_ids else [])])
+
+        return run
+
+    schema = f"id {kind}, {_PIECE}{', ids binary' if keep_ids else ''}"
+    dealt = F.char_length("text") > SPLIT_CHARS
+    short = rows.where(~F.coalesce(dealt, F.lit(False))).mapInArrow(cut(lambda texts: codec(path).encode([t or "" for t in texts.to_pylist()])), schema)
+    long = encode_texts(rows.where(dealt), path, "id", "text", split_chars=SPLIT_CHARS).select("id", "ids")
+    return short.unionByName(long.mapInArrow(cut(lambda ids: ids.to_pylist()), schema))
 
 
 def pack_documents(
