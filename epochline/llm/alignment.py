@@ -35,16 +35,22 @@ from epochline.session import settle
 
 #: Longest text in one piece, in characters; neighbours composed in one round.
 SPLIT, FAN = 16_384, 8
-#: Words whose fragments a worker keeps, and the longest that is kept.
-CACHE, CACHED_CHARS = 200_000, 80
+#: Words whose fragments a worker keeps, the longest that is kept, and words that are worked out together.
+CACHE, CACHED_CHARS, TOGETHER = 600_000, 80, 256
+#: A word that is worked out with others, behind a blank or bare: no white space of any kind, and not the sign that stands for a blank.
+EASY = re.compile(r" ?[^\s\u180e▁]+")
 #: Pairs with at least one in HOT of all links are sent to all tasks; there are HOT of them at most.
 HOT = 1 << 19
-#: A blank between two other characters; some are white space to one library and not to another.
-BLANK = re.compile(r"(?<=[^\s\u180e]) (?=[^\s\u180e])")
-#: Where the first tokenizer's pattern ends a token for certain: at such a blank, and where ASCII letters, digits and other signs meet.
+#: A character that no library takes for white space.
+SOLID = r"[^\s\u180e]"
+#: Where a text is cut into words: before white space, before and after the last line end of some, and before a blank after a line end.
+#: Tokens of the first tokenizer end there whatever stands around, as its pattern gives all white space but the last sign to one
+#: token, and only a blank to the word behind it.
+CUT = re.compile(rf"(?=[ \n])(?:(?<={SOLID})|(?<=[ \n])(?=\n{SOLID})|(?<=\n)(?= {SOLID}))|(?<=\n)(?={SOLID})")
+#: Where its pattern ends a token for certain without white space: where ASCII letters, digits and other signs meet.
 SIGNS = r"!-&(-/:-@\[-`{-~"
 EDGE = re.compile(
-    rf"{BLANK.pattern}|(?<=[A-Za-z])(?=[0-9'{SIGNS}])|(?<=[0-9])(?=[A-Za-z'{SIGNS}])|(?<=[{SIGNS}])(?=[A-Za-z0-9])"
+    rf"(?<={SOLID})(?= {SOLID})|(?<=[A-Za-z])(?=[0-9'{SIGNS}])|(?<=[0-9])(?=[A-Za-z'{SIGNS}])|(?<=[{SIGNS}])(?=[A-Za-z0-9])"
 )
 
 
@@ -181,14 +187,15 @@ class Both:
         self.a_bytes = [bytes(symbols[c] for c in t) if t and all(c in symbols for c in t) else t.encode() for t in (self.a.id_to_token(i) or "" for i in range(n_a))]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.a_shown, self.b_shown = ([str(i) for i in range(len(xs))] for xs in (self.a_bytes, self.b_bytes))
         self.a_size, self.b_size = (np.array([len(x) for x in xs], np.int64) for xs in (self.a_bytes, self.b_bytes))
         self.pairs = Pairs(n_a, len(pieces))
         known = [p for i, p in enumerate(pieces) if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i))]
         #: Two characters that stand side by side in some piece: between any others, nothing is ever merged.
         self.beside = {p[k : k + 2] for p in known for k in range(len(p) - 1)}
-        self.by_words = not any(pair[1] == "▁" != pair[0] for pair in self.beside)
         #: A character that is merged with nothing keeps the blank that is put before a text apart from it.
         self.by_edges = not any("\n" in pair for pair in self.beside)
+        self.by_words = self.by_edges and not any(pair[1] == "▁" != pair[0] for pair in self.beside)
         self.words = Words(self)
 
     def tokens_a(self, text: str) -> list[int]:
@@ -218,22 +225,42 @@ class Both:
         return b"".join([self.a_bytes[i] for i in a]) == a_text.encode() and b"".join([self.b_bytes[i] for i in b]) == b_text.encode()
 
     def whole(self, text: str) -> Groups | None:
-        """All groups of a text that begins with a blank; None if the tokens don't spell it."""
-        a, b = self.tokens_a(text), self.tokens_b(text)
-        if not self.spelt(a, text, b, text):
+        """All groups of a text or word; None if the tokens don't spell it."""
+        a, b = self.tokens_a(text), self.inner_b(text)
+        if b is None or not self.spelt(a, text, b, text):
             return None
         return finish(fragment(self.tokens(a, 0, b, 0), self.pairs), self.pairs)
 
-    def groups(self, text: str) -> Groups | None:
+    def words_of(self, text: str) -> list[str]:
+        """The words of a blank and the text, as CUT cuts them.
+
+        A word behind a blank is written without it, any other with a line end before it.
+        """
+        out, gap = [], 0
+        if text[-1] not in "\n\u180e" and "\u180e" not in text:
+            for k, line in enumerate(text.split("\n")):
+                found = line.split(" ")
+                if found != line.split() and (line or not k):
+                    break  # white space of other kinds
+                gap += 1
+                if line and k:
+                    out += [f"\n{'\n' * (gap - 1)}", "\n\n"] if gap > 1 else ["\n\n"]
+                    found[0] = f"\n{found[0]}"
+                if line:
+                    out += found
+                    gap = 0
+            else:
+                return out
+        return [w[1:] if w[0] == " " and EASY.fullmatch(w) else f"\n{w}" for w in CUT.split(" " + text)]
+
+    def groups(self, text: str, words: list[str] | None = None) -> Groups | None:
         """All groups of a blank and the text, None without text or if the tokens don't spell it."""
         if not text:
             return None
-        found = [self.words[w] for w in BLANK.split(text)] if self.by_words else [None]
+        found = list(map(self.words.__getitem__, words or self.words_of(text))) if self.by_words else [None]
         if None in found:  # a normaliser may have changed the word; the whole text tells
             return self.whole(" " + text)
-        if len(found) == 1:
-            return found[0]
-        written, links, n_a, n_b, n = zip(*[(g.text, g.links, g.n_a, g.n_b, g.n) for g in found])
+        written, links, n_a, n_b, n = zip(*found)
         return Groups(";".join(written), b"".join(links), sum(n_a), sum(n_b), sum(n))
 
     def ranges(self, text: str, split: int) -> Iterator[tuple[int, int, str, int, str]]:
@@ -262,20 +289,64 @@ class Both:
 
 
 class Words(dict):
-    """Groups of words with the blank before them, worked out when first asked for; None if the tokens don't spell one."""
+    """Groups of the words of `Both.words_of`, as plain tuples in the order of `Groups`; None if the tokens don't spell one.
+
+    Half of the words at hand are those that came up last; when they are CACHE / 2, they take the place of the other half.
+    """
 
     def __init__(self, both: Both):
         super().__init__()
-        self.both = both
+        self.both, self.older = both, {}
 
-    def __missing__(self, word: str) -> Groups | None:
-        found = self.both.whole(" " + word)
+    def keep(self, word: str, found: tuple | None) -> tuple | None:
         if len(word) <= CACHED_CHARS:
-            if len(self) >= CACHE:
+            if len(self) >= CACHE // 2:
+                self.older = dict(self)
                 self.clear()
             self[word] = found
         return found
 
+    def __missing__(self, word: str) -> tuple | None:
+        if word in self.older:
+            return self.keep(word, self.older[word])
+        found = self.both.whole(word[1:] if word[0] == "\n" else f" {word}")
+        return self.keep(word, found and (found.text, found.links, found.n_a, found.n_b, found.n))
+
+    def learn(self, words: set[str]) -> None:
+        """Work out words that are not at hand, many at a time: those behind a blank in one text, and bare ones in a text of lines."""
+        older, needed = self.older, words.difference(self)
+        for w in needed.intersection(older):
+            self.keep(w, older[w])
+        fresh = [w for w in needed.difference(older) if len(w) <= CACHED_CHARS]
+        for mark in (" ", "\n"):
+            group = [w for w in fresh if (w[0] == "\n") == (mark == "\n") and EASY.fullmatch(w, w[0] == "\n")]
+            for k in range(0, len(group), TOGETHER):
+                self._learn(group[k : k + TOGETHER], mark)
+
+    def _learn(self, words: list[str], mark: str) -> None:
+        own, text = self.both, "".join(words) if mark == "\n" else " " + " ".join(words)
+        a, b = own.tokens_a(text), own.inner_b(text)
+        if b is None or not own.spelt(a, text, b, text):
+            return  # one of them isn't spelt; each is tried by itself when it is asked for
+        t = own.tokens(a, 0, b, 0)
+        cuts = np.intersect1d(t.a_end, t.b_end, assume_unique=True)
+        sizes = np.array([len(w.encode()) + (1 if mark == " " else -1) for w in words])  # without a line end, with a blank
+        ends = np.cumsum(sizes + (mark == "\n"))
+        first, last = np.searchsorted(cuts, ends - sizes, "right"), np.searchsorted(cuts, ends, "right")
+        if (cuts[last - 1] != ends).any() or (ends - sizes)[first == 0].any() or (cuts[first - 1] != ends - sizes)[first > 0].any():
+            return
+        i, j = np.searchsorted(t.a_end, cuts, "right"), np.searchsorted(t.b_end, cuts, "right")
+        links, size = own.pairs.codes(t.a[i - 1], t.b[j - 1]).tobytes(), own.pairs.dtype.itemsize
+        written, x, y = [], 0, 0
+        shown_a, shown_b = [own.a_shown[n] for n in a], [own.b_shown[n] for n in b]
+        for p, q in zip(i.tolist(), j.tolist()):
+            written.append(f"{','.join(shown_a[x:p])}|{','.join(shown_b[y:q])}")
+            x, y = p, q
+        i, j = np.append(0, i), np.append(0, j)
+        n_a, n_b = (i[last] - i[first]).tolist(), (j[last] - j[first]).tolist()
+        for w, u, v, c, d in zip(words, first.tolist(), last.tolist(), n_a, n_b):
+            self.keep(w, (";".join(written[u:v]), links[u * size : v * size], c, d, v - u))
+
 
 def finish(whole: Fragment, pairs: Pairs) -> Groups:
     """The groups of a fragment that is a whole text: nothing goes on at either end."""
@@ -357,13 +428,15 @@ def align_texts(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id",
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = both(a_path, b_path)
         for batch in batches:
-            rows, which = [], []
-            for x, (text, key) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+            rows, which, texts = [], [], batch.column(1).to_pylist()
+            words = [own.words_of(t) if t and len(t) <= split and own.by_words else None for t in texts]
+            own.words.learn(set().union(*filter(None, words)))
+            for x, (text, key) in enumerate(zip(texts, batch.column(2).to_pylist())):
                 if len(text) > split:
                     pieces = own.ranges(text, split)
                     rows += [dict(zip(("key", "k", "a_start", "a_text", "b_start", "b_text"), (key, *p))) for p in pieces]
                 else:
-                    g = own.groups(text)
+                    g = own.groups(text, words[x])
                     rows.append({"key": key, "n_a": 0, "n_b": 0, "n_groups": 0, "sha256": ""})
                     if g is not None:
                         digest = hashlib.sha256(g.text.encode()).hexdigest()
