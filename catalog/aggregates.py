@@ -92,6 +92,34 @@ def iqr_bounds_nearest(spark, sf_dir):
     return clean.iqr_filter(events, "value", k=0.5, method="nearest")
 
 
+@query(
+    "iqr_filter_by_series",
+    "A6",
+    """WITH q AS (SELECT l_shipdate AS day, quantile_cont(l_extendedprice, 0.25) AS q1, quantile_cont(l_extendedprice, 0.75) AS q3 FROM lineitem GROUP BY 1)
+    SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem JOIN q ON l_shipdate = day
+    WHERE l_extendedprice BETWEEN q1 - 0.4 * (q3 - q1) AND q3 + 0.4 * (q3 - q1)""",
+)
+def iqr_filter_by_series(spark, sf_dir):
+    """Outliers of every day for itself."""
+    lineitem = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_shipdate")
+    return clean.iqr_filter(lineitem, "l_extendedprice", k=0.4, by=["l_shipdate"]).drop("l_shipdate")
+
+
+@query(
+    "quantiles_by_flag",
+    "A6",
+    """SELECT l_returnflag AS flag, l_linestatus AS status, count(*) AS n, quantile_cont(l_quantity, 0.1) AS q10, quantile_cont(l_quantity, 0.5) AS q50,
+      quantile_cont(l_extendedprice, 0.99) AS p99 FROM lineitem GROUP BY 1, 2""",
+)
+def quantiles_by_flag(spark, sf_dir):
+    """A few large groups, one column of which repeats few values."""
+    lineitem = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"), "l_quantity", "l_extendedprice")
+    quantity = clean.group_quantiles(lineitem, ["flag", "status"], "l_quantity", [0.1, 0.5])
+    price = clean.group_quantiles(lineitem, ["flag", "status"], "l_extendedprice", [0.99]).withColumnRenamed("quantiles", "p").drop("n")
+    joined = quantity.join(price, ["flag", "status"])
+    return joined.select("flag", "status", "n", F.col("quantiles")[0].alias("q10"), F.col("quantiles")[1].alias("q50"), F.col("p")[0].alias("p99"))
+
+
 @query(
     "extent",
     "A7 A14",

@@ -244,6 +244,38 @@ def interval_label_sessions(spark, sf_dir):
     return lookup.label_intervals(events.select("event_id", "moment"), spans, "moment")
 
 
+@query(
+    "interval_label_skewed",
+    "J10",
+    """WITH s AS (SELECT l_linenumber AS label, l_orderkey * 100 AS lo, l_orderkey * 100 + CASE WHEN l_orderkey % 500 = 0 THEN 400000 ELSE 9 END AS hi FROM lineitem WHERE l_linenumber = 1 OR l_orderkey % 500 = 0)
+    SELECT o_orderkey, count(label) AS n, min(label) AS low, max(lo) AS latest FROM orders LEFT JOIN s ON o_orderkey * 100 + 5 BETWEEN lo AND hi GROUP BY 1""",
+)
+def interval_label_skewed(spark, sf_dir):
+    """Many short spans and some that are forty thousand times as long, and cover thousands of keys each."""
+    lines = table(spark, sf_dir, "lineitem").where("l_linenumber = 1 or l_orderkey % 500 = 0")
+    lo = F.col("l_orderkey") * 100
+    hi = lo + F.when(F.col("l_orderkey") % 500 == 0, 400_000).otherwise(9)
+    spans = lines.select(lo.alias("lo"), hi.alias("hi"), F.struct(F.col("l_linenumber").alias("line"), lo.alias("start")).alias("label"))
+    keys = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") * 100 + 5).alias("at"))
+    found = lookup.label_intervals(keys, spans, "at")
+    return found.groupBy("o_orderkey").agg(F.count("label").alias("n"), F.min("label.line").alias("low"), F.max("label.start").alias("latest"))
+
+
+@query(
+    "long_spine",
+    "C2",
+    """WITH s AS (SELECT c_nationkey AS nation, min(c_custkey) * 37 AS lo, max(c_custkey) * 37 AS hi FROM customer GROUP BY 1),
+    k AS (SELECT nation, unnest(range(lo, hi + 1, 5)) AS t FROM s) SELECT nation, count(*) AS n, min(t) AS lo, max(t) AS hi, sum(t)::DOUBLE AS total FROM k GROUP BY 1""",
+)
+def long_spine(spark, sf_dir):
+    """Axes of many keys, made in runs on all tasks."""
+    ends = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), (F.col("c_custkey") * 37).alias("t"))
+    keys = regular_spine(ends, "t", 5, ["nation"])
+    return keys.groupBy("nation").agg(
+        F.count(F.lit(1)).alias("n"), F.min("t").alias("lo"), F.max("t").alias("hi"), F.sum("t").cast("double").alias("total")
+    )
+
+
 @query(
     "band_label",
     "J10",

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog.common import Registry, daily, days, pseudo_year, r, rounded, sql_daily, table
 from catalog.views import CONFIG, training
-from epochline.models import forecast, linear, search, trees
+from epochline.models import arima, forecast, gradient, linear, search, trees
 from epochline.plans import modeling
 
 QUERIES = Registry()
@@ -119,10 +119,32 @@ def predict(spark, sf_dir):
     return rounded(linear.predict(rows, linear.fit_ols(rows, ["l_quantity"], Y)), ["pred"], 5).select("key", "pred")
 
 
-@query("stepwise", "M2")
+STEP_X = [*X, "l_linenumber"]
+
+
+def _swept(n: int) -> str:
+    """CTEs of one forward step: the best feature outside, if its p-value is below 0.1, is swept into the tableau."""
+    return f"""k{n} AS (SELECT arg_max(d.i, pow(y.v, 2) / d.v) AS pick FROM t{n} d JOIN t{n} y ON y.i = d.i AND y.j = 'y' JOIN t{n} e ON e.i = 'y' AND e.j = 'y' CROSS JOIN m
+      WHERE d.i = d.j AND d.i <> 'y' AND d.v > 1e-11 AND pow(y.v, 2) / d.v * (m.n - {n} - 2) / (e.v - pow(y.v, 2) / d.v) > 2.7055),
+    t{n + 1} AS (SELECT a.i, a.j, CASE WHEN pick IS NULL THEN a.v WHEN a.i = pick AND a.j = pick THEN -1 / d.v WHEN a.i = pick OR a.j = pick THEN a.v / d.v ELSE a.v - b.v * c.v / d.v END AS v
+      FROM t{n} a CROSS JOIN k{n} LEFT JOIN t{n} d ON d.i = pick AND d.j = pick LEFT JOIN t{n} b ON b.j = pick AND b.i = a.i LEFT JOIN t{n} c ON c.i = pick AND c.j = a.j)"""
+
+
+def sql_stepwise() -> str:
+    """Forward steps over a tableau of correlations, in long form; no feature of these leaves again."""
+    names = [*STEP_X, "y"]
+    moments = ", ".join(f"avg({c}) AS mean_{c}, stddev_pop({c}) AS sd_{c}" for c in names)
+    first = " UNION ALL ".join(f"SELECT '{i}' AS i, '{j}' AS j, corr({i}, {j}) AS v FROM l" for i in names for j in names)
+    coefs = [f"SELECT '{c}' AS term, v * sd_y / sd_{c} AS coef, v * sd_y / sd_{c} * mean_{c} AS part FROM t4 CROSS JOIN m WHERE i = '{c}' AND j = 'y' AND (SELECT v < 0 FROM t4 WHERE i = '{c}' AND j = '{c}')" for c in STEP_X]
+    return f"""WITH l AS (SELECT {", ".join(STEP_X)}, l_extendedprice * (1 - 4 * l_discount) / 1000 AS y FROM lineitem), m AS (SELECT count(*) AS n, {moments} FROM l),
+    t0 AS ({first}), {", ".join(_swept(n) for n in range(4))}, c AS ({" UNION ALL ".join(coefs)})
+    SELECT term, {r('coef', 5)} AS coef FROM c UNION ALL SELECT 'intercept', {r('(SELECT mean_y FROM m) - (SELECT coalesce(sum(part), 0) FROM c)', 5)}"""
+
+
+@query("stepwise", "M2", sql_stepwise())
 def stepwise(spark, sf_dir):
     rows = lines(spark, sf_dir)
-    x = [*X, "l_linenumber"]
+    x = STEP_X
     matrix = linear.collect_grams(linear.gram(rows, x, Y), len(x) + 1)[()]
     return terms(spark, linear.fit_matrix(matrix, x, linear.stepwise(matrix)))
 
@@ -207,6 +229,41 @@ def gbt_kfold(spark, sf_dir):
     return predicted.select("key", Y, F.round("pred", 6).alias("pred"))
 
 
+RATE, STEPS, PATIENCE, PENALTY = 0.3, 60, 8, 0.01
+
+
+@query(
+    "early_stopping",
+    "M8 M4 A12",
+    f"""WITH RECURSIVE l AS (SELECT l_linenumber AS fold, greatest(l_quantity - 20, 0) AS x, l_extendedprice * (1 - 4 * l_discount) / 1000 + 1000 * (l_linenumber = 7)::INT * (50 - l_quantity) AS y FROM lineitem),
+    h AS (SELECT fold, avg(x) AS mx, avg(y) AS my, var_pop(x) AS vx, var_pop(y) AS vy, covar_pop(x, y) AS c FROM l GROUP BY 1),
+    t AS (SELECT h.fold, avg(l.x) AS tx, avg(l.y) AS ty, stddev_pop(l.x) AS sd, covar_pop(l.x, l.y) / stddev_pop(l.x) AS b FROM h JOIN l ON l.fold <> h.fold GROUP BY 1),
+    w AS (SELECT fold, 0 AS step, 0.0::DOUBLE AS w FROM t
+      UNION ALL SELECT w.fold, step + 1, w - {RATE} * (w - b + {PENALTY} * w) FROM w JOIN t USING (fold) WHERE step < {STEPS}),
+    e AS (SELECT w.fold, step, vy - 2 * w / sd * c + pow(w / sd, 2) * vx + pow(my - ty - w / sd * (mx - tx), 2) AS mse FROM w JOIN t USING (fold) JOIN h USING (fold)),
+    f AS (SELECT *, coalesce(min(mse) OVER (PARTITION BY fold ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1e300) AS before FROM e),
+    g AS (SELECT *, max(CASE WHEN mse < before THEN step END) OVER (PARTITION BY fold ORDER BY step ROWS UNBOUNDED PRECEDING) AS best FROM f),
+    z AS (SELECT fold, coalesce(min(CASE WHEN step - best >= {PATIENCE} THEN step END), {STEPS}) AS last_step FROM g GROUP BY 1)
+    SELECT fold, g.best::INT AS best_step, last_step::INT AS last_step, {r('e.mse', 4)} AS mse FROM z JOIN g USING (fold) JOIN e USING (fold) WHERE g.step = last_step AND e.step = g.best""",
+)
+def early_stopping(spark, sf_dir):
+    """A hinge of the quantity, one line number held out at a time; one of them goes another way than the rest, and stops at once."""
+    rows = lines(spark, sf_dir).withColumn(Y, F.col(Y) + F.when(F.col("l_linenumber") == 7, 1000 * (50 - F.col("l_quantity"))).otherwise(0))
+    basis = {k: v for k, v in gradient.hinges({"l_quantity": [20.0]}).items() if k != "l_quantity"}
+    how = gradient.Descent(RATE, PENALTY, STEPS, PATIENCE)
+    stopped, _ = gradient.early_stopped(rows, basis, Y, "key", how=how, fold="l_linenumber")
+    return rounded(gradient.table(spark, stopped), ["mse"], 4)
+
+
+@query("stopped_predictions", "M8 M5")
+def stopped_predictions(spark, sf_dir):
+    """Ten folds over hinges of three features, and the mean of their models."""
+    rows = lines(spark, sf_dir)
+    basis = gradient.hinges(gradient.quantile_knots(rows, X, 4))
+    stopped, _ = gradient.early_stopped(rows, basis, Y, "key", k=10, method="hash")
+    return gradient.predict_stopped(rows, basis, stopped).select("key", F.round("pred", 5).alias("pred"))
+
+
 LAGGED = f"""d AS ({sql_daily()}), l AS (SELECT series, day, v, lag(v) OVER (PARTITION BY series ORDER BY day) AS lv FROM d),
   c AS (SELECT series, regr_slope(v, lv) AS b, regr_intercept(v, lv) AS a, max(day) AS last_day, arg_max(v, day) AS last,
     sqrt(regr_syy(v, lv) * (1 - regr_r2(v, lv)) / (regr_count(v, lv) - 2)) AS sigma FROM l GROUP BY 1),
@@ -227,8 +284,8 @@ def ar_forecast(spark, sf_dir):
 @query(
     "forecast_interval",
     "M15",
-    f"""WITH RECURSIVE {LAGGED} SELECT series, last_day + step AS day, {r('pred - 1.645 * sigma', 5)} AS lo, {r('pred + 1.645 * sigma', 5)} AS hi
-    FROM f JOIN c USING (series)""",
+    f"""WITH RECURSIVE {LAGGED}, s AS (SELECT *, 1.645 * sigma * sqrt((SELECT sum(pow(b, 2 * (k - 1))) FROM range(1, step + 1) AS t(k))) AS wide FROM f JOIN c USING (series))
+    SELECT series, last_day + step AS day, {r('pred - wide', 5)} AS lo, {r('pred + wide', 5)} AS hi FROM s""",
 )
 def forecast_interval(spark, sf_dir):
     ahead = forecast.ar_forecast(daily(spark, sf_dir), ["series"], "day", "v", 5, p_grid=(1,), z=1.645)
@@ -279,6 +336,68 @@ def ar_orders(spark, sf_dir):
     return fits.select("series", "p", F.round("aicc", 4).alias("aicc"), "n", "last_key")
 
 
+@query(
+    "ar_order_choice",
+    "M9",
+    f"""WITH {LAGGED.split("f AS (")[0].rstrip().rstrip(",")},
+    m AS (SELECT series, count(*) AS n, var_pop(v) * count(*) AS s0, var_pop(v) * count(*) * (1 - corr(v, lv) * corr(v, lv)) AS s1 FROM l WHERE lv IS NOT NULL GROUP BY 1),
+    a AS (SELECT *, n * ln(s0 / n) + 4 + 12.0 / (n - 3) AS a0, n * ln(s1 / n) + 6 + 24.0 / (n - 4) AS a1 FROM m)
+    SELECT series, (CASE WHEN a1 < a0 THEN 1 ELSE 0 END)::INT AS p, {r('least(a0, a1)', 4)} AS aicc, n FROM a""",
+)
+def ar_order_choice(spark, sf_dir):
+    fits = forecast.fit_ar(daily(spark, sf_dir), ["series"], "day", "v", p_grid=(0, 1))
+    return fits.select("series", "p", F.round("aicc", 4).alias("aicc"), "n")
+
+
+def sql_two_features(source: str) -> str:
+    """CTEs with the least squares of y on x1 and x2 per series of a table: c (constant), b1, b2, n and sigma in `b`."""
+    return f"""s AS (SELECT series, count(*) AS n, avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my, var_pop(x1) AS s11, var_pop(x2) AS s22, var_pop(y) AS syy,
+      covar_pop(x1, x2) AS s12, covar_pop(x1, y) AS s1y, covar_pop(x2, y) AS s2y FROM {source} WHERE x1 IS NOT NULL AND x2 IS NOT NULL GROUP BY 1),
+    k AS (SELECT *, (s1y * s22 - s2y * s12) / (s11 * s22 - s12 * s12) AS b1, (s2y * s11 - s1y * s12) / (s11 * s22 - s12 * s12) AS b2 FROM s),
+    b AS (SELECT series, b1, b2, my - b1 * m1 - b2 * m2 AS c, sqrt(n * (syy - b1 * s1y - b2 * s2y) / (n - 3)) AS sigma FROM k)"""
+
+
+@query(
+    "arima_forecast",
+    "M9",
+    f"""WITH RECURSIVE d AS ({sql_daily()}), w AS (SELECT series, day, v, v - lag(v) OVER (PARTITION BY series ORDER BY day) AS y FROM d),
+    l AS (SELECT *, lag(y) OVER (PARTITION BY series ORDER BY day) AS x1, lag(y, 2) OVER (PARTITION BY series ORDER BY day) AS x2 FROM w), {sql_two_features('l')},
+    e AS (SELECT series, max(day) AS day, arg_max(v, day) AS v, arg_max(y, day) AS w1, arg_max(x1, day) AS w2 FROM l GROUP BY 1),
+    f AS (SELECT series, 0 AS step, day, v, w1, w2 FROM e
+      UNION ALL SELECT f.series, step + 1, day + 1, v + c + b1 * w1 + b2 * w2, c + b1 * w1 + b2 * w2, w1 FROM f JOIN b USING (series) WHERE step < 4)
+    SELECT series, day, step, {r('v', 4)} AS pred FROM f WHERE step > 0""",
+)
+def arima_forecast(spark, sf_dir):
+    ahead = arima.arima_forecast(daily(spark, sf_dir), ["series"], "day", "v", 4, orders=[(2, 1, 0)])
+    return rounded(ahead, ["pred"], 4).withColumn("day", F.col("day").cast("bigint"))
+
+
+@query(
+    "arma_interval",
+    "M9 M15",
+    f"""WITH RECURSIVE d AS ({sql_daily()}), l AS (SELECT series, day, v AS y, lag(v) OVER (PARTITION BY series ORDER BY day) AS x1 FROM d),
+    a AS (SELECT series, regr_slope(y, x1) AS slope, regr_intercept(y, x1) AS inter FROM l WHERE x1 IS NOT NULL GROUP BY 1),
+    e AS (SELECT l.*, y - inter - slope * x1 AS e FROM l JOIN a USING (series)),
+    x AS (SELECT *, lag(e) OVER (PARTITION BY series ORDER BY day) AS x2 FROM e), {sql_two_features('x')},
+    z AS (SELECT series, max(day) AS day, arg_max(y, day) AS v, arg_max(e, day) AS e FROM x GROUP BY 1),
+    f AS (SELECT series, 1 AS step, day + 1 AS day, c + b1 * v + b2 * e AS pred, 1.0::DOUBLE AS weight, 1.0::DOUBLE AS total FROM z JOIN b USING (series)
+      UNION ALL SELECT f.series, step + 1, day + 1, c + b1 * pred, weight * CASE WHEN step = 1 THEN b1 + b2 ELSE b1 END,
+        total + pow(weight * CASE WHEN step = 1 THEN b1 + b2 ELSE b1 END, 2) FROM f JOIN b USING (series) WHERE step < 4)
+    SELECT series, day, {r('pred', 4)} AS pred, {r('pred - 1.645 * sigma * sqrt(total)', 4)} AS lo, {r('pred + 1.645 * sigma * sqrt(total)', 4)} AS hi FROM f JOIN b USING (series)""",
+)
+def arma_interval(spark, sf_dir):
+    ahead = arima.arima_forecast(daily(spark, sf_dir), ["series"], "day", "v", 4, orders=[(1, 0, 1)], long_ar=1, z=1.645)
+    return rounded(ahead, ["pred", "lo", "hi"], 4).select("series", F.col("day").cast("bigint").alias("day"), "pred", "lo", "hi")
+
+
+@query("arima_orders", "M9")
+def arima_orders(spark, sf_dir):
+    """Orders of every user's daily series among those with a difference and with moving averages."""
+    grid = [(p, d, q) for d in (0, 1) for p in (0, 1, 2) for q in (0, 1)]
+    fits = arima.fit_arima(daily(spark, sf_dir, "user_id"), ["series"], "day", "v", grid, long_ar=4)
+    return fits.select("series", "p", "d", "q", F.round("aicc", 4).alias("aicc"), "n", "last_key")
+
+
 SEARCH = search.SearchConfig(fold_method="hash")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from catalog.common import (
@@ -23,7 +24,7 @@ from catalog.common import (
 from epochline.functions.bins import tiered_bin
 from epochline.operators import lookup, series
 from epochline.operators.clean import quarantine_extreme
-from epochline.operators.ordered import Delta, Fill, Lag, Position, Rolling, with_ordered
+from epochline.operators.ordered import Delta, Fill, Interpolate, Lag, Position, Rolling, with_ordered
 
 QUERIES = Registry()
 query = QUERIES.query
@@ -322,21 +323,71 @@ def fact_ids(spark, sf_dir):
     return series.dense_id(table(spark, sf_dir, "lineitem").select(*LINE_ORDER), LINE_ORDER, "temperature_id")
 
 
-@query(
-    "price_changes",
-    "W1 W2 W4 W5",
-    f"""WITH l AS (SELECT *, CASE WHEN l_quantity < 30 THEN l_extendedprice END AS known FROM lineitem),
+SQL_PRICE_CHANGES = f"""WITH l AS (SELECT *, CASE WHEN l_quantity < 30 THEN l_extendedprice END AS known FROM lineitem),
     w AS (SELECT *, row_number() OVER (PARTITION BY l_linestatus ORDER BY {', '.join(LINE_ORDER)}, l_quantity) AS rn FROM l),
     k AS (SELECT *, last_value(known IGNORE NULLS) OVER (PARTITION BY l_linestatus ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS before,
       first_value(known IGNORE NULLS) OVER (PARTITION BY l_linestatus ORDER BY rn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS after,
       lag(l_extendedprice, 3) OVER (PARTITION BY l_linestatus ORDER BY rn) AS earlier FROM w)
-    SELECT {', '.join(LINE_ORDER)}, coalesce(after, before) AS filled, earlier FROM k""",
-)
-def price_changes(spark, sf_dir):
+    SELECT {', '.join(LINE_ORDER)}, coalesce(after, before) AS filled, earlier FROM k"""
+
+
+@query("price_changes", "W1 W2 W4 W5", SQL_PRICE_CHANGES)
+def price_changes(spark, sf_dir, **limits):
     """Lags and fills over two series that split the largest table between them."""
     lineitem = table(spark, sf_dir, "lineitem").select(*LINE_ORDER, "l_linestatus", "l_quantity")
     known = lineitem.withColumn("known", F.when(F.col("l_quantity") < 30, F.col("l_extendedprice")))
     exprs = {"filled": Fill("known"), "earlier": Lag("l_extendedprice", k=3)}
     first, *rest = LINE_ORDER
-    found = with_ordered(known, first, exprs, ["l_linestatus"], [*rest, "l_quantity"])
+    found = with_ordered(known, first, exprs, ["l_linestatus"], [*rest, "l_quantity"], **limits)
     return found.select(*LINE_ORDER, "filled", "earlier")
+
+
+@query("price_changes_segments", "W1 W2 W5", SQL_PRICE_CHANGES)
+def price_changes_segments(spark, sf_dir):
+    """The same in segments of a few thousand rows, so that every value is carried over many bounds."""
+    return price_changes(spark, sf_dir, group_limit=3000)
+
+
+@query(
+    "events_segments",
+    "W1 W2 W3 W4 W7 W13",
+    f"""WITH e AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS pos, count(*) OVER (PARTITION BY event_type) AS n,
+      CASE WHEN event_id % 7 < 2 THEN value END AS known FROM events),
+    k AS (SELECT *, max(CASE WHEN known IS NOT NULL THEN pos END) OVER a AS p0, min(CASE WHEN known IS NOT NULL THEN pos END) OVER b AS p1,
+      last_value(known IGNORE NULLS) OVER a AS y0, first_value(known IGNORE NULLS) OVER b AS y1, avg(value) OVER f AS smooth,
+      value - coalesce(lag(value, 2) OVER w, first_value(value) OVER w) AS change FROM e
+      WINDOW w AS (PARTITION BY event_type ORDER BY event_id), a AS (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING),
+        b AS (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING),
+        f AS (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 6 PRECEDING AND 3 FOLLOWING))
+    SELECT event_id, pos, {r('smooth')} AS smooth, {r('change')} AS change, {r('coalesce(known, y0 + (y1 - y0) * (pos - p0) / nullif(p1 - p0, 0))')} AS line,
+      CASE WHEN pos <= floor(n * 0.9) THEN 'train' ELSE 'test' END AS split FROM k""",
+)
+def events_segments(spark, sf_dir):
+    """Positions, means, differences, lines and a split over a few long series, in segments of some hundred rows."""
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    events = events.withColumn("known", F.when(F.col("event_id") % 7 < 2, F.col("value")))
+    exprs = {
+        "smooth": Rolling("value", before=6, after=3, min_count=1),
+        "pos": Position(),
+        "change": Delta("value", k=2, pad="first"),
+        "line": Interpolate("known"),
+    }
+    found = with_ordered(events, "event_id", exprs, ["event_type"], group_limit=300)
+    found = series.chrono_split(found, "event_id", series=["event_type"], group_limit=300)
+    return rounded(found, ["smooth", "change", "line"]).select("event_id", "pos", "smooth", "change", "line", "split")
+
+
+@query(
+    "numbered_duplicates",
+    "W8",
+    """WITH n AS (SELECT l_returnflag AS flag, count(*) AS n FROM lineitem GROUP BY 1)
+    SELECT flag, n, n AS dense, n AS sparse, (SELECT sum(n) FROM n)::BIGINT AS last FROM n""",
+)
+def numbered_duplicates(spark, sf_dir):
+    """Ids of rows that are equal many times over: as many ids as rows, the dense ones without a gap."""
+    flags = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("flag"))
+    numbered = series.number_rows(series.number_rows(flags, "dense"), "sparse", consecutive=False)
+    counts = numbered.groupBy("flag").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("dense").alias("dense"), F.countDistinct("sparse").alias("sparse"), F.max("dense").alias("top")
+    )
+    return counts.select("flag", "n", "dense", "sparse", F.max("top").over(Window.partitionBy()).alias("last"))

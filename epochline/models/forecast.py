@@ -1,82 +1,25 @@
-"""Autoregressive forecasts for many series at once.
-
-The lags are ordered columns, the fits come from one cross-product matrix per series (a map-side combined
-aggregate, so a very long series is no burden), and the recursion into the future needs no more than the
-last few values of a series. At no point does a whole series sit in one task.
-"""
+"""Autoregressive forecasts for many series at once: the cases of `arima` that need no differences and no shocks, and backtests."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from epochline.functions.columns import names
-from epochline.models.linear import gram, solve, squared_error, unpack
+from epochline.models.arima import LONG_AR, Order, arima_forecast, fit_arima
 from epochline.operators.ordered import Position, Size, with_ordered
-from epochline.operators.series import add_lags
 from epochline.operators.stats import mse
 from epochline.session import settle
 
-FIT_TYPE = "struct<p int, intercept double, phi array<double>, beta array<double>, sigma double, aicc double, n bigint>"
-
-
-def _order_search(p_grid: Sequence[int], p_max: int, n_exog: int):
-    """A function that picks the order of each series by the corrected Akaike criterion."""
-
-    def fit(g: pd.Series) -> pd.DataFrame:
-        rows = []
-        for flat in g:
-            best = None
-            matrix = unpack(flat, p_max + n_exog + 1)
-            n = matrix.n
-            for p in p_grid:
-                used = [*range(1, p + 1), *range(p_max + 1, p_max + n_exog + 1)]
-                params = len(used) + 2
-                if n <= params + 1:
-                    continue
-                beta = solve(matrix, used)
-                error = squared_error(matrix, used, beta)
-                score = n * np.log(max(error / n, 1e-300)) + 2 * params + 2 * params * (params + 1) / (n - params - 1)
-                if best is None or score < best["aicc"]:
-                    best = {
-                        "p": p,
-                        "intercept": beta[0],
-                        "phi": list(beta[1 : p + 1]),
-                        "beta": list(beta[p + 1 :]),
-                        "sigma": float(np.sqrt(error / max(n - len(used) - 1, 1))),
-                        "aicc": float(score),
-                        "n": int(n),
-                    }
-            rows.append(best or {"p": None, "intercept": None, "phi": [], "beta": [], "sigma": None, "aicc": None, "n": int(n)})
-        return pd.DataFrame(rows, columns=["p", "intercept", "phi", "beta", "sigma", "aicc", "n"]).astype({"p": "Int32"})
-
-    # Kept out of filters and never repeated, as a deterministic function might be.
-    return F.pandas_udf(fit, FIT_TYPE).asNondeterministic()
-
 
 def fit_ar(
     df: DataFrame, series: Iterable[str], key: str, y: str, p_grid: Sequence[int], exog: Sequence[str] = (), **limits
 ) -> DataFrame:
     """One row per series: chosen order, coefficients, residual spread, and its last values (newest first)."""
-    series, p_max, exog = names(series), max([*p_grid, 1]), list(exog)
-    lag_names = [f"{y}_lagged_{k}" for k in range(1, p_max + 1)]
-    rows = df.select(*series, key, F.col(y).cast("double").alias(y), *exog).where(F.col(y).isNotNull())
-    lagged = settle(add_lags(settle(rows, "series"), key, [y], range(1, p_max + 1), series, **limits), "lagged")
-    grams = gram(lagged, [*lag_names, *exog], y, series)
-    fits = grams.select(*series, _order_search(list(p_grid), p_max, len(exog))("g").alias("fit"))
-    # The newest row carries its own lags, so one row per series is all the recursion needs.
-    recent = [F.max_by(c, key) for c in (y, *lag_names[:-1])]
-    ends = lagged.groupBy(*series).agg(F.max(key).alias("last_key"), F.array(*recent).alias("recent"))
-    if series:
-        joined = fits.join(ends, series)
-    else:  # one row, taken as constants
-        end, kinds = ends.first(), dict(ends.dtypes)
-        joined = fits.withColumns({c: F.lit(end[c]).cast(kinds[c]) for c in ("last_key", "recent")})
-    return joined.select(*series, "fit.*", "last_key", "recent")
+    fits = fit_arima(df, series, key, y, [(p, 0, 0) for p in p_grid], exog, **limits)
+    return fits.select(*names(series), "p", "intercept", "phi", "beta", "sigma", "aicc", "n", "last_key", "recent")
 
 
 def ar_forecast(
@@ -93,60 +36,8 @@ def ar_forecast(
     echo: bool = False,
     **limits,
 ) -> DataFrame:
-    """`horizon` steps past the end of each series, with intervals `pred ± z·sigma` if `z` is given.
-
-    `future` holds the values of the `exog` columns at the future keys. `echo` also returns the known
-    rows, with the actual value as prediction.
-    """
-    series, exog = names(series), list(exog)
-    fits = fit_ar(df, series, key, y, p_grid, exog, **limits)
-    if exog:
-        if series:
-            later = future.join(fits.select(*series, "last_key"), series)
-        else:
-            last = fits.select("last_key").first()
-            later = future.withColumn("last_key", F.lit(last["last_key"] if last else None).cast(dict(fits.dtypes)["last_key"]))
-        # a key between two steps belongs to neither; several values at one step are averaged
-        at = (F.col(key) - F.col("last_key")) / F.lit(step)
-        later = later.where(F.abs(at - F.round(at)) < 1e-9).withColumn("__step", F.round(at).cast("int")).where(F.col("__step").between(1, horizon))
-        later = later.groupBy(*series, "__step").agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in exog])
-        values = F.struct("__step", F.array(*exog).alias("x"))
-        inputs = later.groupBy(*series).agg(F.map_from_entries(F.collect_list(values)).alias("inputs"))
-        if series:
-            fits = fits.join(inputs, series, "left")
-        else:  # `horizon` entries at most
-            known = inputs.first()["inputs"] or {}
-            entries = [e for k, v in sorted(known.items()) for e in (F.lit(k), F.array(*map(F.lit, v)))]
-            fits = fits.withColumn("inputs", F.create_map(*entries).cast("map<int,array<double>>"))
-
-    def dot(a, b):
-        return F.aggregate(F.zip_with(a, b, lambda u, v: u * v), F.lit(0.0), lambda acc, v: acc + v)
-
-    def advance(values, s):
-        new = F.col("intercept") + dot(F.col("phi"), F.slice(values, 1, F.size("phi")))
-        if exog:
-            new = new + dot(F.col("beta"), F.try_element_at(F.col("inputs"), s))
-        return F.concat(F.array(new), values)
-
-    walked = F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), F.col("recent"), advance)
-    ahead = F.slice(F.reverse(walked), F.size("recent") + 1, horizon)
-    out = fits.where(F.col("p").isNotNull()).select(
-        *series, "last_key", "p", "sigma", F.posexplode(ahead).alias("__i", "pred")
-    )
-    columns = {
-        "step": (F.col("__i") + 1).cast("int"),
-        key: F.col("last_key") + (F.col("__i") + 1) * F.lit(step),
-    }
-    out = out.withColumns(columns)
-    cols = [*series, key, "step", "pred"]
-    if z is not None:
-        out = out.withColumns({"lo": F.col("pred") - z * F.col("sigma"), "hi": F.col("pred") + z * F.col("sigma")})
-        cols += ["lo", "hi"]
-    out = out.select(*cols)
-    if not echo:
-        return out
-    known = df.select(*series, F.col(key), F.lit(0).alias("step"), F.col(y).cast("double").alias("pred"))
-    return known.unionByName(out, allowMissingColumns=True)
+    """`arima_forecast` of orders (p, 0, 0)."""
+    return arima_forecast(df, series, key, y, horizon, [(p, 0, 0) for p in p_grid], exog, future, step, z, echo, **limits)
 
 
 def backtest(
@@ -157,14 +48,18 @@ def backtest(
     horizon: int,
     p_grid: Sequence[int] = (1, 2, 3),
     origins: Sequence[int] = (0,),
+    orders: Sequence[Order] | None = None,
+    long_ar: int = LONG_AR,
     **limits,
 ) -> DataFrame:
     """Error of forecasts from inside the known rows, per series and origin.
 
     Origin 0 withholds the last `horizon` rows of each series, origin n ends n rows earlier. A forecast
-    that merely echoes the past has no error to speak of; this is the one that can be compared.
+    that merely echoes the past has no error to speak of; this is the one that can be compared. `orders` take
+    the place of `p_grid`.
     """
     series = names(series)
+    orders = [(p, 0, 0) for p in p_grid] if orders is None else orders
     rows = df.select(*series, key, F.col(y).cast("double").alias(y)).where(F.col(y).isNotNull())
     exprs = {"__pos": Position(), "__rows": Size()}
     placed = settle(with_ordered(settle(rows, "series"), key, exprs, series, **limits), "placed")
@@ -173,7 +68,7 @@ def backtest(
         step = (F.col("__pos") - (F.col("__rows") - F.lit(horizon + origin))).cast("int")
         stepped = placed.withColumn("step", step)
         known = stepped.where(F.col("step") <= 0).drop("__pos", "__rows", "step")
-        ahead = ar_forecast(known, series, key, y, horizon, p_grid, **limits).select(*series, "step", "pred")
+        ahead = arima_forecast(known, series, key, y, horizon, orders, long_ar=long_ar, **limits).select(*series, "step", "pred")
         truth = stepped.where(F.col("step").between(1, horizon)).select(*series, "step", y)
         scored = mse(truth.join(ahead, [*series, "step"]), y, "pred", series).withColumn("origin", F.lit(origin))
         result = scored if result is None else result.unionByName(scored)

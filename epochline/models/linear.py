@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,8 +48,8 @@ def merged(parts: Iterable[Moments]) -> Moments:
     return reduce(Moments.merge, parts)
 
 
-def gram(df: DataFrame, x: Sequence[str], y: str, by: Iterable[str] = ()) -> DataFrame:
-    """Moments per group as array `g`: rows, means of x… and y, and the upper triangle of their co-moments row by row.
+def gram(df: DataFrame, x: Sequence[str], y: str, by: Iterable[str] = (), out: str = "g") -> DataFrame:
+    """Moments per group as array `out`: rows, means of x… and y, and the upper triangle of their co-moments row by row.
 
     Only rows that have all values count.
     """
@@ -59,7 +60,7 @@ def gram(df: DataFrame, x: Sequence[str], y: str, by: Iterable[str] = ()) -> Dat
     z = [F.col(c).cast("double") for c in used]
     n = F.count(F.lit(1)).cast("double")
     pairs = [(F.covar_pop(z[i], z[j]) if i != j else F.var_pop(z[i])) * n for i in range(len(z)) for j in range(i, len(z))]
-    return df.where(complete).groupBy(*by).agg(F.array(n, *[F.avg(c) for c in z], *pairs).alias("g"))
+    return df.where(complete).groupBy(*by).agg(F.array(n, *[F.avg(c) for c in z], *pairs).alias(out))
 
 
 def unpack(g: Sequence[float], size: int) -> Moments:
@@ -73,11 +74,11 @@ def unpack(g: Sequence[float], size: int) -> Moments:
 def collect_grams(grams: DataFrame, size: int) -> dict[tuple, Moments]:
     """Moments of a few groups (such as folds) on the driver; `size` counts features and target.
 
-    More groups than GROUPS_ON_DRIVER belong into a fit on the executors, as `forecast.fit_ar` does it.
+    More groups than GROUPS_ON_DRIVER are an error here: `fit_groups` fits any number of them on the executors.
     """
     rows = grams.limit(GROUPS_ON_DRIVER + 1).collect()
     if len(rows) > GROUPS_ON_DRIVER:
-        raise ValueError("too many groups to fit on the driver")
+        raise ValueError("too many groups for the driver; use fit_groups")
     by = [c for c in grams.columns if c != "g"]
     return {tuple(row[c] for c in by): unpack(row["g"], size) for row in rows if row["g"][0]}
 
@@ -123,6 +124,58 @@ def squared_error(moments: Moments, used: Sequence[int], beta: np.ndarray) -> fl
     return max(0.0, spread) + moments.n * float(bias) ** 2  # a perfect fit may miss 0 by a rounding
 
 
+def unpack_many(flat: Iterable[Sequence[float]], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, means and co-moments of many groups at once, stacked; a missing group has no rows."""
+    length = 1 + size + size * (size + 1) // 2
+    stacked = np.array([np.zeros(length) if g is None else np.asarray(g, dtype=float) for g in flat]).reshape(-1, length)
+    upper = np.zeros((len(stacked), size, size))
+    i, j = np.triu_indices(size)
+    upper[:, i, j] = upper[:, j, i] = stacked[:, 1 + size :]
+    return stacked[:, 0], stacked[:, 1 : 1 + size], upper
+
+
+def solve_many(n: np.ndarray, mean: np.ndarray, comoment: np.ndarray, used: Sequence[int]) -> np.ndarray:
+    """`solve` without penalty for many groups at once: a row of coefficients per group, intercept first."""
+    at = np.asarray(used, dtype=int) - 1
+    if not len(at):
+        return mean[:, -1:].copy()
+    a = comoment[:, at[:, None], at]
+    spread = np.sqrt(np.diagonal(a, axis1=1, axis2=2))
+    spread = np.where(spread > 1e-13 * np.sqrt(n)[:, None] * np.abs(mean[:, at]), spread, 0.0)
+    spread = np.where(spread > 0, spread, 1.0)
+    a = a / (spread[:, :, None] * spread[:, None, :])
+    b = comoment[:, at, -1] / spread
+    coefs = np.einsum("gij,gj->gi", np.linalg.pinv(a, rcond=DEPENDENT, hermitian=True), b) / spread
+    return np.concatenate([(mean[:, -1] - np.einsum("gi,gi->g", mean[:, at], coefs))[:, None], coefs], axis=1)
+
+
+def squared_errors(n: np.ndarray, mean: np.ndarray, comoment: np.ndarray, used: Sequence[int], beta: np.ndarray) -> np.ndarray:
+    """`squared_error` for many groups at once."""
+    at = np.array([*(i - 1 for i in used), mean.shape[1] - 1])
+    weights = np.concatenate([-beta[:, 1:], np.ones((len(n), 1))], axis=1)
+    bias = np.einsum("gi,gi->g", mean[:, at], weights) - beta[:, 0]
+    spread = np.einsum("gi,gij,gj->g", weights, comoment[:, at[:, None], at], weights)
+    return np.maximum(0.0, spread) + n * bias**2
+
+
+def fit_groups(df: DataFrame, x: Sequence[str], y: str, by: Iterable[str]) -> DataFrame:
+    """(by…, n, intercept, coefs, mse) of a least-squares fit per group, for any number of groups.
+
+    The moments of a group are one row, and rows are solved together where they lie; a group without
+    a complete row has no fit and is left out.
+    """
+    by, used = names(by), list(range(1, len(x) + 1))
+
+    def fit(flat: pd.Series) -> pd.DataFrame:
+        n, mean, comoment = unpack_many(flat, len(x) + 1)
+        beta = solve_many(n, mean, comoment, used)
+        error = squared_errors(n, mean, comoment, used, beta) / np.maximum(n, 1)
+        return pd.DataFrame({"n": n.astype("int64"), "intercept": beta[:, 0], "coefs": beta[:, 1:].tolist(), "mse": error})
+
+    solved = F.pandas_udf(fit, "struct<n bigint, intercept double, coefs array<double>, mse double>").asNondeterministic()
+    return gram(df, x, y, by, "__g").select(*by, solved("__g").alias("__fit")).select(*by, "__fit.*")
+
+
 @dataclass(frozen=True)
 class LinearModel:
     features: tuple[str, ...]
@@ -212,22 +265,66 @@ class Stepwise:
     remove: float = 0.3
 
 
+class Tableau:
+    """Correlations of features and target, swept on the features of a fit (Goodnight's sweep operator).
+
+    A sweep enters a feature or takes it out again. At any time the tableau holds the fit of the entered features: coefficients
+    in the target's column, the residual sum of squares in its corner, and for the others what they could add.
+    """
+
+    def __init__(self, moments: Moments):
+        size = len(moments.mean)
+        spread, corr = _scaled(moments, range(1, size + 1))
+        self.n, self.table = moments.n, corr
+        self.entered: list[int] = []
+
+    def sweep(self, i: int) -> None:
+        """Enter feature `i` (from 1), or take it out if it is in."""
+        k, back = i - 1, i in self.entered
+        t, pivot = self.table, self.table[i - 1, i - 1]
+        new = t - np.outer(t[:, k], t[k]) / pivot
+        sign = -1.0 if back else 1.0
+        new[k], new[:, k], new[k, k] = sign * t[k] / pivot, sign * t[:, k] / pivot, -1.0 / pivot
+        self.table = new
+        self.entered = [j for j in self.entered if j != i] if back else [*self.entered, i]
+
+    def to_enter(self) -> dict[int, float]:
+        """Squared t statistic that each feature outside would have if it entered alone; dependent ones can't."""
+        t, freedom, out = self.table, self.n - len(self.entered) - 2, {}
+        for k in range(len(t) - 1):
+            if k + 1 not in self.entered and t[k, k] > DEPENDENT and freedom > 0:
+                gain = t[k, -1] ** 2 / t[k, k]
+                rest = max(t[-1, -1] - gain, 0.0)
+                out[k + 1] = gain * freedom / rest if rest > 0 else math.inf
+        return out
+
+    def to_leave(self) -> dict[int, float]:
+        """Squared t statistic of each entered feature."""
+        t, freedom = self.table, self.n - len(self.entered) - 1
+        rest = max(t[-1, -1], 0.0)
+        return {i: t[i - 1, -1] ** 2 * freedom / (-t[i - 1, i - 1] * rest) if rest > 0 else math.inf for i in self.entered}
+
+    def p(self, squared_t: float, more: int = 0) -> float:
+        freedom = self.n - len(self.entered) - more - 1
+        return t_test_p(math.sqrt(squared_t), freedom) if freedom > 0 else 1.0
+
+
 def stepwise(matrix: Moments, rule: Stepwise = Stepwise()) -> list[int]:
-    """Positions (from 1) of the features selected in both directions by p-value."""
-    every = range(1, len(matrix.mean))
-    used: list[int] = []
-    seen = set()
-    while tuple(used) not in seen:
-        seen.add(tuple(used))
-        candidates = [(p_values(matrix, [*used, i])[-1], i) for i in every if i not in used]
-        if candidates and min(candidates)[0] < rule.enter:
-            used = [*used, min(candidates)[1]]
-        while used:
-            p = p_values(matrix, used)
-            if p.max() <= rule.remove:
+    """Positions (from 1) of the features selected in both directions by p-value, one sweep per feature that enters or leaves."""
+    tableau, seen = Tableau(matrix), set()
+    while tuple(tableau.entered) not in seen:
+        seen.add(tuple(tableau.entered))
+        found = tableau.to_enter()
+        best = max(found, key=found.get, default=None)
+        if best is not None and tableau.p(found[best], 1) < rule.enter:
+            tableau.sweep(best)
+        while tableau.entered:
+            held = tableau.to_leave()
+            worst = min(held, key=held.get)
+            if tableau.p(held[worst]) <= rule.remove:
                 break
-            used = [i for n, i in enumerate(used) if n != int(p.argmax())]
-    return used
+            tableau.sweep(worst)
+    return tableau.entered
 
 
 def assign_folds(

@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from epochline.functions.columns import names
 from epochline.session import settle, sized
 
-EXACT_LIMIT = 50_000
-NARROW_LIMIT = 20_000
 ACCURACY = 10_000
+#: Size of a group's sketch, and how far a rank that it tells may be off before the group is counted whole (three times its error).
+SKETCH, SLACK = 2048, 0.0042
 
 
 def split_valid(df: DataFrame, rule: Column) -> tuple[DataFrame, DataFrame]:
@@ -50,73 +49,84 @@ def sample_rule(columns: Mapping[str, str] | None = None) -> Column:
     )
 
 
-def _ranks(n: int, q: float, method: str) -> list[tuple[int, float]]:
-    """0-based ranks and weights that make up the quantile of n sorted values."""
-    at = (n - 1) * q
-    if method == "nearest":
-        return [(math.floor(at + 0.5), 1.0)]
-    low, share = math.floor(at), at - math.floor(at)
-    return [(low, 1.0 - share)] + ([(low + 1, share)] if share else [])
+def group_quantiles(df: DataFrame, by: Iterable[str], col: str, qs: Sequence[float], method: str = "linear") -> DataFrame:
+    """(by…, n, quantiles) with the exact quantiles of a column per group, one value per entry of `qs`, null without values.
 
-
-def _values_at(df: DataFrame, col: str, ranks: Sequence[int], n: int) -> dict[int, float]:
-    """The values at some 0-based ranks of n rows, found by narrowing the range each can lie in.
-
-    One pass picks pivots around all ranks by approximate quantiles, a second counts the rows below and
-    at every pivot. The counts are exact, so each rank either hits a pivot or falls into the open interval
-    between two of them. What is left of an interval is a tiny share of the rows; it is written out and
-    narrowed again until it can be listed. A value that many rows share becomes a pivot and is then done.
+    A first scan makes a mergeable sketch per group, which says between which two values each wanted rank lies. A second
+    counts the rows below and, value by value, those between; the counts tell whether the rank is there. Equal values are counted
+    where they lie, and what lies between is a set share of a group. Groups that the sketch misjudged, which are next to
+    none, are counted whole. The result is a table.
     """
-    c, found = F.col(col), {}
-    if n <= NARROW_LIMIT:
-        seen, pending = 0, sorted(set(ranks))
-        for row in df.groupBy(col).count().orderBy(col).collect():
-            seen += row["count"]
-            while pending and pending[0] < seen:
-                found[pending.pop(0)] = row[col]
-        return found
-    slack = 3.0 / ACCURACY
-    centres = {rank / max(n - 1, 1) for rank in ranks}
-    wanted = sorted({min(1.0, max(0.0, at + shift)) for at in centres for shift in (-slack, 0.0, slack)})
-    pivots = sorted(set(df.agg(F.percentile_approx(col, wanted, ACCURACY).alias("p")).first()["p"]))
-    counts = df.agg(*[F.count(F.when(test, 1)) for v in pivots for test in (c < v, c == v)]).first()
-    less, equal = counts[0::2], counts[1::2]
-    left: dict[tuple, list[int]] = {}
-    for rank in ranks:
-        at = sum(1 for below in less if below <= rank) - 1
-        if at >= 0 and rank < less[at] + equal[at]:
-            found[rank] = pivots[at]
-        else:
-            left.setdefault(at, []).append(rank)
-    for at, inside in left.items():
-        part, under, above = df, 0, n
-        if at >= 0:
-            part, under = part.where(c > pivots[at]), less[at] + equal[at]
-        if at + 1 < len(pivots):
-            part, above = part.where(c < pivots[at + 1]), less[at + 1]
-        if above - under > NARROW_LIMIT:
-            part = settle(part, "narrowed")
-        deeper = _values_at(part, col, [rank - under for rank in inside], above - under)
-        found.update({rank + under: value for rank, value in deeper.items()})
+    by = names(by)
+    values = df.select(*by, F.col(col).cast("double").alias("__v")).where(F.col("__v").isNotNull() & ~F.isnan("__v"))
+    sketch = F.kll_sketch_agg_double("__v", F.lit(SKETCH))
+    sketched = values.groupBy(*by).agg(sketch.alias("__s"), F.count(F.lit(1)).alias("n"), F.min("__v").alias("__least"), F.max("__v").alias("__most"))
+    parts = []
+    for i, q in enumerate(qs):
+        at = (F.col("n") - 1) * F.lit(float(q))
+        low = F.floor(at + 0.5 if method == "nearest" else at)
+        share = F.lit(0.0) if method == "nearest" else at - low
+        lo, hi = (_around(q, sign) for sign in (-1, 1))
+        parts.append(F.struct(F.lit(i).alias("i"), low.alias("low"), share.alias("share"), lo.alias("lo"), hi.alias("hi")))
+    bounds = settle(sketched.select(*by, "n", "__least", "__most", F.array(*parts).alias("parts")), "bounds")
+    found = settle(_ranked(values, bounds, by), "quantiles")
+    missed = found.where(~F.col("sure")).select(*by)
+    if not missed.isEmpty():
+        whole = F.transform("parts", lambda p: F.struct(p.i.alias("i"), p.low.alias("low"), p.share.alias("share"), F.col("__least").alias("lo"), F.col("__most").alias("hi")))
+        again = _beside(bounds, missed.distinct(), by, "left_semi").withColumn("parts", whole)
+        kept = found.where("sure") if not by else _beside(found, missed.distinct(), by, "left_anti")
+        found = kept.unionByName(_ranked(values, again, by)) if by else _ranked(values, again, by)
+    ordered = F.sort_array(F.collect_list(F.struct("i", "value")))
+    return settle(found.groupBy(*by, "n").agg(ordered.alias("__q")).select(*by, "n", F.col("__q.value").alias("quantiles")), "quantiles")
+
+
+def _around(q: float, sign: int) -> Column:
+    """A value that the wanted ranks are not below (or above), by the sketch: as near as the rows of the group allow."""
+    found = F.col("__least" if sign < 0 else "__most")
+    for rows in (20, 200, 2000):  # a rank is up to two rows away from its share of them
+        rank = min(1.0, max(0.0, q + sign * (SLACK + 2 / rows)))
+        found = F.when(F.col("n") > rows, F.kll_sketch_get_quantile_double("__s", F.lit(rank))).otherwise(found)
     return found
 
 
+def _beside(df: DataFrame, few: DataFrame, by: list[str], how: str) -> DataFrame:
+    """Join on the group; without groups, `few` has one row and holds for all."""
+    keys = by or ["__all"]
+    left, right = (d if by else d.withColumn("__all", F.lit(0)) for d in (df, few))
+    other = right.select(*[F.col(c).alias(f"__of_{c}") for c in keys], *[F.col(c) for c in right.columns if c not in keys])
+    same = F.lit(True)
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"__of_{c}"))
+    out = left.join(other if by else F.broadcast(other), same, how)
+    return out.drop(*[f"__of_{c}" for c in keys], *([] if by else ["__all"]))
+
+
+def _ranked(values: DataFrame, bounds: DataFrame, by: list[str]) -> DataFrame:
+    """(by…, n, i, value, sure): the quantiles, and whether the counts show that they are right."""
+    own = values.select(*by, "__v")
+    rows = _beside(own, bounds.select(*by, "n", "parts"), by, "inner").withColumn("p", F.explode("parts")).where(F.col("__v") <= F.col("p.hi"))
+    inside = F.when(F.col("__v") >= F.col("p.lo"), F.col("__v"))  # null stands for all that are below
+    counts = rows.groupBy(*by, "n", "p.i", "p.low", "p.share", inside.alias("v")).agg(F.count(F.lit(1)).alias("times"))
+    upto = Window.partitionBy(*by, "i").orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    counts = counts.withColumn("upto", F.sum("times").over(upto))
+    below = F.coalesce(F.max(F.when(F.col("v").isNull(), F.col("times"))), F.lit(0))
+    first, second = (F.min(F.when((F.col("upto") > F.col("low") + k) & F.col("v").isNotNull(), F.col("v"))) for k in (0, 1))
+    picked = counts.groupBy(*by, "n", "i", "low", "share").agg(first.alias("x"), second.alias("y"), below.alias("below"))
+    value = F.when(F.col("share") > 0, F.col("x") * (1 - F.col("share")) + F.col("y") * F.col("share")).otherwise(F.col("x"))
+    sure = (F.col("below") <= F.col("low")) & F.col("x").isNotNull() & ((F.col("share") == 0) | F.col("y").isNotNull())
+    return picked.select(*by, "n", "i", value.alias("value"), sure.alias("sure"))
+
+
 def quantiles(df: DataFrame, col: str, qs: Sequence[float], method: str = "linear") -> list[float | None]:
     """Quantiles of a column, as numbers.
 
     `linear` and `nearest` are exact at any size; `approx` trades exactness for one single pass.
     """
-    values = df.select(F.col(col).cast("double").alias(col)).where(F.col(col).isNotNull() & ~F.isnan(col))
     if method == "approx":
-        return list(values.agg(F.percentile_approx(col, list(qs), ACCURACY).alias("q")).first()["q"])
-    n = values.count()
-    if n == 0:
-        return [None] * len(qs)
-    if n <= EXACT_LIMIT and method == "linear":
-        return list(values.agg(F.percentile(col, F.array(*[F.lit(q) for q in qs])).alias("q")).first()["q"])
-    parts = [_ranks(n, q, method) for q in qs]
-    found = _values_at(values, col, sorted({rank for ranks in parts for rank, _ in ranks}), n)
-    return [sum(share * found[rank] for rank, share in ranks) for ranks in parts]
+        values = df.select(F.col(col).cast("double").alias(col)).where(F.col(col).isNotNull() & ~F.isnan(col))
+        return list(values.agg(F.percentile_approx(col, list(qs), ACCURACY).alias("q")).first()["q"] or [None] * len(qs))
+    row = group_quantiles(df, [], col, qs, method).first()
+    return list(row["quantiles"]) if row else [None] * len(qs)
 
 
 def iqr_bounds(df: DataFrame, col: str, k: float = 1.5, method: str = "linear") -> tuple[float | None, float | None]:
@@ -127,8 +137,17 @@ def iqr_bounds(df: DataFrame, col: str, k: float = 1.5, method: str = "linear")
     return q1 - k * (q3 - q1), q3 + k * (q3 - q1)
 
 
-def iqr_filter(df: DataFrame, col: str, k: float = 1.5, method: str = "linear") -> DataFrame:
-    """Rows within the outlier bounds. The bounds are constants, so the filter reaches the file scan."""
+def iqr_filter(df: DataFrame, col: str, k: float = 1.5, method: str = "linear", by: Iterable[str] = ()) -> DataFrame:
+    """Rows within the outlier bounds, of all rows or of their group.
+
+    Without groups the bounds are constants, so the filter reaches the file scan.
+    """
+    by = names(by)
+    if by:
+        found = group_quantiles(df, by, col, [0.25, 0.75], method)
+        q1, q3 = F.col("quantiles")[0], F.col("quantiles")[1]
+        bounds = found.select(*by, (q1 - k * (q3 - q1)).alias("__low"), (q3 + k * (q3 - q1)).alias("__high"))
+        return _beside(df, bounds, by, "inner").where(F.col(col).between(F.col("__low"), F.col("__high"))).select(*df.columns)
     low, high = iqr_bounds(df, col, k, method)
     if low is None:
         return df.where(F.lit(False))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from epochline.functions.columns import names
 from epochline.operators.ordered import Fill, NearestKnown, with_ordered
-from epochline.session import sized
+from epochline.session import settle, sized
 
 
 def grid_lookup(df: DataFrame, grid: DataFrame, on: Iterable[str]) -> DataFrame:
@@ -36,7 +36,7 @@ def _once_per_key(df: DataFrame, keys: list[str], find: Callable[[DataFrame], Da
 
     A key that a third of the rows share is looked up once; in the join, Spark can split its rows.
     """
-    found = find(df.select(*keys).distinct())
+    found = find(settle(df.select(*keys).distinct(), "keys"))
     named = found.select(*[F.col(c).alias(f"__key{i}") for i, c in enumerate(keys)], F.col(out).alias("__out"))
     same = F.lit(True)
     for i, c in enumerate(keys):
@@ -93,32 +93,53 @@ def nearest_lookup(
     return _once_per_key(df, [*on, key], find, out)
 
 
+def dyadic_cells(first: Column, last: Column) -> Column:
+    """The whole numbers from first to last as cells (level, cell) of a binary hierarchy: `cell` holds 2^level of them.
+
+    There are at most two cells per level, so about 2 log2 of the length.
+    """
+    empty = F.array().cast("array<struct<level:int,cell:bigint>>")
+    start = F.struct(first.cast("bigint").alias("lo"), (last.cast("bigint") + 1).alias("hi"), empty.alias("cells"))
+
+    def climb(state: Column, level: Column) -> Column:
+        lo, hi = state["lo"], state["hi"]
+        odd = lambda x: x.bitwiseAND(F.lit(1).cast("bigint"))
+        cell = lambda at: F.array(F.struct(level.alias("level"), at.alias("cell")))
+        left = F.when((lo < hi) & (odd(lo) == 1), cell(lo)).otherwise(empty)
+        lo = lo + odd(lo)
+        right = F.when((lo < hi) & (odd(hi) == 1), cell(hi - 1)).otherwise(empty)
+        up = F.struct(F.shiftright(lo, 1).alias("lo"), F.shiftright(hi - odd(hi), 1).alias("hi"), F.concat(state["cells"], left, right).alias("cells"))
+        return F.when(state["lo"] < state["hi"], up).otherwise(state)
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(62)), start, climb, lambda state: state["cells"])
+
+
 def label_intervals(
     df: DataFrame, spans: DataFrame, key: str, lo: str = "lo", hi: str = "hi", label: str = "label", bucket: float | None = None
 ) -> DataFrame:
     """Label every row with the spans that cover its key (ends included); null if there is none.
 
-    Both sides meet on a bucket number, so this is an equi-join of any size and not a nested loop. With
-    the bucket as wide as the average span, the spans grow to about three times their number.
+    A span is split into cells of a binary hierarchy whose least cell is a bucket wide, by default as wide as the
+    median span. A key meets the cells that hold it, one per level that occurs, so this is an equi-join of any size,
+    and a span costs the logarithm of its length however long it is. Every distinct key is looked up once.
     """
-    spans = sized(spans.select(lo, hi, label))
+    spans = sized(spans.select(F.col(lo).alias("__lo"), F.col(hi).alias("__hi"), F.col(label).alias(label)).where(F.col(lo) <= F.col(hi)))
     if bucket is None:
-        size = spans.agg(F.avg(F.col(hi) - F.col(lo)).alias("len")).first()["len"]
-        bucket = float(size) if size else 1.0
-    edge = F.lit(float(bucket))
-
-    def cell(value):
-        return F.floor(value / edge).cast("bigint")
-
-    pieces = spans.select(
-        F.col(lo).alias("__lo"),
-        F.col(hi).alias("__hi"),
-        F.col(label).alias(label),
-        F.explode(F.sequence(cell(F.col(lo)), cell(F.col(hi)))).alias("__cell"),
-    )
-    rows = df.withColumn("__at", cell(F.col(key)))
-    inside = (F.col("__at") == F.col("__cell")) & F.col(key).between(F.col("__lo"), F.col("__hi"))
-    return rows.join(pieces, inside, "left").select(*df.columns, label)
+        long = spans.where("__hi > __lo").agg(F.percentile_approx(F.col("__hi") - F.col("__lo"), 0.5).alias("len")).first()["len"]
+        bucket = float(long) if long else 1.0
+
+    def cell(value: Column) -> Column:
+        return F.floor(value / F.lit(float(bucket))).cast("bigint")
+
+    pieces = sized(spans.select("*", F.inline(dyadic_cells(cell(F.col("__lo")), cell(F.col("__hi"))))))
+    levels = sorted(r["level"] for r in pieces.select("level").distinct().collect())  # 63 at most
+    keys = df.select(F.col(key).alias("__key")).where(F.col(key).isNotNull()).distinct()
+    probes = keys.withColumn("level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
+    at = F.expr("shiftright(__cell, level)")
+    probes = probes.withColumn("__cell", cell(F.col("__key"))).withColumn("cell", at).drop("__cell")
+    met = probes.join(pieces, ["level", "cell"]).where(F.col("__key").between(F.col("__lo"), F.col("__hi")))
+    found = met.select("__key", label)
+    return df.join(found, df[key] == found["__key"], "left").select(*[df[c] for c in df.columns], found[label])
 
 
 def label_bands(key: Column, bands: Iterable[tuple[float | None, float | None, str]], default: str | None = None) -> Column:

@@ -1,19 +1,15 @@
 """Expressions over ordered rows that stay parallel when one series is very long.
 
-A window function puts each series into one task. That is right for the many short series and wrong
-for one that holds a third of the table. `with_ordered` therefore looks at the size of the largest
-series first. If it is small, plain window functions are used. If not, the rows are range-partitioned
-by (series, key) into blocks of similar size; windows then run per block, and each block learns from a
-small summary of its neighbours what lies before and after it: the row count, the last rows, the first
-rows, the nearest known values. Only series that span blocks need a summary row, and a block can hold
-the start of one such series and the end of one other, so there are at most two rows per block; that
-bound is what makes the broadcast of the summary safe (beyond `BROADCAST_ROWS` carried rows it is joined
-by sorting instead).
+A window function puts each series into one task. That is right for the many short series and wrong for one that
+holds a third of the table. Series are therefore cut into segments of at most `group_limit` rows or so, by bounds that a sample of
+their keys gives; a short series is one segment. Which segment a row is in follows from its own values, so the
+windows, by series and segment, need one exchange and no table on disk. What lies before and after a segment (the
+row count, the last rows, the first rows, the nearest known values) comes from a summary with a row per segment, and
+only of series that have several: those of a short series have nothing to carry.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 
@@ -21,15 +17,17 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from epochline.functions.columns import names
-from epochline.session import settle
+from epochline.session import sized
 
+#: Rows of a segment, about; segments of a series at most (which bounds tasks and the list of bounds, not rows);
+#: rows that are sampled per segment to find the bounds.
 GROUP_LIMIT = 200_000
-BLOCK_ROWS = 1_000_000
-MAX_BLOCKS = 20_000
-BROADCAST_ROWS = 2_000_000
+SEGMENTS = 10_000
+SAMPLED = 40
 
 BLOCK, INDEX, COUNT, BEFORE, TOTAL = "__block", "__index", "__count", "__before", "__total"
 TAIL, HEAD, FIRST_ROW = "__tail", "__head", "__first_row"
+CUTS, PLACE, ROWS, LONG = "__cuts", "__place", "__rows", "__long"
 PREVIOUS, NEXT, CARRIED = "__previous_", "__next_", "__carried"
 
 
@@ -241,15 +239,13 @@ class Size(Ordered):
         return F.col(TOTAL).cast("bigint")
 
 
-def group_sizes(df: DataFrame, by: Iterable[str]) -> tuple[int, int]:
-    """Rows in total and rows of the largest group."""
+def group_sizes(df: DataFrame, by: Iterable[str]) -> int:
+    """Rows of the largest group."""
     by = names(by)
     if not by:
-        rows = df.count()
-        return rows, rows
+        return df.count()
     counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    row = counts.agg(F.sum("n").alias("rows"), F.max("n").alias("largest")).first()
-    return row["rows"] or 0, row["largest"] or 0
+    return counts.agg(F.max("n").alias("largest")).first()["largest"] or 0
 
 
 def with_ordered(
@@ -264,15 +260,17 @@ def with_ordered(
     """Add (or replace) columns computed over the rows of each series in key order.
 
     Counting the largest series is a job of its own; a caller that knows a bound on the rows per series
-    passes it as `max_rows` and saves that. `tiebreak` columns order rows that share a key.
+    passes it as `max_rows` and saves that. `tiebreak` columns order rows that share a key. Where a series has several
+    segments, `df` is read some times over: settle one that is costly to make.
     """
     series, order = names(series), [key, *names(tiebreak)]
+    wanted = list(exprs.values())
     if max_rows is None or max_rows > group_limit:
-        rows, largest = group_sizes(df, series)
+        largest = group_sizes(df, series)
         if largest > group_limit:
-            return _blocked(df, key, exprs, series, order, rows)
+            laid = _in_segments(df, series, order, group_limit, largest)
+            return _carried(laid, df.columns, key, exprs, series, order)
 
-    wanted = list(exprs.values())
     numbered = any(e.numbered for e in wanted)
     scope = Scope(key, *_windows(series, order), _slots(wanted), blocked=False, numbered=numbered)
     helpers = {INDEX: F.row_number().over(scope.forward)} if numbered else {}
@@ -314,12 +312,38 @@ def _windows(partition: list[str], order: list[str]) -> tuple[WindowSpec, Window
     return groups.orderBy(*order), groups.orderBy(*[F.col(c).desc_nulls_last() for c in order])
 
 
-def block_count(df: DataFrame, rows: int) -> int:
-    configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(2, configured, min(MAX_BLOCKS, math.ceil(rows / BLOCK_ROWS)))
-
-
-def _blocked(df, key, exprs, series, order, rows) -> DataFrame:
+def _in_segments(df: DataFrame, series: list[str], order: list[str], limit: int, largest: int) -> DataFrame:
+    """`df` with the number of each row's segment, and whether its series has several."""
+    place, rate = F.struct(*order), min(1.0, SAMPLED / limit, SEGMENTS * SAMPLED / largest)
+    keys = {c: f"__on_{c}" for c in series}
+    named = df.select(*[F.col(c).alias(n) for c, n in keys.items()], place.alias(PLACE))
+    sample = named.sample(rate, seed=1) if rate < 1 else named
+    if series:
+        long = named.groupBy(*keys.values()).agg(F.count(F.lit(1)).alias(ROWS)).where(F.col(ROWS) > limit)
+        sample, long = sample.alias("s"), long.alias("l")
+        same = [F.col(f"s.{n}").eqNullSafe(F.col(f"l.{n}")) for n in keys.values()]
+        found = sample.join(long, same).groupBy(*[f"l.{n}" for n in keys.values()], ROWS)
+    else:
+        found = sample.withColumn(ROWS, F.lit(largest)).groupBy(ROWS)
+    wanted = F.least(F.ceil(F.col(ROWS) / limit), F.lit(SEGMENTS))
+    steps = F.sequence(F.lit(1).cast("bigint"), wanted - 1)
+    picked = F.transform(steps, lambda i: F.get(PLACE, F.floor(i * F.size(PLACE) / wanted).cast("int")))
+    sorted_places = found.agg(F.sort_array(F.collect_list(PLACE)).alias(PLACE))
+    bounds = sized(sorted_places.select(*keys.values(), F.array_distinct(picked).alias(CUTS)))
+
+    if series:
+        on = [F.col(c).eqNullSafe(F.col(n)) for c, n in keys.items()]
+        laid = df.join(bounds, on, "left").drop(*keys.values())
+    else:  # one row with SEGMENTS bounds at most
+        laid = df.withColumn("__one", F.lit(0)).join(F.broadcast(bounds.withColumn("__one", F.lit(0))), "__one", "left").drop("__one")
+    # the number of bounds below the row, by halves
+    halves = F.array(*[F.lit(1 << k) for k in range(SEGMENTS.bit_length() - 1, -1, -1)])
+    below = lambda at, step: F.when(F.get(CUTS, at + step - 1) < place, at + step).otherwise(at)
+    return laid.withColumns({BLOCK: F.aggregate(halves, F.lit(0), below), LONG: F.col(CUTS).isNotNull()}).drop(CUTS)
+
+
+def _carried(laid: DataFrame, columns: list[str], key: str, exprs: Mapping[str, Ordered], series: list[str], order: list[str]) -> DataFrame:
+    """The expressions over rows in segments, with what neighbouring segments hold carried in."""
     wanted = list(exprs.values())
     back = max((e.back for e in wanted), default=0)
     ahead = max(max((e.ahead for e in wanted), default=0), int(any(e.first for e in wanted)))
@@ -327,17 +351,17 @@ def _blocked(df, key, exprs, series, order, rows) -> DataFrame:
     known = sorted({slots[e.col] for e in wanted if e.sides})
     column_of = {slot: c for c, slot in slots.items()}
 
-    # The block number must be the same in both branches below, hence the written table.
-    blocks_wanted = block_count(df, rows)
-    spread = df.repartitionByRange(blocks_wanted, *series, *order)
-    laid = settle(spread.withColumn(BLOCK, F.spark_partition_id()), "blocks")
-
     forward, backward = _windows([*series, BLOCK], order)
-    local = laid.withColumn(INDEX, F.row_number().over(forward))
     counted = bool(back or ahead) or any(isinstance(e, Size) for e in wanted)
-    if counted:
-        local = local.withColumn(COUNT, F.count(F.lit(1)).over(Window.partitionBy(*series, BLOCK)))
 
+    def numbered(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn(INDEX, F.row_number().over(forward))
+        return rows.withColumn(COUNT, F.count(F.lit(1)).over(Window.partitionBy(*series, BLOCK))) if counted else rows
+
+    local = numbered(laid.drop(LONG))
+    several = laid.where(LONG)
+    if back or ahead or known:
+        several = numbered(several)
     row = F.struct(F.col(INDEX).alias("p"), *[F.col(c).alias(s) for c, s in slots.items()])
     summaries = [F.count(F.lit(1)).alias(COUNT)]
     if back:
@@ -348,7 +372,7 @@ def _blocked(df, key, exprs, series, order, rows) -> DataFrame:
         value = F.col(column_of[slot])
         seen = F.when(value.isNotNull(), F.struct(F.col(INDEX).alias("p"), F.col(key).alias("k"), value.alias("v")))
         summaries += [F.min(seen).alias(f"__first_{slot}"), F.max(seen).alias(f"__last_{slot}")]
-    summary = local.groupBy(*series, BLOCK).agg(*summaries)
+    summary = several.groupBy(*series, BLOCK).agg(*summaries)
 
     blocks = Window.partitionBy(*series).orderBy(BLOCK)
     blocks_back = Window.partitionBy(*series).orderBy(F.col(BLOCK).desc())
@@ -386,9 +410,7 @@ def _blocked(df, key, exprs, series, order, rows) -> DataFrame:
         *[F.col(c).alias(n) for c, n in keys.items()], *[value.alias(n) for n, value in carry.items()]
     )
 
-    # At most two summary rows per block, each with at most back + ahead carried rows.
-    if 2 * blocks_wanted * (1 + back + ahead) <= BROADCAST_ROWS:
-        carried = F.broadcast(carried)
+    carried = sized(carried)
     on = F.col(BLOCK) == F.col(keys[BLOCK])
     for c in series:
         on = on & F.col(c).eqNullSafe(F.col(keys[c]))
@@ -396,4 +418,4 @@ def _blocked(df, key, exprs, series, order, rows) -> DataFrame:
     if counted:
         joined = joined.withColumn(TOTAL, F.coalesce(TOTAL, COUNT))
     scope = Scope(key, forward, backward, slots, blocked=True)
-    return _finish(joined, df.columns, exprs, scope)
+    return _finish(joined, columns, exprs, scope)

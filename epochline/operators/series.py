@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from epochline.functions.columns import missing_to_null, names, null_after, numeric_columns
 from epochline.operators.ordered import Delta, Fill, Interpolate, Lag, Position, Rolling, Size, with_ordered
-from epochline.session import settle
+from epochline.session import settle, sized
+
+#: Keys that one row of a spine's making stands for.
+SPINE_RUN = 65_536
 
 
 def add_lags(
@@ -93,9 +96,21 @@ def dense_id(df: DataFrame, order_by: Sequence[str], name: str, offset: int = 0,
     return with_ordered(df, first, {name: Position(offset=offset)}, tiebreak=rest, **limits)
 
 
-def hash_id(df: DataFrame, cols: Iterable[str], name: str) -> DataFrame:
-    """A 64-bit id from the row's values: not consecutive, but free of any ordering or shuffle."""
-    return df.withColumn(name, F.xxhash64(*names(cols)))
+def number_rows(df: DataFrame, name: str, offset: int = 0, consecutive: bool = True) -> DataFrame:
+    """Ids for all rows, equal ones too, without an order and without moving a row.
+
+    The rows are written once with their place in their task, so an id never changes afterwards. Ids that aren't
+    consecutive are that place; consecutive ones, from `offset + 1` on, add the rows of the tasks before.
+    """
+    laid = settle(df.withColumn("__place", F.monotonically_increasing_id()), "numbered")
+    if not consecutive:
+        return laid.select(*[c for c in df.columns if c != name], (F.col("__place") + offset + 1).alias(name))
+    part, nth = F.shiftright("__place", 33), F.col("__place").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = laid.groupBy(part.alias("__part")).agg((F.max(nth) + 1).alias("n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row per task that wrote
+    bases = sized(counts.select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__base")))
+    joined = laid.withColumn("__part", part).join(bases, "__part")
+    return joined.select(*[c for c in df.columns if c != name], (F.col("__base") + nth + offset + 1).alias(name))
 
 
 def chunk_mean(
@@ -141,11 +156,24 @@ def make_spine(*dfs: DataFrame, key: str) -> DataFrame:
 
 
 def regular_spine(df: DataFrame, key: str, step: int, series: Iterable[str] | None = None) -> DataFrame:
-    """All keys from the first to the last of each series, `step` apart."""
+    """All keys from the first to the last of each series, `step` apart.
+
+    A long axis is dealt out in two rounds of runs before its keys are made, so no row or task holds more than
+    SPINE_RUN of them at a time.
+    """
     series = names(series)
-    ends = df.groupBy(*series).agg(F.min(key).alias("__lo"), F.max(key).alias("__hi")).where(F.col("__lo").isNotNull())
-    keys = F.explode(F.sequence(F.col("__lo").cast("bigint"), F.col("__hi").cast("bigint"), F.lit(step).cast("bigint")))
-    return ends.select(*series, keys.alias(key))
+    spark = df.sparkSession
+    ends = df.groupBy(*series).agg(F.min(key).cast("bigint").alias("__lo"), F.max(key).cast("bigint").alias("__hi")).where(F.col("__lo").isNotNull())
+    wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    runs = ends
+    for length in (SPINE_RUN**2, SPINE_RUN):
+        first = F.col("__lo") + F.col("__run") * (length * step)
+        last = F.least(F.col("__hi"), first + (length - 1) * step)
+        count = F.floor((F.col("__hi") - F.col("__lo")) / (length * step))
+        runs = runs.withColumn("__run", F.explode(F.sequence(F.lit(0).cast("bigint"), count)))
+        runs = runs.select(*series, first.alias("__lo"), last.alias("__hi")).repartition(wide, *series, "__lo")
+    keys = F.explode(F.sequence(F.col("__lo"), F.col("__hi"), F.lit(step).cast("bigint")))
+    return runs.select(*series, keys.alias(key))
 
 
 def bin_and_fill(

@@ -14,7 +14,7 @@ from epochline.functions.derive import radiative_forcing, solar_modulation
 from epochline.operators.clean import iqr_filter, sample_rule, split_valid
 from epochline.operators.grid import axis_mean, decimate, year_of_month
 from epochline.operators.lookup import forward_lookup, grid_lookup, rebased, shift_future
-from epochline.operators.series import bin_and_fill, dense_id, hash_id, make_spine, stride_fill
+from epochline.operators.series import bin_and_fill, dense_id, make_spine, number_rows, stride_fill
 from epochline.operators.star import extend_dimension, merge_sources, star_join, star_split
 from epochline.session import settle
 
@@ -86,16 +86,14 @@ def prepare_samples(
 ) -> tuple[DataFrame, DataFrame]:
     """Usable records with id, month and cell, and the rejected ones.
 
-    Ids are consecutive in the order of `id_cols`, or of a hash of the record if it has no key of its
-    own. With `ids="sparse"` they are that hash, which spares very many records an ordering.
+    Ids are consecutive: in the order of `id_cols`, or in any if there are none. With `ids="sparse"` they have gaps.
+    Only an order of their own needs the records sorted. Equal records have ids of their own.
     """
     good, rejected = split_valid(samples, sample_rule())
-    if ids == "sparse":
-        numbered = hash_id(good, good.columns if id_cols is None else id_cols, "sample_id")
+    if id_cols is None or ids == "sparse":
+        numbered = number_rows(good, "sample_id", consecutive=ids != "sparse")
     else:
-        if id_cols is None:
-            good, id_cols = hash_id(good, good.columns, "__record"), ["__record"]
-        numbered = dense_id(good, list(id_cols), "sample_id").drop("__record")
+        numbered = dense_id(good, list(id_cols), "sample_id")
     season = F.get(F.col("paleoData_interpretation"), F.lit(0)).getField("seasonality")
     placed = lookup_first(
         numbered, [(season, True), (F.col("paleoData_habitatSeason"), False)], SEASON_MONTHS, "month_idx"
@@ -188,7 +186,7 @@ def sample_temperatures(placed: DataFrame, grid: DataFrame, climatology: DataFra
 def grid_temperatures(grid: DataFrame, climatology: DataFrame, id_offset: int | None = 0) -> DataFrame:
     """Yearly means of every second grid cell. Gaps take the value of the same month two years later.
 
-    Cells are numbered from `id_offset + 1` on, or get a hash as id if it is None.
+    Cells are numbered from `id_offset + 1` on, or from -1 downwards, with gaps, if it is None.
     """
     thinned = decimate(missing_to_null(grid, ["anomaly"]), CELL)
     filled = stride_fill(thinned, "month", "anomaly", 24, CELL)
@@ -197,7 +195,7 @@ def grid_temperatures(grid: DataFrame, climatology: DataFrame, id_offset: int |
     climate = axis_mean(decimate(climatology, CELL), CELL, "climate")
     cells = climate.select(*CELL).distinct()
     if id_offset is None:
-        located = hash_id(cells, CELL, "sample_id")
+        located = number_rows(cells, "sample_id", consecutive=False).withColumn("sample_id", -F.col("sample_id"))
     else:
         located = dense_id(cells, CELL, "sample_id", id_offset)
     placed = climate.join(located, CELL).join(yearly, CELL)
@@ -234,7 +232,7 @@ def cosmic_series(sediment: DataFrame, field: DataFrame, spine: DataFrame) -> Da
 
 
 def build_star(inputs: RawInputs, id_cols: Iterable[str] | None = None, ids: str = "dense") -> dict[str, DataFrame]:
-    """All six tables. `ids="sparse"` gives unique but not consecutive ids, without ordering any rows.
+    """All six tables. `ids="sparse"` gives unique ids with gaps, without ordering any rows.
 
     The temperatures are written out once before they fan out. The dimensions are built from the distinct
     bins, which are few, and never from a wide join with the facts.
@@ -264,7 +262,7 @@ def build_star(inputs: RawInputs, id_cols: Iterable[str] | None = None, ids: str
 
     # The facts have a unique id, so they need no de-duplication.
     if ids == "sparse":
-        numbered = rows.withColumn("temperature_id", F.monotonically_increasing_id())
+        numbered = number_rows(rows, "temperature_id", consecutive=False)
     else:
         numbered = dense_id(rows, ["year", "sample_id", "degC", "anomaly"], "temperature_id")
     tables = {"fact_temperature": numbered.select(*STAR_TABLES["fact_temperature"])}

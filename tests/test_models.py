@@ -7,7 +7,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
-from epochline.models import forecast, linear, search, trees
+from epochline.models import arima, forecast, gradient, linear, search, trees
 from tests.conftest import close
 
 
@@ -120,7 +120,8 @@ def test_ar_recovers_a_known_process(spark):
             for _ in range(3):
                 value = fits[name].intercept + fits[name].phi[0] * value
             assert close(row.pred, value) and row.t == 4020
-            assert close(row.hi - row.lo, 2 * 1.645 * fits[name].sigma)
+            phi = fits[name].phi[0]
+            assert close(row.hi - row.lo, 2 * 1.645 * fits[name].sigma * np.sqrt(1 + phi**2 + phi**4))
         assert ahead.where("step = 0").count() == 800
 
 
@@ -189,3 +190,102 @@ def test_search_is_reproducible_and_reuses_history(data, monkeypatch):
     again, longer = search.search(df, X, "y", "k", SMALL, history=history)
     assert best.key == again.key and close(best.fitness, again.fitness)
     assert longer.where("generation >= 0").count() == 0
+
+
+def test_arima_finds_a_planted_model(spark):
+    rng = np.random.default_rng(1)
+    rows = []
+    for name, phi, theta, d in (("arma", 0.7, 0.4, 0), ("walk", 0.5, 0.0, 1)):
+        e = rng.normal(size=4000)
+        w = np.zeros(4000)
+        for t in range(1, 4000):
+            w[t] = 0.2 + phi * w[t - 1] + e[t] + theta * e[t - 1]
+        rows += [(name, t, float(v)) for t, v in enumerate(np.cumsum(w) if d else w)]
+    df = spark.createDataFrame(rows, "s string, t int, v double")
+    grid = [(p, d, q) for d in (0, 1) for p in (0, 1) for q in (0, 1)]
+    fits = {r.s: r for r in arima.fit_arima(df, ["s"], "t", "v", grid, long_ar=12).collect()}
+    a, w = fits["arma"], fits["walk"]
+    assert (a.p, a.d, a.q) == (1, 0, 1) and abs(a.phi[0] - 0.7) < 0.05 and abs(a.theta[0] - 0.4) < 0.06 and abs(a.sigma - 1) < 0.05
+    assert w.d == 1 and abs(w.ar[0] - 1.5) < 0.08 and abs(w.ar[1] + 0.5) < 0.08
+
+
+def test_arima_forecast_by_hand(spark):
+    rows = [(t, float(v)) for t, v in enumerate([1, 3, 2, 5, 4, 7, 7, 9, 8, 12, 11, 13])]
+    df = spark.createDataFrame(rows, "t int, v double")
+    v = np.array([x for _, x in rows])
+    w = np.diff(v)
+    x = np.column_stack([np.ones(9), w[1:-1], w[:-2]])
+    beta, *_ = np.linalg.lstsq(x, w[2:], rcond=None)
+    want, last, recent = [], v[-1], [w[-1], w[-2]]
+    for _ in range(3):
+        step = beta @ [1, *recent]
+        last, recent = last + step, [step, recent[0]]
+        want.append(last)
+    got = arima.arima_forecast(df, [], "t", "v", 3, [(2, 1, 0)], z=2.0).orderBy("step").collect()
+    assert [close(r.pred, x, 1e-6) for r, x in zip(got, want)] == [True] * 3
+    sigma = np.sqrt(((w[2:] - x @ beta) ** 2).sum() / 6)
+    psi = [1.0, 1 + beta[1]]
+    assert close(got[0].hi - got[0].pred, 2 * sigma, 1e-6) and close(got[1].hi - got[1].pred, 2 * sigma * np.hypot(*psi), 1e-6)
+
+
+def test_arima_with_differenced_inputs(spark):
+    rng = np.random.default_rng(2)
+    x = np.cumsum(rng.normal(size=300))
+    v = np.cumsum(0.3 + 2.0 * np.diff(x, prepend=0.0))
+    past = spark.createDataFrame([(t, float(v[t]), float(x[t])) for t in range(280)], "t int, v double, x double")
+    future = spark.createDataFrame([(t, float(x[t])) for t in range(280, 300)], "t int, x double")
+    got = arima.arima_forecast(past, [], "t", "v", 5, [(0, 1, 0)], exog=["x"], future=future).orderBy("t").collect()
+    assert np.allclose([r.pred for r in got], v[280:285])
+
+
+def test_sweeping_equals_refitting():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 4))
+    x[:, 3] = x[:, 0] + 0.1 * x[:, 3]
+    y = 2 * x[:, 0] - x[:, 1] + rng.normal(size=200)
+    z = np.column_stack([x, y])
+    moments = linear.Moments(200.0, z.mean(axis=0), (z - z.mean(axis=0)).T @ (z - z.mean(axis=0)))
+    tableau = linear.Tableau(moments)
+    for i in (1, 4, 2):
+        tableau.sweep(i)
+    want = linear.p_values(moments, [1, 4, 2])
+    held = tableau.to_leave()
+    assert np.allclose([tableau.p(held[i]) for i in (1, 4, 2)], want)
+    assert close(tableau.p(tableau.to_enter()[3], 1), linear.p_values(moments, [1, 4, 2, 3])[-1], 1e-7)
+    tableau.sweep(4)
+    held = tableau.to_leave()
+    assert np.allclose([tableau.p(held[i]) for i in (1, 2)], linear.p_values(moments, [1, 2]))
+    assert linear.stepwise(moments) == [1, 2]
+
+
+def test_fits_of_many_groups(spark):
+    df = spark.range(4000).select((F.col("id") % 500).alias("g"), F.rand(1).alias("a"), F.rand(2).alias("b")).withColumn("y", F.col("g") + F.col("a") * 3 - F.col("b"))
+    got = linear.fit_groups(df, ["a", "b"], "y", ["g"]).collect()
+    assert len(got) == 500
+    for r in got:
+        assert close(r.intercept, r.g, 1e-6) and np.allclose(r.coefs, [3, -1]) and r.n == 8 and r.mse < 1e-9
+
+
+def test_descent_stops_early(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 12))
+    y = x[:, 0] + rng.normal(size=60) * 2
+    rows = [(i, i % 3, *map(float, x[i]), float(y[i])) for i in range(60)]
+    names = [f"x{k}" for k in range(12)]
+    df = spark.createDataFrame(rows, f"i int, fold int, {', '.join(f'{n} double' for n in names)}, y double")
+    how = gradient.Descent(rate=0.2, steps=500, patience=10, penalty=0.01)
+    basis = {n: F.col(n) for n in names}
+    stopped, _ = gradient.early_stopped(df, basis, "y", "i", how=how, fold="fold")
+    for s in stopped:
+        assert s.last_step == min(s.best_step + 10, 500)
+        train, held = np.arange(60) % 3 != s.fold, np.arange(60) % 3 == s.fold
+        m, sd = x[train].mean(axis=0), x[train].std(axis=0)
+        w, best = np.zeros(12), []
+        for _ in range(s.last_step + 1):
+            best.append(((y[held] - y[train].mean() - (x[held] - m) / sd @ w) ** 2).mean())
+            z = (x[train] - m) / sd
+            w = w - 0.2 * (z.T @ (z @ w - (y[train] - y[train].mean())) / train.sum() + 0.01 * w)
+        assert int(np.argmin(best)) == s.best_step and close(min(best), s.mse, 1e-9)
+    pred = gradient.predict_stopped(df, basis, stopped).orderBy("i").collect()
+    want = np.mean([s.model.intercept + x @ np.array(s.model.coefs) for s in stopped], axis=0)
+    assert np.allclose([r.pred for r in pred], want)

@@ -30,10 +30,11 @@ def test_minmax_scale(spark):
     assert [r.v for r in by_group if r.g != "x"] == [0.5, 0.5]
 
 
-@pytest.mark.parametrize("limit", [20_000, 20])
-def test_quantiles_match_numpy(spark, monkeypatch, limit):
-    monkeypatch.setattr(clean, "NARROW_LIMIT", limit)
-    monkeypatch.setattr(clean, "EXACT_LIMIT", limit)
+@pytest.mark.parametrize("slack", [None, -0.02])
+def test_quantiles_match_numpy(spark, monkeypatch, slack):
+    if slack is not None:  # bounds that miss, as a sketch's may: the group is counted whole
+        monkeypatch.setattr(clean, "SLACK", slack)
+        monkeypatch.setattr(clean, "SKETCH", 64)
     df = spark.range(3000).select(F.when(F.rand(3) < 0.4, 5.0).otherwise(F.round(F.rand(5) * 20, 3)).alias("v")).cache()
     x = np.sort([r.v for r in df.collect()])
     qs = [0.0, 0.01, 0.25, 0.5, 0.75, 1.0]
@@ -44,6 +45,21 @@ def test_quantiles_match_numpy(spark, monkeypatch, limit):
     assert x[1400] <= approx <= x[1600]
 
 
+@pytest.mark.parametrize("slack", [None, -0.02])
+def test_quantiles_of_groups(spark, monkeypatch, slack):
+    if slack is not None:
+        monkeypatch.setattr(clean, "SLACK", slack)
+        monkeypatch.setattr(clean, "SKETCH", 64)
+    rng = np.random.default_rng(4)
+    groups = {"a": rng.normal(size=2000), "b": np.repeat([1.0, 2.0], [700, 5]), "c": np.array([7.0]), None: rng.integers(0, 9, 500).astype(float)}
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("a", None), ("a", float("nan")), ("d", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    got = {r.g: (r.n, r.quantiles) for r in clean.group_quantiles(df, ["g"], "v", [0.1, 0.25, 0.75]).collect()}
+    assert set(got) == set(groups)
+    for g, vs in groups.items():
+        assert got[g][0] == len(vs) and np.allclose(got[g][1], np.quantile(vs, [0.1, 0.25, 0.75]))
+
+
 def test_iqr_filter(spark):
     df = spark.createDataFrame([(float(v),) for v in [*range(1, 21), 500]], "v double")
     assert clean.iqr_filter(df, "v").agg(F.max("v")).first()[0] == 20
@@ -140,6 +156,19 @@ def test_label_intervals_against_brute_force(spark):
     assert got == expected
 
 
+def test_a_long_span_is_few_cells(spark):
+    spans = spark.createDataFrame([(i * 10.0, i * 10.0 + 9.0, f"s{i}") for i in range(40)] + [(-3.0, 1e9, "long"), (5.0, 4.0, "none")], "lo double, hi double, label string")
+    cells = spark.range(1).select(F.size(lookup.dyadic_cells(F.lit(-5), F.lit(10**9))).alias("n")).first().n
+    assert cells <= 2 * 31
+    held = spark.range(1).select(F.inline(lookup.dyadic_cells(F.lit(-5), F.lit(77)))).collect()
+    assert sorted(x for r in held for x in range(r.cell << r.level, (r.cell + 1) << r.level)) == list(range(-5, 78))
+    keys = [-4.0, -3.0, 0.0, 9.5, 25.0, 399.0, 400.0, 1e9, 1e9 + 1, None, 25.0]
+    got = sorted((r.t is None, r.t or 0, r.label or "") for r in lookup.label_intervals(spark.createDataFrame([(k,) for k in keys], "t double"), spans, "t").collect())
+    names = [(i * 10.0, i * 10.0 + 9.0, f"s{i}") for i in range(40)] + [(-3.0, 1e9, "long")]
+    want = [(k is None, k or 0, n) for k in keys for n in ([n for lo, hi, n in names if k is not None and lo <= k <= hi] or [""])]
+    assert got == sorted(want)
+
+
 def test_rebase_and_shift(spark):
     df = spark.createDataFrame(
         [(1, 0.0, 10.0), (1, 100.0, 12.0), (1, 200.0, 9.0)], "s int, age double, v double"

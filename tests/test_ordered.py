@@ -147,6 +147,44 @@ def test_bin_and_fill(spark):
     assert got[9] == (40.0, 3.0) and got[11] == (None, 3.0)
 
 
+def test_a_small_table_with_one_long_series_is_exchanged_once(spark, capsys):
+    df = skewed(spark)
+    with_ordered(df, "t", {"x": Lag("v")}, ["s"], ["i", "w"]).explain()
+    assert capsys.readouterr().out.count("Exchange hashpartitioning") == 1
+
+
+def test_segments_of_sampled_bounds(spark, monkeypatch):
+    import epochline.operators.ordered as module
+
+    monkeypatch.setattr(module, "SAMPLED", 3)
+    monkeypatch.setattr(module, "SEGMENTS", 16)
+    df = spark.range(5000).select(F.when(F.col("id") % 10 < 7, "long").otherwise(F.col("id").cast("string")).alias("s"), F.col("id").alias("t"), F.col("id").alias("v"))
+    got = with_ordered(df, "t", {"pos": Position(), "lag": Lag("v", k=2)}, ["s"], group_limit=200).where("s = 'long'").orderBy("t").collect()
+    ids = [i for i in range(5000) if i % 10 < 7]
+    assert [(r.t, r.pos, r.lag) for r in got] == [(t, k + 1, ids[k - 2] if k > 1 else None) for k, t in enumerate(ids)]
+
+
+def test_numbered_rows(spark):
+    df = spark.range(100).select((F.col("id") % 3).alias("v")).repartition(7)
+    dense = [r.n for r in S.number_rows(df, "n", offset=10).collect()]
+    assert sorted(dense) == list(range(11, 111))
+    sparse = S.number_rows(df, "n", consecutive=False)
+    assert sparse.select("n").distinct().count() == 100 and sorted(r.n for r in sparse.collect()) == sorted(r.n for r in sparse.collect())
+    assert S.number_rows(df.limit(0), "n").count() == 0
+
+
+def test_a_long_spine_is_spread(spark, monkeypatch):
+    import epochline.operators.series as module
+
+    monkeypatch.setattr(module, "SPINE_RUN", 10)
+    df = spark.createDataFrame([("a", 1), ("a", 4000), ("b", 2), ("c", None), ("d", -7), ("d", 12)], "s string, t bigint")
+    spine = S.regular_spine(df, "t", 3, ["s"])
+    keys = sorted((r.s, r.t) for r in spine.collect())
+    assert keys == sorted([("a", t) for t in range(1, 4001, 3)] + [("b", 2)] + [("d", t) for t in range(-7, 13, 3)])
+    sizes = [r["count"] for r in spine.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 3 and max(sizes) < 600
+
+
 def test_regular_spine_per_series(spark):
     df = spark.createDataFrame([("a", 1), ("a", 4), ("b", 2)], "s string, t bigint")
     spine = S.regular_spine(df, "t", 1, ["s"]).orderBy("s", "t").collect()

@@ -4,6 +4,8 @@ import pytest
 from epochline.session import drop_scratch, settle, shared_dir
 from pyspark.sql import functions as F
 
+from concurrent.futures import ThreadPoolExecutor
+
 from epochline.sources import files, metrics, samples
 
 
@@ -55,6 +57,30 @@ def test_metric_upsert(spark, tmp_path):
     assert [(r.model, r["rank"]) for r in board] == [("Tree", 1), ("Linear Model", 2)]
 
 
+def test_metrics_of_writers_at_once(spark, tmp_path):
+    path = str(tmp_path / "scores")
+
+    def write(k):
+        for n in range(3):
+            metrics.upsert_metric(spark, path, spark.createDataFrame([(f"m{k}", float(n)), ("all", float(k))], "model string, mse double"))
+
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(write, range(4)))
+    board = {r.model: r.mse for r in metrics.read_metrics(spark, path).collect()}
+    assert {m: v for m, v in board.items() if m != "all"} == {f"m{k}": 2.0 for k in range(4)} and board["all"] in range(4)
+    assert len([v for v, _, whole in metrics._log(spark, path) if not whole]) == 12
+
+
+def test_old_metrics_are_folded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(metrics, "FOLD", 3)
+    path = str(tmp_path / "scores")
+    for k in range(9):
+        metrics.upsert_metric(spark, path, spark.createDataFrame([(f"m{k % 4}", float(k))], "model string, mse double"))
+        assert len(metrics._log(spark, path)) <= 4
+    (tmp_path / "scores" / "log" / "000000000099").touch()  # a writer that was lost after its claim
+    assert {r.model: r.mse for r in metrics.read_metrics(spark, path).collect()} == {"m0": 8.0, "m1": 5.0, "m2": 6.0, "m3": 7.0}
+
+
 def test_metrics_from_a_document(spark, tmp_path):
     path = tmp_path / "scoreboard.json"
     path.write_text('{"linear_model": 3.6178, "tree": 2}', encoding="utf-8")
