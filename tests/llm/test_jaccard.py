@@ -48,10 +48,12 @@ def sample(seed, n=160):
     return [*rows, rows[10], (10, "another text of the same id here")]
 
 
-@pytest.mark.parametrize("k,num,page,chosen", [(4, 85, 128, 10_000), (5, 80, 4, 200)])
-def test_against_brute_force(spark, monkeypatch, k, num, page, chosen):
+@pytest.mark.parametrize("k,num,page,sample_of,tried", [(4, 85, 128, 16, 3), (5, 80, 4, 1, 1), (4, 85, 2, 2, 0)])
+def test_against_brute_force(spark, monkeypatch, k, num, page, sample_of, tried):
     monkeypatch.setattr(jaccard, "PAGE", page)
-    monkeypatch.setattr(jaccard, "SAMPLE", chosen)
+    monkeypatch.setattr(jaccard, "DEALT", 3 * page)
+    monkeypatch.setattr(jaccard, "SAMPLE", sample_of)
+    monkeypatch.setattr(jaccard, "TRIED", tried)
     rows = sample(num)
     got = jaccard.similar_classes(clashing(docs(spark, rows)), k=k, num=num).collect()
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component)) for r in got) == brute(rows, k, num, 100)
