@@ -507,25 +507,27 @@ def _text_pairs(pairs: DataFrame, points: DataFrame, num: int, den: int) -> Data
 
 def _near_points(n: np.ndarray, ps: list[bytes], m: np.ndarray, qs: list[bytes], num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs (i, j) of points whose sum of lesser coordinates allows the threshold, and by how much it does."""
-    one, two = [coordinates(p, int(k)) for p, k in zip(ps, n)], [coordinates(q, int(k)) for q, k in zip(qs, m)]
+    one = [coordinates(p, int(k)) for p, k in zip(ps, n)]
+    stored: dict[tuple[int, bool], list[int]] = {}
+    for j, q in enumerate(qs):
+        stored.setdefault((groups(int(m[j])), len(q) == groups(int(m[j]))), []).append(j)
     out_i, out_j, out = [], [], []
-    by_size: dict[int, list[int]] = {}
-    for j, q in enumerate(two):
-        by_size.setdefault(len(q), []).append(j)
-    folded: dict[tuple[int, int], np.ndarray] = {}
-    for i, p in enumerate(one):
-        for size, js in by_size.items():
+    for (size, plain), js in stored.items():
+        whole = np.frombuffer(b"".join([qs[j] for j in js]), np.uint8 if plain else np.uint32).reshape(len(js), size)
+        at, folded = np.array(js), {size: whole}
+        for i, p in enumerate(one):
             g = min(len(p), size)
-            if (size, g) not in folded:
-                folded[size, g] = np.stack([fold(two[j], g) for j in js])
-            bound = np.minimum(folded[size, g], fold(p, g)).sum(axis=1, dtype=np.int64)
-            at = np.array(js)
-            bound = np.minimum(bound, np.minimum(n[i], m[at]))
+            if g not in folded:
+                folded[g] = whole.astype(np.uint32).reshape(len(js), -1, g).sum(axis=1)
+            p = fold(p, g)
+            p = p.astype(np.uint8) if folded[g].dtype == np.uint8 and p.max() < 256 else p
+            bound = np.minimum(np.minimum(folded[g], p).sum(axis=1, dtype=np.int64), np.minimum(n[i], m[at]))
             spare = den * bound - num * (n[i] + m[at] - bound)
             ok = spare >= 0
-            out_i += [i] * int(ok.sum())
-            out_j += at[ok].tolist()
-            out += spare[ok].tolist()
+            if ok.any():
+                out_i += [i] * int(ok.sum())
+                out_j += at[ok].tolist()
+                out += spare[ok].tolist()
     return np.array(out_i, np.int64), np.array(out_j, np.int64), np.array(out, np.int64)
 
 
