@@ -498,7 +498,7 @@ def align_texts(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id",
     heads = composed.where("spelt").mapInArrow(ends, _schema(_PART))
     names = ["key", "start", "n_a", "n_b", "n_groups", "links", "groups"]
     broken = composed.where("not spelt").select("key")
-    long = settle(closed.join(broken, "key", "left_anti").select(*names).unionByName(heads.select(*names)), "parts")
+    long = closed.join(broken, "key", "left_anti").select(*names).unionByName(heads.select(*names))
     digests = long.select("key", "start", "groups").repartition("key").sortWithinPartitions("key", "start").mapInArrow(_digests, "key long, sha256 string")
     sums = long.groupBy("key").agg(*(F.sum(c).alias(c) for c in ("n_a", "n_b", "n_groups"))).join(digests, "key")
     ids = first.where("k = 0").select("key", "id").join(sums, "key", "left")
