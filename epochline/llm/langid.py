@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,16 +21,41 @@ from epochline.llm.arrow_text import Words, chunks, small_batches, utf8
 #: Hashed trigrams; the model has so many numbers per language, however large the corpus is.
 BUCKETS = 1 << 16
 UNKNOWN = "und"
-#: First bytes of UTF-8 characters by script. Letters of Latin, then the ranges of other scripts; symbols have none.
+#: Ranges of code points by script. Letters outside of them are one more script, and only letters count.
 SCRIPT_RANGES = (
-    ("latin", 0x41, 0x5A), ("latin", 0x61, 0x7A), ("latin", 0xC3, 0xCA), ("greek", 0xCE, 0xCF), ("cyrillic", 0xD0, 0xD3),
-    ("hebrew", 0xD6, 0xD7), ("arabic", 0xD8, 0xDB), ("indic", 0xE0, 0xE0), ("other", 0xE1, 0xE1), ("kana", 0xE3, 0xE3),
-    ("han", 0xE4, 0xE9), ("hangul", 0xEA, 0xED),
+    ("latin", 0x41, 0x24F), ("latin", 0x1E00, 0x1EFF), ("latin", 0xFF21, 0xFF5A), ("greek", 0x370, 0x3FF), ("greek", 0x1F00, 0x1FFF),
+    ("cyrillic", 0x400, 0x52F), ("armenian", 0x530, 0x58F), ("hebrew", 0x590, 0x5FF), ("arabic", 0x600, 0x6FF), ("arabic", 0x750, 0x77F),
+    ("arabic", 0xFB50, 0xFDFF), ("arabic", 0xFE70, 0xFEFF), ("indic", 0x900, 0xDFF), ("thai", 0xE00, 0xE7F), ("georgian", 0x10A0, 0x10FF),
+    ("kana", 0x3040, 0x30FF), ("kana", 0xFF66, 0xFF9F), ("han", 0x3400, 0x4DBF), ("han", 0x4E00, 0x9FFF), ("han", 0xF900, 0xFAFF), ("han", 0x20000, 0x2FA1F),
+    ("hangul", 0x1100, 0x11FF), ("hangul", 0xAC00, 0xD7AF),
 )
-SCRIPTS = ["none", *dict.fromkeys(name for name, _, _ in SCRIPT_RANGES)]
-_SCRIPT_OF = np.zeros(256, np.uint8)
-for _name, _low, _high in SCRIPT_RANGES:
-    _SCRIPT_OF[_low : _high + 1] = SCRIPTS.index(_name)
+SCRIPTS = ["none", "other", *dict.fromkeys(name for name, _, _ in SCRIPT_RANGES)]
+
+
+@cache
+def _script_table() -> np.ndarray:
+    """The script of every code point: 0 for all that is no letter (Unicode category L)."""
+    letter = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+    table = letter.astype(np.uint8)
+    for name, low, high in SCRIPT_RANGES:
+        table[low : high + 1] = np.where(letter[low : high + 1], SCRIPTS.index(name), 0)
+    return table
+
+
+def _scripts(data: np.ndarray) -> np.ndarray:
+    """The script of the character that begins at each byte; 0 elsewhere."""
+    table = _script_table()
+    out = np.where(data < 0x80, table[data], 0).astype(np.uint8)
+    at = np.flatnonzero(data >= 0xC2)
+    if len(at):
+        b = data[np.minimum(at[:, None] + np.arange(4), len(data) - 1)].astype(np.int64)
+        two = (b[:, 0] & 0x1F) << 6 | b[:, 1] & 0x3F
+        three = (b[:, 0] & 0x0F) << 12 | (b[:, 1] & 0x3F) << 6 | b[:, 2] & 0x3F
+        four = (b[:, 0] & 0x07) << 18 | (b[:, 1] & 0x3F) << 12 | (b[:, 2] & 0x3F) << 6 | b[:, 3] & 0x3F
+        out[at] = table[np.where(b[:, 0] < 0xE0, two, np.where(b[:, 0] < 0xF0, three, four))]
+    return out
+
+
 _FOLD = np.arange(256, dtype=np.int64)
 _FOLD[65:91] += 32
 #: A language is no candidate for a script that fewer than this share of its words have.
@@ -50,7 +76,7 @@ def _features(data: np.ndarray, off: np.ndarray) -> tuple[Words, np.ndarray, np.
     right = np.where(ends[1:], 32, padded[2:])
     code = (left << 16) | (folded << 8) | right
     bucket = ((code * 0x9E3779B1) >> 13) & (BUCKETS - 1)
-    script = np.maximum.reduceat(_SCRIPT_OF[data], words.start) if len(words.start) else np.zeros(0, np.uint8)
+    script = np.maximum.reduceat(_scripts(data), words.start) if len(words.start) else np.zeros(0, np.uint8)
     return words, bucket, script
 
 
@@ -61,8 +87,6 @@ class LanguageModel:
     trigrams: np.ndarray
     #: Whether a language is a candidate for a script.
     allowed: np.ndarray
-    #: Words seen per language.
-    words: np.ndarray
 
 
 def fit_languages(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
@@ -98,7 +122,7 @@ def fit_languages(df: DataFrame, text_col: str = "text", lang_col: str = "lang")
     allowed = (share >= RARE_SCRIPT).T
     allowed[~allowed.any(axis=1)] = True
     allowed[0] = True
-    return LanguageModel(names, np.ascontiguousarray(log.T.astype(np.float32)), allowed, scripts.sum(axis=1))
+    return LanguageModel(names, np.ascontiguousarray(log.T.astype(np.float32)), allowed)
 
 
 def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray:
@@ -185,11 +209,8 @@ def label_languages(
                         if total[x] > 0:
                             best = int(votes[x].argmax())
                             lang[x], score[x] = known.languages[best], float(votes[x, best] / total[x])
-                        elif off[x + 1] > off[x]:
-                            if any(ch.isalpha() for ch in batch.column(1)[x].as_py()):  # letters of a script without a range
-                                lang[x] = known.languages[int(known.words.argmax())]
-                            else:
-                                spans[x] = []
+                        else:
+                            spans[x] = []
             yield pa.record_batch([batch.column(0), pa.array(lang), pa.array(score, pa.float64()), pa.array(spans, span)], ["id", "lang", "score", "spans"])
 
     out = rows.mapInArrow(build, f"id {kind}, lang string, score double, spans array<struct<start:long,end:long,lang:string>>")

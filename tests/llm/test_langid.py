@@ -36,6 +36,34 @@ def test_held_out_and_mixed_texts(spark):
     assert by_id[100].spans[1].end == len(mixed)
 
 
+def test_only_letters_count(spark):
+    known = model(spark, random.Random(8))
+    none = ["٣٤", "。。", "× ÷", "१२३", "🙂 — „“", "12,5 %", "\u0301"]
+    letters = ["ա", "ა", "𐤀", "ª", "ꙮ", "ﬁ", "٣ ب"]
+    got = {r.doc_id: r for r in langid.label_languages(docs(spark, list(enumerate(none + letters))), known).collect()}
+    assert [(got[i].lang, got[i].score, got[i].spans) for i in range(len(none))] == [("und", 0.0, [])] * len(none)
+    assert all(got[len(none) + i].lang in known.languages for i in range(len(letters)))
+
+
+def test_a_language_of_any_script_is_learned(spark):
+    rng = random.Random(2)
+    words = {"hy": ["բարեւ", "աշխարհ", "տուն"], "ka": ["გამარჯობა", "სახლი", "წყალი"], "xx": ["𐤀𐤁𐤂", "𐤃𐤄"], "en": ["house", "water", "world"]}
+    rows = [(" ".join(rng.choice(ws) for _ in range(20)), lang) for lang, ws in words.items() for _ in range(10)]
+    known = langid.fit_languages(spark.createDataFrame(rows, "text string, lang string"))
+    texts = [(i, " ".join(rng.choice(ws) for _ in range(5))) for i, ws in enumerate(words.values())]
+    got = {r.doc_id: (r.lang, r.score) for r in langid.label_languages(docs(spark, texts), known).collect()}
+    assert got == {i: (lang, 1.0) for i, lang in enumerate(words)}
+
+
+def test_scripts_by_code_point():
+    text = "aé×Ωжա٣ب漢かไ한ა𐤀 ﬁ1"
+    data = np.frombuffer(text.encode(), np.uint8)
+    at = np.flatnonzero((data & 0xC0) != 0x80)
+    names = [langid.SCRIPTS[s] for s in langid._scripts(data)[at]]
+    assert names == ["latin", "latin", "none", "greek", "cyrillic", "armenian", "none", "arabic", "han", "kana", "thai", "hangul", "georgian", "other", "none", "other", "none"]
+    assert not langid._scripts(data)[(data & 0xC0) == 0x80].any()
+
+
 def test_no_languages(spark):
     none = langid.fit_languages(docs(spark, []))
     assert [r.lang for r in langid.label_languages(docs(spark, [(1, "words")]), none).collect()] == ["und"]
