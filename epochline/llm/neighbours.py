@@ -9,8 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of a range and the number of ranges at most; a range is streamed, so its size is no matter of memory.
-RANGE, RANGES = 2_000, 2_000
+#: Rows of a range, and ranges whose bounds approximate quantiles are asked for. Beyond that many, ranges grow: there are
+#: then tasks enough, and a range is streamed, so its size is no matter of memory.
+RANGE, RANGES = 2_000, 20_000
 
 
 def map_with_next(df: DataFrame, id_col: str, text_col: str, visit: Callable[[Iterator[tuple]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

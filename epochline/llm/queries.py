@@ -116,7 +116,7 @@ def op8_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of a half edited one."""
     found = merkle.compare_edits(read(spark, sf_dir, "documents"))
     return found.select(
-        "doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next"
+        "doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next", "changed", "changed_edited"
     )
 
 
