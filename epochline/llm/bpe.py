@@ -23,7 +23,7 @@ from tokenizers import Tokenizer
 from epochline.llm.arrow_text import small_batches
 
 #: Entries of the word cache of a worker.
-CACHE = 600_000
+CACHE = 1_200_000
 #: Words that are encoded together, and signs one of which stands between them: it has to be a token of its own.
 TOGETHER, SIGNS = 64, "¤§¶®©±"
 #: Characters of a text in one piece; longer ones are dealt out.
