@@ -4,7 +4,8 @@ A text is encoded in two halves, each in two halves again, down to leaves; two e
 joined by encoding the text around the join anew, in a window that grows until its outer tokens are those
 that both sides already have. Leaves that white space splits need no window: a word is encoded alone.
 
-Texts over `split_chars` are dealt out as pieces, encoded in parallel tasks and joined per text afterwards.
+Texts over `split_chars` are dealt out as pieces, cut anywhere, and encoded in parallel tasks. What a piece begins and ends with may
+go on in its neighbours: these open ends are joined as a tree, some neighbours at a time, in rounds of tasks.
 """
 
 from __future__ import annotations
@@ -21,13 +22,14 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from epochline.llm.arrow_text import small_batches
+from epochline.session import settle
 
 #: Entries of the word cache of a worker.
 CACHE = 1_200_000
 #: Words that are encoded together, and signs one of which stands between them: it has to be a token of its own.
 TOGETHER, SIGNS = 64, "¤§¶®©±"
-#: Characters of a text in one piece; longer ones are dealt out.
-SPLIT_CHARS = 1 << 20
+#: Characters of a text in one piece, longer ones are dealt out; and neighbours that are joined in one round.
+SPLIT_CHARS, FAN = 1 << 15, 8
 #: A special token may span a join; agreement nearer to it than this many characters doesn't count.
 GUARD = 40
 
@@ -46,6 +48,13 @@ class Encoded:
     starts: np.ndarray
     ends: np.ndarray
 
+    def stored(self) -> dict:
+        return {"text": self.text, **{c: getattr(self, c).astype("<i8").tobytes() for c in ("ids", "starts", "ends")}}
+
+    @staticmethod
+    def read(row: dict | None) -> Encoded | None:
+        return row and Encoded(row["text"], np.frombuffer(row["ids"], "<i8").astype(np.uint32), *(np.frombuffer(row[c], "<i8") for c in ("starts", "ends")))
+
 
 class Codec:
     """A tokenizer file with a word cache. `leaf_chars` is the longest unsplit run that is encoded in one go."""
@@ -186,7 +195,8 @@ def encode_texts(
     """(id, n_tokens, ids) per row; ids are little-endian unsigned 32-bit numbers in one binary value.
 
     Null and empty texts have no tokens. Repeated rows and null ids stay as they are. Columns other than
-    the two named are not looked at, so their names can't clash. `path` is a file that every worker has.
+    the two named are not looked at, so their names can't clash. `path` is a file that every worker has. Texts over
+    `split_chars` are encoded when this is called, as pieces; each different one once.
     """
     small_batches(df.sparkSession)
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -203,68 +213,128 @@ def encode_texts(
     kind = rows.schema["id"].dataType.simpleString()
     long = F.char_length("text") > split_chars
     out = rows.where(~long).mapInArrow(direct, f"id {kind}, n_tokens long, ids binary")
-    keyed = rows.where(long).select("id", F.sha2("text", 256).alias("key"), "text")
+    keyed = settle(rows.where(long).select("id", F.sha2("text", 256).alias("key"), "text"), "long")
     joined = _encode_pieces(keyed.select("key", "text").dropDuplicates(["key"]), path, leaf_chars, split_chars)
     return out.unionByName(keyed.select("id", "key").join(joined, "key").drop("key")).withColumnRenamed("id", id_col)
 
 
+_ENDS = pa.struct([("text", pa.string()), ("ids", pa.binary()), ("starts", pa.binary()), ("ends", pa.binary())])
+_PIECE = pa.schema([("key", pa.string()), ("k", pa.int32()), ("head", _ENDS), ("tail", _ENDS), ("tail_at", pa.int32()), ("place", pa.int64()), ("ids", pa.binary())])
+_PIECE_SQL = "key string, k int, head {0}, tail {0}, tail_at int, place long, ids binary".format("struct<text:string,ids:binary,starts:binary,ends:binary>")
+
+
+@dataclass
+class Piece:
+    """Neighbouring pieces of a text: what they begin with and, if there is white space in them, what they end with, which may both go on.
+
+    `tail_at` is the number of the piece that the tail begins in.
+    """
+
+    head: Encoded
+    tail: Encoded | None
+    tail_at: int
+
+    def row(self, key: str, k: int) -> dict:
+        return {"key": key, "k": k, "head": self.head.stored(), "tail": self.tail and self.tail.stored(), "tail_at": self.tail_at}
+
+
+def _word_row(key: str, place: int, ids: np.ndarray | bytes) -> dict:
+    return {"key": key, "place": place, "ids": ids if isinstance(ids, bytes) else ids.astype("<u4").tobytes()}
+
+
+def join_pieces(codec: Codec, left: Piece, right: Piece) -> tuple[Piece, tuple[int, np.ndarray] | None]:
+    """Two neighbours as one, and the word that ends between them, if one does, with its place among the words of the text."""
+    if left.tail is None:
+        return Piece(codec.join(left.head, right.head), right.tail, right.tail_at), None
+    met = codec.join(left.tail, right.head)
+    if right.tail is None:
+        return Piece(left.head, met, left.tail_at), None
+    return Piece(left.head, right.tail, right.tail_at), (2 * left.tail_at + 2, met.ids)
+
+
 def _encode_pieces(keyed: DataFrame, path: str, leaf_chars: int, piece: int) -> DataFrame:
-    """(key, n_tokens, ids) of long texts: pieces are encoded wherever there is room, then joined in order per text."""
+    """(key, n_tokens, ids) of long texts: pieces are encoded wherever there is room, and their ends are joined in rounds.
+
+    Words of piece k have place 2k + 1, the word that begins in it and ends in a later one 2k + 2, the first of a text 0.
+    """
     starts = F.sequence(F.lit(0), F.floor((F.char_length("text") - 1) / piece).cast("int"))
     pieces = keyed.select("key", "text", F.explode(starts).alias("k")).select(
         "key", "k", F.substring(F.col("text"), F.col("k") * piece + 1, F.lit(piece)).alias("text")
     )
 
+    def made(rows: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist(rows, schema=_PIECE)
+
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of each piece: the ids of its inner words, and its first and last word, which may go on in the neighbours."""
         own = codec(path, leaf_chars)
         for batch in batches:
-            out = []
-            for text in batch.column(2).to_pylist():
+            rows = []
+            for key, k, text in zip(*(batch.column(c).to_pylist() for c in range(3))):
                 words = parts(text)
-                inner = own.encode([" ".join(words[1:-1])])[0] if len(words) > 2 else b""
-                out.append((words[0], inner, words[-1] if len(words) > 1 else None))
-            yield pa.record_batch(
-                [batch.column(0), batch.column(1), *(pa.array(x, t) for x, t in zip(zip(*out), (pa.string(), pa.binary(), pa.string())))],
-                ["key", "k", "head", "inner", "tail"],
-            )
+                tail = own.unsplit(words[-1]) if len(words) > 1 else None
+                rows.append(Piece(own.unsplit(words[0]), tail, k).row(key, k))
+                if len(words) > 2:
+                    rows.append(_word_row(key, 2 * k + 1, own.encode([" ".join(words[1:-1])])[0]))
+            yield made(rows)
 
     def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, leaf_chars)
-        key, done, open_words = None, [], []
+        """Open ends sorted by (key, k): FAN neighbours become one."""
+        own, at, held = codec(path, leaf_chars), None, None
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                piece = Piece(Encoded.read(r["head"]), Encoded.read(r["tail"]), r["tail_at"])
+                if at != (r["key"], r["k"] // FAN):
+                    if held is not None:
+                        rows.append(held.row(*at))
+                    at, held = (r["key"], r["k"] // FAN), piece
+                    continue
+                held, word = join_pieces(own, held, piece)
+                if word is not None:
+                    rows.append(_word_row(r["key"], *word))
+            if rows:
+                yield made(rows)
+        if held is not None:
+            yield made([held.row(*at)])
+
+    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The first and the last word of every text, which end with it."""
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                rows.append(_word_row(r["key"], 0, Encoded.read(r["head"]).ids))
+                if r["tail"] is not None:
+                    rows.append(_word_row(r["key"], 2 * r["tail_at"] + 2, Encoded.read(r["tail"]).ids))
+            yield made(rows)
 
-        def close() -> None:
-            """The word that is open has ended: its parts are joined as a tree."""
-            parts = [own.unsplit(w) for w in open_words if w]
-            while len(parts) > 1:
-                parts = [own.join(*parts[i : i + 2]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
-            if parts:
-                done.append(parts[0].ids.astype("<u4").tobytes())
-            open_words.clear()
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Ids sorted by (key, place): one value per text."""
+        key, held = None, []
 
         def row() -> pa.RecordBatch:
-            close()
-            ids = b"".join(done)
-            return pa.record_batch(
-                [pa.array([key]), pa.array([len(ids) // 4], pa.int64()), pa.array([ids], pa.binary())], ["key", "n_tokens", "ids"]
-            )
+            ids = b"".join(held)
+            return pa.record_batch([pa.array([key]), pa.array([len(ids) // 4], pa.int64()), pa.array([ids], pa.binary())], ["key", "n_tokens", "ids"])
 
         for batch in batches:
-            for k, head, inner, tail in zip(*(batch.column(c).to_pylist() for c in (0, 2, 3, 4))):
+            for k, _, ids in zip(*(batch.column(c).to_pylist() for c in range(3))):
                 if k != key:
                     if key is not None:
                         yield row()
-                    key, done = k, []
-                open_words.append(head)
-                if tail is not None:
-                    close()
-                    done.append(inner)
-                    open_words.append(tail)
+                    key, held = k, []
+                held.append(ids)
         if key is not None:
             yield row()
 
-    encoded = pieces.repartition("key", "k").mapInArrow(ends, "key string, k int, head string, inner binary, tail string")
-    return encoded.repartition("key").sortWithinPartitions("key", "k").mapInArrow(together, "key string, n_tokens long, ids binary")
+    level = settle(pieces.repartition("key", "k").mapInArrow(ends, _PIECE_SQL), "pieces")
+    words = level.where("place is not null").select("key", "place", "ids")
+    most = level.agg(F.max("k")).first()[0] or 0
+    while most:
+        near = level.where("place is null").repartition("key", F.floor(F.col("k") / FAN)).sortWithinPartitions("key", "k")
+        level = settle(near.mapInArrow(together, _PIECE_SQL), "pieces")
+        words = words.unionByName(level.where("place is not null").select("key", "place", "ids"))
+        most //= FAN
+    words = words.unionByName(level.where("place is null").mapInArrow(last, _PIECE_SQL).select("key", "place", "ids"))
+    return words.repartition("key").sortWithinPartitions("key", "place").mapInArrow(whole, "key string, n_tokens long, ids binary")
 
 
 def decode_ids(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

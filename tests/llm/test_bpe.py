@@ -25,7 +25,33 @@ def test_unsplit_runs_by_halves(whole):
         assert own.unsplit(text).ids.tolist() == whole.encode(text, add_special_tokens=False).ids, text
 
 
-def test_tables(spark, whole):
+def test_pieces_are_joined_as_a_tree(whole):
+    rng = random.Random(3)
+    own = bpe.codec(PATH, 16)
+    for _ in range(60):
+        text = "".join(rng.choice(["ab", "the", " ", "é", "!", "'s", "\n", "xyzxyzxyzxyzxyz", "漢字", "<|endoftext|>"]) for _ in range(rng.randint(20, 150)))
+        cut = [text[a : a + 25] for a in range(0, len(text), 25)]
+        level, words = [], []
+        for k, x in enumerate(cut):
+            ws = bpe.parts(x)
+            level.append(bpe.Piece(own.unsplit(ws[0]), own.unsplit(ws[-1]) if len(ws) > 1 else None, k))
+            words.append((2 * k + 1, np.frombuffer(own.encode([" ".join(ws[1:-1])])[0], "<u4") if len(ws) > 2 else []))
+        while len(level) > 1:
+            joined = []
+            for i in range(0, len(level), 2):
+                if i + 1 == len(level):
+                    joined.append(level[i])
+                    continue
+                piece, word = bpe.join_pieces(own, level[i], level[i + 1])
+                joined.append(piece)
+                words += [word] if word else []
+            level = joined
+        words += [(0, level[0].head.ids)] + ([(2 * level[0].tail_at + 2, level[0].tail.ids)] if level[0].tail else [])
+        ids = [int(x) for _, w in sorted(words, key=lambda w: w[0]) for x in w]
+        assert ids == whole.encode(text, add_special_tokens=False).ids, text
+
+
+def test_tables(spark, whole, monkeypatch):
     rng = random.Random(2)
     texts = ["".join(rng.choice("abcde 'é!\n") for _ in range(3000)), "x" * 3000 + "yz" * 900, None, "", " ", "ab" * 4000, "Hello<|endoftext|>World", "ab" * 4000]
     rows = [*enumerate(texts), (None, "null id"), (6, texts[6])]
@@ -35,6 +61,10 @@ def test_tables(spark, whole):
         ids = whole.encode(("null id" if r.doc_id is None else texts[r.doc_id]) or "", add_special_tokens=False).ids
         assert np.frombuffer(r.ids, "<u4").tolist() == ids and r.n_tokens == len(ids)
         assert r.decoded == whole.decode(ids, skip_special_tokens=False)
+    for fan in (2, 50):
+        monkeypatch.setattr(bpe, "FAN", fan)
+        small = bpe.encode_texts(docs(spark, rows), PATH, leaf_chars=64, split_chars=300).collect()
+        assert sorted((str(r.doc_id), bytes(r.ids)) for r in small) == sorted((str(r.doc_id), bytes(r.ids)) for r in got)
     only = bpe.decode_ids(bpe.encode_texts(docs(spark, [(1, "some words")]), PATH), PATH).first()
     assert only.decoded == whole.decode(whole.encode("some words", add_special_tokens=False).ids, skip_special_tokens=False)
     assert bpe.round_trip(docs(spark, []), PATH).count() == 0
