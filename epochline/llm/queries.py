@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epochline.llm import alignment, bpe, chains, decontaminate, jaccard, langid, lm, merkle, packing, quality, repeats, runs, toolcalls
+from epochline.operators.ordered import Fill, Lag, with_ordered
+from epochline.session import settle
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -67,35 +69,39 @@ def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", F.col("component").alias("component_id"))
 
 
-#: What a call made of a user's turn has to look like.
-REPLY_SCHEMA = {
-    "reply": {
-        "type": "object",
-        "required": ["conversation", "turn", "prompt"],
-        "additionalProperties": False,
-        "properties": {
-            "conversation": {"type": "integer", "minimum": 0},
-            "turn": {"type": "integer", "minimum": 0},
-            "prompt": {"type": "string", "minLength": 1, "maxLength": 100_000},
-            "after": {"type": "string"},
-        },
-    }
+#: What a call made of a turn has to look like, by what the turn calls for.
+_TURN = {
+    "conversation": {"type": "integer", "minimum": 0},
+    "turn": {"type": "integer", "minimum": 0},
+    "prompt": {"type": "string", "minLength": 1, "maxLength": 100_000},
+    "after": {"type": "string"},
+    "under": {"type": "string"},
 }
+_CALL = {"type": "object", "required": ["conversation", "turn", "prompt"], "additionalProperties": False, "properties": _TURN}
+CALL_SCHEMAS = {"reply": _CALL, "instruct": {**_CALL, "properties": {k: v for k, v in _TURN.items() if k != "under"}}}
 
 
 def op6_toolcalls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as tool calls: a user's turn calls for a reply and refers to the one before; an assistant's turn is the result."""
+    """Conversations as tool calls, a row per turn.
+
+    A user's turn calls for a reply and refers to the result of the call before it (`after`), and to the instruction it stands under (`under`);
+    a system turn is a call that instructs and has no result; an assistant's turn, or one of any other role, is the result of the user's
+    turn before it. Results without a call, and more than one result of a call, are rows of their own.
+    """
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    asked = F.max(F.when(F.col("role") == "user", F.col("turn"))).over(before)
-    turns = turns.withColumn("asked", asked).withColumn("name", F.concat(F.lit("turn-"), F.col("turn").cast("string")))
-    earlier = F.when(F.col("asked").isNotNull(), F.create_map(F.lit("$result"), F.concat(F.lit("turn-"), F.col("asked").cast("string"))))
-    arguments = F.to_json(F.struct(F.col("conv_id").alias("conversation"), "turn", F.col("text").alias("prompt"), earlier.alias("after")))
-    calls = turns.where("role = 'user'").select("conv_id", F.col("name").alias("call_id"), F.col("turn").alias("seq"), F.lit("reply").alias("name"), arguments.alias("arguments"))
-    results = turns.where("role = 'assistant'").select(
-        "conv_id", F.concat(F.lit("turn-"), F.col("asked").cast("string")).alias("call_id"), F.col("turn").alias("seq"), F.col("text").alias("content")
+    asks, instructs = F.col("role").eqNullSafe("user"), F.col("role").eqNullSafe("system")
+    turns = turns.withColumns({"asking": F.when(asks, F.col("turn")), "instructing": F.when(instructs, F.col("turn"))})
+    seen = {"asked": Fill("asking", direction="forward"), "told": Fill("instructing", direction="forward")}
+    ordered = settle(with_ordered(settle(turns, "turns"), "turn", seen, ["conv_id"], ["role", "text"]), "turns")
+    asked = with_ordered(ordered, "turn", {"earlier": Lag("asked")}, ["conv_id"], ["role", "text"])
+    named = lambda c: F.concat(F.lit("turn-"), c.cast("string"))
+    refer = lambda c: F.when(c.isNotNull(), F.create_map(F.lit("$result"), named(c)))
+    arguments = F.struct(F.col("conv_id").alias("conversation"), "turn", F.col("text").alias("prompt"), refer(F.col("earlier")).alias("after"), F.when(asks, named(F.col("told"))).alias("under"))
+    calls = asked.where(asks | instructs).select(
+        "conv_id", named(F.col("turn")).alias("call_id"), F.col("turn").alias("seq"), F.when(asks, "reply").otherwise("instruct").alias("name"), F.to_json(arguments).alias("arguments")
     )
-    return toolcalls.link_calls(calls, results, REPLY_SCHEMA)
+    results = asked.where(~(asks | instructs)).select("conv_id", named(F.col("asked")).alias("call_id"), F.col("turn").alias("seq"), F.col("text").alias("content"))
+    return toolcalls.link_calls(calls, results, CALL_SCHEMAS)
 
 
 def quality_rows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,13 +18,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from epochline.llm.arrow_text import small_batches
+from epochline.operators.ordered import Position, with_ordered
 from epochline.session import settle
 
+#: Half of a surrogate pair, which JSON can escape and UTF-8 can't hold.
+HALF = re.compile("[\ud800-\udfff]")
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 
 
 def canonical(value: object) -> str:
-    """A value as JSON with sorted keys; whole floats become integers. NaN and infinities are null."""
+    """A value as JSON with sorted keys; whole floats become integers. NaN and infinities are null, half surrogate pairs stay escapes."""
 
     def plain(v):
         if isinstance(v, float):
@@ -32,7 +36,8 @@ def canonical(value: object) -> str:
             return {k: plain(x) for k, x in v.items()}
         return [plain(x) for x in v] if isinstance(v, list) else v
 
-    return json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    text = json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return HALF.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
 
 
 def references(value: object) -> list[str]:
@@ -53,10 +58,10 @@ def violations(value: object, schema: dict, at: str = "$") -> list[str]:
         return []
     kind, found = schema.get("type"), []
     number = isinstance(value, (int, float)) and not isinstance(value, bool)
-    whole = number and float(value).is_integer()
+    whole = number and (isinstance(value, int) or value.is_integer())
     if kind and not (whole if kind == "integer" else number if kind == "number" else isinstance(value, _TYPES[kind])):
         return [f"{at}: not {kind}"]
-    if "enum" in schema and value not in schema["enum"]:
+    if "enum" in schema and canonical(value) not in map(canonical, schema["enum"]):
         found.append(f"{at}: not in enum")
     if number:
         found += [f"{at}: under {schema['minimum']}"] if value < schema.get("minimum", -math.inf) else []
@@ -77,6 +82,10 @@ def violations(value: object, schema: dict, at: str = "$") -> list[str]:
     return found
 
 
+def _utf8(text: str) -> str:
+    return HALF.sub("\ufffd", text)
+
+
 def _parse(schemas: dict[str, dict]):
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,14 +93,15 @@ def _parse(schemas: dict[str, dict]):
             for name, arguments in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
                 try:
                     value = json.loads(arguments if arguments is not None else "{}")
-                except (ValueError, RecursionError):
-                    text.append(None)
-                    refs.append([])
-                    errors.append(["$: not JSON"])
-                    continue
-                text.append(canonical(value))
-                refs.append(list(dict.fromkeys(references(value))))
-                errors.append(violations(value, schemas[name]) if name in schemas else ["unknown tool"])
+                    made = canonical(value), list(dict.fromkeys(map(_utf8, references(value))))
+                    broken = [_utf8(e) for e in violations(value, schemas[name])] if name in schemas else ["unknown tool"]
+                except RecursionError:
+                    made, broken = (None, []), ["$: nested too deep"]
+                except ValueError:  # no JSON, or a number of more digits than Python converts
+                    made, broken = (None, []), ["$: not JSON"]
+                text.append(made[0])
+                refs.append(made[1])
+                errors.append(broken)
             strings = pa.list_(pa.string())
             yield pa.record_batch(
                 [*batch.columns[:4], pa.array(text, pa.string()), pa.array(refs, strings), pa.array(errors, strings)],
@@ -136,7 +146,10 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
     missing) or repeated (a call or result whose identifier came before in the conversation; it links with
     nothing). A null identifier links with nothing. `position` counts the calls of a conversation from 1, each
     behind those whose results it refers to, else by seq; only rows with status linked or no_result have one.
-    Calls that a cycle of references keeps from a place are `cyclic` and come in the order in which they were left.
+    Calls that a cycle of references keeps from a place are `cyclic` and come in the order in which they were left. Arguments that
+    are no JSON, are nested deeper than Python reads or hold a number of thousands of digits are errors and have null as
+    arguments. Very long texts are handled a row at a time; other columns are not looked at. A conversation that holds much
+    of the rows is numbered in segments.
     """
     small_batches(calls.sparkSession)
     rows = calls.select(F.col("conv_id").alias("conv"), F.col("call_id").cast("string").alias("id"), F.col("seq").cast("long").alias("seq"), F.col("name").cast("string").alias("name"), F.col("arguments").cast("string").alias("arguments"))
@@ -170,8 +183,10 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
     orphans = alone.select(F.col("r.conv").alias("conv_id"), F.col("r.id").alias("call_id"), F.col("r.seq").alias("seq"), F.when(F.col("r.copy") > 1, "repeated").otherwise("no_call").alias("status"), "r.content")
     whole = body.unionByName(orphans, allowMissingColumns=True)
     stands = F.col("status").isin("linked", "no_result")
-    order = Window.partitionBy("conv_id", stands).orderBy("pos", "level", "seq", "call_id", "name", "arguments")
-    whole = whole.withColumn("position", F.when(stands, F.row_number().over(order)))
+    whole = settle(whole.withColumn("stands", stands), "linked")
+    ties = ["level", "seq", "call_id", "name", "arguments"]
+    whole = with_ordered(whole, "pos", {"position": Position()}, ["conv_id", "stands"], ties)
+    whole = whole.withColumn("position", F.when(F.col("stands"), F.col("position")).cast("int"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
