@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epochline.llm import alignment, bpe, chains, decontaminate, jaccard, langid, lm, merkle, packing, quality, repeats, runs, toolcalls
+from epochline.llm import alignment, bpe, chains, decontaminate, jaccard, langid, lm, merkle, packing, quality, repeats, runs, sql, toolcalls
 from epochline.operators.ordered import Fill, Lag, with_ordered
 from epochline.session import settle
 
@@ -185,4 +185,4 @@ _ALL = (
     op1_chains, op2_lm, op3_decontaminate, op4_langid, op5_jaccard, op6_toolcalls, op7_quality, op8_merkle, op9_repeats, op10_bpe, op11_runs, op12_packing, op13_alignment,
 )
 QUERIES = {f.__name__: f for f in _ALL}
-SQL: dict[str, str] = {}
+SQL = {"op5_jaccard": sql.OP5, "op9_repeats": sql.OP9, "op11_runs": sql.OP11}
