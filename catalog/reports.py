@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from catalog.common import Registry, r, rounded
 from catalog.views import BASE_CTES, CONFIG, MEASURES, RAW_SQL, RESAMPLED_CTES, base, long_term_view, raw_view
-from epochline.plans import report
+from epochline.operators.stats import mse
+from epochline.plans import modeling, report
+from epochline.session import scratch_path
+from epochline.sources.metrics import upsert_metric
 
 QUERIES = Registry()
 query = QUERIES.query
@@ -110,6 +113,49 @@ def report_predictions(spark, sf_dir):
     return rounded(report.prediction_report(predictions, CONFIG), ["anomaly", "pred_anomaly"])
 
 
+@query(
+    "report_predictions_scored",
+    "R6 M13",
+    f"""WITH {BASE_CTES}, p AS (SELECT year_bin, CASE WHEN year_bin <= 2025 THEN anomaly END AS anomaly, ln(co2_ppm) AS a, insolation / 3 AS b FROM base WHERE year_bin <= 200000),
+    s AS (SELECT avg(pow(anomaly - a, 2)) AS mse FROM p),
+    z AS (SELECT *, CASE WHEN year_bin BETWEEN -500000 AND -300000 THEN 'Test' WHEN year_bin <= 2025 THEN 'Train' ELSE 'Forecast' END AS band FROM p)
+    SELECT 'Linear Model' AS model, year_bin, {r('anomaly')} AS anomaly, {r('a')} AS pred_anomaly, band, {r('mse', 4)} AS mse FROM z, s
+    UNION ALL SELECT 'Arima Model', year_bin, {r('anomaly')}, CASE WHEN year_bin > 2025 THEN {r('b')} END, CASE WHEN year_bin > 2025 THEN 'Forecast' ELSE 'Train' END, NULL FROM z
+    UNION ALL SELECT 'Default', year_bin, {r('anomaly')}, NULL, band, NULL FROM z""",
+)
+def report_predictions_scored(spark, sf_dir):
+    """All panels: the actual values alone, and each model with its error on the scoreboard."""
+    rows = base(spark, sf_dir)
+    linear = rows.select("year_bin", "anomaly", F.ln("co2_ppm").alias("pred_anomaly"))
+    predictions = {"linear_model": linear, "arima_model": rows.select("year_bin", "anomaly", (F.col("insolation") / 3).alias("pred_anomaly"))}
+    path = scratch_path(spark, "scoreboard")
+    judged = linear.where((F.col("year_bin") <= CONFIG.present) & (F.col("year_bin") <= CONFIG.forecast_end))
+    board = upsert_metric(spark, path, mse(judged, "anomaly", "pred_anomaly").select(F.lit("linear_model").alias("model"), "mse"))
+    shown = report.prediction_report(predictions, CONFIG, actual=rows.select("year_bin", "anomaly"), scores=board)
+    return rounded(rounded(shown, ["anomaly", "pred_anomaly"]), ["mse"], 4)
+
+
+@query(
+    "report_latest",
+    "R1 W12",
+    f"""{RAW} SELECT year_bin, {r('anomaly')} AS anomaly, concat(year_bin, ': Anomaly of ', CASE WHEN anomaly >= 0 THEN '+' ELSE '' END, printf('%.2f', anomaly), '°C') AS label
+    FROM raw WHERE anomaly IS NOT NULL ORDER BY year_bin DESC LIMIT 1""",
+)
+def report_latest(spark, sf_dir):
+    return rounded(report.latest_label(past_raw(spark, sf_dir)), ["anomaly"])
+
+
+@query(
+    "window_errors",
+    "A12 C14",
+    f"""WITH {BASE_CTES}, p AS (SELECT CASE WHEN year_bin BETWEEN -500000 AND -300000 THEN 'test' ELSE 'train' END AS split, anomaly, ln(co2_ppm) AS a FROM base WHERE year_bin <= 2025)
+    SELECT split, {r('avg(pow(anomaly - a, 2))')} AS mse, count(*) AS n FROM p GROUP BY 1""",
+)
+def window_errors(spark, sf_dir):
+    predicted = base(spark, sf_dir).select("year_bin", "anomaly", F.ln("co2_ppm").alias("pred_anomaly"))
+    return rounded(modeling.window_errors(predicted, CONFIG), ["mse"])
+
+
 _TRENDS = " UNION ALL ".join(
     f"""SELECT '{c}' AS predictor, {r(f'regr_slope(anomaly, {v})', 5)} AS slope, {r(f'regr_intercept(anomaly, {v})', 5)} AS intercept, regr_count(anomaly, {v})::BIGINT AS n FROM lt"""
     for c, v in [

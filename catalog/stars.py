@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from catalog.common import Registry, days, r, rounded, sql_days, sql_interpolate, sql_tiered, table
@@ -160,6 +162,55 @@ def cosmic_series(spark, sf_dir):
     return rounded(cosmic, ["be_ppm", "VADM", "solar_modulation"])
 
 
+@query(
+    "doubtful_temperatures",
+    "W11 P21",
+    f"""WITH {SAMPLE_CTES}, ends AS (SELECT *, embedding[len(embedding)]::DOUBLE * 200 - embedding[1]::DOUBLE * 200 + reference AS last FROM based),
+    u AS (SELECT *, unnest(range(0, len(embedding))) AS i FROM ends),
+    v AS (SELECT sample_id, (newest_year - 150 * i)::BIGINT AS year, embedding[i + 1]::DOUBLE * 200 - embedding[1]::DOUBLE * 200 + reference AS anomaly, climate, abs(last) > 20 AS extreme, lat, lon FROM u)
+    SELECT sample_id, year, {r('climate + anomaly', 5)} AS "degC", {r('anomaly', 5)} AS anomaly, lat AS "geo_meanLat", lon AS "geo_meanLon",
+      CASE WHEN climate + anomaly IS NULL THEN 'no baseline' ELSE 'extreme' END AS reason FROM v WHERE climate + anomaly IS NULL OR extreme""",
+)
+def doubtful_temperatures(spark, sf_dir):
+    """What the build leaves out or doubts, with the reason, as the flow writes it beside the tables; here of wider swings."""
+    left, inputs = {}, raw_inputs(spark, sf_dir)
+    wider = inputs.samples.withColumn("paleoData_values", F.transform("paleoData_values", lambda x: x * 10))
+    B.build_star(replace(inputs, samples=wider), ["vec_id"], left=left)
+    return rounded(left["doubtful_temperatures"], ["degC", "anomaly"], 5)
+
+
+@query(
+    "star_build_facts",
+    "C1 C6 A6 W8 U1",
+    f"""WITH {SAMPLE_CTES}, {GRID_CTES},
+    q AS (SELECT quantile_cont(degc, 0.25) AS q1, quantile_cont(degc, 0.75) AS q3 FROM proxies),
+    rows_ AS (SELECT sample_id, year, degc, anomaly FROM proxies, q WHERE degc BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)
+      UNION ALL SELECT n + (SELECT max(sample_id) FROM proxies), year, of_year + anomaly, anomaly FROM gyear JOIN gid USING (lat, lon)),
+    o AS (SELECT *, row_number() OVER (ORDER BY year, sample_id, degc NULLS FIRST, anomaly NULLS FIRST) AS temperature_id FROM rows_)
+    SELECT temperature_id, {sql_tiered('year')} AS time_id, sample_id, {r('degc', 5)} AS "degC", {r('anomaly', 5)} AS anomaly FROM o""",
+)
+def star_build_facts(spark, sf_dir):
+    """Every fact of the star schema with its ids and values."""
+    facts = B.build_star(raw_inputs(spark, sf_dir), ["vec_id"])["fact_temperature"]
+    return rounded(facts, ["degC", "anomaly"], 5)
+
+
+@query(
+    "star_build_dimensions",
+    "C1 C2 C3 C4 C6 C7 U3",
+    f"""WITH {SAMPLE_CTES}, {GRID_CTES}, q AS (SELECT quantile_cont(degc, 0.25) AS q1, quantile_cont(degc, 0.75) AS q3 FROM proxies),
+    f AS (SELECT DISTINCT {sql_tiered('year')} AS year_bin FROM (SELECT year FROM proxies, q WHERE degc BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) UNION ALL SELECT year FROM gyear)),
+    g AS (SELECT {sql_tiered(_ORDER_YEAR)} AS year_bin, avg(ln(o_totalprice)) AS e, avg(sqrt(o_totalprice)) AS i FROM orders GROUP BY 1),
+    w AS (SELECT year_bin, e, i FROM (SELECT year_bin FROM f UNION SELECT year_bin FROM g) LEFT JOIN g USING (year_bin))
+    SELECT year_bin AS time_id, {r('e', 5)} AS eccentricity, {r('i', 5)} AS insolation, year_bin FROM ({sql_interpolate('SELECT * FROM w', 'year_bin', ['e', 'i'], edges='fill')})""",
+)
+def star_build_dimensions(spark, sf_dir):
+    """The orbital dimension on the whole axis, joined to the times that the build knows."""
+    tables = B.build_star(raw_inputs(spark, sf_dir), ["vec_id"])
+    orbital = tables["dim_orbital"].select("time_id", "eccentricity", "insolation")
+    return rounded(orbital.join(tables["dim_time"].select("time_id", "year_bin"), "time_id"), ["eccentricity", "insolation"], 5)
+
+
 @query(
     "star_build",
     "C1 C2 C6 C7 J3 A6 W8 U1 U2 U3 U4",

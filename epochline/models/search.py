@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 from epochline.models.linear import CrossValidation, assign_folds, collect_grams, cross_validate_grams, gram
 
-HISTORY_SCHEMA = "generation int, key string, mask array<int>, lam double, fitness double"
+HISTORY_SCHEMA = "generation int, key string, mask array<int>, lam double, fitness double, description string"
+#: Generations of entries that are no part of the search proper: the winner on more folds, and the candidate it has to beat.
+FINAL, DEFAULT = -1, -2
 
 
 @dataclass(frozen=True)
@@ -28,6 +30,7 @@ class SearchConfig:
     mutation_rate: float = 0.8
     recombination_rate: float = 0.8
     lam: tuple[float, float] = (0.0001, 0.2)
+    default_lam: float = 0.05
     penalty: float = 0.0
     places: int = 5
     seed: int = 42
@@ -47,6 +50,10 @@ class Candidate:
     def features(self, x: Sequence[str]) -> list[str]:
         return [c for c, used in zip(x, self.mask) if used]
 
+    def describe(self, x: Sequence[str], fitness: float) -> str:
+        """The candidate and its error in words, as the log shows it."""
+        return f"features: {', '.join(self.features(x))}; lambda: {self.lam}; fitness: {fitness:.4f}"
+
 
 def fold_grams(df: DataFrame, x: Sequence[str], y: str, key: str, k: int, seed: int, method: str) -> dict:
     complete = df.select(key, *x, y).na.drop(subset=[*x, y])
@@ -104,7 +111,11 @@ class _Breeder:
 def search(
     df: DataFrame, x: Sequence[str], y: str, key: str, config: SearchConfig = SearchConfig(), history: DataFrame | None = None
 ) -> tuple[Candidate, DataFrame]:
-    """Best candidate and the history of everything judged, ending with the winner on more folds (generation -1)."""
+    """Best candidate and the history of everything judged.
+
+    It begins with the default candidate, all features with the default penalty (generation DEFAULT), which is judged and
+    takes no part in the search, and ends with the winner on more folds (generation FINAL).
+    """
     spark, x = df.sparkSession, list(x)
     grams = fold_grams(df, x, y, key, config.k, config.seed, config.fold_method)
     breeder = _Breeder(len(x), config)
@@ -112,16 +123,17 @@ def search(
 
     memo = {}
     if history is not None:  # as many rows as earlier searches have judged candidates
-        past = history.where(F.col("generation") >= 0).groupBy("key").agg(F.min("fitness").alias("fitness"))
+        past = history.where(F.col("generation") != FINAL).groupBy("key").agg(F.min("fitness").alias("fitness"))
         memo = {row["key"]: row["fitness"] for row in past.collect()}
 
     def judged(candidates: list[Candidate], generation: int) -> list[Candidate]:
         new = {c.key: c for c in candidates if c.key not in memo}
         for key_, c in sorted(new.items()):
             memo[key_] = score(c, grams, x, config.penalty)
-            log.append((generation, key_, list(c.mask), c.lam, memo[key_]))
+            log.append((generation, key_, list(c.mask), c.lam, memo[key_], c.describe(x, memo[key_])))
         return [Candidate(c.mask, c.lam, memo[c.key]) for c in candidates]
 
+    judged([Candidate((1,) * len(x), config.default_lam)], DEFAULT)
     population = judged([breeder.fresh() for _ in range(config.population)], 0)
     for generation in range(1, config.generations + 1):
         children = []
@@ -131,7 +143,7 @@ def search(
         population = sorted(population + children, key=lambda c: (c.fitness, c.key))[: config.population]
     best = min(population, key=lambda c: (c.fitness, c.key))
     final = retrain(df, x, y, key, best, config)
-    log.append((-1, best.key, list(best.mask), best.lam, final.mse))
+    log.append((FINAL, best.key, list(best.mask), best.lam, final.mse, best.describe(x, final.mse)))
     return best, spark.createDataFrame(log, HISTORY_SCHEMA)
 
 

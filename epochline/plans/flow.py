@@ -18,8 +18,13 @@ FORECASTERS = ("arima_model", "arimax_model")
 
 
 def run_star(inputs: RawInputs, out: str, id_cols=None, update=None, ids: str = "dense") -> None:
-    """Build the star schema and write its tables (or only those in `update`) under `out`."""
-    for name, df in build_star(inputs, id_cols, ids).items():
+    """Build the star schema and write its tables (or only those in `update`) under `out`.
+
+    Rejected records and doubtful temperatures are written beside them, for review.
+    """
+    left: dict[str, DataFrame] = {}
+    tables = build_star(inputs, id_cols, ids, left)
+    for name, df in (tables | left).items():
         if update is None or name in update:
             write_parquet(df, f"{out}/{name}")
 
@@ -67,6 +72,15 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("year_bin bigint, anomaly double, pred_anomaly double").csv(path, header=True)
 
 
+def _window_errors(predictions: dict[str, DataFrame], config: FlowConfig) -> DataFrame:
+    """Error of every model inside and outside of the test window."""
+    errors = None
+    for model, df in predictions.items():
+        rows = modeling.window_errors(df, config).withColumn("model", F.lit(model))
+        errors = rows if errors is None else errors.unionByName(rows)
+    return errors
+
+
 def run_reports(spark: SparkSession, views_dir: str, models_dir: str, out: str, config: FlowConfig = FlowConfig()) -> None:
     """Write the plot-ready tables."""
     past = F.col(views.KEY) <= config.present
@@ -83,7 +97,10 @@ def run_reports(spark: SparkSession, views_dir: str, models_dir: str, out: str,
         "glacial_cycles": report.glacial_cycles(raw),
         "scatter_pairs": report.scatter_pairs(raw),
         "modulation_overlay": report.modulation_overlay(long_term),
-        "predictions": report.prediction_report(predictions, config),
+        "predictions": report.prediction_report(predictions, config, actual=spark.read.parquet(f"{views_dir}/long_term_view"), scores=board),
+        "latest_anomaly": report.latest_label(raw),
+        "window_errors": _window_errors(predictions, config),
+        "event_markers": report.event_markers(spark),
         "search_progress": report.fitness_by_generation(history),
         "scoreboard": scoreboard(board),
         "predictor_trends": report.predictor_trends(long_term),

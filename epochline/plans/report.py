@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from epochline.functions.columns import null_after, title_label
 from epochline.operators.lookup import label_bands, label_intervals
-from epochline.operators.series import chunk_mean
+from epochline.operators.series import chunk_mean, latest_value
 from epochline.operators.stats import minmax_scale, to_long, trend
 from epochline.plans.config import FlowConfig
 from epochline.plans.views import KEY, TARGET
+from epochline.session import sized
 
 # The year ranges that the series charts show.
 WINDOWS = {
@@ -136,15 +137,25 @@ def prediction_bands(key: Column, config: FlowConfig, pure_forecast: bool = Fals
 
 
 def prediction_report(
-    predictions: Mapping[str, DataFrame], config: FlowConfig = FlowConfig(), key: str = KEY, y: str = TARGET, pred: str = "pred_anomaly"
+    predictions: Mapping[str, DataFrame],
+    config: FlowConfig = FlowConfig(),
+    key: str = KEY,
+    y: str = TARGET,
+    pred: str = "pred_anomaly",
+    actual: DataFrame | None = None,
+    scores: DataFrame | None = None,
 ) -> DataFrame:
     """R6: actual and predicted values of all models in one frame with their bands.
 
     Actual values are blank in the future; predictions of pure forecasters are blank in the past, where
-    they only repeat the actual value.
+    they only repeat the actual value. `actual` adds a panel, "Default", of a view without predictions. `scores` (model, mse) adds the
+    validation error of each model as a column; panels that have none, as pure forecasters, keep it blank.
     """
     report = None
-    for model, df in predictions.items():
+    panels = dict(predictions)
+    if actual is not None:
+        panels["default"] = actual.select(key, y, F.lit(None).cast("double").alias(pred))
+    for model, df in panels.items():
         pure = "arima" in model or model.startswith("ar")
         shown = F.when(F.col(key) > config.present, F.col(pred)) if pure else F.col(pred)
         rows = null_after(df.where(F.col(key) <= config.forecast_end), key, config.present, [y]).select(
@@ -153,9 +164,20 @@ def prediction_report(
             F.col(y),
             shown.alias(pred),
             prediction_bands(F.col(key), config, pure).alias("band"),
+            *([] if scores is None else [F.lit(None if pure else model).cast("string").alias("__scored")]),
         )
         report = rows if report is None else report.unionByName(rows)
-    return report
+    if scores is None:
+        return report
+    board = sized(scores.select(F.col("model").alias("__scored"), F.col("mse")))
+    return report.join(board, "__scored", "left").drop("__scored")
+
+
+def latest_label(view: DataFrame, y: str = TARGET, key: str = KEY) -> DataFrame:
+    """R1: the newest known value and its label on the chart of recent years, one row."""
+    newest = latest_value(view.where(F.col(y).isNotNull()).select(F.col(key), F.col(y), F.col(key).alias("__at")), "__at", [key, y])
+    text = F.concat(F.col(key).cast("bigint").cast("string"), F.lit(": Anomaly of "), F.when(F.col(y) >= 0, "+").otherwise(""), F.format_string("%.2f°C", F.col(y)))
+    return newest.where(F.col(key).isNotNull()).select(key, y, text.alias("label"))
 
 
 def fitness_by_generation(history: DataFrame) -> DataFrame:

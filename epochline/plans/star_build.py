@@ -231,14 +231,19 @@ def cosmic_series(sediment: DataFrame, field: DataFrame, spine: DataFrame) -> Da
     return both.withColumn("solar_modulation", solar_modulation(F.col("be_ppm"), F.col("VADM")))
 
 
-def build_star(inputs: RawInputs, id_cols: Iterable[str] | None = None, ids: str = "dense") -> dict[str, DataFrame]:
+def build_star(
+    inputs: RawInputs, id_cols: Iterable[str] | None = None, ids: str = "dense", left: dict[str, DataFrame] | None = None
+) -> dict[str, DataFrame]:
     """All six tables. `ids="sparse"` gives unique ids with gaps, without ordering any rows.
 
     The temperatures are written out once before they fan out. The dimensions are built from the distinct
-    bins, which are few, and never from a wide join with the facts.
+    bins, which are few, and never from a wide join with the facts. `left`, if given, takes what the build leaves out or doubts:
+    `rejected_samples`, whole, and `doubtful_temperatures`, with the reason.
     """
-    placed, _ = prepare_samples(inputs.samples, id_cols, ids)
-    proxies, _ = sample_temperatures(placed, inputs.grid, inputs.climatology)
+    placed, rejected = prepare_samples(inputs.samples, id_cols, ids)
+    proxies, doubtful = sample_temperatures(placed, inputs.grid, inputs.climatology)
+    if left is not None:
+        left |= {"rejected_samples": rejected, "doubtful_temperatures": doubtful}
     proxies = settle(proxies, "proxies")
     bounded = iqr_filter(proxies, "degC")
     offset = None if ids == "sparse" else proxies.agg(F.max("sample_id").alias("n")).first()["n"] or 0
