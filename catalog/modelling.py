@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from catalog.common import Registry, daily, days, pseudo_year, r, rounded, sql_daily, table
 from catalog.views import CONFIG, training
 from epochline.models import arima, forecast, gradient, linear, search, trees
-from epochline.plans import modeling
+from epochline.plans import modeling, report
 
 QUERIES = Registry()
 query = QUERIES.query
@@ -401,6 +401,56 @@ def arima_orders(spark, sf_dir):
 SEARCH = search.SearchConfig(fold_method="hash")
 
 
+JUDGED = [((1, 0, 0), 0.05), ((0, 1, 0), 0.2), ((1, 1, 0), 0.01), ((1, 0, 1), 0.2), ((0, 1, 1), 0.0)]
+
+
+def sql_candidate(mask: tuple[int, ...], lam: float) -> str:
+    """A candidate's key and its mean held-out error over line numbers, by the closed form of ridge regression on one or two features."""
+    used = [i + 1 for i, bit in enumerate(mask) if bit]
+    if len(used) == 1:
+        (i,) = used
+        coefs = {i: f"c{i}y / (s{i} * s{i}) / (1 + {lam})"}
+    else:
+        i, j = used
+        det = f"((1 + {lam}) * (1 + {lam}) - r{i}{j} * r{i}{j})"
+        coefs = {a: f"((1 + {lam}) * c{a}y / s{a} - r{i}{j} * c{b}y / s{b}) / {det} / s{a}" for a, b in ((i, j), (j, i))}
+    pred = "my + " + " + ".join(f"{c} * (x{i} - m{i})" for i, c in coefs.items())
+    key = f"mask_{''.join(map(str, mask))}_lam_{lam}"
+    return f"SELECT '{key}' AS key, avg(e) + {0.001 * len(used)} AS fitness FROM (SELECT f, avg(pow(y - ({pred}), 2)) AS e FROM l JOIN t USING (f) GROUP BY f)"
+
+
+_STATS = ", ".join(
+    [f"avg(l.x{i}) AS m{i}, stddev_pop(l.x{i}) AS s{i}, covar_pop(l.x{i}, l.y) AS c{i}y" for i in (1, 2, 3)] + [f"corr(l.x{i}, l.x{j}) AS r{i}{j}" for i, j in ((1, 2), (1, 3), (2, 3))]
+)
+
+
+@query(
+    "candidate_scores",
+    "M11 M12",
+    f"""WITH l AS (SELECT l_linenumber AS f, l_quantity AS x1, l_discount AS x2, l_tax AS x3, l_extendedprice * (1 - 4 * l_discount) / 1000 AS y FROM lineitem),
+    t AS (SELECT h.f, avg(l.y) AS my, {_STATS} FROM (SELECT DISTINCT f FROM l) h JOIN l ON l.f <> h.f GROUP BY h.f)
+    SELECT key, {r('fitness', 4)} AS fitness FROM ({' UNION ALL '.join(sql_candidate(*c) for c in JUDGED)})""",
+)
+def candidate_scores(spark, sf_dir):
+    """How the search judges candidates, with the line numbers as folds, so that SQL can do the same."""
+    grams = linear.collect_grams(linear.gram(lines(spark, sf_dir), X, Y, ["l_linenumber"]), len(X) + 1)
+    folds = {fold: m for (fold,), m in grams.items()}
+    judged = [search.Candidate(mask, lam) for mask, lam in JUDGED]
+    rows = [(c.key, search.score(c, folds, X, 0.001)) for c in judged]
+    return rounded(spark.createDataFrame(rows, "key string, fitness double"), ["fitness"], 4)
+
+
+@query(
+    "fitness_by_generation",
+    "M14 R7",
+    "SELECT (o_orderkey % 23 - 2)::INT AS generation, min(o_totalprice) AS fitness FROM orders WHERE o_orderkey % 23 >= 2 GROUP BY 1",
+)
+def fitness_by_generation(spark, sf_dir):
+    """The chart of a search, of a history with the entries that are no part of it."""
+    history = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 23 - 2).cast("int").alias("generation"), F.col("o_totalprice").alias("fitness"))
+    return report.fitness_by_generation(history)
+
+
 @query("candidate_search", "M11 M12 O2")
 def candidate_search(spark, sf_dir):
     _, history = search.search(lines(spark, sf_dir), X, Y, "key", SEARCH)
