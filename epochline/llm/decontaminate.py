@@ -247,7 +247,11 @@ def _share(h: np.ndarray, spans: list[tuple[int, int, float]], k: int, grams: np
 
 
 def question_and_answer(items: DataFrame, text_col: str = "text", question_col: str = "question", answer_col: str = "answer") -> DataFrame:
-    """Items that are one text: the last sentence of at least three words is the answer; else the last quarter of the words."""
+    """Items that are one text: the last sentence of at least three words is the answer; else the last quarter of the words.
+
+    A null or empty text has an empty question and answer. Repeated items stay; other columns are kept, but for those that are
+    named like the two that are added.
+    """
     text = F.trim(F.coalesce(F.col(text_col), F.lit("")))
     last = F.regexp_extract(text, r"(?s)^.*[.!?\n]\s+(\S+\s+\S+\s+\S.*)$", 1)
     words = F.split(text, r"\s+")
@@ -258,6 +262,11 @@ def question_and_answer(items: DataFrame, text_col: str = "text", question_col:
 
 
 def decontaminate(df: DataFrame, items: DataFrame, **settings) -> DataFrame:
-    """The rows that hold no test item, with their columns. Settings as for `with_matches`."""
+    """The rows that hold no test item, with their columns. Settings as for `with_matches`.
+
+    Null and empty texts hold none and stay, as do repeated rows and null ids; a text is searched whole, however long. Columns of any name are kept.
+    """
     name = "__matches"
+    while name in df.columns:
+        name += "_"
     return with_matches(df, items, matches_col=name, **settings).where(F.size(name) == 0).drop(name)

@@ -33,6 +33,8 @@ def test_planted_items(spark):
     assert {r.doc_id for r in clean.collect()} == {i for i, _ in rows if i % 4} and clean.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert d.decontaminate(docs(spark, rows), table.limit(0).selectExpr("item_id", "text AS question", "text AS answer")).count() == len(rows)
     assert d.decontaminate(docs(spark, []), split).count() == 0
+    named = d.decontaminate(docs(spark, rows[:3]).selectExpr("*", "1 AS __matches"), split)
+    assert named.columns[-1] == "__matches" and [r[0] for r in named.select("__matches").collect()] == [1, 1]
 
 
 def test_several_indexes(spark, monkeypatch):

@@ -1,3 +1,5 @@
+import json
+import math
 import random
 
 from epochline.llm import quality
@@ -37,3 +39,19 @@ def test_paths():
     tree = "Tree\n  If (feature 0 <= 3.0)\n   If (feature 0 <= 1.5)\n    Predict: 0.0\n   Else (feature 0 > 1.5)\n    Predict: 1.0\n  Else (feature 0 > 3.0)\n   Predict: 1.0\n"
     name = quality.STATISTICS[0]
     assert [r.conditions for r in quality.paths(tree)] == [((name, False, 3.0),), ((name, False, 1.5),), ((name, False, 3.0), (name, True, 1.5)), ((name, True, 3.0),)]
+
+
+def test_rules_against_plain_evaluation(spark):
+    """Scores of compiled columns against conditions checked one by one."""
+    rows = sample()
+    labels = spark.createDataFrame([(i, q, 0) for i, _, q in rows], "doc_id long, quality int, toxic int")
+    model = quality.fit_quality(docs(spark, [(i, t) for i, t, _ in rows]), labels)
+    told = json.loads(model.to_json())
+    assert any(len(rule["all"]) > 1 for rule in told["rules"])
+    texts = [(i, t) for i, t, _ in rows] + [(900, None), (901, ""), (902, "! ! !"), (903, "word " * 5000)]
+    for r in quality.score_quality(docs(spark, texts), model).collect():
+        total = told["bias"]
+        for rule in told["rules"]:
+            if all(r[name] > t if over else r[name] <= t for name, over, t in rule["all"]):
+                total += rule["weight"]
+        assert abs(r.score - 1 / (1 + math.exp(-total))) < 1e-12
