@@ -11,7 +11,11 @@ from epochline.session import settle
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject. It learns from the labels of those that are here."""
+    """Documents that the quality classifier doesn't reject. It learns from the labels of those that are here.
+
+    Null and empty texts are scored like others, repeated rows stay or go together, a null id teaches nothing; an empty table
+    stays one. Other columns are kept as they are, whatever their names; a text is looked at whole, however long.
+    """
     return quality_rows(spark, docs, sf_dir).where("predicted = 1").select(*docs.columns)
 
 
@@ -44,12 +48,15 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item of the benchmark."""
+    """Documents that hold no item of the benchmark.
+
+    Null and empty texts hold none and stay, and so do repeated rows and null ids; an empty table stays one. Other columns are kept.
+    """
     return decontaminate.decontaminate(docs, test_items(spark, sf_dir)).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Digests of ids and decoded text of every document that is left."""
+    """Digests of ids and decoded text of every document that is left, a row each; null and empty texts have no tokens."""
     return bpe_digests(docs)
 
 
@@ -60,7 +67,8 @@ STAGES = [
     ("decontaminate", drop_test_items),
     ("bpe", encode),
 ]
-#: No SQL: classifier, decontamination and encoding can't be expressed. The tests hold the stages against brute force.
+#: No SQL: classifier, decontamination and encoding can't be expressed. The tests hold near copies, repeats and encoding against brute
+#: force, decontamination against planted items and the rules of the classifier against conditions checked one by one.
 ORACLE_SQL = None
 
 
