@@ -315,7 +315,7 @@ class Words(dict):
     def learn(self, words: set[str]) -> None:
         """Work out words that are not at hand, many at a time: those behind a blank in one text, and bare ones in a text of lines."""
         older, needed = self.older, words.difference(self)
-        for w in needed.intersection(older):
+        for w in [w for w in needed if w in older]:  # a dict would be walked as a whole by intersection()
             self.keep(w, older[w])
         fresh = [w for w in needed.difference(older) if len(w) <= CACHED_CHARS]
         for mark in (" ", "\n"):

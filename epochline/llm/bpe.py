@@ -25,7 +25,7 @@ from epochline.llm.arrow_text import small_batches
 from epochline.session import settle
 
 #: Entries of the word cache of a worker.
-CACHE = 1_200_000
+CACHE = 600_000
 #: Words that are encoded together, and signs one of which stands between them: it has to be a token of its own.
 TOGETHER, SIGNS = 64, "¤§¶®©±"
 #: Characters of a text in one piece, longer ones are dealt out; and neighbours that are joined in one round.
@@ -140,7 +140,7 @@ class WordCache(dict):
         if sign is None:
             return
         older, needed = self.older, words.difference(self)
-        for w in needed.intersection(older):
+        for w in [w for w in needed if w in older]:  # a dict would be walked as a whole by intersection()
             self.keep(w, older[w])
         fresh = [w for w in needed.difference(older) if w and len(w) <= longest and sign not in w]
         groups = [fresh[k : k + TOGETHER] for k in range(0, len(fresh), TOGETHER)]
