@@ -268,14 +268,15 @@ def _encode_pieces(keyed: DataFrame, path: str, leaf_chars: int, piece: int) ->
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, leaf_chars)
         for batch in batches:
-            rows = []
-            for key, k, text in zip(*(batch.column(c).to_pylist() for c in range(3))):
-                words = parts(text)
-                tail = own.unsplit(words[-1]) if len(words) > 1 else None
-                rows.append(Piece(own.unsplit(words[0]), tail, k).row(key, k))
-                if len(words) > 2:
-                    rows.append(_word_row(key, 2 * k + 1, own.encode([" ".join(words[1:-1])])[0]))
-            yield made(rows)
+            for batch in (batch.slice(a, 64) for a in range(0, batch.num_rows, 64)):  # pieces are long
+                rows, split = [], [parts(text) for text in batch.column(2).to_pylist()]
+                inner = own.encode([" ".join(words[1:-1]) for words in split])
+                for key, k, words, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), split, inner):
+                    tail = own.unsplit(words[-1]) if len(words) > 1 else None
+                    rows.append(Piece(own.unsplit(words[0]), tail, k).row(key, k))
+                    if ids:
+                        rows.append(_word_row(key, 2 * k + 1, ids))
+                yield made(rows)
 
     def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Open ends sorted by (key, k): FAN neighbours become one."""
