@@ -325,7 +325,8 @@ def _in_segments(df: DataFrame, series: list[str], order: list[str], limit: int,
         found = sample.join(long, same).groupBy(*[f"l.{n}" for n in keys.values()], ROWS)
     else:
         found = sample.withColumn(ROWS, F.lit(largest)).groupBy(ROWS)
-    wanted = F.least(F.ceil(F.col(ROWS) / limit), F.lit(SEGMENTS))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a long series is worth all of them
+    wanted = F.least(F.greatest(F.ceil(F.col(ROWS) / limit), F.lit(tasks)), F.lit(SEGMENTS))
     steps = F.sequence(F.lit(1).cast("bigint"), wanted - 1)
     picked = F.transform(steps, lambda i: F.get(PLACE, F.floor(i * F.size(PLACE) / wanted).cast("int")))
     sorted_places = found.agg(F.sort_array(F.collect_list(PLACE)).alias(PLACE))
