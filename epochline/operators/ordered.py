@@ -337,10 +337,13 @@ def _in_segments(df: DataFrame, series: list[str], order: list[str], limit: int,
         laid = df.join(bounds, on, "left").drop(*keys.values())
     else:  # one row with SEGMENTS bounds at most
         laid = df.withColumn("__one", F.lit(0)).join(F.broadcast(bounds.withColumn("__one", F.lit(0))), "__one", "left").drop("__one")
-    # the number of bounds below the row, by halves
-    halves = F.array(*[F.lit(1 << k) for k in range(SEGMENTS.bit_length() - 1, -1, -1)])
-    below = lambda at, step: F.when(F.get(CUTS, at + step - 1) < place, at + step).otherwise(at)
-    return laid.withColumns({BLOCK: F.aggregate(halves, F.lit(0), below), LONG: F.col(CUTS).isNotNull()}).drop(CUTS)
+    # the number of bounds below the row, by halves of as many as a series has at most; one step a projection, for generated code
+    most = min(SEGMENTS, max(-(-largest // limit), tasks))
+    laid = laid.withColumns({BLOCK: F.lit(0), LONG: F.col(CUTS).isNotNull(), PLACE: place})
+    for step in (1 << k for k in range(most.bit_length() - 1, -1, -1)):
+        above = F.get(CUTS, F.col(BLOCK) + F.lit(step - 1)) < F.col(PLACE)
+        laid = laid.withColumn(BLOCK, F.when(above, F.col(BLOCK) + F.lit(step)).otherwise(F.col(BLOCK)))
+    return laid.drop(CUTS, PLACE)
 
 
 def _carried(laid: DataFrame, columns: list[str], key: str, exprs: Mapping[str, Ordered], series: list[str], order: list[str]) -> DataFrame:
