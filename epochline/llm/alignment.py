@@ -34,7 +34,7 @@ from epochline.llm.arrow_text import small_batches
 from epochline.session import settle
 
 #: Longest text in one piece, in characters; neighbours composed in one round.
-SPLIT, FAN = 16_384, 8
+SPLIT, FAN = 32_768, 8
 #: Words whose fragments a worker keeps, the longest that is kept, and words that are worked out together.
 CACHE, CACHED_CHARS, TOGETHER = 600_000, 80, 256
 #: A word that is worked out with others, behind a blank or bare: no white space of any kind, and not the sign that stands for a blank.
