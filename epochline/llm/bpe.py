@@ -268,10 +268,11 @@ def _encode_pieces(keyed: DataFrame, path: str, leaf_chars: int, piece: int) ->
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, leaf_chars)
         for batch in batches:
-            for batch in (batch.slice(a, 64) for a in range(0, batch.num_rows, 64)):  # pieces are long
-                rows, split = [], [parts(text) for text in batch.column(2).to_pylist()]
+            for a in range(0, batch.num_rows, 64):  # pieces are long
+                some = batch.slice(a, 64)
+                rows, split = [], [parts(text) for text in some.column(2).to_pylist()]
                 inner = own.encode([" ".join(words[1:-1]) for words in split])
-                for key, k, words, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), split, inner):
+                for key, k, words, ids in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), split, inner):
                     tail = own.unsplit(words[-1]) if len(words) > 1 else None
                     rows.append(Piece(own.unsplit(words[0]), tail, k).row(key, k))
                     if ids:

@@ -68,3 +68,10 @@ def test_tables(spark, whole, monkeypatch):
     only = bpe.decode_ids(bpe.encode_texts(docs(spark, [(1, "some words")]), PATH), PATH).first()
     assert only.decoded == whole.decode(whole.encode("some words", add_special_tokens=False).ids, skip_special_tokens=False)
     assert bpe.round_trip(docs(spark, []), PATH).count() == 0
+
+
+def test_more_pieces_than_are_encoded_together(spark, whole):
+    texts = [" ".join(f"w{(i * 31 + d) % 977}" for i in range(400)) for d in range(6)]
+    rows = docs(spark, list(enumerate(texts))).coalesce(1)
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in bpe.encode_texts(rows, PATH, split_chars=20).collect()}
+    assert got == {d: whole.encode(text, add_special_tokens=False).ids for d, text in enumerate(texts)}
