@@ -130,3 +130,15 @@ def test_query(spark):
     got = queries.op12_packing(spark, TESTDATA).collect()
     n = check([(r.doc_id, r.text) for r in table.collect()], got, 2048, 0)
     assert n <= 1.01 * sum(r.length for r in got) / 2048 + 2
+
+
+def test_long_texts_of_many_pieces_are_packed_whole(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SPLIT_CHARS", 20)
+    own = Tokenizer.from_file(PATH)
+    texts = [" ".join(f"w{(i * 31 + d) % 977}" for i in range(400)) for d in range(6)]
+    expected = set()
+    for d, text in enumerate(texts):
+        ids = np.array([*own.encode(text, add_special_tokens=False).ids, 0], "<u4")
+        expected |= {(d, k, s, len(ids[s : s + 512]), zlib.crc32(ids[s : s + 512].tobytes())) for k, s in enumerate(range(0, len(ids), 512))}
+    got = packing.pack_documents(docs(spark, list(enumerate(texts))).coalesce(1), PATH, 512, 0).collect()
+    assert {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got} == expected
