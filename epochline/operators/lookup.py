@@ -11,6 +11,9 @@ from epochline.functions.columns import names
 from epochline.operators.ordered import Fill, NearestKnown, with_ordered
 from epochline.session import settle, sized
 
+#: Cells of spans that are sent to every task; more of them are met by sorting.
+FEW_CELLS = 10_000
+
 
 def grid_lookup(df: DataFrame, grid: DataFrame, on: Iterable[str]) -> DataFrame:
     """Values of the matching grid cell, null where the grid has none."""
@@ -137,6 +140,9 @@ def label_intervals(
     probes = keys.withColumn("level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
     at = F.expr("shiftright(__cell, level)")
     probes = probes.withColumn("__cell", cell(F.col("__key"))).withColumn("cell", at).drop("__cell")
+    # The planner takes a key for one row, not for one a level, and would send them all through the driver.
+    few = pieces.count() <= FEW_CELLS
+    probes, pieces = (probes, F.broadcast(pieces)) if few else (probes.hint("merge"), pieces)
     met = probes.join(pieces, ["level", "cell"]).where(F.col("__key").between(F.col("__lo"), F.col("__hi")))
     found = met.select("__key", label)
     return df.join(found, df[key] == found["__key"], "left").select(*[df[c] for c in df.columns], found[label])

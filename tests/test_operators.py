@@ -194,3 +194,14 @@ def test_weighted_mean_and_trend(spark):
     line = spark.createDataFrame([(x, 3.0 * x + 1) for x in range(5)], "x int, y double")
     row = stats.trend(line, "x", "y").first()
     assert close(row.slope, 3) and close(row.intercept, 1) and close(row.r2, 1) and row.n == 5
+
+
+def test_label_intervals_sends_no_probes_to_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(lookup, "FEW_CELLS", 100, raising=False)
+    keys = spark.range(2000).select((F.col("id") * 10).alias("t"))
+    spans = spark.range(2000).select((F.col("id") * 10).alias("lo"), (F.col("id") * 10 + F.when(F.col("id") % 100 == 0, 5000).otherwise(9)).alias("hi"), F.col("id").alias("label"))
+    found = lookup.label_intervals(keys, spans, "t")
+    rows = found.collect()
+    assert len(rows) == sum(s <= k <= s + (500 if s % 100 == 0 else 0) for s in range(2000) for k in range(s, min(s + 501, 2000)))
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0]
+    assert "Generate explode" in plan and not any("BroadcastHashJoin [level" in line for line in plan.splitlines())
