@@ -24,6 +24,8 @@ from epochline.session import sized
 GROUP_LIMIT = 200_000
 SEGMENTS = 10_000
 SAMPLED = 40
+#: Parts into which a step of the search for a row's segment divides the bounds. Planning time doubles with every step.
+PARTS = 8
 
 BLOCK, INDEX, COUNT, BEFORE, TOTAL = "__block", "__index", "__count", "__before", "__total"
 TAIL, HEAD, FIRST_ROW = "__tail", "__head", "__first_row"
@@ -320,9 +322,9 @@ def _in_segments(df: DataFrame, series: list[str], order: list[str], limit: int,
     sample = named.sample(rate, seed=1) if rate < 1 else named
     if series:
         long = named.groupBy(*keys.values()).agg(F.count(F.lit(1)).alias(ROWS)).where(F.col(ROWS) > limit)
-        sample, long = sample.alias("s"), long.alias("l")
+        sample, long = sample.alias("s"), long.alias("l")  # long series are few, a row per `limit` rows at most; their sample is not
         same = [F.col(f"s.{n}").eqNullSafe(F.col(f"l.{n}")) for n in keys.values()]
-        found = sample.join(long, same).groupBy(*[f"l.{n}" for n in keys.values()], ROWS)
+        found = sample.join(F.broadcast(long), same).groupBy(*[f"l.{n}" for n in keys.values()], ROWS)
     else:
         found = sample.withColumn(ROWS, F.lit(largest)).groupBy(ROWS)
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a long series is worth all of them
@@ -337,12 +339,17 @@ def _in_segments(df: DataFrame, series: list[str], order: list[str], limit: int,
         laid = df.join(bounds, on, "left").drop(*keys.values())
     else:  # one row with SEGMENTS bounds at most
         laid = df.withColumn("__one", F.lit(0)).join(F.broadcast(bounds.withColumn("__one", F.lit(0))), "__one", "left").drop("__one")
-    # the number of bounds below the row, by halves of as many as a series has at most; one step a projection, for generated code
+    # the number of bounds below the row, digit by digit, the first digit first; one digit a projection, for generated code
     most = min(SEGMENTS, max(-(-largest // limit), tasks))
     laid = laid.withColumns({BLOCK: F.lit(0), LONG: F.col(CUTS).isNotNull(), PLACE: place})
-    for step in (1 << k for k in range(most.bit_length() - 1, -1, -1)):
-        above = F.get(CUTS, F.col(BLOCK) + F.lit(step - 1)) < F.col(PLACE)
-        laid = laid.withColumn(BLOCK, F.when(above, F.col(BLOCK) + F.lit(step)).otherwise(F.col(BLOCK)))
+    step = 1
+    while step * PARTS <= most:
+        step *= PARTS
+    while step:
+        below = [F.get(CUTS, F.col(BLOCK) + F.lit(k * step - 1)) < F.col(PLACE) for k in range(1, PARTS)]
+        digit = sum((F.when(b, F.lit(step)).otherwise(F.lit(0)) for b in below), F.lit(0))
+        laid = laid.withColumn(BLOCK, F.col(BLOCK) + digit)
+        step //= PARTS
     return laid.drop(CUTS, PLACE)
 
 

@@ -1,6 +1,7 @@
 """Ordered operators: golden values, and the blocked evaluation against plain windows."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -189,3 +190,15 @@ def test_regular_spine_per_series(spark):
     df = spark.createDataFrame([("a", 1), ("a", 4), ("b", 2)], "s string, t bigint")
     spine = S.regular_spine(df, "t", 1, ["s"]).orderBy("s", "t").collect()
     assert [(r.s, r.t) for r in spine] == [("a", 1), ("a", 2), ("a", 3), ("a", 4), ("b", 2)]
+
+
+def test_many_segments_are_planned_in_bounded_time(spark):
+    """The search for a row's segment may not grow the plan with every halving of the bounds."""
+    df = spark.range(5000).select((F.col("id") % 2).alias("s"), F.col("id").alias("t"), F.col("id").alias("v"))
+    got = with_ordered(df, "t", {"pos": Position(), "lag": Lag("v", k=2)}, ["s"], group_limit=1)
+    planned = time.time()
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert time.time() - planned < 15 and 1 < plan.count("__block#") and plan.count("AS __block#") <= 5
+    assert [(r.t, r.pos, r.lag) for r in got.orderBy("s", "t").collect()] == [
+        (t, k + 1, t - 4 if k > 1 else None) for s in range(2) for k, t in enumerate(range(s, 5000, 2))
+    ]
