@@ -25,7 +25,7 @@ GROUP_LIMIT = 200_000
 SEGMENTS = 10_000
 SAMPLED = 40
 #: Parts into which a step of the search for a row's segment divides the bounds. Planning time doubles with every step.
-PARTS = 8
+PARTS = 4
 
 BLOCK, INDEX, COUNT, BEFORE, TOTAL = "__block", "__index", "__count", "__before", "__total"
 TAIL, HEAD, FIRST_ROW = "__tail", "__head", "__first_row"
