@@ -10,7 +10,9 @@ go on in its neighbours: these open ends are joined as a tree, some neighbours a
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from epochline.llm.arrow_text import small_batches
 from epochline.session import settle
@@ -28,6 +30,25 @@ from epochline.session import settle
 CACHE = 600_000
 #: Words that are encoded together, and signs one of which stands between them: it has to be a token of its own.
 TOGETHER, SIGNS = 64, "¤§¶®©±"
+#: The rules of a tokenizer by which plain words can be cut into what it encodes, without its normaliser and pattern.
+RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {
+                "type": "Split",
+                "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+                "behavior": "Removed",
+                "invert": True,
+            },
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+#: What a plain word has none of, as none of its signs is composed with another one; and what such a pattern finds in it, lower-case.
+OTHER = re.compile(r"[^!-~À-ÿ]|<\|")
+CUT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^0-9a-zß-öø-ÿ]+")
 #: Characters of a text in one piece, longer ones are dealt out; and neighbours that are joined in one round.
 SPLIT_CHARS, FAN = 1 << 15, 8
 #: A special token may span a join; agreement nearer to it than this many characters doesn't count.
@@ -65,7 +86,7 @@ class Codec:
         self.tokenizer.no_padding()
         self.leaf_chars = max(4, leaf_chars)
         self.sign = next((c for c in SIGNS if self._apart(c)), None)
-        self.cache = WordCache(self)
+        self.cache, self.plain = WordCache(self), Plain.of(self.tokenizer)
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -143,6 +164,15 @@ class WordCache(dict):
         for w in [w for w in needed if w in older]:  # a dict would be walked as a whole by intersection()
             self.keep(w, older[w])
         fresh = [w for w in needed.difference(older) if w and len(w) <= longest and sign not in w]
+        if self.codec.plain is not None:
+            one = {w: w.lower() for w in fresh if w.isascii() and w.isalpha()}
+            cut = {w: CUT.findall(w.lower()) for w in fresh if w not in one and not OTHER.search(w)}
+            find, join = self.codec.plain.ids(set(one.values()).union(*cut.values())).__getitem__, b"".join
+            for w, found in one.items():
+                self.keep(w, find(found))
+            for w, found in cut.items():
+                self.keep(w, join(map(find, found)))
+            fresh = [w for w in fresh if w not in one and w not in cut]
         groups = [fresh[k : k + TOGETHER] for k in range(0, len(fresh), TOGETHER)]
         mark = self.codec._ids(sign)[0]
         for group, e in zip(groups, self.codec.tokenizer.encode_batch_fast([f" {sign} ".join(g) for g in groups], add_special_tokens=False)):
@@ -161,6 +191,41 @@ class WordCache(dict):
         return self.keep(word, ids)
 
 
+class Plain:
+    """What CUT finds in plain words, encoded by `bare`, the tokenizer's model alone, with blanks between."""
+
+    def __init__(self, bare: Tokenizer):
+        self.bare = bare
+        symbols = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.symbols = str.maketrans({chr(c): symbols.pre_tokenize_str(chr(c))[0][0] for c in (*range(0x21, 0x7F), *range(0xC0, 0x100))})
+        vocabulary = bare.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith(bare.model.end_of_word_suffix)]] = True
+
+    @staticmethod
+    def of(tokenizer: Tokenizer) -> Plain | None:
+        """None for a tokenizer of other rules, or without a token for each sign inside and at the end of a word."""
+        rules = json.loads(tokenizer.to_str())
+        model, added = rules["model"], rules["added_tokens"]
+        if {k: rules[k] for k in RULES} != RULES or model["type"] != "BPE" or not model["end_of_word_suffix"] or model["dropout"] or rules["post_processor"]:
+            return None
+        if any(t["normalized"] or not t["content"].startswith("<|") or t["lstrip"] or t["rstrip"] for t in added):
+            return None
+        rules |= {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": [], "decoder": None}
+        plain = Plain(Tokenizer.from_str(json.dumps(rules)))
+        signs = "".join(plain.symbols.values())
+        return plain if all(c in model["vocab"] and c + model["end_of_word_suffix"] in model["vocab"] for c in signs) else None
+
+    def ids(self, words: set[str]) -> dict[str, bytes]:
+        words, out = list(words), {}
+        for k in range(0, len(words), 8 * TOGETHER):
+            group = words[k : k + 8 * TOGETHER]
+            ids = np.array(self.bare.encode_batch_fast([" ".join(group).translate(self.symbols)], add_special_tokens=False)[0].ids, "<u4")
+            ends, data = (4 * np.flatnonzero(self.last[ids]) + 4).tolist(), ids.tobytes()
+            out.update(zip(group, map(data.__getitem__, map(slice, [0, *ends], ends)), strict=True))
+        return out
+
+
 def _agree(side: Encoded, window: Encoded, first: int, shift: int, low: int, high: int) -> tuple[int | None, int | None]:
     """Where the side and the window have the same three tokens at the same places, between two positions of the joined text.
 

@@ -75,3 +75,15 @@ def test_more_pieces_than_are_encoded_together(spark, whole):
     rows = docs(spark, list(enumerate(texts))).coalesce(1)
     got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in bpe.encode_texts(rows, PATH, split_chars=20).collect()}
     assert got == {d: whole.encode(text, add_special_tokens=False).ids for d, text in enumerate(texts)}
+
+
+def test_plain_words_are_encoded_by_the_model_alone(whole, monkeypatch):
+    rng = random.Random(4)
+    own = bpe.Codec(PATH)
+    signs = [chr(c) for c in (*range(128), *range(160, 256))] + ["'s", "'LL", "<|endoftext|>", "<|ENDOFTEXT|>", "</w>", "e\u0301", "\u0130", "The", " ", " "]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 25))) for _ in range(3000)]
+    asked, ids = [], own.plain.ids
+    monkeypatch.setattr(own.plain, "ids", lambda words: asked.extend(words) or ids(words))
+    for text, got in zip(texts, own.encode(texts)):
+        assert np.frombuffer(got, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text
+    assert len(asked) > 300 and not any("|endoftext|" in w for w in asked)
