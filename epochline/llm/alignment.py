@@ -36,7 +36,7 @@ from epochline.session import settle
 #: Longest text in one piece, in characters; neighbours composed in one round.
 SPLIT, FAN = 32_768, 8
 #: Words whose fragments a worker keeps, the longest that is kept, and words that are worked out together.
-CACHE, CACHED_CHARS, TOGETHER = 600_000, 80, 256
+CACHE, CACHED_CHARS, TOGETHER = 400_000, 80, 256
 #: A word that is worked out with others, behind a blank or bare: no white space of any kind, and not the sign that stands for a blank.
 EASY = re.compile(r" ?[^\s\u180e▁]+")
 #: Pairs with at least one in HOT of all links are sent to all tasks; there are HOT of them at most.
@@ -298,9 +298,14 @@ class Words(dict):
         super().__init__()
         self.both, self.older = both, {}
 
+    def forget(self) -> None:
+        self.clear()
+        self.older = {}
+
     def keep(self, word: str, found: tuple | None) -> tuple | None:
         if len(word) <= CACHED_CHARS:
             if len(self) >= CACHE // 2:
+                self.older = {}  # gone before the copy is made
                 self.older = dict(self)
                 self.clear()
             self[word] = found
@@ -366,6 +371,12 @@ def both(a_path: str, b_path: str) -> Both:
     return _both[a_path, b_path]
 
 
+def forget_words() -> None:
+    """Workers are used again by later stages, which need no words and should have their room."""
+    for own in _both.values():
+        own.words.forget()
+
+
 _FIRST = [
     ("key", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("links", pa.binary()), ("groups", pa.string()), ("sha256", pa.string()),
     ("k", pa.int32()), ("a_start", pa.int64()), ("a_text", pa.string()), ("b_start", pa.int64()), ("b_text", pa.string()),
@@ -530,6 +541,7 @@ def pair_counts(found: Aligned) -> DataFrame:
     pairs = found.pairs
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_words()
         kept, size = [], 0
 
         def tell() -> pa.RecordBatch:
@@ -563,6 +575,7 @@ def score_links(found: Aligned, counts: DataFrame) -> DataFrame:
     dtype = found.pairs.dtype
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_words()
         for batch in batches:
             links = batch.column(1).to_pylist()
             sizes = np.array([len(x) // dtype.itemsize for x in links], np.int64)

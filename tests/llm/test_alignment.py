@@ -150,3 +150,13 @@ def test_query(spark):
     got = queries.op13_alignment(spark, TESTDATA)
     assert got.columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
     assert plain_rows(got) == brute(rows)
+
+
+def test_later_stages_have_the_room_of_the_words():
+    own = alignment.both(A, B)
+    first = own.groups("some words of a text")
+    own.words.older = {"kept": None}
+    assert len(own.words)
+    alignment.forget_words()
+    assert not own.words and not own.words.older
+    assert own.groups("some words of a text") == first
