@@ -38,13 +38,17 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document of which nothing but white space is left is dropped; one without repeats stays as it is.
     """
-    cut = repeats.remove_repeats(docs, carry=tuple(docs.columns), as_text=True)
+    none = "no_text"
+    while none in docs.columns:
+        none += "_"
+    others = [c for c in docs.columns if c != "text"]  # the text goes with the operator, and once
+    cut = repeats.remove_repeats(docs.withColumn(none, F.col("text").isNull()), carry=(*others, none), as_text=True)
     whole = F.col("n_removed") == 0
     new = {
-        "text": F.when(whole, F.col("carried.text")).otherwise(F.col("kept")),
+        "text": F.when(~F.col(f"carried.{none}"), F.col("kept")),
         "n_chars": F.when(whole, F.col("carried.n_chars")).otherwise(F.char_length("kept").cast("long")),
     }
-    return cut.where(whole | (F.trim("kept") != "")).select(*(new.get(c, F.col(f"carried.{c}")).alias(c) for c in docs.columns))
+    return cut.where(whole | (F.trim("kept") != "")).select(*(new[c].alias(c) if c in new else F.col(f"carried.{c}").alias(c) for c in docs.columns))
 
 
 def drop_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from epochline.llm.arrow_text import BYTE, U64, mix, signed, small_batches, utf8
-from epochline.session import settle
+from epochline.session import release, settle
 
 #: Bytes that are looked at together.
 SLICE = 1 << 18
@@ -325,11 +325,13 @@ def _settled(texts: DataFrame, kind: str, length: int) -> DataFrame:
         return sorted_runs.mapInArrow(_judge, f"id {kind}, place long, n long, settled boolean")
 
     found = settle(judged(texts.mapInArrow(_initial(length), OUT.format(id=kind))), "runs")
+    release(texts.sparkSession)
     everything = found
     for width in (8, 1):
         open_runs = _gather(found, settled=False)
         again = texts.alias("t").join(open_runs.alias("o"), _same_text()).select("t.id", "t.tie", "t.text", "o.spans")
         found = settle(judged(again.mapInArrow(_finer(length, width), OUT.format(id=kind))), "finer")
+        release(texts.sparkSession)
         everything = everything.unionByName(found)
     return everything
 

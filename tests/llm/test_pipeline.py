@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -97,3 +98,16 @@ def test_the_whole_pipeline(spark):
 def test_a_query_per_operator():
     assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 14)}
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "near_copies", "repeats", "decontaminate", "bpe"]
+
+
+def test_repeats_carry_a_text_once(spark, monkeypatch):
+    carried, remove = [], corpus_pipeline.repeats.remove_repeats
+    monkeypatch.setattr(corpus_pipeline.repeats, "remove_repeats", lambda df, **how: carried.extend(how["carry"]) or remove(df, **how))
+    same = "word " * 40
+    rows = [(1, None), (2, ""), (3, f"one {same}"), (4, f"two {same}"), (5, "ñ short"), (None, "z")]
+    df = docs(spark, rows).withColumn("no_text", F.lit(7))
+    got = {r.doc_id: r for r in corpus_pipeline.cut_repeats(spark, df, "").collect()}
+    assert "text" not in carried
+    assert got[1].text is None and got[1].n_chars is None and got[2].text == "" and got[2].n_chars == 0
+    assert got[5].text == "ñ short" and got[None].text == "z" and all(r.no_text == 7 for r in got.values())
+    assert got[4].text is not None and len(got[4].text) < len(f"two {same}") and got[4].n_chars == len(got[4].text)
