@@ -130,3 +130,55 @@ def test_words_around_chains_are_shuffled_once(spark, monkeypatch):
     once, again = ([tuple(r) for r in chains.repeated_passages(df).collect()] for df in frames)
     assert sorted(once) == sorted(again) and len(once) > 10
     assert plans and not any(word in plan for plan in plans for word in ("Distinct", "Deduplicate"))
+
+
+def test_single_links_are_aligned_as_one_by_one():
+    rng = random.Random(17)
+    for _ in range(60):
+        few = rng.choice([3, 10, 200])
+        a = [rng.randrange(few) for _ in range(rng.randint(6, 130))]
+        b = [w if rng.random() > 0.2 else rng.randrange(few) for w in a for _ in range(1 if rng.random() > 0.1 else rng.choice([0, 2]))] + [1] * 6
+        a, b = np.array(a, np.uint64), np.array(b, np.uint64)
+        x, y = (np.array([rng.randint(0, len(v) - 6) for _ in range(20)]) for v in (a, b))
+        y[:10] = np.minimum(x[:10], len(b) - 6)
+        at = np.array([x, y])
+        got, _ = chains.align_all(a, b, at, at, np.full(20, 6), np.tile([[0], [len(a)], [0], [len(b)]], 20), False)
+        for q, (u, v) in enumerate(zip(x.tolist(), y.tolist())):
+            base, low = max(0, u - chains.MARGIN), max(0, v - chains.MARGIN)
+            s, e, t, f, equal = chains.align(a[base : u + 6 + chains.MARGIN], b[low : v + 6 + chains.MARGIN], [u - base], [v - low])
+            assert got[:, q].tolist() == [s + base, e + base, t + low, f + low, equal]
+
+
+def edited(rng, words, share):
+    return [w if rng.random() > share else f"new{rng.randrange(10**9)}" for w in words]
+
+
+def test_passages_within_a_passage_of_another_text(spark):
+    rng = random.Random(18)
+    say = lambda n: [f"w{rng.randrange(30_000)}" for _ in range(n)]
+    rows = []
+    for case in range(40):
+        passage = say(120)
+        middle = edited(rng, passage[30:90], 0.2)  # mostly one seed
+        for words in (middle, passage, passage):
+            rows.append((len(rows), " ".join([*say(60), *words, *say(60)])))
+    got = {(r.doc_id, r.source_id) for r in chains.repeated_passages(docs(spark, rows, 1)).collect()}
+    wanted = [3 * case for case in range(40) if (3 * case + 1, 3 * case) in got]
+    assert len(wanted) > 20 and all((i + 2, i) in got and (i + 2, i + 1) in got for i in wanted)
+
+
+def test_copies_that_follow_each_other_are_passages_each(spark):
+    rng = random.Random(19)
+    say = lambda n: [f"w{rng.randrange(30_000)}" for _ in range(n)]
+    rows, near, apart = [], [], []
+    for _ in range(40):
+        passage = say(45)
+        copies = [edited(rng, passage, 0.1) for _ in range(3)]
+        rows.append((len(rows), " ".join([*say(60), *passage, *say(60)])))
+        for gap, list_ in ((0, near), (150, apart)):
+            list_.append(len(rows))
+            rows.append((len(rows), " ".join([*say(60), *(w for copy in copies for w in [*copy, *say(gap)]), *say(60)])))
+    got = chains.repeated_passages(docs(spark, [r for r in rows if r[0] not in apart], 1)).collect()
+    alone = chains.repeated_passages(docs(spark, [r for r in rows if r[0] not in near], 1)).collect()
+    found = [{(r.doc_id, (r.start + r.end) // 2 // step) for r in some if r.doc_id in of and r.end - r.start >= 40} for some, of, step in ((got, near, 45), (alone, apart, 195))]
+    assert len(found[1]) > 80 and len(found[0]) >= 0.7 * len(found[1]), [len(f) for f in found]
