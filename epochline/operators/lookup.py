@@ -123,10 +123,12 @@ def label_intervals(
     """Label every row with the spans that cover its key (ends included); null if there is none.
 
     A span is split into cells of a binary hierarchy whose least cell is a bucket wide, by default as wide as the
-    median span. A key meets the cells that hold it, one per level that occurs, so this is an equi-join of any size,
-    and a span costs the logarithm of its length however long it is. Every distinct key is looked up once.
+    median span. A row meets the cells that hold its key, one per level that occurs, so this is an equi-join of any
+    size, and a span costs the logarithm of its length however long it is. What rows and spans make of each other
+    goes straight to the result and is never dealt out again, however much it is. Rows without a span are told by
+    their distinct keys, which need to meet one span only.
     """
-    spans = sized(spans.select(F.col(lo).alias("__lo"), F.col(hi).alias("__hi"), F.col(label).alias(label)).where(F.col(lo) <= F.col(hi)))
+    spans = sized(spans.select(F.col(lo).alias("__lo"), F.col(hi).alias("__hi"), F.col(label).alias("__label")).where(F.col(lo) <= F.col(hi)))
     if bucket is None:
         long = spans.where("__hi > __lo").agg(F.percentile_approx(F.col("__hi") - F.col("__lo"), 0.5).alias("len")).first()["len"]
         bucket = float(long) if long else 1.0
@@ -134,18 +136,23 @@ def label_intervals(
     def cell(value: Column) -> Column:
         return F.floor(value / F.lit(float(bucket))).cast("bigint")
 
-    pieces = sized(spans.select("*", F.inline(dyadic_cells(cell(F.col("__lo")), cell(F.col("__hi"))))))
-    levels = sorted(r["level"] for r in pieces.select("level").distinct().collect())  # 63 at most
-    keys = df.select(F.col(key).alias("__key")).where(F.col(key).isNotNull()).distinct()
-    probes = keys.withColumn("level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
-    at = F.expr("shiftright(__cell, level)")
-    probes = probes.withColumn("__cell", cell(F.col("__key"))).withColumn("cell", at).drop("__cell")
-    # The planner takes a key for one row, not for one a level, and would send them all through the driver.
+    cells = F.inline(dyadic_cells(cell(F.col("__lo")), cell(F.col("__hi")))).alias("__level", "__cell")
+    pieces = sized(spans.select("*", cells))
+    levels = sorted(r["__level"] for r in pieces.select("__level").distinct().collect())  # 63 at most
     few = pieces.count() <= FEW_CELLS
-    probes, pieces = (probes, F.broadcast(pieces)) if few else (probes.hint("merge"), pieces)
-    met = probes.join(pieces, ["level", "cell"]).where(F.col("__key").between(F.col("__lo"), F.col("__hi")))
-    found = met.select("__key", label)
-    return df.join(found, df[key] == found["__key"], "left").select(*[df[c] for c in df.columns], found[label])
+
+    def met(rows: DataFrame, at: str, how: str) -> DataFrame:
+        probes = rows.where(F.col(at).isNotNull()).withColumn("__level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
+        probes = probes.withColumn("__from", cell(F.col(at))).withColumn("__cell", F.expr("shiftright(__from, __level)"))
+        # The planner takes a row for one, not for one a level, and would send them all through the driver.
+        left, right = (probes, F.broadcast(pieces)) if few else (probes.hint("merge"), pieces)
+        same = (probes["__level"] == pieces["__level"]) & (probes["__cell"] == pieces["__cell"])
+        return left.join(right, same & probes[at].between(pieces["__lo"], pieces["__hi"]), how)
+
+    labelled = met(df, key, "inner").select(*df.columns, F.col("__label").alias(label))
+    keys = met(df.select(F.col(key).alias("__key")).distinct(), "__key", "left_semi").select("__key").distinct()
+    alone = df.join(keys, df[key] == keys["__key"], "left_anti")
+    return labelled.unionAll(alone.select(*df.columns, F.lit(None).cast(labelled.schema[label].dataType).alias(label)))
 
 
 def label_bands(key: Column, bands: Iterable[tuple[float | None, float | None, str]], default: str | None = None) -> Column:

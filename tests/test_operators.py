@@ -205,3 +205,27 @@ def test_label_intervals_sends_no_probes_to_the_driver(spark, monkeypatch):
     assert len(rows) == sum(s <= k <= s + (500 if s % 100 == 0 else 0) for s in range(2000) for k in range(s, min(s + 501, 2000)))
     plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0]
     assert "Generate explode" in plan and not any("BroadcastHashJoin [level" in line for line in plan.splitlines())
+
+
+def test_label_intervals_deals_out_no_pairs_of_rows_and_spans(spark, monkeypatch):
+    keys = spark.createDataFrame([(i, None if i % 50 == 0 else float(i // 2 * 2), i) for i in range(300)], "id long, t double, level int")
+    spans = spark.createDataFrame([(float(i), i + 150.0, i) for i in range(0, 200, 2)], "lo double, hi double, name int")
+    want = []
+    for i in range(300):
+        held = [] if i % 50 == 0 else [s for s in range(0, 200, 2) if s <= i // 2 * 2 <= s + 150]
+        want += [(i, s) for s in held or [-1]]
+    for few in (10_000, 10):
+        monkeypatch.setattr(lookup, "FEW_CELLS", few)
+        found = lookup.label_intervals(keys, spans, "t", label="name")
+        assert found.columns == ["id", "t", "level", "name"]
+        assert sorted((r.id, -1 if r.name is None else r.name) for r in found.collect()) == want
+        plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0].splitlines()
+        depth = [len(line) - len(line.lstrip(" :+-*()0123456789")) for line in plan]
+        at = next(i for i, line in enumerate(plan) if "Join [__level" in line and "Inner" in line or "Join [level" in line and "Inner" in line)
+        above, least = [], depth[at]
+        for i in range(at - 1, -1, -1):
+            if depth[i] < least:
+                least = depth[i]
+                above.append(plan[i])
+        assert above and not any("Exchange" in line or "ShuffleQueryStage" in line for line in above), above
+        assert few > 10 or not any("BroadcastHashJoin [__level" in line for line in plan)
