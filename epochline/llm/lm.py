@@ -12,17 +12,20 @@ all counts read from the filter.
 
 from __future__ import annotations
 
+import functools
 import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from epochline.llm.arrow_text import U64, Words, chunks, mix, signed, small_batches, utf8
-from epochline.session import settle
+from epochline.session import release, settle
 
 #: Bits per mark and probes per mark: about one false hit in forty.
 BITS, PROBES = 8, 4
@@ -32,6 +35,8 @@ SEGMENT = 1_000_000
 TOP_SHARE = 2e-7
 #: Bytes of a filter that goes to all workers at most.
 RESIDENT = 256 << 20
+#: Parts of the texts that ask one after the other where it doesn't, each with a share of the disk.
+TURNS = 4
 #: Weight of the prior, in words.
 PRIOR = 20.0
 _END, _BEGIN = U64(0xA076_1D64_78BD_642F), U64(0xE703_7ED1_A0B4_28DB)
@@ -296,7 +301,12 @@ def score_texts(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", tex
     base = F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * float(np.log10(n_tokens + n_words + 1))
     out = joined.select("t.id", "t.tie", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), base.alias("base_score"), "score")
     if not at_hand:
-        routed = _routed_scores(rows, model, kind)
+        parts = []
+        for turn in range(TURNS):  # what was shuffled before goes first
+            release(spark)
+            parts.append(settle(_routed_scores(rows.where(F.pmod("tie", F.lit(TURNS)) == turn), model, kind), "routed"))
+        release(spark)
+        routed = functools.reduce(DataFrame.unionAll, parts)
         out = out.drop("score").alias("t").join(routed.alias("r"), _same("t", "r"), "left").select("t.id", "n_tokens", "n_known", "base_score", "r.score")
     return out.drop("tie").withColumnRenamed("id", id_col)
 
@@ -305,53 +315,110 @@ def _same(a: str, b: str):
     return F.col(f"{a}.id").eqNullSafe(F.col(f"{b}.id")) & (F.col(f"{a}.tie") == F.col(f"{b}.tie"))
 
 
+_ROUTED = ["batch", "segment", "part", "what", "ids", "ties", "sizes", "data"]
+#: What a row of routed probes is: the bits of a segment, the tokens of some texts, or probes and their levels.
+_BITS, _TEXTS, _PROBES = -2, -1, 0
+#: Probes in a row at most.
+_PART = 4096
+
+
+def _probes(own: np.ndarray, place: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, pair, before) of texts whose tokens are `own[place]` and begin at `first`: the keys of their different pairs, then of their words and the beginning; and of each token the pair and the word before it."""
+    n = len(own) + 1
+    before = np.empty(len(place), np.int64)
+    before[1:] = place[:-1]
+    before[first] = n - 1
+    pairs, pair = np.unique(before * n + place, return_inverse=True)
+    words = np.append(own, _BEGIN)
+    return np.append(pair_key(words[pairs // n], words[pairs % n]), word_key(words)), pair, before
+
+
 def _routed_scores(rows: DataFrame, model: LanguageModel, kind: str) -> DataFrame:
-    """(id, tie, score) where the filter is too large for a worker: probes are dealt to the segments, and their levels come back."""
+    """(id, tie, score) where the filter is too large for a worker: probes are dealt to the segments, and their levels come back.
+
+    Some texts ask together, once for each of their different pairs and words: eight bytes, and one comes back. Their
+    tokens go with them as numbers of their words.
+    """
     n_segments, n_tokens, n_words = model.n_segments, model.n_tokens, model.n_words
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
             data, off = utf8(batch.column(2))
-            for a, b in chunks(off, 1 << 20):
-                token, before, row = tokens(data[off[a] : off[b]], off[a : b + 1] - off[a])
-                order = np.lexsort((token, before, row))
-                t, p, r = token[order], before[order], row[order]
-                new = np.concatenate([[True], (t[1:] != t[:-1]) | (p[1:] != p[:-1]) | (r[1:] != r[:-1])])
-                at = np.flatnonzero(new)
-                times = np.diff(np.append(at, len(t)))
-                t, p, r = t[at], p[at], pa.array(r[at] + a)
-                pair = pair_key(p, t)
-                for what, key in enumerate((pair, word_key(p), word_key(t))):
-                    yield pa.record_batch(
-                        [batch.column(0).take(r), batch.column(1).take(r), signed(pair), pa.array(times), pa.array(np.full(len(t), what, np.int32)), signed(key), pa.array(segment_of(key, n_segments).astype(np.int32))],
-                        ["id", "tie", "pair", "times", "what", "key", "segment"],
-                    )
-
-    asked = rows.dropDuplicates(["id", "tie"]).mapInArrow(ask, f"id {kind}, tie long, pair long, times long, what int, key long, segment int")
-    empty = model.segments.select(F.lit(None).cast(kind).alias("id"), F.lit(0).cast("long").alias("tie"), F.lit(0).cast("long").alias("pair"), F.lit(0).cast("long").alias("times"), F.lit(-1).alias("what"), F.lit(0).cast("long").alias("key"), "segment", "bits")
-    both = asked.withColumn("bits", F.lit(None).cast("binary")).unionByName(empty).repartition("segment").sortWithinPartitions("segment", "what")
+            for a, b in chunks(off, 1 << 22):
+                token, _, row = tokens(data[off[a] : off[b]], off[a : b + 1] - off[a])
+                own, place = np.unique(token, return_inverse=True)
+                sizes = np.bincount(row, minlength=b - a)
+                key, _, _ = _probes(own, place, np.cumsum(sizes) - sizes)
+                segment = segment_of(key, n_segments)
+                order = np.argsort(segment, kind="stable")
+                key, segment = key[order], segment[order]
+                cut = np.flatnonzero(np.append(True, segment[1:] != segment[:-1]))
+                ends = np.append(cut[1:], len(key))
+                parts = [(int(segment[u]), p, key[v : min(v + _PART, w)].tobytes()) for u, w in zip(cut.tolist(), ends.tolist()) for p, v in enumerate(range(u, w, _PART))]
+                said = own.tobytes() + zlib.compress(place.astype(np.uint32 if len(own) >> 16 else np.uint16).tobytes(), 1)
+                parts.append((number % n_segments, len(own), said))
+                n = len(parts)
+                what = np.full(n, _PROBES, np.int32)
+                what[-1] = _TEXTS
+                held = np.append(np.zeros(n, np.int32), np.int32(b - a))
+                lists = [pa.ListArray.from_arrays(pa.array(held), v) for v in (batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(sizes.astype(np.int32)))]
+                ints = [pa.array([part[c] for part in parts], pa.int32()) for c in (0, 1)]
+                out = pa.record_batch([pa.array(np.full(n, number)), *ints, pa.array(what), *lists, pa.array([part[2] for part in parts], pa.binary())], _ROUTED)
+                for at in range(0, n, 1000):
+                    yield out.slice(at, 1000)
+                number += 1
+
+    schema = f"batch long, segment int, part int, what int, ids array<{kind}>, ties array<long>, sizes array<int>, data binary"
+    asked = rows.mapInArrow(ask, schema)
+    none = [F.lit(None).cast(t).alias(n) for n, t in (("ids", f"array<{kind}>"), ("ties", "array<long>"), ("sizes", "array<int>"))]
+    bits = model.segments.select(F.lit(0).cast("long").alias("batch"), "segment", F.lit(0).alias("part"), F.lit(_BITS).alias("what"), *none, F.col("bits").alias("data"))
+    both = asked.unionByName(bits).repartition("segment").sortWithinPartitions("segment", "what")
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segment, probe = None, None
+        segment, probe = None, Filter({}, n_segments)
         for batch in batches:
-            at, what = np.asarray(batch.column(6)), np.asarray(batch.column(4))
-            level = np.zeros(len(at), np.int64)
-            cut = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else []
+            at, what, out = np.asarray(batch.column(1)), np.asarray(batch.column(3)), batch.column(7).to_pylist()
+            cut = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (what[1:] != what[:-1]))).tolist() if len(at) else []
             for a, b in zip(cut, [*cut[1:], len(at)]):
                 if at[a] != segment:
                     segment = int(at[a])
-                    probe = Filter({segment: batch.column(7)[int(a)].as_py()} if what[a] < 0 else {}, n_segments)
-                level[a:b] = probe.levels(np.asarray(batch.column(5))[a:b].view(np.uint64))
-            out = pa.record_batch([*batch.columns[:5], pa.array(level)], ["id", "tie", "pair", "times", "what", "level"])
-            yield out.filter(pa.array(what >= 0))
+                    probe = Filter({segment: out[a]} if what[a] == _BITS else {}, n_segments)
+                if what[a] == _PROBES:
+                    ends = np.cumsum([len(v) // 8 for v in out[a:b]]).tolist()
+                    levels = probe.levels(np.frombuffer(b"".join(out[a:b]), np.uint64)).astype(np.uint8).tobytes()
+                    out[a:b] = [levels[u:v] for u, v in zip([0, *ends], ends)]
+            told = pa.record_batch([*batch.columns[:7], pa.array(out, pa.binary())], _ROUTED)
+            yield told.filter(pa.array(what != _BITS))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, levels = None, []
+
+        def scored() -> pa.RecordBatch:
+            ids, ties, sizes, n_own, data = held
+            own = np.frombuffer(data[: 8 * n_own], np.uint64)
+            place = np.frombuffer(zlib.decompress(data[8 * n_own :]), np.uint32 if n_own >> 16 else np.uint16).astype(np.int64)
+            key, pair, before = _probes(own, place, np.cumsum(sizes) - sizes)
+            level = np.empty(len(key), np.int64)
+            level[np.argsort(segment_of(key, n_segments), kind="stable")] = np.frombuffer(b"".join(levels), np.uint8)
+            of_pair, of_word = level[: -n_own - 1], level[-n_own - 1 :]
+            logs = pair_logs(of_pair[pair], of_word[before], of_word[place], n_tokens, n_words)
+            total = np.bincount(np.repeat(np.arange(len(sizes)), sizes), logs, minlength=len(sizes))
+            return pa.record_batch([ids, ties, pa.array(total)], ["id", "tie", "score"])
 
-    told = both.mapInArrow(answer, f"id {kind}, tie long, pair long, times long, what int, level long")
-    level = [F.max(F.when(F.col("what") == k, F.col("level"))).alias(n) for k, n in enumerate(("pair_level", "before", "word"))]
-    wide = told.groupBy("id", "tie", "pair", "times").agg(*level)
-
-    def logs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = pair_logs(*(np.asarray(batch.column(c)) for c in range(3, 6)), n_tokens, n_words) * np.asarray(batch.column(2))
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(x)], ["id", "tie", "log"])
-
-    return wide.select("id", "tie", "times", "pair_level", "before", "word").mapInArrow(logs, f"id {kind}, tie long, log double").groupBy("id", "tie").agg(F.sum("log").alias("score"))
+            for x, what in enumerate(np.asarray(batch.column(3)).tolist()):
+                data = batch.column(7)[x].as_py()
+                if what == _TEXTS:
+                    if held is not None:
+                        yield scored()
+                    levels = []
+                    held = (batch.column(4)[x].values, batch.column(5)[x].values, batch.column(6)[x].values.to_numpy(), batch.column(2)[x].as_py(), data)
+                else:
+                    levels.append(data)
+        if held is not None:
+            yield scored()
+
+    told = both.mapInArrow(answer, schema).repartition("batch").sortWithinPartitions("batch", "what", "segment", "part")
+    # rows that repeat an id and its text have the same score
+    return told.mapInArrow(score, f"id {kind}, tie long, score double").groupBy("id", "tie").agg(F.max("score").alias("score"))

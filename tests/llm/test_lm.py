@@ -69,3 +69,16 @@ def test_filter_has_no_false_misses():
     assert (probe.levels(key) >= lm.level_of(count)).all()
     assert (probe.levels(key) > lm.level_of(count)).mean() < 0.06
     assert (probe.levels(rng.integers(0, 2**63, 5000, dtype=np.uint64)) > 0).mean() < 0.06
+
+
+def test_probes_go_to_the_segments_many_to_a_row(spark, monkeypatch):
+    rng = random.Random(23)
+    rows = [(i, " ".join(f"w{rng.randrange(5000)}" for _ in range(200))) for i in range(200)] + [(7, "twice"), (7, "twice"), (None, None)]
+    df = docs(spark, rows)
+    model, sent, kind = lm.fit_model(df), [], type(df)
+    sort = kind.sortWithinPartitions
+    monkeypatch.setattr(kind, "sortWithinPartitions", lambda self, *c: sent.append(self.count()) or sort(self, *c))
+    there = sorted((str(r.doc_id), r.n_tokens, r.score) for r in lm.score_texts(df, model, resident=0).collect())
+    assert sent and sum(sent) < 40_000 / 10
+    assert there == sorted((str(r.doc_id), r.n_tokens, r.score) for r in lm.score_texts(df, model).collect())
+    assert len(there) == len(rows)
